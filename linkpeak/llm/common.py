@@ -45,3 +45,9 @@ def lower_ascii(text: Column) -> Column:
 def hash01(*cols: Column, seed: int) -> Column:
     """A uniform number in (0, 1) that the seed and the columns decide."""
     return (F.pmod(F.xxhash64(F.lit(seed), *cols), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
+
+
+def join_texts(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
+    """Joins on key (null meets null) and text_hash, and keeps those of left."""
+    other = right.withColumnsRenamed({"key": "_key", "text_hash": "_hash"})
+    return left.join(other, F.col("key").eqNullSafe(F.col("_key")) & (F.col("text_hash") == F.col("_hash")), how).drop("_key", "_hash")

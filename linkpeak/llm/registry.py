@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from linkpeak.llm import sharding
+from linkpeak.llm import licenses, mixing, pii, sharding, topk, urls
 
 
 def queries() -> dict:
     return {
+        "op1_mixing": mixing.op1_mixing,
+        "op4_urls": urls.op4_urls,
         "op6_sharding": sharding.op6_sharding,
+        "op7_pii": pii.op7_pii,
+        "op9_topk": topk.op9_topk,
+        "op10_licenses": licenses.op10_licenses,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_topk": topk.OP9_SQL}
