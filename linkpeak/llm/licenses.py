@@ -78,7 +78,7 @@ def scan(
     least: float = 0.6,
 ) -> tuple[DataFrame, DataFrame]:
     """Two DataFrames: (key, text_hash, n_words, base: array of (label, n, first, last)) with one row for each
-    row of docs, and (key, text_hash, label, start, score): where the method finds a template, and the share of its words that agree.
+    row of docs, and (key, text_hash, label, first_word, score): where the method finds a template, and the share of its words that agree.
 
     Null texts count as empty: no words, no places. Rows that repeat key and text repeat their base row;
     their method rows come once. A null key is a key like any other. An empty table gives no rows.
@@ -111,8 +111,10 @@ def scan(
     told = join_texts(files.withColumnRenamed("words", "file"), spots)
     agree = F.aggregate(F.transform("template_words", lambda w, i: (F.try_element_at("file", F.greatest(F.col("start") + i + 1, F.lit(1))).eqNullSafe(w)).cast("int")), F.lit(0), lambda a, x: a + x)
     here = F.array_join(F.slice("file", F.greatest(F.col("start") + 1, F.lit(1)), F.size("template_words")), " ")
-    told = told.select("key", "text_hash", "label", (F.col("start") - 1).alias("start"), (agree / F.size("template_words")).alias("score"), F.forall("must", lambda m: F.contains(F.concat(F.lit(" "), here, F.lit(" ")), F.concat(F.lit(" "), m, F.lit(" ")))).alias("whole"))
-    method = told.where(F.col("whole") & (F.col("score") >= least)).drop("whole")
+    stands = F.forall("must", lambda m: F.contains(F.concat(F.lit(" "), here, F.lit(" ")), F.concat(F.lit(" "), m, F.lit(" "))))
+    told = told.withColumns({"score": agree / F.size("template_words"), "whole": stands})
+    # The first element of a split is what stands before the first word: the empty string.
+    method = told.where(F.col("whole") & (F.col("score") >= least)).select("key", "text_hash", "label", (F.col("start") - 1).alias("first_word"), "score")
     return seen.drop("hits"), method
 
 
