@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
-from linkpeak.llm import licenses, mixing, pii, sharding, topk, urls
+from linkpeak.llm import decontamination, jaccard, licenses, mixing, pii, quality, sharding, topk, toxicity, urls
 
 
 def queries() -> dict:
     return {
         "op1_mixing": mixing.op1_mixing,
+        "op2_quality": quality.op2_quality,
+        "op3_toxicity": toxicity.op3_toxicity,
         "op4_urls": urls.op4_urls,
+        "op5_decontamination": decontamination.op5_decontamination,
         "op6_sharding": sharding.op6_sharding,
         "op7_pii": pii.op7_pii,
+        "op8_jaccard": jaccard.op8_jaccard,
         "op9_topk": topk.op9_topk,
         "op10_licenses": licenses.op10_licenses,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_topk": topk.OP9_SQL}
+    return {"op5_decontamination": decontamination.OP5_SQL, "op9_topk": topk.OP9_SQL}
