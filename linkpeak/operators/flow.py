@@ -8,6 +8,7 @@ Scenarios are dealt over the cluster; a task handles a scenario at a time with a
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -34,7 +35,7 @@ def failure_scenarios(links: DataFrame, most: int, directed: bool = False) -> Da
     level, every = none, none
     for _ in range(most):
         # A larger set extends a smaller one by a link of a larger id.
-        grown = level.join(units, (F.size("ids") == 0) | (F.element_at("ids", -1) < F.col("link_id")))
+        grown = level.join(units, (F.size("ids") == 0) | (F.try_element_at("ids", F.lit(-1)) < F.col("link_id")))
         level = grown.select(F.concat("ids", F.array("link_id")).alias("ids"), F.concat("failed", "edges").alias("failed"))
         every = every.union(level)
     # The id is the set in the number system of the links: ordered by size, then by links, without any global sort.
@@ -43,30 +44,61 @@ def failure_scenarios(links: DataFrame, most: int, directed: bool = False) -> Da
     return every.select(code.alias("scenario_id"), "failed")
 
 
-def _flows(src: np.ndarray, dst: np.ndarray, weight: np.ndarray, n: int, failed: np.ndarray, roots: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each root: costs, shares (source by link), and whether a source reaches a link by next hops without choice."""
-    alive = np.ones(len(src), dtype=bool)
-    alive[failed] = False
-    far = np.inf
-    cost = np.full((n, n), far)
-    np.fill_diagonal(cost, 0)
-    np.minimum.at(cost, (src[alive], dst[alive]), weight[alive])
-    for k in range(n):
-        np.minimum(cost, cost[:, k : k + 1] + cost[k : k + 1, :], out=cost)
-    for root in roots:
-        c = cost[:, root]
-        on = alive & np.isfinite(c[src]) & np.isfinite(c[dst]) & (c[src] == weight + c[dst])
-        degree = np.bincount(src[on], minlength=n)
-        at = np.eye(n)
-        sole = np.eye(n, dtype=bool)
-        share, lone = np.zeros((n, len(src))), np.zeros((n, len(src)), dtype=bool)
-        for node in np.argsort(-np.where(np.isfinite(c), c, -1), kind="stable"):
-            for e in np.nonzero(on & (src == node))[0]:
-                share[:, e] = at[:, node] / degree[node]
-                lone[:, e] = sole[:, node] & (degree[node] == 1)
-                at[:, dst[e]] += share[:, e]
-                sole[:, dst[e]] |= lone[:, e]
-        yield int(root), c, share, lone
+@dataclass(frozen=True)
+class Graph:
+    """The topology as arrays that travel with the tasks; roots are in order."""
+
+    names: np.ndarray
+    edge: np.ndarray
+    src: np.ndarray
+    dst: np.ndarray
+    weight: np.ndarray
+    root_at: np.ndarray
+
+    @classmethod
+    def of(cls, links: DataFrame, roots: DataFrame) -> Graph:
+        graph = links.select("edge_id", "src", "dst", "weight").orderBy("edge_id").toPandas()
+        if len(graph) and graph["weight"].min() < 1:
+            raise ValueError("link weights must be 1 or more")
+        ids = np.sort(roots.select("root").distinct().toPandas()["root"].to_numpy(dtype=np.int64))
+        names = np.unique(np.concatenate([graph["src"], graph["dst"], ids]).astype(np.int64))
+        return cls(names, graph["edge_id"].to_numpy(), np.searchsorted(names, graph["src"]), np.searchsorted(names, graph["dst"]), graph["weight"].to_numpy(dtype=np.float64), np.searchsorted(names, ids))
+
+    def edges_at(self, failed) -> np.ndarray:
+        return np.isin(self.edge, np.asarray(failed, dtype=np.int64)).nonzero()[0]
+
+    def roots_at(self, egresses) -> np.ndarray:
+        """Places among the roots of those egresses that are roots."""
+        return np.nonzero(np.isin(self.names[self.root_at], np.asarray(egresses, dtype=np.int64)))[0]
+
+    def flows(self, failed: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """For each root: costs, shares (source by link), and whether a source reaches a link by next hops without choice."""
+        src, dst, weight, n = self.src, self.dst, self.weight, len(self.names)
+        alive = np.ones(len(src), dtype=bool)
+        alive[failed] = False
+        cost = np.full((n, n), np.inf)
+        np.fill_diagonal(cost, 0)
+        np.minimum.at(cost, (src[alive], dst[alive]), weight[alive])
+        for k in range(n):
+            np.minimum(cost, cost[:, k : k + 1] + cost[k : k + 1, :], out=cost)
+        for root in self.root_at:
+            c = cost[:, root]
+            on = alive & np.isfinite(c[src]) & np.isfinite(c[dst]) & (c[src] == weight + c[dst])
+            degree = np.bincount(src[on], minlength=n)
+            at, sole = np.eye(n), np.eye(n, dtype=bool)
+            share, lone = np.zeros((n, len(src))), np.zeros((n, len(src)), dtype=bool)
+            for node in np.argsort(-np.where(np.isfinite(c), c, -1), kind="stable"):
+                for e in np.nonzero(on & (src == node))[0]:
+                    share[:, e] = at[:, node] / degree[node]
+                    lone[:, e] = sole[:, node] & (degree[node] == 1)
+                    at[:, dst[e]] += share[:, e]
+                    sole[:, dst[e]] |= lone[:, e]
+            yield int(root), c, share, lone
+
+    def tensor(self, failed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Shares by root, source and link, and costs by root and source."""
+        parts = [(share, c) for _, c, share, _ in self.flows(failed)]
+        return np.stack([s for s, _ in parts]), np.stack([c for _, c in parts])
 
 
 def unit_flow(links: DataFrame, roots: DataFrame, scenarios: DataFrame) -> DataFrame:
@@ -76,30 +108,22 @@ def unit_flow(links: DataFrame, roots: DataFrame, scenarios: DataFrame) -> DataF
     (some thousand links) travels with the tasks; unreachable sources have no rows. ``unique`` says that the
     source reaches the link, and passes it, by nodes of a single next hop.
     """
-    graph = links.select("edge_id", "src", "dst", "weight").orderBy("edge_id").toPandas()
-    if len(graph) and graph["weight"].min() < 1:
-        raise ValueError("link weights must be 1 or more")
-    ids = roots.select("root").distinct().toPandas()["root"].to_numpy()
-    names = np.unique(np.concatenate([graph["src"], graph["dst"], ids]).astype(np.int64))
-    src, dst = np.searchsorted(names, graph["src"]), np.searchsorted(names, graph["dst"])
-    weight, edge = graph["weight"].to_numpy(dtype=np.float64), graph["edge_id"].to_numpy()
-    at = np.searchsorted(names, np.sort(ids))
+    graph = Graph.of(links, roots)
 
     def run(part: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in part:
             for scenario, failed in zip(batch["scenario_id"], batch["failed"], strict=True):
-                down = np.isin(edge, np.asarray(failed, dtype=np.int64)).nonzero()[0]
                 out = []
-                for root, c, share, lone in _flows(src, dst, weight, len(names), down, at):
+                for root, c, share, lone in graph.flows(graph.edges_at(failed)):
                     s, e = np.nonzero(share)
-                    out.append(pd.DataFrame({"root": names[root], "src": names[s], "edge_id": pd.array(edge[e], dtype="Int32"), "frac": share[s, e], "cost": c[s].astype(np.int64), "unique": lone[s, e]}))
-                    out.append(pd.DataFrame({"root": [names[root]], "src": [names[root]], "edge_id": pd.array([None], dtype="Int32"), "frac": [1.0], "cost": [0], "unique": [True]}))
+                    name = graph.names[root]
+                    out.append(pd.DataFrame({"root": name, "src": graph.names[s], "edge_id": pd.array(graph.edge[e], dtype="Int32"), "frac": share[s, e], "cost": c[s].astype(np.int64), "unique": lone[s, e]}))
+                    out.append(pd.DataFrame({"root": [name], "src": [name], "edge_id": pd.array([None], dtype="Int32"), "frac": [1.0], "cost": [0], "unique": [True]}))
                 if out:
                     yield pd.concat(out).assign(scenario_id=scenario)[["scenario_id", "root", "src", "edge_id", "frac", "cost", "unique"]]
 
-    spark = links.sparkSession
-    many = scenarios.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "scenario_id")
-    return many.mapInPandas(run, UNIT_FLOW)
+    many = int(links.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return scenarios.repartition(many, "scenario_id").mapInPandas(run, UNIT_FLOW)
 
 
 def node_costs(flow: DataFrame) -> DataFrame:

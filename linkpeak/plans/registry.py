@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from linkpeak.operators import clustering, flow, loads, reports, rules, traffic
+from linkpeak.operators import blocks, clustering, flow, loads, reports, rules, traffic
 from linkpeak.plans import oracles
 from linkpeak.sources.tables import Tables
 
@@ -104,8 +104,8 @@ def failures_l1_witness(t: Tables) -> DataFrame:
 
 
 def failures_l1_k1(t: Tables) -> DataFrame:
-    f, scenarios = _flow(t, 1)
-    out = loads.over_scenarios(loads.changed_load(f, t.demand, t.states, t.rules, 1), t.links, scenarios)
+    scenarios = flow.failure_scenarios(t.links, 1)
+    out = loads.over_scenarios(blocks.changed_load(t.links, t.borders, scenarios, t.demand, t.states, t.rules, 1), t.links, scenarios)
     return out.select("src", "dst", r4("load").alias("load"))
 
 
