@@ -88,13 +88,13 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP5_SQL = r"""
 WITH w AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), x -> x <> '') AS words FROM documents
+  SELECT doc_id, [x for x in regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+') if x <> ''] AS words FROM documents
 ), b AS (
-  SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), x -> x <> '') AS words FROM benchmark
+  SELECT item_id, [x for x in regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+') if x <> ''] AS words FROM benchmark
 ), d AS (
-  SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(words) - 4, 1) + 1), i -> array_to_string(words[i:i + 4], ' '))) AS s FROM w WHERE len(words) > 0
+  SELECT DISTINCT doc_id, unnest([array_to_string(words[i:i + 4], ' ') for i in range(1, greatest(len(words) - 4, 1) + 1)]) AS s FROM w WHERE len(words) > 0
 ), i AS (
-  SELECT DISTINCT item_id, unnest(list_transform(range(1, greatest(len(words) - 4, 1) + 1), i -> array_to_string(words[i:i + 4], ' '))) AS s FROM b WHERE len(words) > 0
+  SELECT DISTINCT item_id, unnest([array_to_string(words[i:i + 4], ' ') for i in range(1, greatest(len(words) - 4, 1) + 1)]) AS s FROM b WHERE len(words) > 0
 ), n AS (SELECT item_id, count(*) AS n FROM i GROUP BY item_id)
 SELECT doc_id, item_id, round(count(*) / any_value(n), 6) AS containment
 FROM d JOIN i USING (s) JOIN n USING (item_id) GROUP BY doc_id, item_id HAVING count(*) / any_value(n) >= 0.8
