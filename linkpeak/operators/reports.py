@@ -68,7 +68,7 @@ def link_text(report: DataFrame, routers: DataFrame, total: float) -> DataFrame:
     """(line): "a -> b: share" of each link, by the routers' names."""
     name = lambda end: routers.select(F.col("router_id").alias(end), F.col("name").alias(f"{end}_name"))
     share = F.col("load") / F.lit(total)
-    shown = F.when(F.abs(share) <= 1e-9, F.lit("0%")).otherwise(F.format_string("%7.3f%%", share * 100))
+    shown = F.when(F.abs(share) <= 1e-9, F.lit("0%")).otherwise(F.format_string("%7.3f%%", F.round(share * 100 + 1e-9, 3)))
     return report.join(name("src"), "src").join(name("dst"), "dst").select(F.concat_ws(" ", "src_name", F.lit("->"), F.concat("dst_name", F.lit(":")), shown).alias("line"))
 
 

@@ -258,6 +258,6 @@ FROM part LEFT JOIN named ON p_partkey = prefix""",
     "kl_ecdf": _with(_MEASURED, "m AS (SELECT nation, status, max(seconds) AS most FROM measured GROUP BY 1, 2)", "f AS (SELECT a.status, a.nation, a.most / b.most AS fraction FROM m a JOIN m b ON a.nation = b.nation AND a.status <> 'F' AND b.status = 'F')")
     + " SELECT status, round(fraction, 9) AS fraction, round(row_number() OVER (PARTITION BY status ORDER BY fraction, nation) / count(*) OVER (PARTITION BY status), 9) AS ecdf FROM f",
     "link_report_text": _with(*_ALL, f"a AS ({_report('fixed')})")
-    + " SELECT x.name || ' -> ' || y.name || ': ' || CASE WHEN abs(load / 1000000.0) <= 1e-9 THEN '0%' ELSE format('{:7.3f}%', load / 1000000.0 * 100) END AS line FROM a JOIN routers x ON a.src = x.router_id JOIN routers y ON a.dst = y.router_id",
+    + " SELECT x.name || ' -> ' || y.name || ': ' || CASE WHEN abs(load / 1000000.0) <= 1e-9 THEN '0%' ELSE format('{:7.3f}%', round(load / 1000000.0 * 100 + 1e-9, 3)) END AS line FROM a JOIN routers x ON a.src = x.router_id JOIN routers y ON a.dst = y.router_id",
     "topk_per_link": _with(*_ALL, "t AS (SELECT edge_id, prefix, round(current, 6) AS current FROM current_of)", "r AS (SELECT *, CAST(row_number() OVER (PARTITION BY edge_id ORDER BY current DESC, prefix) AS INTEGER) AS rank FROM t)") + f" SELECT edge_id, rank, prefix, {_r4('current')} AS current FROM r WHERE rank <= 3",
 }
