@@ -11,9 +11,9 @@ each band by its cost, signatures and chance matches:
 * one-deletion: its contents and all its contents less one element are signatures, worth two differences.
 
 Documents with equal sets are one class, and classes are joined. A bucket of classes with the same signature
-is linked to its smallest class first; only where that leaves more than one component in a bucket are the
-classes of different components compared, under a bound that no link can miss: parities of elements by 512
-hash slots differ in at most H slots. What passes is verified with the exact sets. So all links between
+is linked to its smallest class first, and then, while it holds more than one component, to other classes of
+it. Only classes of components that still differ are compared with each other, under a bound that no link can
+miss: parities of elements by 512 hash slots differ in at most H slots. What passes is verified with the exact sets. So all links between
 components are found, and a group of near copies costs no pairs of all with all.
 """
 
@@ -38,6 +38,8 @@ SKETCH = 8
 FINE = 256
 #: What comparing two classes that match by chance costs, in signatures.
 PAIR_COST = 0.02
+#: Turns in which buckets of several components are tried with one class each, before all of them are compared.
+PIVOTS = 4
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -257,22 +259,29 @@ class _Join:
         first = members.where("node <> hub").groupBy(F.col("node").alias("b")).agg(F.min("hub").alias("a")).select("a", "b")
         edges = self.verified(first)
         labels = components(edges)
-        # The other hubs, where they would join two components.
-        edges = materialize(edges.union(self.verified(self._apart(members.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), labels))))
-        labels = components(edges)
-        # Buckets that still hold several components: what may link is compared.
+        # Buckets of several components: another class of the bucket in each turn, against all that are not with it yet.
+        for turn in range(PIVOTS):
+            rest = self._mixed(members, labels)
+            pivot = F.min(F.struct(F.xxhash64(F.lit(turn), "node").alias("_h"), "node", "label", "size", *[f"s{i}" for i in range(SKETCH)]))
+            found = self.verified(self._pairs(rest, materialize(rest.groupBy("sig").agg(pivot.alias("p")).select("sig", "p.*")), F.col("x.label") != F.col("y.label")), bounded=True)
+            if not found.limit(1).count():
+                break
+            edges = materialize(edges.union(found))
+            labels = components(edges)
+        # What may link of any two components of a bucket is compared, so that none is missed.
+        rest = self._mixed(members, labels)
+        return components(materialize(edges.union(self.verified(self._pairs(rest, rest, F.col("x.label") < F.col("y.label")), bounded=True))))
+
+    def _mixed(self, members: DataFrame, labels: DataFrame) -> DataFrame:
+        """(sig, node, label, size, sketch) of the buckets that hold more than one component."""
         named = members.join(labels, "node", "left").select("sig", "node", F.coalesce("label", "node").alias("label"))
         mixed = materialize(named.groupBy("sig").agg(F.min("label").alias("_a"), F.max("label").alias("_b")).where("_a <> _b").select("sig"))
-        rest = materialize(named.join(mixed, "sig").join(self.classes.drop("rep", "_low", "_high"), "node"))
-        x, y = rest.alias("x"), rest.alias("y")
-        pairs = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.label") < F.col("y.label")) & self.bound("x", "y")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-        return components(materialize(edges.union(self.verified(pairs, bounded=True))))
-
-    @staticmethod
-    def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-        of = lambda name, label: labels.withColumnsRenamed({"node": name, "label": label})
-        both = pairs.join(of("a", "_la"), "a", "left").join(of("b", "_lb"), "b", "left")
-        return both.where(F.coalesce("_la", "a") != F.coalesce("_lb", "b")).select("a", "b")
+        return materialize(named.join(mixed, "sig").join(self.classes.drop("rep", "_low", "_high"), "node"))
+
+    def _pairs(self, left: DataFrame, right: DataFrame, apart: Column) -> DataFrame:
+        x, y = left.alias("x"), right.alias("y")
+        pairs = x.join(y, (F.col("x.sig") == F.col("y.sig")) & apart & self.bound("x", "y"))
+        return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
 def similar_groups(docs: DataFrame, n: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
