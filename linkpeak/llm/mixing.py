@@ -50,11 +50,11 @@ def capped_targets(sources: DataFrame, share: float, cap: float) -> DataFrame:
 
 
 def source_targets(sizes: DataFrame, weights: list[float], share: float, cap: float) -> DataFrame:
-    """(skey, weight, source_size, n, target); sources by code point, null last, take the weights in turn.
+    """(skey, weight, source_size, n, squares, target); sources by code point, null last, take the weights in turn.
 
     There is one row per source here; its few windows run over sources, not documents.
     """
-    sums = sizes.groupBy("skey").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"), F.count("*").alias("n"))
+    sums = sizes.groupBy("skey").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"), F.count("*").alias("n"), F.sum(F.col("size").cast("double") * F.col("size")).alias("squares"))
     place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
     weight = F.get(F.array(*[F.lit(float(w)) for w in weights]), F.pmod(place, F.lit(len(weights))))
     return capped_targets(sums.withColumn("weight", weight).drop("source"), share, cap)
@@ -64,10 +64,12 @@ def _rate(cap: float, z: Column, full: Column, tilt: Column) -> Column:
     return F.when(full, F.lit(float(cap))).otherwise(F.least(F.lit(float(cap)), F.exp(F.least(tilt * z, F.lit(50.0)))))
 
 
-def balance(sizes: DataFrame, targets: DataFrame, cap: float, tolerance: float = 1e-6, max_steps: int = 40) -> DataFrame:
+def balance(sizes: DataFrame, targets: DataFrame, cap: float, tolerance: float = 1e-4, max_steps: int = 40) -> DataFrame:
     """targets with ``tilt``, the multiplier of each source, and ``full`` where every document is at the cap."""
     mean = F.greatest(F.col("source_size") / F.col("n"), F.lit(1e-9))
-    state = materialize(targets.select("*", mean.alias("mean"), (F.col("target") >= F.col("source_size") * cap * (1 - 1e-12)).alias("full"), F.lit(0.0).alias("tilt"), F.lit(None).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi")))
+    # The first multiplier is right if all documents are as long as the one of the average word.
+    start = F.try_divide(F.ln(F.try_divide("target", "source_size")), F.try_divide("squares", F.col("source_size") * mean))
+    state = materialize(targets.select("*", mean.alias("mean"), (F.col("target") >= F.col("source_size") * cap * (1 - 1e-12)).alias("full"), F.coalesce(start, F.lit(0.0)).alias("tilt"), F.lit(None).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi")))
     counts = materialize(sizes.where("size > 0").groupBy("skey", "size").agg(F.count("*").alias("_c")))
     for _ in range(max_steps):
         z = F.col("size") / F.col("mean")
@@ -136,7 +138,7 @@ def mix(docs: DataFrame, weights: list[float] = (3.0, 1.0, 2.0), share: float =
     sized = docs.withColumns({"size": word_count(F.col(text)), "skey": source_key(F.col(source))})
     narrow = materialize(sized.select(F.col(source).alias("source"), "skey", "size", hash01(F.col(key), "size", "skey", seed=seed).alias("_u")))
     state = materialize(balance(narrow, materialize(source_targets(narrow, list(weights), share, cap)), cap))
-    limits = materialize(extra_limits(_with_priority(narrow.join(state.drop("weight", "n"), "skey"), cap), state))
+    limits = materialize(extra_limits(_with_priority(narrow.join(state.drop("weight", "n", "squares"), "skey"), cap), state))
     rates = materialize(state.join(limits, "skey").select("skey", "source_size", "target", "mean", "full", "tilt", "limit"))
     helpers = ["skey", "mean", "full", "tilt", "limit", "_u", "_whole", "_part", "_p"]
     sized = sized.drop("source_size", "target", "rate", "copies", *[h for h in helpers if h != "skey"]).withColumn("_u", hash01(F.col(key), "size", "skey", seed=seed))
