@@ -3,9 +3,9 @@
 An item is contained in a document when at least ``threshold`` of its distinct shingles (five words) stand
 there. Items are partitioned by size; the sketch of an item are its ``k`` smallest shingle hashes, and k grows
 with the size so that a contained item must share one of them: of n shingles at most ``floor((1 - threshold) * n)``
-may be missing, and k is one more. Documents, of any length, are no sketch: each of their shingles that lies under the largest
-sketch value of a size class is looked up in that class, and most lie above. Candidates are then verified
-with the exact shingle sets.
+may be missing, and k is one more. Documents may be far longer than items, so they have no sketch: each of
+their shingle hashes up to the largest sketch value is looked up. Candidates are then verified with the exact
+shingle sets.
 
 Everything is DataFrame work. Sketches and candidates are written tables, so the planner knows their sizes
 when it chooses between broadcast and shuffle.

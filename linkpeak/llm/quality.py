@@ -88,7 +88,7 @@ def grow(x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 4, rate: fl
     splits = 2**depth - 1
     feature, threshold, value = np.zeros((trees, splits), dtype=np.int64), np.full((trees, splits), np.inf), np.zeros((trees, splits + 1))
     share = y.mean() if len(y) else 0.5
-    if not 0 < share < 1:
+    if not len(y) or not 0 < share < 1:
         return Trees(feature, threshold, value, float(np.log((share + 1e-3) / (1 - share + 1e-3))))
     weight = np.where(y == 1, 0.5 / share, 0.5 / (1 - share))
     edges = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, bins + 1)[1:-1])) for f in range(x.shape[1])]

@@ -83,7 +83,7 @@ def informative(at: np.ndarray, slot: np.ndarray, y: np.ndarray, count: int, lea
 def fit(docs: list[np.ndarray], y: np.ndarray, steps: int = 800, rate: float = 0.3, l2: float = 1e-5, seed: int = 5) -> Machine:
     """Fits by AdaGrad over the whole sample, the two classes in balance. Without both classes every score is their share."""
     share = y.mean() if len(y) else 0.5
-    if not 0 < share < 1:
+    if not len(y) or not 0 < share < 1:
         return Machine(np.zeros(0, dtype=np.int64), np.zeros(0), np.zeros((0, RANK)), float(np.log((share + 1e-3) / (1 - share + 1e-3))))
     at, slot = np.repeat(np.arange(len(docs)), [len(d) for d in docs]), np.concatenate(docs)
     slots = informative(at, slot, y, TERMS)
