@@ -166,28 +166,19 @@ def _print_of(tokens: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True)
 
 
-def _prints(n: int):
-    def run(part: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in part:
-            sets = [shingle_set(t, n) for t in batch["text"]]
-            both = np.array([_print_of(s) for s in sets], dtype=np.int64).reshape(-1, 2)
-            sketch = np.stack([_sketch(s) for s in sets]) if sets else np.zeros((0, SKETCH), dtype=np.int64)
-            yield pd.DataFrame({"key": batch["key"], "size": np.array([len(s) for s in sets], dtype=np.int64), "node": both[:, 0], "check": both[:, 1]} | {f"s{i}": sketch[:, i] for i in range(SKETCH)})
-
-    return run
+def _scanned(n: int, percent: int, population: int):
+    """One pass over the texts: sizes, fingerprints, sketches and signatures of their sets."""
 
-
-def _emitted(n: int, percent: int, population: int):
     def run(part: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in part:
-            sigs, nodes = [], []
-            for text in batch["text"]:
-                tokens = shingle_set(text, n)
-                s = signatures(tokens, percent, population)
-                sigs.append(s)
-                nodes.append(np.full(len(s), _print_of(tokens)[0], dtype=np.int64))
-            if sigs:
-                yield pd.DataFrame({"sig": np.concatenate(sigs).view(np.int64), "node": np.concatenate(nodes)})
+            # Small pieces, so that a task never holds the sets of many texts at once.
+            for start in range(0, len(batch), 1000):
+                piece = batch.iloc[start : start + 1000]
+                sets = [shingle_set(t, n) for t in piece["text"]]
+                both = np.array([_print_of(s) for s in sets], dtype=np.int64).reshape(-1, 2)
+                sketch = np.stack([_sketch(s) for s in sets])
+                sigs = [signatures(s, percent, population).view(np.int64) for s in sets]
+                yield pd.DataFrame({"key": piece["key"].to_numpy(), "size": np.array([len(s) for s in sets], dtype=np.int64), "node": both[:, 0], "check": both[:, 1]} | {f"s{i}": sketch[:, i] for i in range(SKETCH)} | {"sigs": sigs})
 
     return run
 
@@ -216,9 +207,9 @@ def _linked(percent: int):
 class _Join:
     def __init__(self, docs: DataFrame, n: int, percent: int, text: str, key: str):
         self.docs, self.n, self.percent = docs.select(F.col(key).alias("key"), F.col(text).alias("text")), n, percent
-        shape = "key long, size long, node long, check long, " + ", ".join(f"s{i} long" for i in range(SKETCH))
-        rows = materialize(self.docs.select(F.col("key").cast("long").alias("key"), "text").mapInPandas(_prints(n), shape))
-        self.rows = rows.select("key", "size", "node")
+        shape = "key long, size long, node long, check long, " + ", ".join(f"s{i} long" for i in range(SKETCH)) + ", sigs array<long>"
+        population = max(1, self.docs.count() // 20)
+        self.rows = rows = materialize(self.docs.select(F.col("key").cast("long").alias("key"), "text").mapInPandas(_scanned(n, percent, population), shape))
         sketch = [F.first(f"s{i}").alias(f"s{i}") for i in range(SKETCH)]
         grouped = rows.where("size > 0").groupBy("node").agg(F.min("key").alias("rep"), F.first("size").alias("size"), F.min("check").alias("_low"), F.max("check").alias("_high"), *sketch)
         self.classes = materialize(grouped)
@@ -227,8 +218,7 @@ class _Join:
 
     def candidates(self) -> DataFrame:
         """(sig, hub, node): the members of each bucket of two classes or more, and its smallest class."""
-        population = max(1, self.docs.count() // 20)
-        found = self.docs.select("text").mapInPandas(_emitted(self.n, self.percent, population), "sig long, node long")
+        found = self.rows.select("node", F.explode("sigs").alias("sig"))
         buckets = materialize(found.groupBy("sig").agg(F.min("node").alias("hub"), F.max("node").alias("_top")).where("hub <> _top").select("sig", "hub"))
         return materialize(found.join(buckets, "sig").groupBy("sig", "hub", "node").agg(F.lit(1).alias("_one")).drop("_one"))
 
@@ -297,7 +287,7 @@ def similar_groups(docs: DataFrame, n: int = 5, percent: int = 80, text: str = "
     named = join.classes.select("node", "rep").join(labels, "node", "left").select("node", "rep", F.coalesce("label", "node").alias("label"))
     smallest = named.groupBy("label").agg(F.min("rep").alias("component"))
     named = materialize(named.join(smallest, "label").select("node", "component"))
-    out = join.rows.join(named, "node", "left")
+    out = join.rows.select("key", "size", "node").join(named, "node", "left")
     return out.select("key", "size", F.when(F.col("size") > 0, F.col("component")).otherwise(F.col("key")).alias("component"))
 
 
