@@ -53,7 +53,7 @@ def equivalent_top_k(demand: DataFrame, bound: float) -> DataFrame:
     # Within a step the first rank at which the running sum exceeds total - bound.
     need = F.floor((F.col("total") - bound - F.col("before")) / F.col("demand")) + 1
     found = run.crossJoin(totals).withColumn("at", F.greatest(need, F.lit(1)))
-    found = found.where((F.col("before") <= F.col("total") - bound) & (F.col("at") <= F.col("n"))).agg(F.min(F.col("rank") + F.col("at")).alias("k"))
+    found = found.where(((F.col("before") <= F.col("total") - bound) | (F.col("rank") == 0)) & (F.col("at") <= F.col("n"))).agg(F.min(F.col("rank") + F.col("at")).alias("k"))
     return found.crossJoin(totals).select(F.coalesce("k", "all_n").cast("long").alias("k"))
 
 
