@@ -17,13 +17,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkpeak.llm.common import table
+from linkpeak.llm.common import materialize, table
 from linkpeak.llm.training import crc_remainder, labelled_sample
 
 #: At most so many labelled rows are learned from.
 MAX_LABELLED = 20_000
 #: Terms are hashed to so many slots; so many of them are kept; length of a term's vector.
 SLOTS, TERMS, RANK = 1 << 22, 256, 8
+#: So many slots, counted by Spark, are looked at when terms are selected on the driver.
+CANDIDATES = 4096
 
 _EDGES = re.compile(r"^[^\w]+|[^\w]+$")
 
@@ -117,10 +119,28 @@ def _learned(part: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"terms": [terms(t) for t in batch["text"]], "label": batch["label"].astype("int64")})
 
 
+def _candidates(rows: DataFrame) -> np.ndarray:
+    """The slots, CANDIDATES at most and sorted, whose log-likelihood ratio against the label is highest by themselves."""
+    all_n, all_pos = rows.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
+    seen = rows.select(F.explode("terms").alias("slot"), "label").groupBy("slot").agg(F.count("*").alias("n"), F.sum("label").alias("pos")).where("n >= 3")
+    expect, neg = F.col("n") * F.lit(all_pos / max(all_n, 1)), F.col("n") - F.col("pos")
+    part = lambda x, e: F.when(x > 0, x * F.ln(F.try_divide(x, e))).otherwise(0.0)
+    ratio = part(F.col("pos"), expect) + part(neg, F.col("n") - expect)
+    best = seen.select("slot", ratio.alias("ratio")).orderBy(F.desc("ratio"), "slot").limit(CANDIDATES).select("slot").toPandas()
+    return np.sort(best["slot"].to_numpy(dtype=np.int64))
+
+
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "text", key: str = "doc_id", modulus: int = 5, held_out: int = 0, limit: int = MAX_LABELLED) -> Machine:
     """A machine from labelled rows whose crc32 remainder is not held_out."""
     keep = crc_remainder(F.col(key), modulus) != held_out
-    rows = labelled_sample(docs, labels, label, keep, limit, text, key).mapInPandas(_learned, "terms array<long>, label long").toPandas()
+    rows = materialize(labelled_sample(docs, labels, label, keep, limit, text, key).mapInPandas(_learned, "terms array<long>, label long"))
+    slots = _candidates(rows)
+
+    def few(part: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in part:
+            yield batch.assign(terms=[np.intersect1d(t, slots, assume_unique=True) for t in batch["terms"]])
+
+    rows = rows.mapInPandas(few, "terms array<long>, label long").toPandas()
     found = [np.asarray(t, dtype=np.int64) for t in rows["terms"]]
     # Rows come in any order; a fixed one makes reruns agree.
     order = sorted(range(len(found)), key=lambda i: (found[i].tobytes(), rows["label"].iloc[i]))
