@@ -29,20 +29,46 @@ def compatible_subsets(local_prefs: DataFrame, most: int | None = None) -> DataF
     """(egresses, local_prefs): every set of egresses whose announcements can be equally preferred, the empty one too.
 
     local_prefs: egress, local_pref. A set is compatible if one preference value is possible at all of its
-    routers. Sets grow by joins, an egress at a time, and stop as soon as no value is left; their number is
-    exponential in the number of egresses that share a value, so ``most`` bounds the size of a set.
+    routers. Their number is exponential in the number of egresses that share a value. Without ``most`` the
+    subsets of the routers of each value are counted through, in parallel and without a shuffle. ``most`` bounds
+    the size of a set; then sets grow by joins, an egress at a time, and stop as soon as no value is left.
     """
+    if most is None:
+        return _subsets_by_value(local_prefs)
     each = local_prefs.groupBy("egress").agg(F.array_sort(F.collect_set("local_pref")).alias("prefs"))
-    count = each.count() if most is None else most
     empty = local_prefs.sparkSession.range(1).select(F.array().cast("array<int>").alias("egresses"), F.lit(None).cast("array<int>").alias("local_prefs"))
     level = each.select(F.array("egress").alias("egresses"), F.col("prefs").cast("array<int>").alias("local_prefs")).where(F.size("local_prefs") > 0)
     every = empty
-    for _ in range(count):
+    for _ in range(most):
         every = every.union(level)
         grown = level.join(each, (F.col("egress") > F.element_at("egresses", -1)) & F.arrays_overlap("local_prefs", F.col("prefs").cast("array<int>")))
         level = grown.select(F.concat("egresses", F.array("egress")).alias("egresses"), F.array_intersect("local_prefs", F.col("prefs").cast("array<int>")).alias("local_prefs"))
-        if most is None and not level.limit(1).count():
-            break
+    return every
+
+
+def _subsets_by_value(local_prefs: DataFrame) -> DataFrame:
+    """compatible_subsets() of any size: bits of a number tell a set of the routers of a value. Sets that the
+    routers of an earlier value hold as well are left to it, so that each comes once."""
+    spark = local_prefs.sparkSession
+    of: dict[int, set[int]] = {}
+    for egress, value in local_prefs.select("egress", "local_pref").distinct().collect():
+        of.setdefault(value, set()).add(egress)
+    every = spark.range(1).select(F.array().cast("array<int>").alias("egresses"), F.lit(None).cast("array<int>").alias("local_prefs"))
+    done: list[set[int]] = []
+    for routers in sorted(of.values(), key=lambda r: (-len(r), sorted(r))):
+        if any(routers <= other for other in done):
+            continue
+        listed = sorted(routers)
+        if len(listed) > 62:
+            raise ValueError("too many egresses share a value; bound the size of a set by most")
+        without = lambda other: sum(1 << i for i, r in enumerate(listed) if r not in other)  # noqa: E731, B023
+        sets = spark.range(1, 1 << len(listed))
+        for other in done:
+            sets = sets.where(F.col("id").bitwiseAND(F.lit(without(other))) != 0)
+        values = [F.when(F.col("id").bitwiseAND(F.lit(without(of[v]))) == 0, F.lit(v)) for v in sorted(of)]
+        members = F.expr(f"filter(array({', '.join(map(str, listed))}), (x, i) -> (shiftright(id, i) & 1L) = 1L)")
+        every = every.union(sets.select(members.cast("array<int>").alias("egresses"), F.array_compact(F.array(*values)).cast("array<int>").alias("local_prefs")))
+        done.append(routers)
     return every
 
 

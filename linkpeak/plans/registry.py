@@ -118,10 +118,16 @@ def undirected_links(t: Tables) -> DataFrame:
 
 
 def lp_compatible_subsets(t: Tables) -> DataFrame:
+    """Over the routers that the SQL twin names, those below 12."""
     few = t.local_prefs.where("egress < 12")
     return rules.compatible_subsets(few).select(_listed("egresses").alias("egresses"))
 
 
+def lp_compatible_subsets_all(t: Tables) -> DataFrame:
+    """The same over all border routers; up to 2^25 sets, so without SQL."""
+    return rules.compatible_subsets(t.local_prefs).select(_listed("egresses").alias("egresses"))
+
+
 def _te(t: Tables) -> DataFrame:
     """Explicit paths: for prefixes of size 7 from router 0 by way of its ring neighbours to each current egress."""
     some = t.read("part").where("p_size % 10 = 7").select(F.col("p_partkey").alias("prefix"))
@@ -312,6 +318,7 @@ def topk_per_link(t: Tables) -> DataFrame:
 _NAMES = (
     current_link_load, unit_flow_costs, unit_flow, ecmp_dag, merged_dag, chosen_egress, worst_egress_inf, worst_ingress_inf, worst_both_inf, worst_mixed_inf,
     worst_k1, worst_k10, worst_egress_witness, failures_l1_fixed, failures_l1_witness, failures_l1_k1, link_combinations, undirected_links, lp_compatible_subsets,
+    lp_compatible_subsets_all,
     te_path_override, path_to_edges, rule_precedence, prefix_classes, heaviest_truncation, tm_stats_source, tm_stats_prefix, tm_topk_share, top_k_prefixes,
     normalized_demand, single_cluster_center_direct, single_cluster_center_norm, single_cluster_center_scaled, heaviest_k_error, effective_demand, kmeans_one_step,
     kmeans, approx_matrix_error, clustering_scores, equivalent_top_k, report_difference, link_overload, lognormal_sigma, gravity_expected, attraction_renorm,

@@ -166,3 +166,22 @@ def test_heaviest_only_and_overload(spark, net):
 def test_weights_below_one_are_refused(spark, net):
     with pytest.raises(ValueError, match="weights"):
         flow.unit_flow(net[0].withColumn("weight", F.lit(0).cast("long")), net[1], flow.base_scenario(spark))
+
+
+def compatible(prefs):
+    """Every set of the routers in prefs (router: values) that shares a value, and the empty one, by trying all."""
+    routers = sorted(prefs)
+    sets = itertools.chain.from_iterable(itertools.combinations(routers, n) for n in range(1, len(routers) + 1))
+    return [()] + [s for s in sets if set.intersection(*(set(prefs[r]) for r in s))]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_compatible_subsets_by_trying_all(spark, seed):
+    draw = random.Random(seed)
+    prefs = {r: draw.sample([100, 150, 200, 250], draw.randint(1, 3)) for r in draw.sample(range(40), 9)}
+    df = spark.createDataFrame([(r, v) for r, values in prefs.items() for v in values], "egress int, local_pref int")
+    rows = rules.compatible_subsets(df).collect()
+    assert sorted(tuple(r["egresses"]) for r in rows) == sorted(compatible(prefs))
+    assert all(set(r["local_prefs"]) == set.intersection(*(set(prefs[e]) for e in r["egresses"])) for r in rows if r["egresses"])
+    few = rules.compatible_subsets(df, 2).collect()
+    assert sorted(tuple(r["egresses"]) for r in few) == sorted(s for s in compatible(prefs) if len(s) <= 2)

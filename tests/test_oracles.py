@@ -25,3 +25,14 @@ def test_kmeans_covers_every_prefix(spark):
     rows = registry.queries()["kmeans"](spark, f"{DATA}/{SF}").collect()
     assert len({r["prefix"] for r in rows}) == len(rows) == 200
     assert {r["cluster"] for r in rows} <= set(range(8))
+
+
+def test_compatible_subsets_of_all_border_routers(spark):
+    from tests.test_loads import compatible
+
+    prefs = {}
+    for r in spark.read.parquet(f"{DATA}/{SF}/supplier.parquet").collect():
+        prefs.setdefault(r["s_nationkey"], set()).add(100 + 50 * (r["s_suppkey"] % 3))
+    rows = registry.queries()["lp_compatible_subsets_all"](spark, f"{DATA}/{SF}").collect()
+    assert max(prefs) >= 12
+    assert sorted(r["egresses"] for r in rows) == sorted(",".join(map(str, s)) for s in compatible(prefs))
