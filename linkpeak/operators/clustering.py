@@ -89,6 +89,7 @@ def kmeans(vec: DataFrame, k: int, mode: str = "scaled", max_iter: int = 150, to
 
     Clusters without members move to zero. The points, k by sources, are written between the steps.
     """
+    vec = checkpointed(vec)
     points = checkpointed(first_points(vec, k, mode, seed))
     limit = tolerance * (vec.select("prefix", "scale").distinct().agg(F.sum("scale")).first()[0] or 0.0) if mode == "direct" else tolerance
     for _ in range(max_iter):
@@ -102,13 +103,14 @@ def kmeans(vec: DataFrame, k: int, mode: str = "scaled", max_iter: int = 150, to
     return assign(vec, points, mode)
 
 
-def score_grid(vec: DataFrame, heavy: tuple[int, ...] = (10, 50, 100, 500, 1000)) -> DataFrame:
-    """(method, k, mode, error): positive error over all demand, for each method and mode."""
+def score_grid(vec: DataFrame, heavy: tuple[int, ...] = (10, 50, 100, 500, 1000), means: tuple[int, ...] = (10, 50, 100)) -> DataFrame:
+    """(method, k, mode, error): positive error over all demand, for each method and mode; k-means runs until it converges."""
+    vec = checkpointed(vec)
     total = vec.select("prefix", "scale").distinct().agg(F.sum("scale").alias("total"))
-    parts = [("single", 1, single(vec)), *(("heaviest", k, heaviest(vec, k)) for k in heavy)]
+    parts = [("single", 1, lambda _: single(vec)), *(("heaviest", k, lambda _, k=k: heaviest(vec, k)) for k in heavy), *(("kmeans", k, lambda mode, k=k: kmeans(vec, k, mode)) for k in means)]
     out = None
     for name, k, assignment in parts:
         for mode in MODES:
-            row = errors(vec, assignment, mode).agg(F.sum("error_pos").alias("e")).crossJoin(total).select(F.lit(name).alias("method"), F.lit(k).alias("k"), F.lit(mode).alias("mode"), (F.col("e") / F.col("total")).alias("error"))
+            row = errors(vec, assignment(mode), mode).agg(F.sum("error_pos").alias("e")).crossJoin(total).select(F.lit(name).alias("method"), F.lit(k).alias("k"), F.lit(mode).alias("mode"), (F.col("e") / F.col("total")).alias("error"))
             out = row if out is None else out.union(row)
     return out

@@ -222,7 +222,7 @@ def kmeans_one_step(t: Tables) -> DataFrame:
 
 def kmeans(t: Tables) -> DataFrame:
     v = clustering.vectors(t.demand)
-    return clustering.kmeans(v, 8, "scaled", max_iter=6)
+    return clustering.kmeans(v, 8, "scaled")
 
 
 def approx_matrix_error(t: Tables) -> DataFrame:
@@ -233,7 +233,17 @@ def approx_matrix_error(t: Tables) -> DataFrame:
 
 
 def clustering_scores(t: Tables) -> DataFrame:
-    return clustering.score_grid(clustering.vectors(t.demand), (10, 50)).select("method", "k", "mode", F.round("error", 6).alias("error"))
+    """The part of the grid that the SQL twin has."""
+    return _scores(t, (10, 50), ())
+
+
+def clustering_scores_all(t: Tables) -> DataFrame:
+    """The whole grid; no SQL iterates k-means."""
+    return _scores(t)
+
+
+def _scores(t: Tables, *sizes: tuple[int, ...]) -> DataFrame:
+    return clustering.score_grid(clustering.vectors(t.demand), *sizes).select("method", "k", "mode", F.round("error", 6).alias("error"))
 
 
 def equivalent_top_k(t: Tables) -> DataFrame:
@@ -321,7 +331,7 @@ _NAMES = (
     lp_compatible_subsets_all,
     te_path_override, path_to_edges, rule_precedence, prefix_classes, heaviest_truncation, tm_stats_source, tm_stats_prefix, tm_topk_share, top_k_prefixes,
     normalized_demand, single_cluster_center_direct, single_cluster_center_norm, single_cluster_center_scaled, heaviest_k_error, effective_demand, kmeans_one_step,
-    kmeans, approx_matrix_error, clustering_scores, equivalent_top_k, report_difference, link_overload, lognormal_sigma, gravity_expected, attraction_renorm,
+    kmeans, approx_matrix_error, clustering_scores, clustering_scores_all, equivalent_top_k, report_difference, link_overload, lognormal_sigma, gravity_expected, attraction_renorm,
     variability_check, variability_added, runtime_quantiles, accuracy_quantiles, aspect_factors, kl_ecdf, link_report_text, topk_per_link,
 )
 

@@ -36,3 +36,14 @@ def test_compatible_subsets_of_all_border_routers(spark):
     rows = registry.queries()["lp_compatible_subsets_all"](spark, f"{DATA}/{SF}").collect()
     assert max(prefs) >= 12
     assert sorted(r["egresses"] for r in rows) == sorted(",".join(map(str, s)) for s in compatible(prefs))
+
+
+def test_kmeans_has_converged(spark):
+    from linkpeak.operators import clustering
+    from linkpeak.sources.tables import Tables
+
+    v = clustering.vectors(Tables(spark, f"{DATA}/{SF}").demand)
+    now = registry.queries()["kmeans"](spark, f"{DATA}/{SF}").localCheckpoint()
+    # A further step changes no cluster; clusters without members keep no point that could take any.
+    after = clustering.assign(v, clustering.centres(v, now, "scaled"), "scaled")
+    assert sorted(map(tuple, now.collect())) == sorted(map(tuple, after.collect()))

@@ -121,3 +121,43 @@ def test_newest_csv_and_texts(spark, tmp_path):
     assert math.isinf(row["b"])
     text = spark.range(1).select(reports.bound_text(F.lit(0.01), F.lit(0.01)).alias("x"), reports.bound_text(F.lit(0.02), F.lit(0.01)).alias("y")).first()
     assert (text["x"], text["y"]) == ("± 1.000%", "+2.000% -1.000%")
+
+
+def kmeans_by_hand(rows, k, mode):
+    """The cluster of each row: L1 distances, ties to the lowest, means until they hardly move; the same start."""
+    scale = [sum(r) for r in rows]
+    x = [list(r) if mode == "direct" else [a / s for a in r] for r, s in zip(rows, scale, strict=True)]
+    weight = scale if mode == "scaled" else [1.0] * len(rows)
+    points = [x[i] for i in sorted(range(len(rows)), key=lambda i: (-scale[i], i))[:k]]
+    near = lambda v, w: min((round(sum(abs(a - b) * w for a, b in zip(v, p, strict=True)), 9), c) for c, p in enumerate(points))[1]
+    for _ in range(150):
+        parts = [near(v, w) for v, w in zip(x, weight, strict=True)]
+        moved = []
+        for c in range(len(points)):
+            own = [i for i, p in enumerate(parts) if p == c]
+            total = sum(weight[i] for i in own)
+            moved.append([sum(x[i][s] * weight[i] for i in own) / total if own else 0.0 for s in range(len(rows[0]))])
+        change = sum(abs(a - b) for p, q in zip(points, moved, strict=True) for a, b in zip(p, q, strict=True))
+        points = moved
+        if change < 1e-5 * (sum(scale) if mode == "direct" else 1.0):
+            break
+    return [near(v, w) for v, w in zip(x, weight, strict=True)]
+
+
+def test_score_grid_has_every_method(spark):
+    rows = [tuple(float(1 + (p * p * 7 + s * 5 + p * s) % 23) for s in range(3)) for p in range(14)]
+    v = clustering.vectors(matrix(spark, rows))
+    whole = {(r["method"], r["k"], r["mode"]) for r in clustering.score_grid(v, means=()).collect()}
+    assert whole == {(m, k, mode) for m, k in [("single", 1), *(("heaviest", k) for k in (10, 50, 100, 500, 1000))] for mode in clustering.MODES}
+    found = {(r["method"], r["k"], r["mode"]): r["error"] for r in clustering.score_grid(v, (), (3,)).collect()}
+    assert set(found) == {(m, k, mode) for m, k in (("single", 1), ("kmeans", 3)) for mode in clustering.MODES}
+    total = sum(map(sum, rows))
+    for mode in clustering.MODES:
+        parts, error = kmeans_by_hand(rows, 3, mode), 0.0
+        for c in set(parts):
+            own = [r for r, p in zip(rows, parts, strict=True) if p == c]
+            for s in range(3):
+                share = [r[s] / sum(r) for r in own]
+                middle = {"direct": sum(r[s] for r in own) / len(own), "normalized": sum(share) / len(own), "scaled": sum(r[s] for r in own) / sum(map(sum, own))}[mode]
+                error += sum(max(r[s] - middle, 0.0) if mode == "direct" else max(x - middle, 0.0) * sum(r) for r, x in zip(own, share, strict=True))
+        assert found["kmeans", 3, mode] == pytest.approx(error / total)
