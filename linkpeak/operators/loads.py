@@ -79,18 +79,23 @@ def worst(flow: DataFrame, demand: DataFrame, states: DataFrame, kinds: DataFram
     return worst_egress(flow, of("egress"), allowed).union(worst_ingress(flow, of("ingress"), states)).union(worst_both(flow, of("both")))
 
 
-def changed_load(flow: DataFrame, demand: DataFrame, states: DataFrame, kinds: DataFrame, k: int | None, at_most: bool = False, allowed: DataFrame | None = None) -> DataFrame:
+def changed_load(flow: DataFrame, demand: DataFrame, states: DataFrame, kinds: DataFrame, k: int | None, at_most: bool = False, allowed: DataFrame | None = None, te_paths: DataFrame | None = None, sets: DataFrame | None = None) -> DataFrame:
     """(scenario_id, edge_id, load) with k prefixes changed for the worst; None: as many as there are.
 
-    Exactly k changes are made unless at_most, where changes that would lower the load are left out.
+    Exactly k changes are made unless at_most, where changes that would lower the load are left out. With
+    te_paths explicit paths count before and after a change; sets (prefix, egresses), from
+    rules.candidate_sets_by_prefix(), are what their prefixes may change to.
     """
-    most = worst(flow, demand, states, kinds, allowed)
+    if te_paths is None:
+        most, now = worst(flow, demand, states, kinds, allowed), lambda: prefix_load(flow, demand, states)
+    else:
+        most, now = worst_with_paths(flow, demand, states, kinds, te_paths, sets, allowed), lambda: with_paths(flow, demand, states, te_paths).withColumnRenamed("load", "current").drop("egresses")
     if k is None:
         return most.groupBy("scenario_id", "edge_id").agg(F.sum("worst").alias("load"))
-    current = fixed_load(flow, demand, states)
+    current = fixed_load(flow, demand, states) if te_paths is None else now().groupBy("scenario_id", "edge_id").agg(F.sum("current").alias("load"))
     if k == 0:
         return current
-    cells = most.select("scenario_id", "prefix", "edge_id", "worst").join(prefix_load(flow, demand, states), ["scenario_id", "prefix", "edge_id"], "full")
+    cells = most.select("scenario_id", "prefix", "edge_id", "worst").join(now(), ["scenario_id", "prefix", "edge_id"], "full")
     diff = F.round(F.coalesce("worst", F.lit(0.0)) - F.coalesce("current", F.lit(0.0)), 9)
     cells = cells.select("scenario_id", "edge_id", "prefix", (F.greatest(diff, F.lit(0.0)) if at_most else diff).alias("diff"))
     extra = top_per_group(cells, ["scenario_id", "edge_id"], [F.desc("diff"), F.col("prefix")], k).groupBy("scenario_id", "edge_id").agg(F.sum("diff").alias("extra"))
@@ -126,12 +131,51 @@ def with_paths(flow: DataFrame, demand: DataFrame, states: DataFrame, te_paths:
 
 
 def worst_egress_with_paths(flow: DataFrame, demand: DataFrame, sets: DataFrame, te_paths: DataFrame) -> DataFrame:
-    """(scenario_id, prefix, edge_id, worst, egresses) over candidate sets of egresses (from rules.candidate_sets())."""
-    states = demand.select("prefix").distinct().join(sets.withColumn("_on", F.lit(1)), F.col("_on") == F.lit(1)).select("prefix", "egresses")
+    """(scenario_id, prefix, edge_id, worst, egresses) over candidate sets of egresses (from rules.candidate_sets(),
+    or with a column prefix from rules.candidate_sets_by_prefix())."""
+    prefixes = demand.select("prefix").distinct()
+    if "prefix" in sets.columns:
+        states = prefixes.join(sets, "prefix").select("prefix", "egresses")
+    else:
+        states = prefixes.join(sets.withColumn("_on", F.lit(1)), F.col("_on") == F.lit(1)).select("prefix", "egresses")
     best = with_paths(flow, demand, states, te_paths).groupBy("scenario_id", "prefix", "edge_id").agg(F.max_by(F.struct("load", "egresses"), F.struct(F.round("load", 9), -F.size("egresses"))).alias("b"))
     return best.select("scenario_id", "prefix", "edge_id", F.col("b.load").alias("worst"), F.col("b.egresses").alias("egresses"))
 
 
+def _unit_shares(flow: DataFrame, routes: DataFrame, te_paths: DataFrame) -> DataFrame:
+    """(scenario_id, prefix, src, root, edge_id, frac): routes (scenario_id, prefix, src, root) by explicit paths where there are any."""
+    keys = ["prefix", "src", "root"]
+    many = te_paths.groupBy("prefix", F.col("ingress").alias("src"), F.col("egress").alias("root")).agg(F.count("*").alias("paths"), F.flatten(F.collect_list("edges")).alias("all_edges"))
+    hops = many.select(*keys, "paths", F.explode("all_edges").alias("edge_id")).groupBy(*keys, "edge_id").agg((F.count("*") / F.first("paths")).alias("frac"))
+    rest = routes.join(many, keys, "left_anti").join(crossings(flow), ["scenario_id", "root", "src"])
+    columns = ["scenario_id", *keys, "edge_id", "frac"]
+    return routes.join(hops, keys).select(*columns).union(rest.select(*columns))
+
+
+def worst_with_paths(flow: DataFrame, demand: DataFrame, states: DataFrame, kinds: DataFrame, te_paths: DataFrame, sets: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
+    """(scenario_id, prefix, edge_id, worst): worst() where prefixes with explicit paths use them.
+
+    These change to any of sets (prefix, egresses); where their ingress may change too, any source may have all
+    traffic, and with it any single egress.
+    """
+    own = te_paths.select("prefix").distinct()
+    tied = demand.join(own, "prefix", "left_semi").join(kinds, "prefix")
+    of = lambda kind: tied.where(F.col("kind") == kind).select("src", "prefix", "demand")
+    totals = lambda kind: of(kind).groupBy("prefix").agg(F.sum("demand").alias("total"))
+    costs = node_costs(flow)
+    columns = ["scenario_id", "prefix", "edge_id", "worst"]
+
+    def largest(routes: DataFrame, kind: str) -> DataFrame:
+        shares = _unit_shares(flow, routes, te_paths).groupBy("scenario_id", "prefix", "edge_id").agg(F.max("frac").alias("frac"))
+        return shares.join(totals(kind), "prefix").select("scenario_id", "prefix", "edge_id", (F.col("total") * F.col("frac")).alias("worst"))
+
+    as_now = totals("ingress").join(states, "prefix").join(chosen_egress(costs, states), "egresses").select("scenario_id", "prefix", "src", "root")
+    any_way = totals("both").join(costs.select("scenario_id", "src", "root").withColumn("_on", F.lit(1)), F.col("_on") == F.lit(1)).select("scenario_id", "prefix", "src", "root")
+    plain = worst(flow, demand.join(own, "prefix", "left_anti"), states, kinds, allowed).select(*columns)
+    by_egress = worst_egress_with_paths(flow, of("egress"), sets, te_paths).select(*columns)
+    return plain.union(by_egress).union(largest(as_now, "ingress")).union(largest(any_way, "both"))
+
+
 def heaviest_only(demand: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
     """Demand of the n heaviest prefixes, and (dropped): the demand left out, which widens the positive bound."""
     sums = demand.groupBy("prefix").agg(F.sum("demand").alias("total"))

@@ -83,6 +83,27 @@ def candidate_sets(local_prefs: DataFrame, te_egresses: DataFrame, most: int | N
     return sets.where(F.size("egresses") > 0).select("egresses").union(grown).distinct()
 
 
+def candidate_sets_by_prefix(local_prefs: DataFrame, te_paths: DataFrame) -> DataFrame:
+    """(prefix, egresses): candidate_sets() for each prefix of te_paths, by the egresses of its own paths.
+
+    Their number is exponential in the egresses that one prefix has paths to.
+    """
+    each = local_prefs.groupBy("egress").agg(F.collect_set("local_pref").alias("prefs"))
+    can = te_paths.select("prefix", "egress").distinct().join(each, "egress")
+    lists = te_paths.select("prefix").distinct().join(can.groupBy("prefix").agg(F.array_sort(F.collect_list("egress")).alias("tes"), F.map_from_entries(F.collect_list(F.struct("egress", "prefs"))).alias("prefs_of")), "prefix", "left")
+    lists = lists.select("prefix", F.coalesce("tes", F.array().cast("array<int>")).alias("tes"), "prefs_of")
+    kinds = lists.groupBy("tes").agg(F.first("prefs_of").alias("prefs_of"))
+    bits = kinds.select("*", F.explode(F.expr("sequence(0L, shiftleft(1L, size(tes)) - 1L)")).alias("id"))
+    subset = bits.select("tes", "prefs_of", F.expr("filter(tes, (x, i) -> (shiftright(id, i) & 1L) = 1L)").alias("own"))
+    shared = F.expr("aggregate(slice(own, 2, size(own)), prefs_of[own[0]], (a, x) -> array_intersect(a, prefs_of[x]))")
+    subset = subset.select("tes", "own", F.when(F.size("own") > 0, shared).alias("shared")).where("shared IS NULL OR size(shared) > 0")
+    other = each.withColumn("_on", F.lit(1))
+    more = subset.join(other, (F.col("_on") == F.lit(1)) & ~F.array_contains("tes", F.col("egress")) & (F.col("shared").isNull() | F.arrays_overlap("shared", "prefs")))
+    grown = more.select("tes", F.array_sort(F.array_append("own", F.col("egress").cast("int"))).alias("egresses"))
+    sets = subset.where(F.size("own") > 0).select("tes", F.col("own").alias("egresses")).union(grown)
+    return lists.select("prefix", "tes").join(sets, "tes").select("prefix", "egresses")
+
+
 def largest_share_budget(sizes: list[tuple[object, int, float]], budget: int) -> dict[object, int]:
     """How many of ``budget`` clusters each group (key, members, traffic) gets: in proportion to traffic, by largest
     remainders, at least one and at most its members. The groups are few, so this is plain arithmetic."""

@@ -25,6 +25,7 @@ class Analysis:
     default_egresses: tuple[int, ...] | None = None
     named: tuple[tuple[DataFrame, str], ...] = field(default=())
     te_paths: DataFrame | None = None
+    local_prefs: DataFrame | None = None
     heaviest: int | None = None
     directed: bool = False
     assignment: DataFrame | None = None
@@ -40,6 +41,11 @@ class Analysis:
     def add_te_paths(self, paths: DataFrame) -> Analysis:
         return replace(self, te_paths=paths if self.te_paths is None else self.te_paths.unionByName(paths))
 
+    def set_local_prefs(self, local_prefs: DataFrame) -> Analysis:
+        """(egress, local_pref): the values that announcements at a border router may carry. Egresses without any
+        cannot be changed to. By default all share one value."""
+        return replace(self, local_prefs=local_prefs)
+
     def only_heaviest_prefixes(self, n: int) -> Analysis:
         return replace(self, heaviest=n)
 
@@ -105,12 +111,20 @@ class Analysis:
         allowed = None
         if self.default_egresses is not None:
             allowed = demand.select("prefix").distinct().withColumn("root", F.explode(F.array(*[F.lit(e) for e in self.default_egresses])))
+        if self.te_paths is not None and self.assignment is not None:
+            raise ValueError("explicit paths name prefixes, which clusters replace")
+        if self.local_prefs is not None:
+            some = self.local_prefs.select(F.col("egress").alias("root")).distinct()
+            allowed = (demand.select("prefix").distinct().crossJoin(some) if allowed is None else allowed.join(some, "root", "left_semi")).select("prefix", "root")
         if k and l and allowed is None and not at_most and self.te_paths is None:
             found = blocks.changed_load(self.links, self.roots(), scenarios, demand, states, kinds, k)
         else:
             unit = flow.unit_flow(self.links, self.roots(), scenarios)
-            if self.te_paths is not None and k == 0:
-                found = loads.with_paths(unit, demand, states, self.te_paths).groupBy("scenario_id", "edge_id").agg(F.sum("load").alias("load"))
-            else:
-                found = loads.changed_load(unit, demand, states, kinds, k, at_most, allowed)
+            sets = None
+            if self.te_paths is not None:
+                prefs = self.local_prefs if self.local_prefs is not None else self.roots().select(F.col("root").alias("egress"), F.lit(100).alias("local_pref"))
+                if self.default_egresses is not None:
+                    prefs = prefs.where(F.col("egress").isin(*self.default_egresses))
+                sets = rules.candidate_sets_by_prefix(prefs, self.te_paths)
+            found = loads.changed_load(unit, demand, states, kinds, k, at_most, allowed, self.te_paths, sets)
         return loads.over_scenarios(found, self.links, scenarios)

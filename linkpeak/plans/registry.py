@@ -143,6 +143,12 @@ def te_path_override(t: Tables) -> DataFrame:
     return _report(t, out)
 
 
+def te_worst_k1(t: Tables) -> DataFrame:
+    """The worst loads under one route change where explicit paths override shortest ones."""
+    te = _te(t)
+    return _report(t, loads.changed_load(_flow(t)[0], t.demand, t.states, t.rules, 1, te_paths=te, sets=rules.candidate_sets_by_prefix(t.local_prefs, te)))
+
+
 def path_to_edges(t: Tables) -> DataFrame:
     """Paths over each order's parts' suppliers' routers; many of them have missing links."""
     items = t.read("lineitem").join(t.ext_links, F.col("l_suppkey") == F.col("ext"))
@@ -329,7 +335,7 @@ _NAMES = (
     current_link_load, unit_flow_costs, unit_flow, ecmp_dag, merged_dag, chosen_egress, worst_egress_inf, worst_ingress_inf, worst_both_inf, worst_mixed_inf,
     worst_k1, worst_k10, worst_egress_witness, failures_l1_fixed, failures_l1_witness, failures_l1_k1, link_combinations, undirected_links, lp_compatible_subsets,
     lp_compatible_subsets_all,
-    te_path_override, path_to_edges, rule_precedence, prefix_classes, heaviest_truncation, tm_stats_source, tm_stats_prefix, tm_topk_share, top_k_prefixes,
+    te_path_override, te_worst_k1, path_to_edges, rule_precedence, prefix_classes, heaviest_truncation, tm_stats_source, tm_stats_prefix, tm_topk_share, top_k_prefixes,
     normalized_demand, single_cluster_center_direct, single_cluster_center_norm, single_cluster_center_scaled, heaviest_k_error, effective_demand, kmeans_one_step,
     kmeans, approx_matrix_error, clustering_scores, clustering_scores_all, equivalent_top_k, report_difference, link_overload, lognormal_sigma, gravity_expected, attraction_renorm,
     variability_check, variability_added, runtime_quantiles, accuracy_quantiles, aspect_factors, kl_ecdf, link_report_text, topk_per_link,

@@ -1,5 +1,7 @@
 """The analysis as users build it, trees and drawn paths, budgets and search."""
 
+import itertools
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -110,3 +112,51 @@ def test_sweeps_and_search(spark):
     assert good
     assert at == pytest.approx((0.9, 0.3), abs=0.06)
     assert sweeps.search(lambda p: (0.0,), (0.5,), (1.0,), most=3)[1] is False
+
+
+@pytest.mark.parametrize("kind", ["egress", "ingress", "both"])
+def test_explicit_paths_count_in_current_and_worst_loads(spark, base, kind):
+    """Against every set of compatible egresses (and every ingress), the load of each by with_paths()."""
+    ids = {(r["src"], r["dst"]): r["edge_id"] for r in base.links.collect()}
+    routes = [(0, 0, 5, [(0, 1), (1, 3), (3, 2), (2, 4), (4, 5)]), (0, 0, 5, [(0, 1), (1, 2), (2, 3), (3, 4), (4, 5)]), (0, 3, 1, [(3, 2), (2, 1)]), (1, 5, 0, [(5, 4), (4, 2), (2, 3), (3, 1), (1, 0)])]
+    te = spark.createDataFrame([(p, a, b, i, [ids[e] for e in path]) for i, (p, a, b, path) in enumerate(routes)], "prefix long, ingress int, egress int, path_no int, edges array<int>")
+    prefs = {0: {1}, 1: {1, 2}, 2: {2}, 3: {1}, 4: {2, 3}, 5: {1, 3}}
+    values = spark.createDataFrame([(e, v) for e, vs in prefs.items() for v in vs], "egress int, local_pref int")
+    some = base.demand.where("prefix < 3")
+    demand = {(r["src"], r["prefix"]): r["demand"] for r in some.collect()}
+    net = Analysis(base.links, base.ext_links, some, base.route_state.where("prefix < 3")).set_default_uncertainty(kind).add_te_paths(te).set_local_prefs(values)
+    unit = flow.unit_flow(base.links, base.roots(), flow.base_scenario(spark))
+    cost = {(r["src"], r["root"]): r["cost"] for r in unit.select("src", "root", "cost").distinct().collect()}
+    share = {}
+    for r in unit.where("edge_id IS NOT NULL").collect():
+        share.setdefault((r["src"], r["root"]), {})[r["edge_id"]] = r["frac"]
+
+    def one(prefix, src, root):
+        own = [path for p, a, b, path in routes if (p, a, b) == (prefix, src, root)]
+        if not own:
+            return share.get((src, root), {})
+        return {ids[e]: sum(path.count(e) for path in own) / len(own) for path in own for e in path}
+
+    def load(prefix, sets, amounts):
+        out = {}
+        for src, x in amounts.items():
+            root = min((cost[src, r], r) for r in sets)[1]
+            for e, f in one(prefix, src, root).items():
+                out[e] = out.get(e, 0.0) + x * f
+        return out
+
+    every = [s for n in range(1, 7) for s in itertools.combinations(range(6), n) if set.intersection(*(prefs[r] for r in s))]
+    now, worst = {}, {}
+    for p in range(3):
+        amounts = {s: x for (s, q), x in demand.items() if q == p}
+        now[p] = load(p, [p], amounts)
+        at_one = [{s: sum(amounts.values())} for s in range(6)]
+        ways = {"egress": [load(p, s, amounts) for s in every], "ingress": [load(p, [p], a) for a in at_one], "both": [load(p, [r], a) for a in at_one for r in range(6)]}[kind]
+        worst[p] = {e: max(w.get(e, 0.0) for w in ways) for e in ids.values()}
+    for k in (0, 1, None):
+        found = loads_of(net.analyze(k, 0))
+        for ends, e in ids.items():
+            current = sum(now[p].get(e, 0.0) for p in range(3))
+            gain = max(worst[p][e] - now[p].get(e, 0.0) for p in range(3))
+            expected = {0: current, 1: max(current + gain, 0.0), None: sum(w[e] for w in worst.values())}[k]
+            assert found[ends] == pytest.approx(expected, abs=1e-6), (k, ends)
