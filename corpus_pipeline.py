@@ -11,7 +11,6 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from linkpeak.llm import decontamination, jaccard, mixing, quality, sharding
 from linkpeak.llm.common import shared_dir, table
@@ -25,10 +24,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group whose 5-word shingles reach a similarity of 0.8: that of the smallest id."""
-    groups = jaccard.similar_groups(docs, n=5, percent=80)
-    kept = groups.where(F.col("key") == F.col("component")).select(F.col("key").alias("doc_id")).distinct()
-    # Rows without an id are in no group and stay.
-    return docs.join(kept, "doc_id", "left_semi").union(docs.where("doc_id IS NULL")).select(*docs.columns)
+    return jaccard.one_of_each(docs, n=5, percent=80)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -178,7 +178,7 @@ def _scanned(n: int, percent: int, population: int):
                 both = np.array([_print_of(s) for s in sets], dtype=np.int64).reshape(-1, 2)
                 sketch = np.stack([_sketch(s) for s in sets])
                 sigs = [signatures(s, percent, population).view(np.int64) for s in sets]
-                yield pd.DataFrame({"key": piece["key"].to_numpy(), "size": np.array([len(s) for s in sets], dtype=np.int64), "node": both[:, 0], "check": both[:, 1]} | {f"s{i}": sketch[:, i] for i in range(SKETCH)} | {"sigs": sigs})
+                yield pd.DataFrame({"key": piece["key"].to_numpy(), "size": np.array([len(s) for s in sets], dtype=np.int64), "node": both[:, 0], "check": both[:, 1], "text_hash": piece["text_hash"].to_numpy()} | {f"s{i}": sketch[:, i] for i in range(SKETCH)} | {"sigs": sigs})
 
     return run
 
@@ -186,7 +186,9 @@ def _scanned(n: int, percent: int, population: int):
 def _tokens(n: int):
     def run(part: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in part:
-            yield pd.DataFrame({"node": batch["node"], "tokens": [shingle_set(t, n).tobytes() for t in batch["text"]]})
+            sets = [shingle_set(t, n) for t in batch["text"]]
+            same = np.array([_print_of(s)[0] for s in sets], dtype=np.int64) == batch["node"].to_numpy()
+            yield pd.DataFrame({"node": batch["node"], "tokens": [s.tobytes() for s in sets]})[same]
 
     return run
 
@@ -206,12 +208,12 @@ def _linked(percent: int):
 
 class _Join:
     def __init__(self, docs: DataFrame, n: int, percent: int, text: str, key: str):
-        self.docs, self.n, self.percent = docs.select(F.col(key).alias("key"), F.col(text).alias("text")), n, percent
-        shape = "key long, size long, node long, check long, " + ", ".join(f"s{i} long" for i in range(SKETCH)) + ", sigs array<long>"
+        self.docs, self.n, self.percent = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("text_hash")), n, percent
+        shape = "key long, size long, node long, check long, text_hash long, " + ", ".join(f"s{i} long" for i in range(SKETCH)) + ", sigs array<long>"
         population = max(1, self.docs.count() // 20)
-        self.rows = rows = materialize(self.docs.select(F.col("key").cast("long").alias("key"), "text").mapInPandas(_scanned(n, percent, population), shape))
+        self.rows = rows = materialize(self.docs.mapInPandas(_scanned(n, percent, population), shape))
         sketch = [F.first(f"s{i}").alias(f"s{i}") for i in range(SKETCH)]
-        grouped = rows.where("size > 0").groupBy("node").agg(F.min("key").alias("rep"), F.first("size").alias("size"), F.min("check").alias("_low"), F.max("check").alias("_high"), *sketch)
+        grouped = rows.where("size > 0").groupBy("node").agg(F.min("key").alias("rep"), F.coalesce(F.min_by("text_hash", "key"), F.min("text_hash")).alias("rep_hash"), F.first("size").alias("size"), F.min("check").alias("_low"), F.max("check").alias("_high"), *sketch)
         self.classes = materialize(grouped)
         if self.classes.where("_low <> _high").limit(1).count():
             raise ValueError("two different sets share a 64-bit fingerprint; change the hash seed")
@@ -234,9 +236,15 @@ class _Join:
             x, y = self.classes.alias("x"), self.classes.alias("y")
             pairs = pairs.join(x, F.col("a") == F.col("x.node")).join(y, F.col("b") == F.col("y.node")).where(self.bound("x", "y")).select("a", "b")
         pairs = materialize(pairs)
-        nodes = materialize(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(self.classes.select("node", "rep"), "node"))
-        # Only one text of each class is needed; where texts of one key differ, any other set is left out.
-        texts = self.docs.join(nodes, F.col("key") == F.col("rep")).select("node", "text")
+        nodes = materialize(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(self.classes.select("node", "rep", "rep_hash"), "node"))
+        # Only one text of each class is needed: that of its representative's key and hash. Where no row has a key,
+        # copies meet as well, so that they are made one first. Sets of another fingerprint are left out.
+        keyed = self.docs.where("key IS NOT NULL").join(nodes, (F.col("key") == F.col("rep")) & (F.col("text_hash") == F.col("rep_hash"))).select("node", "text")
+        bare = nodes.where("rep IS NULL")
+        if bare.limit(1).count():
+            copies = self.docs.where("key IS NULL").join(bare, F.col("text_hash") == F.col("rep_hash")).groupBy("node").agg(F.min("text").alias("text"))
+            keyed = keyed.union(copies)
+        texts = keyed
         tokens = texts.mapInPandas(_tokens(self.n), "node long, tokens binary").groupBy("node").agg(F.first("tokens").alias("tokens"))
         tokens = materialize(tokens)
         left, right = tokens.withColumnsRenamed({"node": "a", "tokens": "left"}), tokens.withColumnsRenamed({"node": "b", "tokens": "right"})
@@ -262,11 +270,15 @@ class _Join:
         rest = self._mixed(members, labels)
         return components(materialize(edges.union(self.verified(self._pairs(rest, rest, F.col("x.label") < F.col("y.label")), bounded=True))))
 
+    def labelled(self) -> DataFrame:
+        """(node, rep, label) of every class."""
+        return self.classes.select("node", "rep").join(self.links(), "node", "left").select("node", "rep", F.coalesce("label", "node").alias("label"))
+
     def _mixed(self, members: DataFrame, labels: DataFrame) -> DataFrame:
         """(sig, node, label, size, sketch) of the buckets that hold more than one component."""
         named = members.join(labels, "node", "left").select("sig", "node", F.coalesce("label", "node").alias("label"))
         mixed = materialize(named.groupBy("sig").agg(F.min("label").alias("_a"), F.max("label").alias("_b")).where("_a <> _b").select("sig"))
-        return materialize(named.join(mixed, "sig").join(self.classes.drop("rep", "_low", "_high"), "node"))
+        return materialize(named.join(mixed, "sig").join(self.classes.drop("rep", "rep_hash", "_low", "_high"), "node"))
 
     def _pairs(self, left: DataFrame, right: DataFrame, apart: Column) -> DataFrame:
         x, y = left.alias("x"), right.alias("y")
@@ -283,14 +295,33 @@ def similar_groups(docs: DataFrame, n: int = 5, percent: int = 80, text: str = "
     reported as a component while a row of the component has a key. An empty table stays empty.
     """
     join = _Join(docs, n, percent, text, key)
-    labels = join.links()
-    named = join.classes.select("node", "rep").join(labels, "node", "left").select("node", "rep", F.coalesce("label", "node").alias("label"))
+    named = join.labelled()
     smallest = named.groupBy("label").agg(F.min("rep").alias("component"))
     named = materialize(named.join(smallest, "label").select("node", "component"))
     out = join.rows.select("key", "size", "node").join(named, "node", "left")
     return out.select("key", "size", F.when(F.col("size") > 0, F.col("component")).otherwise(F.col("key")).alias("component"))
 
 
+def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """The rows of docs, but one only of each component: that of the smallest key (null comes last), of rows of one
+    key that of the smallest hash of its text, then of the whole row. Null and empty texts stay, each row of them.
+    """
+    join = _Join(docs, n, percent, text, key)
+    rows = join.rows.where("size > 0").join(join.labelled().select("node", "label"), "node")
+    counted = rows.groupBy("label", "key", "text_hash").agg(F.count("*").alias("n"))
+    first = F.min(F.struct(F.col("key").isNull().alias("_bare"), "key", "text_hash", "n")).alias("p")
+    picks = materialize(counted.groupBy("label").agg(first).select("label", F.col("p.key").alias("_key"), F.col("p.text_hash").alias("_hash"), F.col("p.n").alias("_n")))
+    wordless = ~F.coalesce(F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    meets = F.col(key).cast("long").eqNullSafe(F.col("_key")) & (F.xxhash64(text) == F.col("_hash")) & ~wordless
+    out = docs.where(wordless).union(docs.join(picks.where("_n = 1"), meets, "left_semi"))
+    repeated = picks.where("_n > 1")
+    if repeated.limit(1).count():
+        # Of rows of one key and text; what the row hash leaves open are rows that are the same.
+        row = F.min_by(F.struct(*[F.col(c) for c in docs.columns]), F.xxhash64(*[F.col(c) for c in docs.columns])).alias("row")
+        out = out.union(docs.join(repeated, meets).groupBy("label").agg(row).select("row.*"))
+    return out
+
+
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose sets of 3-word shingles have a similarity of 0.9 or more."""
     found = similar_groups(table(spark, sf_dir, "documents").select("doc_id", "text"), n=3, percent=90)

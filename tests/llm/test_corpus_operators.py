@@ -313,3 +313,45 @@ def test_toxicity_learns_the_pair(spark, empty):
 def test_base_digest_of_nothing_is_that_of_the_empty_text(spark):
     row = spark.range(1).select(F.sha2(F.array_join(F.array().cast("array<string>"), ",").cast("binary"), 256)).first()
     assert row[0] == hashlib.sha256(b"").hexdigest()
+
+
+def repeated_and_bare(draw):
+    """Rows (id, text): one id with texts of two groups, null ids whose class alone links others, and copies of both."""
+    base, other, bare = words(draw, 60).split(), words(draw, 60), words(draw, 60)
+    change = lambda parts, at: " ".join(w if i not in at else f"zz{i}" for i, w in enumerate(parts))
+    # a and c differ in six words, the null id's text in three from each: only it links them.
+    a, b, c = change(base, ()), change(base, (10, 11)), change(base, (10, 11, 30, 31))
+    # The texts of id 7: the first in another group, so that its set is a wrong one for the second's class.
+    return [(7, other), (7, a), (None, b), (None, b), (9, c), (8, f"{other} x"), (None, bare), (None, f"{bare} y"), (None, ""), (None, None), (7, a), (7, other)]
+
+
+def parts_of(texts, n, percent):
+    found = groups_of([(i, t, None) for i, t in enumerate(texts)], n, percent)
+    return [found[i][1] for i in range(len(texts))]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_jaccard_with_repeated_and_null_ids(spark, seed):
+    rows = repeated_and_bare(random.Random(seed))
+    random.Random(seed).shuffle(rows)
+    parts = parts_of([t for _, t in rows], 5, 80)
+    assert len({p for p, (_, t) in zip(parts, rows, strict=True) if t}) == 3
+    smallest = {p: min((i for q, (i, _) in zip(parts, rows, strict=True) if q == p and i is not None), default=None) for p in parts}
+    expected = Counter((i, len(t.split()) - 4 if t else 0, smallest[p] if t else i) for p, (i, t) in zip(parts, rows, strict=True))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert Counter(map(tuple, jaccard.similar_groups(docs, 5, 80).collect())) == expected
+
+
+def test_one_of_each_component(spark, docs, corpus):
+    rows = [(i, t, n) for n, (i, t) in enumerate(repeated_and_bare(random.Random(1)))]
+    table = spark.createDataFrame(rows, "doc_id long, text string, n int")
+    part = dict(zip(range(len(rows)), parts_of([t for _, t, _ in rows], 5, 80), strict=True))
+    kept = jaccard.one_of_each(table, 5, 80).collect()
+    assert sorted(r["n"] for r in kept if not r["text"]) == [n for _, t, n in rows if not t]
+    with_words = [r for r in kept if r["text"]]
+    assert sorted(part[r["n"]] for r in with_words) == sorted({part[n] for _, t, n in rows if t})
+    assert sorted(str(r["doc_id"]) for r in with_words) == ["7", "7", "None"]
+    again = jaccard.one_of_each(table.repartition(5), 5, 80).collect()
+    assert Counter(map(tuple, again)) == Counter(map(tuple, kept))
+    groups = groups_of(corpus, 5, 80)
+    assert Counter(r["doc_id"] for r in jaccard.one_of_each(docs, 5, 80).collect()) == Counter(i for i, (_, c) in groups.items() if i == c)
