@@ -2,10 +2,11 @@
 
 The base finds e-mail and IP addresses, payment cards and phone numbers. What it finds seeds the method:
 the words around a seed make a lexical pattern (one or two words before, or one before and one after), and
-any word that holds a digit or an @ can be an instance of a pattern. On the graph of patterns and instances
-of the whole corpus, scores run to and fro: a pattern is worth the mean score of its instances, an instance
-the best of its patterns, seeds keep 1. Instances of patterns of a high score and enough different seeds are
-personal data of the patterns' kind; their spans are added under the kind's name with "ctx_" before it.
+any run of words that hold a digit or an @ can be an instance of a pattern; the words of a base span are one
+instance. On the graph of patterns and instances of the whole corpus, scores run to and fro: a pattern is
+worth the mean score of its instances, an instance the best of its other patterns, seeds keep 1. Instances
+of patterns of a high score and enough different seeds are personal data of the patterns' kind, and seeds of
+further patterns; their spans are added under the kind's name with "ctx_" before it.
 
 Everything is DataFrame work. Only texts with a digit or an @ are searched, and the graph has one row for
 each pattern and instance, so that common contexts and copies are counted, not repeated.
@@ -93,7 +94,8 @@ def _joined(kind: str, spans: Column) -> Column:
 
 
 def context(spans: Column, between: Column) -> Column:
-    """spans (from located()) with before2, before and after: the words beside them, lower-cased.
+    """spans (from located()) with before2, before and after: the words beside them, lower-cased; joined: whether
+    only spaces part a span from the one before.
 
     between: the pieces around the spans; only what stands right before and after is looked at.
     """
@@ -109,33 +111,63 @@ def context(spans: Column, between: Column) -> Column:
             F.regexp_extract(ahead, f"({word}){gap}{word}{gap}$", 1).alias("before2"),
             F.regexp_extract(ahead, f"({word}){gap}$", 1).alias("before"),
             F.regexp_extract(behind, f"^{gap}({word})", 1).alias("after"),
+            F.get(between, i).rlike(f"^{gap}$").alias("joined"),
         )
 
     return F.transform(spans, around)
 
 
+def instances() -> Column:
+    """The column words (from context(), with span: the base span over a word, if any) as instances: the words of
+    one base span, or a run of adjacent words without one. The context is that around the whole."""
+    size = F.size("words")
+
+    def begins(i: Column) -> Column:
+        w, p = F.get("words", i), F.get("words", i - 1)
+        return (i == 0) | ~F.when(w["span"].isNull() & p["span"].isNull(), w["joined"]).otherwise(F.coalesce(w["span"] == p["span"], F.lit(False)))
+
+    def whole(s: Column, e: Column) -> Column:
+        first, last = F.get("words", s), F.get("words", e)
+        value = F.array_join(F.transform(F.slice("words", s + 1, e - s + 1), lambda w: w["value"]), " ")
+        return F.struct(first["start"].alias("start"), last["stop"].alias("stop"), value.alias("value"), first["before2"].alias("before2"), first["before"].alias("before"), last["after"].alias("after"), first["span"]["kind"].alias("kind"))
+
+    places = F.sequence(F.lit(0), size - 1)
+    return F.zip_with(F.filter(places, begins), F.filter(places, lambda i: (i == size - 1) | begins(i + 1)), whole)
+
+
 def bootstrap(candidates: DataFrame, rounds: int = 3, seeds: int = 5, confidence: float = 0.8) -> DataFrame:
     """candidates with ``kind`` null found to be personal data: their rows, with the kind of their best pattern.
 
     candidates: key, text_hash, start, stop, value, before2, before, after, kind (null: not a seed). A
-    pattern needs as many different seed values of its kind as ``seeds`` says.
+    pattern needs as many different seed values of its kind as ``seeds`` says; after the first round, values
+    that its other patterns find with confidence count as well. A pattern's own score never makes it better.
     """
     patterns = F.array(
         F.when((F.col("before2") != "") & (F.col("before") != ""), F.concat_ws(" ", F.lit("2"), "before2", "before")),
         F.when(F.col("before").rlike("[:=#]$"), F.concat_ws(" ", F.lit("1"), "before")),
         F.when((F.col("before") != "") & (F.col("after") != ""), F.concat_ws(" ", F.lit("b"), "before", F.lit("_"), "after")),
     )
-    edges = candidates.select(F.explode(F.array_compact(patterns)).alias("pattern"), "value", "kind")
-    edges = materialize(edges.groupBy("pattern", "value").agg(F.max("kind").alias("kind"), F.count("*").alias("n")))
-    seeded = edges.where("kind IS NOT NULL").groupBy("pattern", "kind").agg(F.count("*").alias("n_seeds")).where(F.col("n_seeds") >= seeds)
-    kinds = materialize(seeded.groupBy("pattern").agg(F.max(F.struct("n_seeds", "kind"))["kind"].alias("of")))
-    # Only patterns with seeds of one kind can pass on a score; the rest of the graph stays at 0.
-    graph = materialize(edges.join(kinds, "pattern").select("pattern", "value", "of", (F.col("kind") == F.col("of")).alias("seed")))
-    scores = graph.groupBy("pattern", "of").agg(F.avg(F.coalesce(F.col("seed").cast("int"), F.lit(0))).alias("score"))
-    for _ in range(rounds):
-        scores = materialize(scores)
-        instance = graph.join(scores.select("pattern", "score"), "pattern").groupBy("value", "of").agg(F.max(F.when(F.col("seed"), 1.0).otherwise(F.col("score"))).alias("worth"))
-        scores = graph.join(instance, ["value", "of"]).groupBy("pattern", "of").agg(F.avg("worth").alias("score"))
+    value = F.when(F.length("value") > 200, F.sha2(F.col("value"), 256)).otherwise(F.col("value")).alias("value")
+    edges = candidates.select(F.explode(F.array_compact(patterns)).alias("pattern"), value, "kind")
+    edges = materialize(edges.groupBy("pattern", "value").agg(F.max("kind").alias("kind")))
+    # Patterns of fewer values can never have enough seeds.
+    often = edges.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= seeds).select("pattern")
+    edges = materialize(edges.join(often, "pattern"))
+    base = edges.where("kind IS NOT NULL").select("pattern", F.col("kind").alias("of"))
+    own = F.when(F.col("kind") == F.col("of"), 1.0).when(F.col("kind").isNotNull(), 0.0)
+    worth = F.when(F.col("by") != F.col("pattern"), F.col("best")).otherwise(F.col("second"))
+    found = None
+    for _ in range(rounds + 1):
+        known = base if found is None else base.union(edges.where("kind IS NULL").join(found, "value").where(worth >= confidence).select("pattern", "of"))
+        seeded = known.groupBy("pattern", "of").agg(F.count("*").alias("n_seeds")).where(F.col("n_seeds") >= seeds)
+        kinds = seeded.groupBy("pattern").agg(F.max(F.struct("n_seeds", "of"))["of"].alias("of"))
+        graph = materialize(edges.join(kinds, "pattern"))
+        each = graph.withColumn("worth", own) if found is None else graph.join(found, ["value", "of"], "left").withColumn("worth", F.coalesce(own, worth))
+        scores = materialize(each.groupBy("pattern", "of").agg(F.avg(F.coalesce("worth", F.lit(0.0))).alias("score")))
+        ranked = materialize(graph.where("kind IS NULL").join(scores.select("pattern", "score"), "pattern"))
+        top = ranked.groupBy("value", "of").agg(F.max(F.struct("score", "pattern")).alias("t")).select("value", "of", F.col("t.score").alias("best"), F.col("t.pattern").alias("by"))
+        second = F.max(F.when(F.col("pattern") != F.col("by"), F.col("score"))).alias("second")
+        found = materialize(ranked.join(top, ["value", "of"]).groupBy("value", "of", "best", "by").agg(second))
     strong = materialize(scores.where(F.col("score") >= confidence).select("pattern", F.col("of").alias("found"), "score"))
     open_rows = candidates.where("kind IS NULL").select("*", F.explode(F.array_compact(patterns)).alias("pattern"))
     hit = open_rows.join(strong, "pattern").groupBy("key", "text_hash", "start", "stop").agg(F.max(F.struct("score", "found"))["found"].alias("kind"))
@@ -159,13 +191,15 @@ def find(docs: DataFrame, text: str = "text", key: str = "doc_id") -> tuple[Data
     rows = rows.withColumns({f"z_{kind}": gaps(F.col(f"f_{kind}"), F.col(f"b_{kind}")) for kind, _ in searched})
     rows = rows.withColumns({f"s_{kind}": located(F.col(f"z_{kind}")) for kind, _ in searched})
     base = [_kept(kind, F.col(f"s_{kind}")).alias(kind) for kind, _ in PATTERNS]
-    seen = materialize(rows.select("key", "text_hash", *base, context(F.col("s_words"), F.col("b_words")).alias("words")))
-
+    rows = rows.select("key", "text_hash", *base, context(F.col("s_words"), F.col("b_words")).alias("words"))
     spans = F.concat(*[_named(kind) for kind, _ in PATTERNS]).cast("array<struct<kind:string,b:int,e:int>>")
-    named = seen.where(F.size("words") > 0).select("key", "text_hash", spans.alias("spans"), F.explode("words").alias("w")).select("key", "text_hash", "w.*", "spans")
-    over = F.filter("spans", lambda s: (s.getField("b") < F.col("stop")) & (s.getField("e") > F.col("start")))
-    named = materialize(named.withColumn("kind", F.get(over, F.lit(0))["kind"]).drop("spans"))
-    return seen.drop("words"), bootstrap(named)
+    seen = materialize(rows.select("*", spans.alias("spans")))
+
+    over = lambda w: F.get(F.filter("spans", lambda s: (s["b"] < w["stop"]) & (s["e"] > w["start"])), F.lit(0))
+    tagged = F.transform("words", lambda w: w.withField("span", over(w)))
+    marked = materialize(seen.where(F.size("words") > 0).select("key", "text_hash", tagged.alias("words")))
+    named = materialize(marked.select("key", "text_hash", F.explode(instances()).alias("w")).select("key", "text_hash", "w.*"))
+    return seen.drop("words", "spans"), bootstrap(named)
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

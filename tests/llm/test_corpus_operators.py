@@ -217,6 +217,26 @@ def test_personal_data_from_contexts(spark):
     assert [(r["key"], r["kind"], r["start"]) for r in added.collect()] == [(100, "ip", 19)]
 
 
+def test_personal_data_of_several_words(spark):
+    """Spaced numbers are one instance: seeds by the whole number, and unseen ones found whole."""
+    draw = random.Random(8)
+    rows = [(i, f"{words(draw, 5)} hotline number +1 (017) 555-{1000 + i} {words(draw, 4)}") for i in range(30)]
+    rows += [(100, "the hotline number 017 555  77x13 today"), (101, "a room number 12 here 13 14")]
+    _, added = pii.find(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert [(r["key"], r["kind"], r["start"], r["stop"]) for r in added.collect()] == [(100, "phone", 19, 33)]
+
+
+def test_found_data_seeds_patterns_but_never_its_own(spark):
+    draw = random.Random(9)
+    rows = [(i, f"{words(draw, 3)} server address 10.0.{i}.1 {words(draw, 3)}") for i in range(100)]
+    rows += [(200 + i, f"{words(draw, 3)} server address 10x0x{i} {words(draw, 3)}") for i in range(12)]
+    rows += [(300 + i, f"{words(draw, 3)} machine host 10x0x{i} {words(draw, 3)}") for i in range(13)]
+    rows += [(400 + i, f"{words(draw, 3)} version build {f'10.1.{i}.1' if i < 10 else f'b{i}'} {words(draw, 3)}") for i in range(16)]
+    _, added = pii.find(spark.createDataFrame(rows, "doc_id long, text string"))
+    # "machine host" has no base seed; 10 of 16 do not make "version build" good.
+    assert sorted((r["key"], r["kind"]) for r in added.collect()) == [(k, "ip") for k in (*range(200, 212), *range(300, 313))]
+
+
 def test_license_scan(spark, corpus, empty):
     odd = ["Released under the MIT License.", "CC BY-NC cc by nc, CC-BY-NC", "Licensed under the Apache License, Version 2.0. apache license version 2", "the mit license under the mit license under the mit license", "This work is licensed under the GNU General Public License, version 3.", "ünder the MIT licensé", "mit", "under the mit  \n license"]
     rows = [(i, t) for i, t, _ in corpus[:20]] + [(700 + i, t) for i, t in enumerate(odd)]
