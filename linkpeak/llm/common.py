@@ -28,13 +28,37 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, *done: DataFrame) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back: lineage is cut, a lost executor
-    costs nothing, and the planner knows the true size when it chooses between broadcast and shuffle."""
+    costs nothing, and the planner knows the true size when it chooses between broadcast and shuffle.
+    Tables ``done`` are deleted then: nothing may read them any more."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/linkpeak-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored = path
+    discard(*done)
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes the files of tables from materialize(); other DataFrames are left alone."""
+    for df in tables:
+        if path := df.__dict__.get("_stored"):
+            target = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def masked(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """df with its columns named c0, c1 and so on, and the new name of each: working columns, whose names start with
+    "_", can then clash with none."""
+    names = {c: f"c{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*names.values()), names
+
+
+def unmasked(df: DataFrame, names: dict[str, str], *more: str) -> DataFrame:
+    """The columns of a masked DataFrame under their own names, but those that ``more`` replaces, and then these."""
+    return df.select(*[F.col(new).alias(old) for old, new in names.items() if old not in more], *more)
 
 
 def lower_ascii(text: Column) -> Column:

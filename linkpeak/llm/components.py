@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkpeak.llm.common import materialize
+from linkpeak.llm.common import discard, materialize
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -19,16 +19,16 @@ def components(edges: DataFrame) -> DataFrame:
     labels = materialize(edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().withColumn("label", F.col("node")))
     while open_edges.limit(1).count():
         # a is the smaller end, so only b may hook onto it.
-        hooks = materialize(open_edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("to")))
-        while True:
+        hooks = materialize(open_edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("to")).withColumn("_moved", F.lit(True)))
+        moved = True
+        while moved:
             further = hooks.select(F.col("node").alias("_n"), F.col("to").alias("_t"))
-            jumped = materialize(hooks.join(further, F.col("to") == F.col("_n"), "left").select("node", F.coalesce("_t", "to").alias("to"), F.col("_t").isNotNull().alias("_moved")))
-            moved = jumped.where("_moved").limit(1).count()
-            hooks = jumped.drop("_moved")
-            if not moved:
-                break
-        labels = materialize(labels.join(hooks.withColumnRenamed("node", "label"), "label", "left").select("node", F.coalesce("to", "label").alias("label")))
-        ends = lambda end: hooks.withColumnsRenamed({"node": end, "to": f"_{end}"})  # noqa: E731, B023
+            step = hooks.join(further, F.col("to") == F.col("_n"), "left").select("node", F.coalesce("_t", "to").alias("to"), F.col("_t").isNotNull().alias("_moved"))
+            hooks = materialize(step, hooks)
+            moved = hooks.where("_moved").limit(1).count()
+        ends = lambda end: hooks.select(F.col("node").alias(end), F.col("to").alias(f"_{end}"))  # noqa: E731, B023
+        labels = materialize(labels.join(ends("label"), "label", "left").select("node", F.coalesce("_label", "label").alias("label")), labels)
         moved_edges = open_edges.join(ends("a"), "a", "left").join(ends("b"), "b", "left").select(F.coalesce("_a", "a").alias("x"), F.coalesce("_b", "b").alias("y"))
-        open_edges = materialize(moved_edges.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        open_edges = materialize(moved_edges.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), open_edges, hooks)
+    discard(open_edges)
     return labels

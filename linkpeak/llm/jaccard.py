@@ -10,11 +10,12 @@ each band by its cost, signatures and chance matches:
 * exact: its contents are one signature, worth one difference;
 * one-deletion: its contents and all its contents less one element are signatures, worth two differences.
 
-Documents with equal sets are one class, and classes are joined. A bucket of classes with the same signature
+Documents with equal sets, by 128 bits, are one class, and classes are joined. A bucket of classes with the same signature
 is linked to its smallest class first, and then, while it holds more than one component, to other classes of
-it. Only classes of components that still differ are compared with each other, under a bound that no link can
-miss: parities of elements by 512 hash slots differ in at most H slots. What passes is verified with the exact sets. So all links between
-components are found, and a group of near copies costs no pairs of all with all.
+it. Only classes of components that still differ are compared with each other, large buckets by blocks, under a
+bound that no link can miss: parities of elements by 512 hash slots differ in at most H slots. What passes is
+verified with the exact sets. So all links between components are found, and a group of near copies costs no pairs
+of all with all.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkpeak.llm.common import materialize, table
+from linkpeak.llm.common import discard, masked, materialize, table, unmasked
 from linkpeak.llm.components import components
 
 #: Slots of the parity sketch, 64 to a long.
@@ -38,6 +39,8 @@ SKETCH = 8
 FINE = 256
 #: What comparing two classes that match by chance costs, in signatures.
 PAIR_COST = 0.02
+#: Classes of a block, where the classes of a large bucket are compared by blocks.
+BUCKET = 2000
 #: Turns in which buckets of several components are tried with one class each, before all of them are compared.
 PIVOTS = 4
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -161,12 +164,13 @@ def _sketch(tokens: np.ndarray) -> np.ndarray:
     return np.packbits(parity.astype(np.uint8)).view(np.int64)
 
 
-def _print_of(tokens: np.ndarray) -> tuple[int, int]:
+def _print_of(tokens: np.ndarray, bits: int = 64) -> tuple[int, int]:
+    """128 bits that tell sets apart; the first half is cut to ``bits``."""
     d = xxhash.xxh3_128_digest(tokens.tobytes())
-    return int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True)
+    return int.from_bytes(d[:8], "big", signed=True) >> (64 - bits), int.from_bytes(d[8:], "big", signed=True)
 
 
-def _scanned(n: int, percent: int, population: int):
+def _scanned(n: int, percent: int, population: int, bits: int):
     """One pass over the texts: sizes, fingerprints, sketches and signatures of their sets."""
 
     def run(part: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -175,20 +179,20 @@ def _scanned(n: int, percent: int, population: int):
             for start in range(0, len(batch), 1000):
                 piece = batch.iloc[start : start + 1000]
                 sets = [shingle_set(t, n) for t in piece["text"]]
-                both = np.array([_print_of(s) for s in sets], dtype=np.int64).reshape(-1, 2)
+                both = np.array([_print_of(s, bits) for s in sets], dtype=np.int64).reshape(-1, 2)
                 sketch = np.stack([_sketch(s) for s in sets])
                 sigs = [signatures(s, percent, population).view(np.int64) for s in sets]
-                yield pd.DataFrame({"key": piece["key"].to_numpy(), "size": np.array([len(s) for s in sets], dtype=np.int64), "node": both[:, 0], "check": both[:, 1], "text_hash": piece["text_hash"].to_numpy()} | {f"s{i}": sketch[:, i] for i in range(SKETCH)} | {"sigs": sigs})
+                yield pd.DataFrame({"id": piece["id"].to_numpy(), "bare": piece["bare"].to_numpy(), "size": np.array([len(s) for s in sets], dtype=np.int64), "print": both[:, 0], "check": both[:, 1], "text_hash": piece["text_hash"].to_numpy()} | {f"s{i}": sketch[:, i] for i in range(SKETCH)} | {"sigs": sigs})
 
     return run
 
 
-def _tokens(n: int):
+def _tokens(n: int, bits: int):
     def run(part: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in part:
             sets = [shingle_set(t, n) for t in batch["text"]]
-            same = np.array([_print_of(s)[0] for s in sets], dtype=np.int64) == batch["node"].to_numpy()
-            yield pd.DataFrame({"node": batch["node"], "tokens": [s.tobytes() for s in sets]})[same]
+            same = [_print_of(s, bits) == (p, c) for s, p, c in zip(sets, batch["print"], batch["check"], strict=True)]
+            yield pd.DataFrame({"node": batch["node"], "tokens": [s.tobytes() for s in sets]})[np.array(same, dtype=bool)]
 
     return run
 
@@ -207,22 +211,38 @@ def _linked(percent: int):
 
 
 class _Join:
-    def __init__(self, docs: DataFrame, n: int, percent: int, text: str, key: str):
-        self.docs, self.n, self.percent = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("text_hash")), n, percent
-        shape = "key long, size long, node long, check long, text_hash long, " + ", ".join(f"s{i} long" for i in range(SKETCH)) + ", sigs array<long>"
+    """Classes of documents with equal sets, and the links between them. Tables are deleted as soon as they are read no more."""
+
+    def __init__(self, docs: DataFrame, n: int, percent: int, text: str, key: str, bits: int = 64):
+        self.docs, self.n, self.percent, self.bits = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("text_hash")), n, percent, bits
+        shape = "id long, bare boolean, size long, print long, check long, text_hash long, " + ", ".join(f"s{i} long" for i in range(SKETCH)) + ", sigs array<long>"
         population = max(1, self.docs.count() // 20)
-        self.rows = rows = materialize(self.docs.mapInPandas(_scanned(n, percent, population), shape))
+        # A null among keys would turn them all into floating-point numbers in Python, so they come as two columns.
+        given = self.docs.select(F.coalesce("key", F.lit(0)).alias("id"), F.col("key").isNull().alias("bare"), "text", "text_hash")
+        scanned = materialize(given.mapInPandas(_scanned(n, percent, population, bits), shape))
+        self.scanned = scanned
         sketch = [F.first(f"s{i}").alias(f"s{i}") for i in range(SKETCH)]
-        grouped = rows.where("size > 0").groupBy("node").agg(F.min("key").alias("rep"), F.coalesce(F.min_by("text_hash", "key"), F.min("text_hash")).alias("rep_hash"), F.first("size").alias("size"), F.min("check").alias("_low"), F.max("check").alias("_high"), *sketch)
-        self.classes = materialize(grouped)
-        if self.classes.where("_low <> _high").limit(1).count():
-            raise ValueError("two different sets share a 64-bit fingerprint; change the hash seed")
+        rows = scanned.withColumn("key", F.when(~F.col("bare"), F.col("id")))
+        grouped = rows.where("size > 0").groupBy("print", "check").agg(F.min("key").alias("rep"), F.coalesce(F.min_by("text_hash", "key"), F.min("text_hash")).alias("rep_hash"), F.first("size").alias("size"), *sketch)
+        self.classes = materialize(grouped.withColumn("node", F.col("print")))
+        rows = rows.withColumn("node", F.col("print"))
+        # Sets of different fingerprints but the same first half: all but one get another number. That is next to never.
+        turn, moved = 0, None
+        while (clash := materialize(self.classes.groupBy("node").agg(F.count("*").alias("_n"), F.min(F.struct("print", "check")).alias("_stays")).where("_n > 1"))).limit(1).count():
+            turn += 1
+            other = self.classes.join(clash, "node", "left").withColumn("_goes", F.col("_n").isNotNull() & (F.struct("print", "check") != F.col("_stays")))
+            self.classes = materialize(other.withColumn("node", F.when(F.col("_goes"), F.xxhash64(F.lit(turn), "print", "check")).otherwise(F.col("node"))).drop("_n", "_stays", "_goes"), self.classes, clash)
+        discard(clash)
+        if turn:
+            moved = self.classes.where("node <> print").select("print", "check", F.col("node").alias("_node"))
+            rows = rows.join(moved, ["print", "check"], "left").withColumn("node", F.coalesce("_node", "node")).drop("_node")
+        self.rows = rows
 
     def candidates(self) -> DataFrame:
         """(sig, hub, node): the members of each bucket of two classes or more, and its smallest class."""
         found = self.rows.select("node", F.explode("sigs").alias("sig"))
         buckets = materialize(found.groupBy("sig").agg(F.min("node").alias("hub"), F.max("node").alias("_top")).where("hub <> _top").select("sig", "hub"))
-        return materialize(found.join(buckets, "sig").groupBy("sig", "hub", "node").agg(F.lit(1).alias("_one")).drop("_one"))
+        return materialize(found.join(buckets, "sig").groupBy("sig", "hub", "node").agg(F.lit(1).alias("_one")).drop("_one"), buckets)
 
     def bound(self, a: str, b: str) -> Column:
         """Whether the classes a and b may link, by sizes and sketches."""
@@ -236,19 +256,18 @@ class _Join:
             x, y = self.classes.alias("x"), self.classes.alias("y")
             pairs = pairs.join(x, F.col("a") == F.col("x.node")).join(y, F.col("b") == F.col("y.node")).where(self.bound("x", "y")).select("a", "b")
         pairs = materialize(pairs)
-        nodes = materialize(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(self.classes.select("node", "rep", "rep_hash"), "node"))
+        nodes = materialize(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(self.classes.select("node", "print", "check", "rep", "rep_hash"), "node"))
         # Only one text of each class is needed: that of its representative's key and hash. Where no row has a key,
         # copies meet as well, so that they are made one first. Sets of another fingerprint are left out.
-        keyed = self.docs.where("key IS NOT NULL").join(nodes, (F.col("key") == F.col("rep")) & (F.col("text_hash") == F.col("rep_hash"))).select("node", "text")
+        keyed = self.docs.where("key IS NOT NULL").join(nodes, (F.col("key") == F.col("rep")) & (F.col("text_hash") == F.col("rep_hash"))).select("node", "print", "check", "text")
         bare = nodes.where("rep IS NULL")
         if bare.limit(1).count():
-            copies = self.docs.where("key IS NULL").join(bare, F.col("text_hash") == F.col("rep_hash")).groupBy("node").agg(F.min("text").alias("text"))
+            copies = self.docs.where("key IS NULL").join(bare, F.col("text_hash") == F.col("rep_hash")).groupBy("node", "print", "check", "text").agg(F.lit(1).alias("_one")).drop("_one")
             keyed = keyed.union(copies)
-        texts = keyed
-        tokens = texts.mapInPandas(_tokens(self.n), "node long, tokens binary").groupBy("node").agg(F.first("tokens").alias("tokens"))
-        tokens = materialize(tokens)
+        tokens = keyed.mapInPandas(_tokens(self.n, self.bits), "node long, tokens binary").groupBy("node").agg(F.first("tokens").alias("tokens"))
+        tokens = materialize(tokens, nodes)
         left, right = tokens.withColumnsRenamed({"node": "a", "tokens": "left"}), tokens.withColumnsRenamed({"node": "b", "tokens": "right"})
-        return materialize(pairs.join(left, "a").join(right, "b").mapInPandas(_linked(self.percent), "a long, b long"))
+        return materialize(pairs.join(left, "a").join(right, "b").mapInPandas(_linked(self.percent), "a long, b long"), pairs, tokens)
 
     def links(self) -> DataFrame:
         """(node, label) of every class that links with another; label is the smallest node of the component."""
@@ -261,65 +280,105 @@ class _Join:
         for turn in range(PIVOTS):
             rest = self._mixed(members, labels)
             pivot = F.min(F.struct(F.xxhash64(F.lit(turn), "node").alias("_h"), "node", "label", "size", *[f"s{i}" for i in range(SKETCH)]))
-            found = self.verified(self._pairs(rest, materialize(rest.groupBy("sig").agg(pivot.alias("p")).select("sig", "p.*")), F.col("x.label") != F.col("y.label")), bounded=True)
+            pivots = materialize(rest.groupBy("sig").agg(pivot.alias("p")).select("sig", "p.*"))
+            found = self.verified(self._pairs(rest, pivots, F.col("x.label") != F.col("y.label")), bounded=True)
+            discard(rest, pivots)
             if not found.limit(1).count():
+                discard(found)
                 break
-            edges = materialize(edges.union(found))
+            edges = materialize(edges.union(found), edges, found)
+            discard(labels)
             labels = components(edges)
         # What may link of any two components of a bucket is compared, so that none is missed.
         rest = self._mixed(members, labels)
-        return components(materialize(edges.union(self.verified(self._pairs(rest, rest, F.col("x.label") < F.col("y.label")), bounded=True))))
+        found = self.verified(self._blocks(rest), bounded=True)
+        discard(members, rest)
+        if found.limit(1).count():
+            whole = materialize(edges.union(found), edges)
+            discard(labels)
+            labels = components(whole)
+            discard(whole)
+        discard(edges, found)
+        return labels
 
     def labelled(self) -> DataFrame:
-        """(node, rep, label) of every class."""
-        return self.classes.select("node", "rep").join(self.links(), "node", "left").select("node", "rep", F.coalesce("label", "node").alias("label"))
+        """(node, rep, label) of every class, written."""
+        labels = self.links()
+        return materialize(self.classes.select("node", "rep").join(labels, "node", "left").select("node", "rep", F.coalesce("label", "node").alias("label")), labels)
+
+    def done(self) -> None:
+        """Deletes what the join has written; its rows cannot be read any more."""
+        discard(self.scanned, self.classes)
 
     def _mixed(self, members: DataFrame, labels: DataFrame) -> DataFrame:
         """(sig, node, label, size, sketch) of the buckets that hold more than one component."""
         named = members.join(labels, "node", "left").select("sig", "node", F.coalesce("label", "node").alias("label"))
-        mixed = materialize(named.groupBy("sig").agg(F.min("label").alias("_a"), F.max("label").alias("_b")).where("_a <> _b").select("sig"))
-        return materialize(named.join(mixed, "sig").join(self.classes.drop("rep", "rep_hash", "_low", "_high"), "node"))
+        mixed = materialize(named.groupBy("sig").agg(F.min("label").alias("_a"), F.max("label").alias("_b"), F.count("*").alias("many")).where("_a <> _b").select("sig", "many"))
+        return materialize(named.join(mixed, "sig").join(self.classes.select("node", "size", *[f"s{i}" for i in range(SKETCH)]), "node"), mixed)
 
     def _pairs(self, left: DataFrame, right: DataFrame, apart: Column) -> DataFrame:
         x, y = left.alias("x"), right.alias("y")
         pairs = x.join(y, (F.col("x.sig") == F.col("y.sig")) & apart & self.bound("x", "y"))
         return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
-
-def similar_groups(docs: DataFrame, n: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
+    def _blocks(self, rest: DataFrame) -> DataFrame:
+        """The pairs of each bucket's members of different components that may link. Large buckets are cut into blocks
+        of some BUCKET classes, and each two blocks meet by a key of their own, so that no key is hot."""
+        cut = F.ceil(F.col("many") / BUCKET).cast("int")
+        own = F.pmod(F.xxhash64(F.lit(99), "node"), cut).cast("int")
+        dealt = rest.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), cut - 1)))
+        x = dealt.withColumns({"one": F.least("own", "other"), "two": F.greatest("own", "other")})
+        left, right = x.where("own = one").alias("x"), x.where("own = two").alias("y")
+        meet = (F.col("x.sig") == F.col("y.sig")) & (F.col("x.one") == F.col("y.one")) & (F.col("x.two") == F.col("y.two"))
+        # Within one block each pair comes once; of two blocks both orders of labels are needed.
+        apart = (F.col("x.label") != F.col("y.label")) & ((F.col("x.one") != F.col("x.two")) | (F.col("x.label") < F.col("y.label")))
+        return left.join(right, meet & apart & self.bound("x", "y")).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+
+
+def similar_groups(docs: DataFrame, n: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id", bits: int = 64) -> DataFrame:
     """(key, size, component), one row for each row of docs: the number of its distinct shingles of n words, and
     the smallest key that links of at least percent / 100 reach, its own included.
 
-    Null and empty texts have size 0 and link with nothing. Rows that share a key count as linked if their texts
-    are alike; of rows with one key and different texts each goes with its own text. Null keys are never
-    reported as a component while a row of the component has a key. An empty table stays empty.
+    Null and empty texts have size 0 and link with nothing. Texts may have any length. Rows that share a key count as
+    linked if their texts are alike; of rows with one key and different texts each goes with its own text. Null keys
+    are never reported as a component while a row of the component has a key. Keys are integers of 64 bits; other
+    columns of docs, whatever their names, are not looked at. An empty table stays empty. ``bits`` shortens the
+    numbers of sets, for tests of what happens when two agree.
     """
-    join = _Join(docs, n, percent, text, key)
-    named = join.labelled()
-    smallest = named.groupBy("label").agg(F.min("rep").alias("component"))
-    named = materialize(named.join(smallest, "label").select("node", "component"))
+    join = _Join(docs, n, percent, text, key, bits)
+    labelled = join.labelled()
+    smallest = labelled.groupBy("label").agg(F.min("rep").alias("component"))
+    named = labelled.join(smallest, "label").select("node", "component")
     out = join.rows.select("key", "size", "node").join(named, "node", "left")
-    return out.select("key", "size", F.when(F.col("size") > 0, F.col("component")).otherwise(F.col("key")).alias("component"))
+    out = materialize(out.select("key", "size", F.when(F.col("size") > 0, F.col("component")).otherwise(F.col("key")).alias("component")), labelled)
+    join.done()
+    return out
 
 
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The rows of docs, but one only of each component: that of the smallest key (null comes last), of rows of one
     key that of the smallest hash of its text, then of the whole row. Null and empty texts stay, each row of them.
+    Columns may have any names; an empty table stays empty.
     """
     join = _Join(docs, n, percent, text, key)
-    rows = join.rows.where("size > 0").join(join.labelled().select("node", "label"), "node")
+    labelled = join.labelled()
+    rows = join.rows.where("size > 0").join(labelled.select("node", "label"), "node")
     counted = rows.groupBy("label", "key", "text_hash").agg(F.count("*").alias("n"))
     first = F.min(F.struct(F.col("key").isNull().alias("_bare"), "key", "text_hash", "n")).alias("p")
-    picks = materialize(counted.groupBy("label").agg(first).select("label", F.col("p.key").alias("_key"), F.col("p.text_hash").alias("_hash"), F.col("p.n").alias("_n")))
-    wordless = ~F.coalesce(F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    meets = F.col(key).cast("long").eqNullSafe(F.col("_key")) & (F.xxhash64(text) == F.col("_hash")) & ~wordless
-    out = docs.where(wordless).union(docs.join(picks.where("_n = 1"), meets, "left_semi"))
+    picks = materialize(counted.groupBy("label").agg(first).select("label", F.col("p.key").alias("_key"), F.col("p.text_hash").alias("_hash"), F.col("p.n").alias("_n")), labelled)
+    join.done()
+    picks = picks.withColumnRenamed("label", "_label")
+    given, names = masked(docs)
+    body, own = F.col(names[text]), F.col(names[key]).cast("long")
+    wordless = ~F.coalesce(body.rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    meets = own.eqNullSafe(F.col("_key")) & (F.xxhash64(body) == F.col("_hash")) & ~wordless
+    out = given.where(wordless).union(given.join(picks.where("_n = 1"), meets, "left_semi"))
     repeated = picks.where("_n > 1")
     if repeated.limit(1).count():
         # Of rows of one key and text; what the row hash leaves open are rows that are the same.
-        row = F.min_by(F.struct(*[F.col(c) for c in docs.columns]), F.xxhash64(*[F.col(c) for c in docs.columns])).alias("row")
-        out = out.union(docs.join(repeated, meets).groupBy("label").agg(row).select("row.*"))
-    return out
+        row = F.min_by(F.struct(*given.columns), F.xxhash64(*given.columns)).alias("_row")
+        out = out.union(given.join(repeated, meets).groupBy("_label").agg(row).select("_row.*"))
+    return unmasked(out, names)
 
 
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
