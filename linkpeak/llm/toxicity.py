@@ -1,9 +1,10 @@
 """Toxicity: a factorization machine over hashed terms.
 
-A document is the set of its hashed words. From a bounded sample of labelled rows the terms that tell the
-classes apart best are kept; the machine gives each a weight and a short vector, and scores a document by the
-weights plus the inner products of all pairs of vectors, so that two terms together can count for more (or
-less) than each alone. The sum over pairs costs one pass: half of the squared sum less the sum of squares.
+A document is the set of its hashed words. The machine gives each term a weight and a short vector, and scores a
+document by the weights plus the inner products of all pairs of vectors, so that two terms together can count for
+more (or less) than each alone, also where neither tells anything by itself. The sum over pairs costs one pass: half
+of the squared sum less the sum of squares. No term is selected by its effect: all slots that three or more labelled
+texts hold are fitted together, since what fewer texts hold cannot be told from chance.
 """
 
 from __future__ import annotations
@@ -17,15 +18,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkpeak.llm.common import materialize, table
+from linkpeak.llm.common import discard, materialize, table
 from linkpeak.llm.training import crc_remainder, labelled_sample
 
 #: At most so many labelled rows are learned from.
 MAX_LABELLED = 20_000
-#: Terms are hashed to so many slots; so many of them are kept; length of a term's vector.
-SLOTS, TERMS, RANK = 1 << 22, 256, 8
-#: So many slots, counted by Spark, are looked at when terms are selected on the driver.
-CANDIDATES = 4096
+#: Terms are hashed to so many slots; length of a term's vector.
+SLOTS, RANK = 1 << 22, 8
+#: Slots that fewer labelled texts hold have no weight.
+LEAST = 3
 
 _EDGES = re.compile(r"^[^\w]+|[^\w]+$")
 
@@ -50,68 +51,127 @@ class Machine:
             if len(at):
                 v = self.vector[at]
                 out[i] += self.weight[at].sum() + 0.5 * (v.sum(axis=0) ** 2 - (v**2).sum(axis=0)).sum()
-        return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
+        return _logistic(out)
 
 
-def informative(at: np.ndarray, slot: np.ndarray, y: np.ndarray, count: int, least: float = 6.0, fade: float = 0.5) -> np.ndarray:
-    """At most count slots, sorted, that tell the classes apart, by log-likelihood ratio against the label.
+def _logistic(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
-    They are taken one by one, and the rows of the commoner class of a slot then weigh less by fade, so that
-    words that only go along with better ones (those of a much copied text, say) are not taken as well.
+
+def _batches(rows: np.ndarray, term: np.ndarray, starts: np.ndarray, size: int) -> list[tuple]:
+    """(rows, the terms that occur in them, place of each cell's row, place of each cell's term) of each batch."""
+    out = []
+    for first in range(0, len(rows), size):
+        some = rows[first : first + size]
+        cells = [term[starts[r] : starts[r + 1]] for r in some]
+        used, place = np.unique(np.concatenate(cells), return_inverse=True) if len(cells) else (term[:0], term[:0])
+        out.append((some, used, np.repeat(np.arange(len(some)), [len(c) for c in cells]), place))
+    return out
+
+
+def _raw(batch: tuple, w: np.ndarray, v: np.ndarray, bias: float) -> tuple[np.ndarray, np.ndarray]:
+    """Scores before the logistic function, and the sums of vectors, of a batch's rows."""
+    some, used, row, place = batch
+    vectors = v[used]
+    sums = np.stack([np.bincount(row, weights=vectors[place, f], minlength=len(some)) for f in range(RANK)], axis=1)
+    squares = np.bincount(row, weights=(vectors**2).sum(axis=1)[place], minlength=len(some))
+    return bias + np.bincount(row, weights=w[used][place], minlength=len(some)) + 0.5 * ((sums**2).sum(axis=1) - squares), sums
+
+
+def _shrunk(w: np.ndarray, by: np.ndarray | float) -> np.ndarray:
+    return np.sign(w) * np.maximum(np.abs(w) - by, 0)
+
+
+def _weights(batch: tuple, y: np.ndarray, balance: np.ndarray, w: np.ndarray, bias: float, penalty: float, steps: int = 100, rate: float = 0.3) -> tuple[np.ndarray, float]:
+    """Weights alone, from w on, by AdaGrad over all rows; the penalty on their absolute values keeps most at zero."""
+    some, used, row, place = batch
+    w, seen, seen_b = w.copy(), np.ones(len(w)), 1.0
+    for _ in range(steps):
+        err = balance[some] * (_logistic(bias + np.bincount(row, weights=w[used][place], minlength=len(some))) - y[some])
+        g = np.bincount(place, weights=err[row], minlength=len(used))
+        seen[used] += g**2
+        seen_b += err.sum() ** 2
+        step = rate / np.sqrt(seen[used])
+        w[used] = _shrunk(w[used] - step * g, step * penalty)
+        bias -= rate * err.sum() / np.sqrt(seen_b)
+    return w, bias
+
+
+def _vectors(batches: list[tuple], y: np.ndarray, balance: np.ndarray, w: np.ndarray, bias: float, penalty: float, epochs: int, rate: float = 0.1, l2: float = 5.0, seed: int = 5) -> Iterator[tuple]:
+    """(w, v, bias) after each epoch of AdaGrad over batches: weights, from w on, and vectors together."""
+    draw = np.random.default_rng(seed)
+    w, v, m = w.copy(), draw.normal(0, 0.03, (len(w), RANK)), len(w)
+    seen_w, seen_v, seen_b = np.ones(m), np.ones((m, RANK)), 1.0
+    rows = sum(len(some) for some, *_ in batches)
+    for _ in range(epochs):
+        for b in draw.permutation(len(batches)):
+            some, used, row, place = batches[b]
+            z, sums = _raw(batches[b], w, v, bias)
+            err = balance[some] * (_logistic(z) - y[some])
+            own = np.bincount(place, weights=err[row], minlength=len(used))
+            cross = err[:, None] * sums
+            g_v = np.stack([np.bincount(place, weights=cross[row, f], minlength=len(used)) for f in range(RANK)], axis=1) - own[:, None] * v[used] + l2 * v[used]
+            seen_w[used] += own**2
+            seen_v[used] += g_v**2
+            seen_b += err.sum() ** 2
+            step = rate / np.sqrt(seen_w[used])
+            w[used] = _shrunk(w[used] - step * own, step * penalty * len(some) / rows)
+            v[used] -= rate * g_v / np.sqrt(seen_v[used])
+            bias -= rate * err.sum() / np.sqrt(seen_b)
+        yield w, v, bias
+
+
+def fit(docs: list[np.ndarray], y: np.ndarray, epochs: int = 30, penalties: tuple[float, ...] = (0.3, 0.15, 0.08, 0.04), size: int = 256, seed: int = 5) -> Machine:
+    """The machine that predicts a tenth of the rows best; it is fitted on the others.
+
+    Weights come first, under penalties that are shares of the one which leaves none; then weights and vectors, all of
+    them, for as many epochs as the held-out tenth gains by. Rows that repeat terms and label count once. The two
+    classes are in balance. Without both classes every score is their share.
     """
-    slots, term, seen = np.unique(slot, return_inverse=True, return_counts=True)
-    often = seen >= 3
-    keep = often[term]
-    at, term, slots = at[keep], (np.cumsum(often) - 1)[term[keep]], slots[often]
-    weight, taken = np.ones(len(y)), []
-    for _ in range(count if len(slots) else 0):
-        pos = np.bincount(term, weights=weight[at] * y[at], minlength=len(slots))
-        neg = np.bincount(term, weights=weight[at] * (1 - y[at]), minlength=len(slots))
-        expect = (pos + neg) * (weight @ y) / weight.sum()
-        other = pos + neg - expect
-        with np.errstate(divide="ignore", invalid="ignore"):
-            ratio = np.where(pos > 1e-9, pos * np.log(pos / expect), 0) + np.where(neg > 1e-9, neg * np.log(neg / other), 0)
-        ratio[~np.isfinite(ratio)] = 0
-        ratio[taken] = 0
-        best = int(ratio.argmax())
-        if ratio[best] < least:
-            break
-        taken.append(best)
-        rows = at[term == best]
-        weight[rows[y[rows] == (pos[best] > expect[best])]] *= fade
-    return np.sort(slots[taken])
-
-
-def fit(docs: list[np.ndarray], y: np.ndarray, steps: int = 800, rate: float = 0.3, l2: float = 1e-5, seed: int = 5) -> Machine:
-    """Fits by AdaGrad over the whole sample, the two classes in balance. Without both classes every score is their share."""
     share = y.mean() if len(y) else 0.5
     if not len(y) or not 0 < share < 1:
         return Machine(np.zeros(0, dtype=np.int64), np.zeros(0), np.zeros((0, RANK)), float(np.log((share + 1e-3) / (1 - share + 1e-3))))
-    at, slot = np.repeat(np.arange(len(docs)), [len(d) for d in docs]), np.concatenate(docs)
-    slots = informative(at, slot, y, TERMS)
-    keep = np.isin(slot, slots)
-    at, term = at[keep], np.searchsorted(slots, slot[keep])
-    m, n = len(slots), len(docs)
-    draw = np.random.default_rng(seed)
-    w, v, bias = np.zeros(m), draw.normal(0, 0.02, (m, RANK)), 0.0
-    seen_w, seen_v, seen_b = np.full(m, 1e-6), np.full((m, RANK), 1e-6), 1e-6
-    balance = np.where(y == 1, 0.5 / share, 0.5 / (1 - share)) / n
-    for _ in range(steps):
-        sums = np.stack([np.bincount(at, weights=v[term, f], minlength=n) for f in range(RANK)], axis=1)
-        squares = np.bincount(at, weights=(v[term] ** 2).sum(axis=1), minlength=n)
-        z = bias + np.bincount(at, weights=w[term], minlength=n) + 0.5 * ((sums**2).sum(axis=1) - squares)
-        err = balance * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
-        g_w = np.bincount(term, weights=err[at], minlength=m) + l2 * w
-        own = np.bincount(term, weights=err[at], minlength=m)
-        g_v = np.stack([np.bincount(term, weights=err[at] * sums[at, f], minlength=m) for f in range(RANK)], axis=1) - own[:, None] * v + 10 * l2 * v
-        g_b = err.sum()
-        seen_w += g_w**2
-        seen_v += g_v**2
-        seen_b += g_b**2
-        w -= rate * g_w / np.sqrt(seen_w)
-        v -= 0.02 * rate * g_v / np.sqrt(seen_v)
-        bias -= rate * g_b / np.sqrt(seen_b)
-    return Machine(slots, w, v, bias)
+    once = {(d.tobytes(), t): i for i, (d, t) in enumerate(zip(docs, y, strict=True))}
+    docs, y = [docs[i] for i in once.values()], y[list(once.values())]
+    slots, count = np.unique(np.concatenate(docs), return_counts=True)
+    slots = slots[count >= LEAST]
+    kept = [np.searchsorted(slots, np.intersect1d(d, slots, assume_unique=True)) for d in docs]
+    starts, term = np.concatenate([[0], np.cumsum([len(k) for k in kept])]), np.concatenate(kept)
+    share = y.mean()
+    balance = np.where(y == 1, 0.5 / share, 0.5 / (1 - share))
+    order = np.random.default_rng(seed).permutation(len(y))
+    test, train = order[: len(y) // 10], order[len(y) // 10 :]
+    (held,), (whole,) = _batches(test, term, starts, max(1, len(test))) or [None], _batches(train, term, starts, len(train))
+    still = np.zeros((len(slots), RANK))
+    best, model, chosen = np.inf, None, 0.0
+
+    def better(w: np.ndarray, v: np.ndarray, bias: float) -> bool:
+        nonlocal best, model
+        loss = 0.0
+        if held is not None:
+            p = np.clip(_logistic(_raw(held, w, v, bias)[0]), 1e-6, 1 - 1e-6)
+            loss = -(balance[held[0]] * (y[held[0]] * np.log(p) + (1 - y[held[0]]) * np.log(1 - p))).sum()
+        if model is not None and loss >= best:
+            return False
+        best, model = loss, (w.copy(), v.copy(), bias)
+        return True
+
+    some, used, row, place = whole
+    top = np.abs(np.bincount(place, weights=(balance[some] * (0.5 - y[some]))[row], minlength=len(used))).max(initial=0.0)
+    w, bias = np.zeros(len(slots)), 0.0
+    for part in penalties:
+        w, bias = _weights(whole, y, balance, w, bias, part * top)
+        if better(w, still, bias):
+            chosen = part * top
+    # The penalty has also made the weights that it left too small; those are fitted once more, under hardly any.
+    start, _, bias = model
+    inside = (start != 0)[used][place]
+    w, bias = _weights((some, used, row[inside], place[inside]), y, balance, start, bias, chosen / 20)
+    better(w, still, bias)
+    start, _, bias = model
+    for w, v, b in _vectors(_batches(train, term, starts, size), y, balance, start, bias, chosen, epochs, seed=seed):
+        better(w, v, b)
+    return Machine(slots, *model)
 
 
 def _learned(part: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -119,38 +179,33 @@ def _learned(part: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"terms": [terms(t) for t in batch["text"]], "label": batch["label"].astype("int64")})
 
 
-def _candidates(rows: DataFrame) -> np.ndarray:
-    """The slots, CANDIDATES at most and sorted, whose log-likelihood ratio against the label is highest by themselves."""
-    all_n, all_pos = rows.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
-    seen = rows.select(F.explode("terms").alias("slot"), "label").groupBy("slot").agg(F.count("*").alias("n"), F.sum("label").alias("pos")).where("n >= 3")
-    expect, neg = F.col("n") * F.lit(all_pos / max(all_n, 1)), F.col("n") - F.col("pos")
-    part = lambda x, e: F.when(x > 0, x * F.ln(F.try_divide(x, e))).otherwise(0.0)
-    ratio = part(F.col("pos"), expect) + part(neg, F.col("n") - expect)
-    best = seen.select("slot", ratio.alias("ratio")).orderBy(F.desc("ratio"), "slot").limit(CANDIDATES).select("slot").toPandas()
-    return np.sort(best["slot"].to_numpy(dtype=np.int64))
+def _packed(part: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in part:
+        yield pd.DataFrame({"terms": [np.sort(np.asarray(t, dtype=np.int32)).tobytes() for t in batch["terms"]], "label": batch["label"]})
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "text", key: str = "doc_id", modulus: int = 5, held_out: int = 0, limit: int = MAX_LABELLED) -> Machine:
-    """A machine from labelled rows whose crc32 remainder is not held_out."""
+    """A machine from labelled rows whose crc32 remainder is not held_out. Spark counts the slots; the driver gets
+    those of each row that LEAST rows hold, 4 bytes each."""
     keep = crc_remainder(F.col(key), modulus) != held_out
-    rows = materialize(labelled_sample(docs, labels, label, keep, limit, text, key).mapInPandas(_learned, "terms array<long>, label long"))
-    slots = _candidates(rows)
-
-    def few(part: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in part:
-            yield batch.assign(terms=[np.intersect1d(t, slots, assume_unique=True) for t in batch["terms"]])
-
-    rows = rows.mapInPandas(few, "terms array<long>, label long").toPandas()
-    found = [np.asarray(t, dtype=np.int64) for t in rows["terms"]]
+    rows = materialize(labelled_sample(docs, labels, label, keep, limit, text, key).mapInPandas(_learned, "terms array<long>, label long").withColumn("row", F.monotonically_increasing_id()))
+    held = rows.select("row", F.explode("terms").alias("slot"))
+    often = held.groupBy("slot").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST).select("slot")
+    lists = held.join(often, "slot").groupBy("row").agg(F.collect_list("slot").alias("terms"))
+    packed = rows.select("row", "label").join(lists, "row", "left").select(F.coalesce("terms", F.array().cast("array<long>")).alias("terms"), "label")
+    got = packed.mapInPandas(_packed, "terms binary, label long").toPandas()
+    discard(rows)
     # Rows come in any order; a fixed one makes reruns agree.
-    order = sorted(range(len(found)), key=lambda i: (found[i].tobytes(), rows["label"].iloc[i]))
-    return fit([found[i] for i in order], rows["label"].to_numpy(dtype=np.float64)[order])
+    order = sorted(range(len(got)), key=lambda i: (got["terms"].iloc[i], got["label"].iloc[i]))
+    found = [np.frombuffer(got["terms"].iloc[i], dtype=np.int32).astype(np.int64) for i in order]
+    return fit(found, got["label"].to_numpy(dtype=np.float64)[order])
 
 
 def score_toxicity(docs: DataFrame, machine: Machine, text: str = "text") -> DataFrame:
     """docs with ``score``, the probability of label 1; it replaces a column of that name.
 
-    Null texts score like empty ones; each row is scored alone; an empty table stays empty.
+    Null texts score like empty ones; texts may have any length and are read whole; each row is scored alone, so that
+    repeated rows agree; an empty table stays empty.
     """
 
     @F.pandas_udf("double")
