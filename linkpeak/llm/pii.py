@@ -1,12 +1,13 @@
 """Personal data: base patterns, and identifiers found by bootstrapped contextual extraction.
 
-The base finds e-mail and IP addresses, payment cards and phone numbers. What it finds seeds the method:
-the words around a seed make a lexical pattern (one or two words before, or one before and one after), and
+The base finds e-mail and IP addresses, payment cards and phone numbers. What it finds seeds the method, and so do
+secrets that their form gives away (hexadecimal runs of 32 or more with letters and digits), a kind that only the
+method has. The words around a seed make a lexical pattern (one or two words before, or one before and one after), and
 any run of words that hold a digit or an @ can be an instance of a pattern; the words of a base span are one
 instance. On the graph of patterns and instances of the whole corpus, scores run to and fro: a pattern is
 worth the mean score of its instances, an instance the best of its other patterns, seeds keep 1. Instances
 of patterns of a high score and enough different seeds are personal data of the patterns' kind, and seeds of
-further patterns; their spans are added under the kind's name with "ctx_" before it.
+further patterns, round by round until a round finds nothing new; their spans are added under the kind's name with "ctx_" before it.
 
 Everything is DataFrame work. Only texts with a digit or an @ are searched, and the graph has one row for
 each pattern and instance, so that common contexts and copies are counted, not repeated.
@@ -28,6 +29,8 @@ PATTERNS = (
     ("card", r"[0-9](?:[\x20-]?[0-9])++"),
     ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"),
 )
+#: Seeds that the method adds to those of the base.
+SEEDS = (("secret", r"(?<![0-9A-Za-z])(?=[0-9]*+[A-Fa-f])(?=[A-Fa-f]*+[0-9])[0-9A-Fa-f]{32,}+(?![0-9A-Za-z])"),)
 #: Words that hold a digit or an @.
 DIGIT_WORD = r"(?<![^\x20\x09-\x0D])(?=[^\x20\x09-\x0D0-9@]*+[0-9@])[^\x20\x09-\x0D]++"
 SPAN = "array<struct<start:int,stop:int,value:string>>"
@@ -93,25 +96,32 @@ def _joined(kind: str, spans: Column) -> Column:
     return F.transform(spans, lambda s: F.concat_ws(":", F.lit(kind), s["start"].cast("string"), s["stop"].cast("string")))
 
 
+def _short(value: Column) -> Column:
+    """A value to compare with others: very long ones by their hash."""
+    return F.when(F.length(value) > 200, F.sha2(value, 256)).otherwise(value)
+
+
 def context(spans: Column, between: Column) -> Column:
     """spans (from located()) with before2, before and after: the words beside them, lower-cased; joined: whether
     only spaces part a span from the one before.
 
-    between: the pieces around the spans; only what stands right before and after is looked at.
+    between: the pieces around the spans; the whole words beside a span count, at any distance. A match starts at
+    the start of a word only, so that a piece is read once.
     """
     word, gap = r"[^\x20\x09-\x0D]++", r"[\x20\x09-\x0D]++"
+    start = r"(?<![^\x20\x09-\x0D])"
 
     def around(s: Column, i: Column) -> Column:
-        ahead = F.lower(F.right(F.get(between, i), F.lit(120)))
-        behind = F.lower(F.left(F.get(between, i + 1), F.lit(120)))
+        ahead, behind = F.get(between, i), F.get(between, i + 1)
+        found = lambda text, pattern: _short(F.lower(F.regexp_extract(text, pattern, 1)))
         return F.struct(
             s["start"].alias("start"),
             s["stop"].alias("stop"),
             s["value"].alias("value"),
-            F.regexp_extract(ahead, f"({word}){gap}{word}{gap}$", 1).alias("before2"),
-            F.regexp_extract(ahead, f"({word}){gap}$", 1).alias("before"),
-            F.regexp_extract(behind, f"^{gap}({word})", 1).alias("after"),
-            F.get(between, i).rlike(f"^{gap}$").alias("joined"),
+            found(ahead, f"{start}({word}){gap}{word}{gap}\\z").alias("before2"),
+            found(ahead, f"{start}({word}){gap}\\z").alias("before"),
+            found(behind, f"\\A{gap}({word})").alias("after"),
+            ahead.rlike(f"\\A{gap}\\z").alias("joined"),
         )
 
     return F.transform(spans, around)
@@ -135,7 +145,7 @@ def instances() -> Column:
     return F.zip_with(F.filter(places, begins), F.filter(places, lambda i: (i == size - 1) | begins(i + 1)), whole)
 
 
-def bootstrap(candidates: DataFrame, rounds: int = 3, seeds: int = 5, confidence: float = 0.8) -> DataFrame:
+def bootstrap(candidates: DataFrame, rounds: int = 10, seeds: int = 5, confidence: float = 0.8) -> DataFrame:
     """candidates with ``kind`` null found to be personal data: their rows, with the kind of their best pattern.
 
     candidates: key, text_hash, start, stop, value, before2, before, after, kind (null: not a seed). A
@@ -147,7 +157,7 @@ def bootstrap(candidates: DataFrame, rounds: int = 3, seeds: int = 5, confidence
         F.when(F.col("before").rlike("[:=#]$"), F.concat_ws(" ", F.lit("1"), "before")),
         F.when((F.col("before") != "") & (F.col("after") != ""), F.concat_ws(" ", F.lit("b"), "before", F.lit("_"), "after")),
     )
-    value = F.when(F.length("value") > 200, F.sha2(F.col("value"), 256)).otherwise(F.col("value")).alias("value")
+    value = _short(F.col("value")).alias("value")
     edges = candidates.select(F.explode(F.array_compact(patterns)).alias("pattern"), value, "kind")
     edges = materialize(edges.groupBy("pattern", "value").agg(F.max("kind").alias("kind")))
     # Patterns of fewer values can never have enough seeds.
@@ -156,18 +166,21 @@ def bootstrap(candidates: DataFrame, rounds: int = 3, seeds: int = 5, confidence
     base = edges.where("kind IS NOT NULL").select("pattern", F.col("kind").alias("of"))
     own = F.when(F.col("kind") == F.col("of"), 1.0).when(F.col("kind").isNotNull(), 0.0)
     worth = F.when(F.col("by") != F.col("pattern"), F.col("best")).otherwise(F.col("second"))
-    found = None
+    found, good = None, None
     for _ in range(rounds + 1):
         known = base if found is None else base.union(edges.where("kind IS NULL").join(found, "value").where(worth >= confidence).select("pattern", "of"))
         seeded = known.groupBy("pattern", "of").agg(F.count("*").alias("n_seeds")).where(F.col("n_seeds") >= seeds)
         kinds = seeded.groupBy("pattern").agg(F.max(F.struct("n_seeds", "of"))["of"].alias("of"))
-        graph = materialize(edges.join(kinds, "pattern"))
+        graph = materialize(edges.join(kinds, "pattern"), *((graph,) if found is not None else ()))
         each = graph.withColumn("worth", own) if found is None else graph.join(found, ["value", "of"], "left").withColumn("worth", F.coalesce(own, worth))
         scores = materialize(each.groupBy("pattern", "of").agg(F.avg(F.coalesce("worth", F.lit(0.0))).alias("score")))
+        before, good = good, scores.where(F.col("score") >= confidence).count()
+        if good == before:
+            break
         ranked = materialize(graph.where("kind IS NULL").join(scores.select("pattern", "score"), "pattern"))
         top = ranked.groupBy("value", "of").agg(F.max(F.struct("score", "pattern")).alias("t")).select("value", "of", F.col("t.score").alias("best"), F.col("t.pattern").alias("by"))
         second = F.max(F.when(F.col("pattern") != F.col("by"), F.col("score"))).alias("second")
-        found = materialize(ranked.join(top, ["value", "of"]).groupBy("value", "of", "best", "by").agg(second))
+        found = materialize(ranked.join(top, ["value", "of"]).groupBy("value", "of", "best", "by").agg(second), ranked, *((found,) if found is not None else ()))
     strong = materialize(scores.where(F.col("score") >= confidence).select("pattern", F.col("of").alias("found"), "score"))
     open_rows = candidates.where("kind IS NULL").select("*", F.explode(F.array_compact(patterns)).alias("pattern"))
     hit = open_rows.join(strong, "pattern").groupBy("key", "text_hash", "start", "stop").agg(F.max(F.struct("score", "found"))["found"].alias("kind"))
@@ -175,24 +188,24 @@ def bootstrap(candidates: DataFrame, rounds: int = 3, seeds: int = 5, confidence
 
 
 def find(docs: DataFrame, text: str = "text", key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
-    """Two DataFrames: (key, text_hash, email, ip, card, phone), arrays of (start, stop, value), one row for each
-    row of docs, and (key, text_hash, kind, start, stop): what the method adds, none of it overlapping a base span.
+    """Two DataFrames: (key, text_hash, email, ip, card, phone, secret), arrays of (start, stop, value), one row for each
+    row of docs, and (key, text_hash, kind, start, stop): what contexts add, none of it overlapping another span.
 
-    Null texts count as empty. Rows that repeat key and text repeat their base row; their added rows come once.
-    An empty table gives no rows.
+    Null texts count as empty; texts may have any length. Rows that repeat key and text repeat their base row; their
+    added rows come once. Other columns of docs, whatever their names, are not looked at. An empty table gives no rows.
     """
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("text_hash"), body.alias("body"))
     rows = rows.withColumn("worth", F.col("body").rlike("[0-9@]"))
     needs = {"email": F.contains("body", F.lit("@")), "phone": F.contains("body", F.lit("+"))}
-    searched = [*PATTERNS, ("words", DIGIT_WORD)]
+    searched = [*PATTERNS, *SEEDS, ("words", DIGIT_WORD)]
     for part, cut in (("f", lambda p: F.regexp_extract_all("body", F.lit(p), 0)), ("b", lambda p: F.split("body", p, -1))):
         rows = rows.withColumns({f"{part}_{kind}": F.when(F.col("worth") & needs.get(kind, F.lit(True)), cut(p)).otherwise(F.array().cast("array<string>")) for kind, p in searched})
     rows = rows.withColumns({f"z_{kind}": gaps(F.col(f"f_{kind}"), F.col(f"b_{kind}")) for kind, _ in searched})
     rows = rows.withColumns({f"s_{kind}": located(F.col(f"z_{kind}")) for kind, _ in searched})
-    base = [_kept(kind, F.col(f"s_{kind}")).alias(kind) for kind, _ in PATTERNS]
+    base = [_kept(kind, F.col(f"s_{kind}")).alias(kind) for kind, _ in (*PATTERNS, *SEEDS)]
     rows = rows.select("key", "text_hash", *base, context(F.col("s_words"), F.col("b_words")).alias("words"))
-    spans = F.concat(*[_named(kind) for kind, _ in PATTERNS]).cast("array<struct<kind:string,b:int,e:int>>")
+    spans = F.concat(*[_named(kind) for kind, _ in (*PATTERNS, *SEEDS)]).cast("array<struct<kind:string,b:int,e:int>>")
     seen = materialize(rows.select("*", spans.alias("spans")))
 
     over = lambda w: F.get(F.filter("spans", lambda s: (s["b"] < w["stop"]) & (s["e"] > w["start"])), F.lit(0))
@@ -208,13 +221,15 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = F.sort_array(F.collect_list(F.struct("kind", "start", "stop")))
     more = materialize(added.groupBy("key", "text_hash").agg(order.alias("more")))
     out = join_texts(seen, more, "left")
-    names = [kind for kind, _ in PATTERNS]
+    names, seeds = [kind for kind, _ in PATTERNS], [kind for kind, _ in SEEDS]
     base = F.concat(*[_joined(kind, F.col(kind)) for kind in names])
     extra = F.transform("more", lambda s: F.concat_ws(":", F.concat(F.lit("ctx_"), s["kind"]), s["start"].cast("string"), s["stop"].cast("string")))
+    every = F.concat(base, *[_joined(kind, F.col(kind)) for kind in seeds], F.coalesce(extra, F.array().cast("array<string>")))
     return out.select(
         F.col("key").alias("doc_id"),
-        *[F.size(kind).cast("long").alias(f"n_{kind}") for kind in names],
+        *[F.size(kind).cast("long").alias(f"n_{kind}") for kind in (*names, *seeds)],
         F.sha2(F.array_join(base, ",").cast("binary"), 256).alias("base_sha256"),
-        F.array_join(F.concat(base, F.coalesce(extra, F.array().cast("array<string>"))), ",").alias("spans"),
+        F.array_join(every, ",").alias("spans"),
         F.coalesce(F.size("more"), F.lit(0)).cast("long").alias("n_added"),
+        F.size(every).cast("long").alias("n_spans"),
     )
