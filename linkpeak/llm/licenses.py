@@ -1,17 +1,22 @@
 """Licence scans with a positional index of rare words.
 
-Every licence template is indexed by its few rarest words, by inverse document frequency over the whole
-corpus, and their places in it. A file is looked up by the index words it holds; two of them that agree on
-where the template would start make a place a candidate. Each candidate is then compared word by word with
-the template, and the template's mandatory phrases must stand there.
+Templates are whole licence texts and short notices, with phrases that must stand in a match (and, to tell versions
+apart, some that must not). A file is looked up by the rarest of the licence words it holds, by inverse document
+frequency over the whole corpus: their places in a template and in the file tell where the template would start. Two
+of them that agree on that within a tolerance for inserted and lost words make a place a candidate. The two rarest
+words of a template's first phrase are always looked up, and they stand at the same distance in any match, so that
+none is missed. Each candidate is then compared by pairs of neighbouring words, and the phrases are verified.
 
 All of it is DataFrame work: one pass over the texts counts words and notes which template words they
-hold; only files with two index words of one template are read again.
+hold; only files with all words of a template's phrases are read again.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import re
+from pathlib import Path
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkpeak.llm.common import join_texts, lower_ascii, materialize, table
@@ -20,24 +25,17 @@ from linkpeak.llm.common import join_texts, lower_ascii, materialize, table
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Phrase and label of the base scan.
 BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
-#: (label, template, mandatory phrases): notices as they stand in files, in words.
-TEMPLATES = (
-    ("mit", "released under the mit license", ("mit license",)),
-    ("mit", "this project is licensed under the mit license", ("mit license",)),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", ("permission is hereby granted free of charge", "associated documentation files")),
-    ("apache-2", "licensed under the apache license version 2 0", ("apache license version 2",)),
-    ("gpl-3", "this work is licensed under the gnu general public license version 3", ("gnu general public license",)),
-    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license", ("gnu general public license",)),
-    ("lgpl", "under the terms of the gnu lesser general public license", ("gnu lesser general public license",)),
-    ("agpl-3", "under the terms of the gnu affero general public license version 3", ("gnu affero general public license",)),
-    ("cc-by-nc", "licensed under cc by nc 4 0", ("cc by nc",)),
-    ("cc-by-sa", "licensed under cc by sa 4 0", ("cc by sa",)),
-    ("cc-by", "licensed under a creative commons attribution 4 0 international license", ("creative commons attribution",)),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", ("redistribution and use in source and binary forms",)),
-    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0", ("mozilla public license",)),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ("for any purpose with or without fee",)),
-    ("unlicense", "this is free and unencumbered software released into the public domain", ("released into the public domain",)),
-)
+
+
+def license_templates(path: str | Path = Path(__file__).with_name("license_texts.txt")) -> list[tuple[str, str, list[str], list[str]]]:
+    """(label, words, phrases that must stand in a match, phrases that must not) of each record of a file."""
+    plain = lambda text: " ".join(re.split(GAP, text.lower())).strip()
+    out = []
+    for record in re.split(r"^== ", Path(path).read_text(encoding="utf-8"), flags=re.MULTILINE)[1:]:
+        label, *lines = record.strip().split("\n")
+        must, never = ([plain(x[2:]) for x in lines if x.startswith(sign)] for sign in ("+ ", "- "))
+        out.append((label.strip(), plain(" ".join(x for x in lines if not x.startswith(("+ ", "- ")))), must, never))
+    return out
 
 
 def normal_words(text: Column) -> Column:
@@ -68,61 +66,83 @@ def _base(normal: Column, hits: Column, n_words: Column, base: tuple[tuple[str,
     return F.array_compact(F.array(*found))
 
 
+def _pairs(words: Column) -> Column:
+    """The distinct pairs of neighbouring words."""
+    ahead = F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0)))
+    return F.array_distinct(F.zip_with(ahead, F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b)))
+
+
 def scan(
     docs: DataFrame,
     text: str = "text",
     key: str = "doc_id",
-    templates: tuple = TEMPLATES,
+    templates: list | None = None,
     base: tuple[tuple[str, str], ...] = BASE,
-    rare: int = 4,
+    rare: int = 6,
     least: float = 0.6,
 ) -> tuple[DataFrame, DataFrame]:
     """Two DataFrames: (key, text_hash, n_words, base: array of (label, n, first, last)) with one row for each
-    row of docs, and (key, text_hash, label, first_word, score): where the method finds a template, and the share of its words that agree.
+    row of docs, and (key, text_hash, label, first_word, score): about where the method finds a template, and the
+    share of its pairs of neighbouring words that stand there.
 
-    Null texts count as empty: no words, no places. Rows that repeat key and text repeat their base row;
-    their method rows come once. A null key is a key like any other. An empty table gives no rows.
+    Null texts count as empty: no words, no places; texts may have any length. Rows that repeat key and text repeat
+    their base row; their method rows come once. A null key is a key like any other. Other columns, whatever their
+    names, are not looked at. An empty table gives no rows.
     """
     spark = docs.sparkSession
-    rows = [(t, label, words.split(), list(must)) for t, (label, words, must) in enumerate(templates)]
-    known = spark.createDataFrame(rows, "template int, label string, words array<string>, must array<string>")
-    vocabulary = sorted({w for _, _, words, _ in rows for w in words} | {w for phrase, _ in base for w in phrase.split()})
+    rows = [(t, label, words.split(), must, never, sorted({w for phrase in must for w in phrase.split()})) for t, (label, words, must, never) in enumerate(license_templates() if templates is None else templates)]
+    vocabulary = sorted({w for row in rows for w in row[2]} | {w for phrase, _ in base for w in phrase.split()})
     source = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("text_hash"), normal_words(F.col(text)).alias("normal"))
     parsed = source.withColumn("words", F.split(F.lower("normal"), " ")).withColumn("hits", F.array_intersect("words", F.array(*[F.lit(w) for w in vocabulary])))
     n_words = F.when(F.col("normal") == "  ", 0).otherwise(F.size("words") - 2).cast("long")
     seen = materialize(parsed.select("key", "text_hash", n_words.alias("n_words"), _base(F.col("normal"), F.col("hits"), n_words, base).alias("base"), "hits"))
 
-    held = seen.select("key", "text_hash", F.explode("hits").alias("word"))
-    frequency = held.groupBy("word").agg(F.count("*").alias("df"))
-    places = known.select("template", F.posexplode("words").alias("at", "word"))
-    by_rarity = Window.partitionBy("template").orderBy(F.coalesce("df", F.lit(0)), "word")
-    index_words = places.select("template", "word").distinct().join(frequency, "word", "left").withColumn("_r", F.row_number().over(by_rarity)).where(F.col("_r") <= rare)
-    index = materialize(index_words.select("template", "word").join(places, ["template", "word"]))
-
-    likely = held.join(index.select("template", "word").distinct(), "word").groupBy("key", "text_hash", "template").agg(F.countDistinct("word").alias("n")).where("n >= 2")
-    likely = materialize(likely.select("key", "text_hash", "template"))
+    # One row for each word of the templates; the templates are a small fixed list, by rarity in the corpus.
+    frequency = {r["word"]: r["df"] for r in seen.select(F.explode("hits").alias("word")).groupBy("word").agg(F.count("*").alias("df")).collect()}
+    rarity = lambda words: sorted(set(words), key=lambda w: (frequency.get(w, 0), w))
+    known, postings = [], []
+    for t, label, words, must, never, needed in rows:
+        slack = max(4, len(words) // 5)
+        known.append((t, label, words, must, never, needed, rarity(needed)[0], rarity(must[0].split())[:2], rarity(words), slack))
+        postings += [(t, w, at) for at, w in enumerate(words)]
+    shape = "template int, label string, template_words array<string>, must array<string>, never array<string>, needed array<string>, anchor string, leads array<string>, by_rarity array<string>, slack int"
+    known = F.broadcast(spark.createDataFrame(known, shape))
+    postings = F.broadcast(spark.createDataFrame(postings, "template int, word string, place int"))
+
+    # A file must hold all words of the phrases; the rarest of them is looked up, the others are compared.
+    likely = seen.select("key", "text_hash", "hits", F.explode("hits").alias("anchor")).join(known, "anchor").where(F.size(F.array_except("needed", "hits")) == 0)
+    best = F.slice(F.filter("by_rarity", lambda w: F.array_contains("hits", w)), 1, rare)
+    likely = materialize(likely.select("key", "text_hash", "template", F.array_union("leads", best).alias("chosen")).distinct())
     wanted = likely.select("key", "text_hash").distinct()
     files = join_texts(source, wanted, "left_semi").select("key", "text_hash", F.split(lower_ascii(F.col("normal")), " ").alias("words")).dropDuplicates(["key", "text_hash"])
     files = materialize(files)
 
-    spots = files.select("key", "text_hash", F.posexplode("words").alias("at", "word")).join(index.withColumnRenamed("at", "place"), "word")
-    spots = spots.groupBy("key", "text_hash", "template", (F.col("at") - F.col("place")).alias("start")).agg(F.countDistinct("word").alias("n")).where("n >= 2").drop("n")
-    spots = spots.join(known.withColumnRenamed("words", "template_words"), "template")
+    asked = likely.groupBy("key", "text_hash").agg(F.collect_list(F.struct("template", "chosen")).alias("asked"))
+    told = join_texts(files, asked)
+    words = F.array_distinct(F.flatten(F.transform("asked", lambda a: a["chosen"])))
+    spots = told.withColumn("any", words).select("key", "text_hash", "asked", F.explode(F.filter(F.transform("words", lambda w, i: F.when(F.array_contains("any", w), F.struct(i.alias("at"), w.alias("word")))), lambda x: x.isNotNull())).alias("x"))
+    spots = spots.select("key", "text_hash", "x.*", F.explode("asked").alias("a")).where(F.array_contains("a.chosen", F.col("word")))
+    spots = spots.select("key", "text_hash", "at", "word", F.col("a.template").alias("template")).join(postings, ["template", "word"]).join(known.select("template", "slack"), "template")
+    # Starts that differ by slack at most share a bin of one of two ways to cut.
+    spots = spots.withColumn("start", F.col("at") - F.col("place")).withColumn("way", F.explode(F.array(F.lit(0), F.lit(1))))
+    spots = spots.groupBy("key", "text_hash", "template", "way", F.floor((F.col("start") + F.col("way") * F.col("slack")) / (2 * F.col("slack"))).alias("bin")).agg(F.countDistinct("word").alias("n"), F.min("start").alias("start")).where("n >= 2")
+    spots = spots.select("key", "text_hash", "template", "start").distinct().join(known, "template")
     told = join_texts(files.withColumnRenamed("words", "file"), spots)
-    agree = F.aggregate(F.transform("template_words", lambda w, i: (F.try_element_at("file", F.greatest(F.col("start") + i + 1, F.lit(1))).eqNullSafe(w)).cast("int")), F.lit(0), lambda a, x: a + x)
-    here = F.array_join(F.slice("file", F.greatest(F.col("start") + 1, F.lit(1)), F.size("template_words")), " ")
-    stands = F.forall("must", lambda m: F.contains(F.concat(F.lit(" "), here, F.lit(" ")), F.concat(F.lit(" "), m, F.lit(" "))))
-    told = told.withColumns({"score": agree / F.size("template_words"), "whole": stands})
     # The first element of a split is what stands before the first word: the empty string.
-    method = told.where(F.col("whole") & (F.col("score") >= least)).select("key", "text_hash", "label", (F.col("start") - 1).alias("first_word"), "score")
-    return seen.drop("hits"), method
+    here = F.slice("file", F.greatest(F.col("start") - F.col("slack"), F.lit(1)), F.size("template_words") + 4 * F.col("slack"))
+    told = told.withColumn("here", here).withColumn("line", F.concat(F.lit(" "), F.array_join("here", " "), F.lit(" ")))
+    holds = lambda phrase: F.contains("line", F.concat(F.lit(" "), phrase, F.lit(" ")))
+    pairs = _pairs(F.col("template_words"))
+    told = told.withColumns({"score": F.size(F.array_intersect(pairs, _pairs(F.col("here")))) / F.size(pairs), "whole": F.forall("must", holds) & ~F.exists("never", holds)})
+    method = told.where(F.col("whole") & (F.col("score") >= least)).select("key", "text_hash", "label", F.greatest(F.col("start") - 1, F.lit(0)).alias("first_word"), "score")
+    return seen.drop("hits"), materialize(method.distinct(), likely, files)
 
 
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence labels of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     seen, method = scan(docs)
-    added = materialize(method.groupBy("key", "text_hash").agg(F.collect_set("label").alias("found"), F.max("score").alias("score")))
+    added = materialize(method.groupBy("key", "text_hash").agg(F.collect_set("label").alias("found"), F.max("score").alias("score")), method)
     out = join_texts(seen, added, "left")
     labels = F.transform("base", lambda b: b["label"])
     joined = lambda c: F.array_join(F.sort_array(F.array_distinct(c)), ",")
