@@ -1,12 +1,16 @@
 """URL filters: rules first, then a logistic regression on hashed character n-grams of host and path.
 
-The model learns from a small table of labelled URLs, given as rows or built by rule here. It is a weight
-vector of fixed length, so every task can carry it; scoring is a sum over the n-grams of each URL.
+The model learns from a small table of labelled URLs, given as rows or that of url_labels.csv beside this module. It
+is a weight vector of fixed length, so every task can carry it; scoring is a sum over the n-grams of each URL that no
+rule decides.
 """
 
 from __future__ import annotations
 
+import csv
+import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -17,7 +21,7 @@ from linkpeak.llm.common import table
 
 #: Length of the weight vector.
 DIMS = 1 << 13
-#: At most so many labelled rows are learned from.
+#: At most so many labelled rows are learned from, those of the smallest hashes.
 MAX_LABELLED = 100_000
 
 #: (verdict, host, start of the path); the longest host + path that fits decides.
@@ -54,28 +58,25 @@ def grams(host: str, path: str) -> np.ndarray:
     return np.fromiter(found, dtype=np.int64)
 
 
-def labelled_urls() -> list[tuple[str, str, int]]:
-    """(host, path, 1 to block): a small table from words that mark junk hosts and paths, and from plain ones."""
-    bad_hosts = ["spam-farm", "cheap-pills", "casino-win", "free-download", "adult-cams", "crack-keys", "click-track", "ad-server"]
-    bad_paths = ["/casino/bonus", "/viagra/buy", "/xxx/video", "/track/click", "/ads/banner", "/free-download/crack"]
-    good_hosts = ["news", "docs", "library", "university", "m", "blog", "www", "shop", "forum", "wiki", "museum", "data"]
-    good_paths = ["/en/articles/12", "/fr/825", "/de/58", "/es/533", "/docs/guide.html", "/wiki/page", "/about", "/research/paper", "/", ""]
-    ends = ["example.com", "example.net", "example.org", "site.info"]
-    rows = [(f"{h}.{e}", p, 1) for h in bad_hosts for e in ends for p in good_paths[:4] + bad_paths[:2]]
-    rows += [(f"{h}.{e}", p, 1) for h in good_hosts[:6] for e in ends for p in bad_paths]
-    rows += [(f"{h}.{e}", p, 0) for h in good_hosts for e in ends for p in good_paths]
-    rows += [(f"{a}{b}.{e}", p, 0) for a in ("th", "er", "in", "on", "re") for b in ("tion", "ther", "ouin", "anda") for e in ends for p in good_paths[1:4]]
-    return rows
+def labelled_urls(path: str | Path = Path(__file__).with_name("url_labels.csv")) -> list[tuple[str, str, int]]:
+    """(host, path, 1 to block) of a small table with columns url and block."""
+    with open(path, encoding="utf-8", newline="") as lines:
+        rows = [(re.fullmatch(r"[^:]*://([^/?#]*)([^?#]*).*", r["url"]).groups(), int(r["block"])) for r in csv.DictReader(lines)]
+    return [(host.lower(), rest, block) for (host, rest), block in rows]
 
 
-def fit(rows: list[tuple[str, str, int]], steps: int = 150, rate: float = 0.5, l2: float = 1e-4) -> np.ndarray:
-    """Weights (DIMS, then the bias) by AdaGrad over the whole table, the two classes in balance."""
-    rows = rows[:MAX_LABELLED]
+def fit(rows: list[tuple[str, str, int]], steps: int = 300, rate: float = 0.5, l2: float = 1e-4, good: float = 0.65) -> np.ndarray:
+    """Weights (DIMS, then the bias) by AdaGrad over the whole table. Rows to allow have the share ``good`` of all
+    weight: to block a good page is worse than to let a bad one through. Repeated rows count
+    once, and the order of rows plays no part; without rows every URL scores 0.5."""
+    rows = sorted(set(rows), key=lambda r: (zlib.crc32(f"{r[0]} {r[1]}".encode()), r))[:MAX_LABELLED]
+    if not rows:
+        return np.zeros(DIMS + 1)
     slots = [grams(h, p) for h, p, _ in rows]
     at, label = np.repeat(np.arange(len(rows)), [len(s) for s in slots]), np.array([y for *_, y in rows], dtype=np.float64)
     slot = np.concatenate(slots)
     value = 1 / np.sqrt(np.bincount(at, minlength=len(rows)))[at]
-    share = np.where(label == 1, 0.5 / max(label.sum(), 1), 0.5 / max((1 - label).sum(), 1))
+    share = np.where(label == 1, (1 - good) / max(label.sum(), 1), good / max((1 - label).sum(), 1))
     w, bias, seen, seen_bias = np.zeros(DIMS), 0.0, np.full(DIMS, 1e-8), 1e-8
     for _ in range(steps):
         p = 1 / (1 + np.exp(-(np.bincount(at, weights=w[slot] * value, minlength=len(rows)) + bias)))
@@ -89,11 +90,14 @@ def fit(rows: list[tuple[str, str, int]], steps: int = 150, rate: float = 0.5, l
 
 
 def score_udf(weights: np.ndarray):
-    """Probability (0 to 1) that a (host, path) is to be blocked. Without host and path it is that of the empty URL."""
+    """Probability (0 to 1) that a (host, path) is to be blocked; null for a null host. Without host and path it is
+    that of the empty URL."""
 
     @F.pandas_udf("double")
     def score(host: pd.Series, path: pd.Series) -> pd.Series:
-        def one(h: str, p: str) -> float:
+        def one(h: str | None, p: str) -> float | None:
+            if h is None:
+                return None
             s = grams(h, p)
             return 1 / (1 + np.exp(-(weights[s].sum() / np.sqrt(len(s)) + weights[-1])))
 
@@ -103,17 +107,19 @@ def score_udf(weights: np.ndarray):
 
 
 def filter_urls(pages: DataFrame, url: str = "url", rows: list[tuple[str, str, int]] | None = None, rules: tuple[tuple[str, str, str], ...] = RULES, threshold: float = 0.5) -> DataFrame:
-    """pages with host, path, rule, score and verdict (allow or block); these replace columns of the same names.
+    """pages with host, path, rule, score and verdict (allow or block); these replace columns of the same names, all
+    other columns stay. score is null where a rule decides.
 
-    Null URLs and URLs without "://" have an empty host and path; no rule fits them and the model decides.
-    Each row is judged alone, so that repeats get the same verdict; an empty table stays empty.
+    Null URLs and URLs without "://" have an empty host and path; no rule fits them and the model decides. URLs may
+    have any length. Each row is judged alone, so that repeats get the same verdict; an empty table stays empty.
     """
     weights = fit(labelled_urls() if rows is None else rows)
     link = F.col(url)
     host, path = split_url(link)
     out = pages.withColumns({"host": host, "path": path})
     name, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    out = out.withColumns({"score": score_udf(weights)("host", "path"), "rule": name, "verdict": verdict})
+    # The three columns come at once, so that none of them replaces one that another reads.
+    out = out.withColumns({"score": score_udf(weights)(F.when(name.isNull(), F.col("host")), "path"), "rule": name, "verdict": verdict})
     return out.withColumn("verdict", F.coalesce("verdict", F.when(F.col("score") >= threshold, "block").otherwise("allow")))
 
 
