@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from linkpeak.llm.common import WORD, hash01, materialize, table
+from linkpeak.llm.common import WORD, discard, hash01, masked, materialize, table, unmasked
 
 #: Bins of each of the three histograms, one inside the other, that locate the limit of a source.
 BINS = 1024
@@ -71,11 +71,13 @@ def balance(sizes: DataFrame, targets: DataFrame, cap: float, tolerance: float =
     start = F.try_divide(F.ln(F.try_divide("target", "source_size")), F.try_divide("squares", F.col("source_size") * mean))
     state = materialize(targets.select("*", mean.alias("mean"), (F.col("target") >= F.col("source_size") * cap * (1 - 1e-12)).alias("full"), F.coalesce(start, F.lit(0.0)).alias("tilt"), F.lit(None).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi")))
     counts = materialize(sizes.where("size > 0").groupBy("skey", "size").agg(F.count("*").alias("_c")))
+    # Sums of decimals do not depend on the order of rows, so that reruns agree to the last digit.
+    exact = lambda c: F.sum(c.cast("decimal(28,9)")).cast("double")
     for _ in range(max_steps):
         z = F.col("size") / F.col("mean")
         words = F.col("_c") * F.col("size") * _rate(cap, z, F.col("full"), F.col("tilt"))
         slope = F.when((F.exp(F.least(F.col("tilt") * z, F.lit(50.0))) < cap) & ~F.col("full"), words * z).otherwise(0.0)
-        sums = counts.join(state.select("skey", "mean", "full", "tilt"), "skey").groupBy("skey").agg(F.sum(words).alias("_words"), F.sum(slope).alias("_slope"))
+        sums = counts.join(state.select("skey", "mean", "full", "tilt"), "skey").groupBy("skey").agg(exact(words).alias("_words"), exact(slope).alias("_slope"))
         state = state.join(sums, "skey", "left").withColumn("_miss", F.coalesce(F.col("_words"), F.lit(0.0)) - F.col("target"))
         done = F.col("full") | (F.abs("_miss") <= tolerance * F.greatest(F.col("target"), F.lit(1.0)))
         state = state.withColumns({"_done": done, "lo": F.when(F.col("_miss") < 0, F.col("tilt")).otherwise(F.col("lo")), "hi": F.when(F.col("_miss") > 0, F.col("tilt")).otherwise(F.col("hi"))})
@@ -88,6 +90,9 @@ def balance(sizes: DataFrame, targets: DataFrame, cap: float, tolerance: float =
         if not state.where(~F.col("_done")).limit(1).count():
             break
         state = state.drop("_done")
+    else:
+        raise RuntimeError(f"no balance after {max_steps} steps")
+    discard(counts)
     return state.select(*targets.columns, "mean", "full", "tilt")
 
 
@@ -128,28 +133,35 @@ def extra_limits(rows: DataFrame, state: DataFrame) -> DataFrame:
     return last.select("skey", F.when(F.col("_need") * 2 > F.col("_last"), F.col("_lo") + F.col("_width")).otherwise(F.col("_lo")).alias("limit"))
 
 
-def mix(docs: DataFrame, weights: list[float] = (3.0, 1.0, 2.0), share: float = 1.5, cap: float = 2.0, seed: int = 11, text: str = "text", source: str = "source", key: str = "doc_id") -> DataFrame:
-    """docs with size, source_size, target, rate and copies (long); see the module for the method.
-
-    Targets come from all rows. Null texts have size 0 and, like empty ones, one copy that adds no words.
-    Null sources are one source. Rows with equal key, source and size fare alike. An empty table stays empty.
-    Added columns replace columns of docs of the same names.
-    """
-    sized = docs.withColumns({"size": word_count(F.col(text)), "skey": source_key(F.col(source))})
-    narrow = materialize(sized.select(F.col(source).alias("source"), "skey", "size", hash01(F.col(key), "size", "skey", seed=seed).alias("_u")))
+def _rated(docs: DataFrame, weights: list[float] = (3.0, 1.0, 2.0), share: float = 1.5, cap: float = 2.0, seed: int = 11, text: str = "text", source: str = "source", key: str = "doc_id") -> tuple[DataFrame, dict[str, str]]:
+    """docs, masked, with the columns that mix() adds, and the masked names."""
+    given, names = masked(docs)
+    own = F.col(names[source])
+    sized = given.withColumns({"size": word_count(F.col(names[text])), "skey": source_key(own)}).withColumn("_u", hash01(F.col(names[key]), "size", "skey", seed=seed))
+    narrow = materialize(sized.select(own.alias("source"), "skey", "size", "_u"))
     state = materialize(balance(narrow, materialize(source_targets(narrow, list(weights), share, cap)), cap))
     limits = materialize(extra_limits(_with_priority(narrow.join(state.drop("weight", "n", "squares"), "skey"), cap), state))
-    rates = materialize(state.join(limits, "skey").select("skey", "source_size", "target", "mean", "full", "tilt", "limit"))
-    helpers = ["skey", "mean", "full", "tilt", "limit", "_u", "_whole", "_part", "_p"]
-    sized = sized.drop("source_size", "target", "rate", "copies", *[h for h in helpers if h != "skey"]).withColumn("_u", hash01(F.col(key), "size", "skey", seed=seed))
-    out = _with_priority(sized.join(rates, "skey"), cap)
+    rates = materialize(state.join(limits, "skey").select("skey", "source_size", "target", "mean", "full", "tilt", "limit"), narrow)
     copies = F.col("_whole") + F.when(F.col("_p") < F.col("limit"), 1).otherwise(0)
-    return out.withColumn("copies", copies.cast("long")).drop(*helpers)
+    return _with_priority(sized.join(rates, "skey"), cap).withColumn("copies", copies.cast("long")), names
+
+
+def mix(docs: DataFrame, **options) -> DataFrame:
+    """docs with size, source_size, target, rate and copies (long); see the module for the method, and _rated() for
+    the options: weights of the sources in turn, share of all sizes, cap, seed, and the names of columns.
+
+    Targets come from all rows. Null texts have size 0 and, like empty ones, one copy that adds no words; texts may
+    have any length. Null sources are one source. Rows with equal key, source and size fare alike. An empty table
+    stays empty. Added columns replace columns of docs of the same names; all other columns stay, whatever their names.
+    """
+    out, names = _rated(docs, **options)
+    return unmasked(out, names, "size", "source_size", "target", "rate", "copies")
 
 
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
-    """The mixture itself: each row of docs as often as it has copies, with the columns of docs."""
-    return mix(docs, **options).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.greatest(F.col("copies"), F.lit(1))))).where("copies > 0").select(*docs.columns)
+    """The mixture itself: each row of docs as often as it has copies, with the columns of docs as they are."""
+    out, names = _rated(docs, **options)
+    return unmasked(out.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))), names)
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
