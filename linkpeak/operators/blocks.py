@@ -1,14 +1,19 @@
-"""Finite route changes under many failure scenarios, by blocks of prefixes.
+"""Worst-case loads by blocks of prefixes: the main path of an analysis.
 
-The plans of loads.py hold a row for each scenario, prefix and link. With many scenarios that is far more than
-the result, so here a task takes a block of prefixes (a matrix of demand by source) and a scenario, and gives
-out, for each link, the sum of current loads and the k largest changes of the block. Spark deals the pairs of blocks and
-scenarios over the cluster, sums up, and ranks the changes of all blocks once more. The results are those of loads.py.
+The plans of loads.py hold a row for each scenario, prefix and link, and on their way one for each source and root as
+well. That is far more than the result, so here a task takes blocks of prefixes (matrices of demand by source) and
+failure scenarios, and gives out, for each scenario and link, the sum of current loads and the largest changes of
+its blocks. Spark deals pairs of blocks and chunks of scenarios over the cluster, sums up, and ranks the changes of all
+tasks once more. Results are those of loads.py, which stays as the relational form that tests compare with.
+
+A scenario's routes are computed once for all blocks that a task holds of its chunk. Demand is copied only as often
+as there are chunks: one, where the blocks alone keep the cluster busy.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby, islice
 
 import numpy as np
 import pandas as pd
@@ -16,12 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkpeak.functions.ranking import top_per_group
-from linkpeak.operators.flow import Graph
+from linkpeak.operators.flow import Graph, Routes
 from linkpeak.sources.tables import checkpointed
 
-#: Prefixes of a block.
-BLOCK = 1024
-KINDS = ("egress", "ingress", "both")
+#: Prefixes of a block; blocks that a task holds at once; most scenarios of a chunk.
+BLOCK, HELD, CHUNK = 1024, 16, 4096
 
 
 def _packed(names: np.ndarray):
@@ -30,74 +34,153 @@ def _packed(names: np.ndarray):
             for start in range(0, len(batch), BLOCK):
                 rows = batch.iloc[start : start + BLOCK]
                 mat = np.zeros((len(rows), len(names)))
-                for i, cells in enumerate(rows["cells"]):
-                    for c in cells:
-                        mat[i, np.searchsorted(names, c["src"])] += c["demand"]
-                yield pd.DataFrame({"prefixes": [rows["prefix"].to_numpy(dtype=np.int64).tobytes()], "kinds": [rows["kind"].tolist()], "sets": [rows["egresses"].tolist()], "mat": [mat.tobytes()]})
+                at = np.repeat(np.arange(len(rows)), rows["srcs"].map(len))
+                np.add.at(mat, (at, np.searchsorted(names, np.concatenate(rows["srcs"].to_list()))), np.concatenate(rows["amounts"].to_list()))
+                only = [None if x is None else list(x) for x in rows["only"]]
+                yield pd.DataFrame({"prefixes": [rows["prefix"].to_numpy(dtype=np.int64).tobytes()], "kinds": [rows["kind"].tolist()], "sets": [rows["egresses"].tolist()], "only": [only], "mat": [mat.tobytes()]})
 
     return run
 
 
-def _worst(graph: Graph, failed: np.ndarray, mat: np.ndarray, sets: list, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Current and worst loads (prefix by link) of a block in a scenario."""
-    share, cost = graph.tensor(failed)
-    current, most = np.zeros((len(mat), share.shape[2])), np.zeros((len(mat), share.shape[2]))
-    total = mat.sum(axis=1)
-    groups: dict[tuple, list[int]] = {}
-    for i, s in enumerate(sets):
-        groups.setdefault(tuple(s), []).append(i)
-    for s, rows in groups.items():
-        at = graph.roots_at(s)
-        if not len(at):
-            continue
-        # The nearest egress; roots are in order, so the first of equal costs is the smallest router.
-        near = at[np.argmin(cost[at], axis=0)]
-        routed = share[near, np.arange(share.shape[1])]
-        current[rows] = mat[rows] @ routed
-        entering = [i for i in rows if kinds[i] == "ingress"]
-        most[entering] = total[entering, None] * routed.max(axis=0)
-    leaving = np.nonzero(kinds == "egress")[0]
-    for r in range(len(share)):
-        most[leaving] = np.maximum(most[leaving], mat[leaving] @ share[r])
-    free = np.nonzero(kinds == "both")[0]
-    most[free] = total[free, None] * share.max(axis=(0, 1))
-    return current, most
-
-
-def changed_load(links: DataFrame, roots: DataFrame, scenarios: DataFrame, demand: DataFrame, states: DataFrame, kinds: DataFrame, k: int) -> DataFrame:
-    """(scenario_id, edge_id, load) with the k worst changes of each scenario and link; compare loads.changed_load()."""
+class Block:
+    """Some prefixes with their demand by source, kinds of rules, current egresses and the egresses that they may change to."""
+
+    def __init__(self, row, graph: Graph):
+        self.prefixes = np.frombuffer(row.prefixes, dtype=np.int64)
+        self.mat = np.frombuffer(row.mat).reshape(len(self.prefixes), -1)
+        self.total = self.mat.sum(axis=1)
+        self.kinds = np.array(row.kinds)
+        self.by_set = self._grouped([tuple(s) for s in row.sets], graph)
+        self.by_only = self._grouped([None if x is None else tuple(x) for x in row.only], graph)
+
+    def _grouped(self, keys: list, graph: Graph) -> list[tuple[np.ndarray, np.ndarray]]:
+        groups: dict = {}
+        for i, key in enumerate(keys):
+            groups.setdefault(key, []).append(i)
+        every = np.arange(len(graph.root_at))
+        return [(every if key is None else graph.roots_at(key), np.array(rows)) for key, rows in groups.items()]
+
+    def evaluated(self, routes: Routes, witness: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray | None, np.ndarray | None]:
+        """Current and worst loads (prefix by link), and where asked for the places of the root and of the source that
+        cause the worst ones, -1 for none."""
+        share, cost = routes.share, routes.cost
+        shape = (len(self.mat), share.shape[2])
+        current, most = np.zeros(shape), np.zeros(shape)
+        egress, ingress = (np.full(shape, -1), np.full(shape, -1)) if witness else (None, None)
+        for at, rows in self.by_set:
+            if not len(at):
+                continue
+            # The nearest egress; roots are in order, so the first of equal costs is the smallest router.
+            near = at[np.argmin(cost[at], axis=0)]
+            routed = share[near, np.arange(share.shape[1])]
+            current[rows] = self.mat[rows] @ routed
+            entering = rows[self.kinds[rows] == "ingress"]
+            most[entering] = self.total[entering, None] * routed.max(axis=0)
+            if witness and len(entering):
+                # Of equal shares the largest source.
+                ingress[entering] = routed.shape[0] - 1 - routed[::-1].argmax(axis=0)
+        for at, rows in self.by_only:
+            leaving = rows[self.kinds[rows] == "egress"]
+            demand, best = self.mat[leaving], np.zeros((len(leaving), shape[1]))
+            for r in at if len(leaving) else ():
+                loads = demand @ share[r]
+                if witness:
+                    egress[leaving] = np.where(np.round(loads - best, 9) > 0, r, egress[leaving])
+                np.maximum(best, loads, out=best)
+            most[leaving] = best
+        free = np.nonzero(self.kinds == "both")[0]
+        if len(free):
+            most[free] = self.total[free, None] * share.max(axis=(0, 1))
+            if witness:
+                # Of equal shares the largest source, then the smallest egress.
+                by_source = share.max(axis=0)
+                s = by_source.shape[0] - 1 - by_source[::-1].argmax(axis=0)
+                ingress[free], egress[free] = s, share[:, s, np.arange(shape[1])].argmax(axis=0)
+        return current, most, egress, ingress
+
+
+def _paired(graph: Graph, scenarios: DataFrame, demand: DataFrame, states: DataFrame, kinds: DataFrame, only: DataFrame | None) -> DataFrame:
+    """Blocks beside chunks of scenarios: prefixes, kinds, sets, only, mat, chunk, scenarios."""
+    spark = demand.sparkSession
+    many = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cells = demand.groupBy("prefix").agg(F.collect_list(F.struct("src", "demand")).alias("cells")).join(states, "prefix").join(kinds, "prefix")
+    cells = cells.withColumn("only", F.lit(None).cast("array<int>")) if only is None else cells.join(only, "prefix", "left")
+    packed = cells.select("prefix", F.col("cells.src").alias("srcs"), F.col("cells.demand").alias("amounts"), "egresses", "kind", "only").mapInPandas(_packed(graph.names), "prefixes binary, kinds array<string>, sets array<array<int>>, only array<array<int>>, mat binary")
+    packed = checkpointed(packed.withColumn("block", F.monotonically_increasing_id()))
+    n_blocks, n_scenarios = max(packed.count(), 1), scenarios.count()
+    chunks = min(max(-(-n_scenarios // CHUNK), -(-2 * many // n_blocks)), max(n_scenarios, 1))
+    lists = scenarios.groupBy(F.pmod(F.xxhash64("scenario_id"), F.lit(chunks)).cast("int").alias("chunk")).agg(F.collect_list(F.struct(*scenarios.columns)).alias("scenarios"))
+    # Scenarios are short lists, so chunks go to the blocks and not the other way round.
+    homes = packed.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    return homes.repartition(many, "block", "chunk").sortWithinPartitions("chunk").join(F.broadcast(lists), "chunk")
+
+
+def _held(part: Iterator[pd.DataFrame], graph: Graph) -> Iterator[tuple[dict, Routes, list[Block]]]:
+    """(scenario, routes, blocks): up to HELD blocks of a chunk at once, for each of its scenarios."""
+    rows = (row for batch in part for row in batch.itertuples(index=False))
+    for _, of_chunk in groupby(rows, key=lambda row: row.chunk):
+        while some := list(islice(of_chunk, HELD)):
+            blocks = [Block(row, graph) for row in some]
+            for scenario in some[0].scenarios:
+                yield scenario, graph.routes(graph.edges_at(scenario["failed"])), blocks
+
+
+def partials(links: DataFrame, roots: DataFrame, scenarios: DataFrame, demand: DataFrame, states: DataFrame, kinds: DataFrame, k: int | None, at_most: bool = False, only: DataFrame | None = None) -> DataFrame:
+    """(scenario_id, edge_id, current, diffs) for finish(): sums of current loads (for k None: of the worst ones), and
+    the k largest changes, of the blocks that a task held together. only: prefix, only (egresses it may change to)."""
     graph = Graph.of(links, roots)
 
     def run(part: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in part:
-            for row in batch.itertuples(index=False):
-                prefixes = np.frombuffer(row.prefixes, dtype=np.int64)
-                mat = np.frombuffer(row.mat).reshape(len(prefixes), -1)
-                for scenario in row.scenarios:
-                    current, most = _worst(graph, graph.edges_at(scenario["failed"]), mat, row.sets, np.array(row.kinds))
+        for scenario, routes, blocks in _held(part, graph):
+            sums, tops = np.zeros(len(graph.edge)), np.zeros((0, len(graph.edge)))
+            for block in blocks:
+                current, most, *_ = block.evaluated(routes)
+                sums += (most if k is None else current).sum(axis=0)
+                if k:
                     diff = np.round(most - current, 9)
-                    order = np.lexsort((np.broadcast_to(prefixes[:, None], diff.shape), -diff), axis=0)[:k]
-                    at = np.broadcast_to(np.arange(diff.shape[1]), order.shape)
-                    yield pd.DataFrame(
-                        {
-                            "scenario_id": scenario["scenario_id"],
-                            "edge_id": np.concatenate([graph.edge, graph.edge[at.ravel()]]),
-                            "current": np.concatenate([current.sum(axis=0), np.zeros(order.size)]),
-                            "prefix": pd.array([None] * len(graph.edge) + prefixes[order.ravel()].tolist(), dtype="Int64"),
-                            "diff": np.concatenate([np.zeros(len(graph.edge)), diff[order, at].ravel()]),
-                        }
-                    )
+                    tops = np.concatenate([tops, np.maximum(diff, 0) if at_most else diff])
+                    if len(tops) > k:
+                        tops = np.partition(tops, len(tops) - k, axis=0)[len(tops) - k :]
+            yield pd.DataFrame({"scenario_id": scenario["scenario_id"], "edge_id": graph.edge, "current": sums, "diffs": list(tops.T)})
 
-    cells = demand.groupBy("prefix").agg(F.collect_list(F.struct("src", "demand")).alias("cells")).join(states, "prefix").join(kinds, "prefix")
-    blocks = cells.select("prefix", "cells", "egresses", "kind").mapInPandas(_packed(graph.names), "prefixes binary, kinds array<string>, sets array<array<int>>, mat binary")
-    spark = links.sparkSession
-    many = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # Each block meets the scenarios in chunks, so that the pairs, not the blocks, are dealt over the tasks.
-    chunks = scenarios.groupBy(F.pmod(F.xxhash64("scenario_id"), F.lit(4 * many)).alias("chunk")).agg(F.collect_list(F.struct("scenario_id", "failed")).alias("scenarios"))
-    homes = blocks.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(4 * many - 1).cast("long"))))
-    found = homes.join(chunks, "chunk").mapInPandas(run, "scenario_id long, edge_id int, current double, prefix long, diff double")
+    return _paired(graph, scenarios, demand, states, kinds, only).mapInPandas(run, "scenario_id long, edge_id int, current double, diffs array<double>")
+
+
+def finish(found: DataFrame, k: int | None) -> DataFrame:
+    """(scenario_id, edge_id, load) from partials()."""
+    if not k:
+        return found.groupBy("scenario_id", "edge_id").agg(F.sum("current").alias("load"))
     found = checkpointed(found)
     current = found.groupBy("scenario_id", "edge_id").agg(F.sum("current").alias("load"))
-    best = top_per_group(found.where("prefix IS NOT NULL"), ["scenario_id", "edge_id"], [F.desc("diff"), F.col("prefix")], k)
+    best = top_per_group(found.select("scenario_id", "edge_id", F.explode("diffs").alias("diff")), ["scenario_id", "edge_id"], [F.desc("diff")], k)
     extra = best.groupBy("scenario_id", "edge_id").agg(F.sum("diff").alias("extra"))
-    return current.join(extra, ["scenario_id", "edge_id"]).select("scenario_id", "edge_id", (F.col("load") + F.col("extra")).alias("load"))
+    return current.join(extra, ["scenario_id", "edge_id"], "left").select("scenario_id", "edge_id", (F.col("load") + F.coalesce("extra", F.lit(0.0))).alias("load"))
+
+
+def changed_load(links: DataFrame, roots: DataFrame, scenarios: DataFrame, demand: DataFrame, states: DataFrame, kinds: DataFrame, k: int | None, at_most: bool = False, only: DataFrame | None = None) -> DataFrame:
+    """(scenario_id, edge_id, load) with the k worst changes of each scenario and link; compare loads.changed_load()."""
+    return finish(partials(links, roots, scenarios, demand, states, kinds, k, at_most, only), k)
+
+
+def worst_cells(links: DataFrame, roots: DataFrame, scenarios: DataFrame, demand: DataFrame, states: DataFrame, kinds: DataFrame, only: DataFrame | None = None, wanted: DataFrame | None = None) -> DataFrame:
+    """(scenario_id, prefix, edge_id, current, worst, egress, ingress): every cell that is or can be loaded, with what
+    causes the worst load. wanted (scenario_id, edge_id) names the cells to give out; by default all are."""
+    graph = Graph.of(links, roots)
+    sources = graph.names
+    edges = F.lit(None).cast("array<int>").alias("edges")
+    asked = scenarios.select("*", edges) if wanted is None else scenarios.join(wanted.groupBy("scenario_id").agg(F.collect_set("edge_id").alias("edges")), "scenario_id")
+
+    def named(places: np.ndarray, names: np.ndarray) -> pd.Series:
+        out = pd.Series(names[np.maximum(places, 0)], dtype="Int32")
+        out[places < 0] = pd.NA
+        return out
+
+    def run(part: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for scenario, routes, blocks in _held(part, graph):
+            at = np.arange(len(graph.edge)) if scenario["edges"] is None else graph.edges_at(scenario["edges"])
+            for block in blocks:
+                current, most, egress, ingress = (x[:, at] for x in block.evaluated(routes, witness=True))
+                p, e = np.nonzero((current > 0) | (most > 0))
+                yield pd.DataFrame({"scenario_id": scenario["scenario_id"], "prefix": block.prefixes[p], "edge_id": graph.edge[at[e]], "current": current[p, e], "worst": most[p, e], "egress": named(egress[p, e], sources[graph.root_at]), "ingress": named(ingress[p, e], sources)})
+
+    return _paired(graph, asked, demand, states, kinds, only).mapInPandas(run, "scenario_id long, prefix long, edge_id int, current double, worst double, egress int, ingress int")

@@ -84,23 +84,43 @@ def first_points(vec: DataFrame, k: int, mode: str, seed: int | None = None) ->
     return vec.join(named, "prefix").select("cluster", "src", F.col("demand" if mode == "direct" else "norm").alias("centre"))
 
 
-def kmeans(vec: DataFrame, k: int, mode: str = "scaled", max_iter: int = 150, tolerance: float = 1e-5, seed: int | None = None) -> DataFrame:
-    """(prefix, cluster) after alternating assignment and means until the points hardly move.
+def kmeans_by_class(vec: DataFrame, sizes: DataFrame, mode: str = "scaled", max_iter: int = 150, tolerance: float = 1e-5, seed: int | None = None) -> DataFrame:
+    """(class, prefix, cluster): k-means in each class of prefixes by itself, all classes in the same jobs.
 
-    Clusters without members move to zero. The points, k by sources, are written between the steps.
+    vec as from vectors(), with a column class; sizes: class, k. Means and assignments alternate until the points of a
+    class hardly move; then that class stands still. Clusters without members move to zero. The points, k by sources
+    for each class, are written between the steps.
     """
     vec = checkpointed(vec)
-    points = checkpointed(first_points(vec, k, mode, seed))
-    limit = tolerance * (vec.select("prefix", "scale").distinct().agg(F.sum("scale")).first()[0] or 0.0) if mode == "direct" else tolerance
+    scales = vec.select("class", "prefix", "scale").distinct()
+    order = [F.desc("scale"), F.col("prefix")] if seed is None else [F.xxhash64(F.lit(seed), "prefix"), F.col("prefix")]
+    most = sizes.agg(F.max("k")).first()[0] or 0
+    rank = F.row_number().over(Window.partitionBy("class").orderBy(*order))
+    named = scales.withColumn("_r", rank).where(F.col("_r") <= most).join(sizes, "class").where("_r <= k").select("class", "prefix", (F.col("_r") - 1).alias("cluster"))
+    x, weight = F.col("demand" if mode == "direct" else "norm"), F.col("scale") if mode == "scaled" else F.lit(1.0)
+    points = checkpointed(vec.join(named, ["class", "prefix"]).select("class", "cluster", "src", x.alias("centre"), F.lit(True).alias("moving")))
+    bound = F.lit(tolerance) if mode != "direct" else F.col("_all") * tolerance
+    totals = scales.groupBy("class").agg(F.sum("scale").alias("_all"))
+    mean = {"direct": F.avg("demand"), "normalized": F.avg("norm"), "scaled": F.sum("demand") / F.sum("scale")}[mode]
+
+    def nearest(at: DataFrame) -> DataFrame:
+        far = vec.join(at.drop("moving"), ["class", "src"]).groupBy("class", "prefix", "cluster").agg(F.sum(F.abs(x - F.col("centre")) * weight).alias("d"))
+        return far.groupBy("class", "prefix").agg(F.min(F.struct(F.round("d", 9).alias("d"), "cluster"))["cluster"].alias("cluster"))
+
     for _ in range(max_iter):
-        means = centres(vec, assign(vec, points, mode), mode)
-        moved = points.join(means.withColumnRenamed("centre", "_new"), ["cluster", "src"], "left").select("cluster", "src", F.coalesce("_new", F.lit(0.0)).alias("_new"), "centre")
-        moved = checkpointed(moved)
-        change = moved.agg(F.sum(F.abs(F.col("_new") - F.col("centre")))).first()[0] or 0.0
-        points = moved.select("cluster", "src", F.col("_new").alias("centre"))
-        if change < limit:
+        means = vec.join(nearest(points.where("moving")), ["class", "prefix"]).groupBy("class", "cluster", "src").agg(mean.alias("_new"))
+        moved = checkpointed(points.join(means, ["class", "cluster", "src"], "left").withColumn("_new", F.when(F.col("moving"), F.coalesce("_new", F.lit(0.0))).otherwise(F.col("centre"))))
+        change = moved.groupBy("class").agg(F.sum(F.abs(F.col("_new") - F.col("centre"))).alias("_by")).join(totals, "class").select("class", (F.col("_by") >= bound).alias("_on"))
+        points = checkpointed(moved.join(change, "class").select("class", "cluster", "src", F.col("_new").alias("centre"), (F.col("moving") & F.col("_on")).alias("moving")))
+        if not points.where("moving").limit(1).count():
             break
-    return assign(vec, points, mode)
+    return nearest(points)
+
+
+def kmeans(vec: DataFrame, k: int, mode: str = "scaled", max_iter: int = 150, tolerance: float = 1e-5, seed: int | None = None) -> DataFrame:
+    """(prefix, cluster) after alternating assignment and means until the points hardly move; see kmeans_by_class()."""
+    sizes = vec.sparkSession.range(1).select(F.lit(0).alias("class"), F.lit(k).alias("k"))
+    return kmeans_by_class(vec.withColumn("class", F.lit(0)), sizes, mode, max_iter, tolerance, seed).select("prefix", "cluster")
 
 
 def score_grid(vec: DataFrame, heavy: tuple[int, ...] = (10, 50, 100, 500, 1000), means: tuple[int, ...] = (10, 50, 100)) -> DataFrame:

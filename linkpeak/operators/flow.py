@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -39,7 +41,9 @@ def failure_scenarios(links: DataFrame, most: int, directed: bool = False) -> Da
         level = grown.select(F.concat("ids", F.array("link_id")).alias("ids"), F.concat("failed", "edges").alias("failed"))
         every = every.union(level)
     # The id is the set in the number system of the links: ordered by size, then by links, without any global sort.
-    base = 1 << 16
+    base = (units.agg(F.max("link_id")).first()[0] or 0) + 2
+    if base**most >= 1 << 63:
+        raise ValueError(f"sets of {most} links with ids up to {base - 2} are too many to number")
     code = F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a * base + x + 1)
     return every.select(code.alias("scenario_id"), "failed")
 
@@ -71,34 +75,61 @@ class Graph:
         """Places among the roots of those egresses that are roots."""
         return np.nonzero(np.isin(self.names[self.root_at], np.asarray(egresses, dtype=np.int64)))[0]
 
-    def flows(self, failed: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-        """For each root: costs, shares (source by link), and whether a source reaches a link by next hops without choice."""
+    def _routes(self, failed: np.ndarray, roots: np.ndarray) -> Routes:
+        """Towards some of the roots (places among nodes), from every node."""
         src, dst, weight, n = self.src, self.dst, self.weight, len(self.names)
         alive = np.ones(len(src), dtype=bool)
         alive[failed] = False
-        cost = np.full((n, n), np.inf)
-        np.fill_diagonal(cost, 0)
-        np.minimum.at(cost, (src[alive], dst[alive]), weight[alive])
-        for k in range(n):
-            np.minimum(cost, cost[:, k : k + 1] + cost[k : k + 1, :], out=cost)
-        for root in self.root_at:
-            c = cost[:, root]
-            on = alive & np.isfinite(c[src]) & np.isfinite(c[dst]) & (c[src] == weight + c[dst])
-            degree = np.bincount(src[on], minlength=n)
-            at, sole = np.eye(n), np.eye(n, dtype=bool)
-            share, lone = np.zeros((n, len(src))), np.zeros((n, len(src)), dtype=bool)
-            for node in np.argsort(-np.where(np.isfinite(c), c, -1), kind="stable"):
-                for e in np.nonzero(on & (src == node))[0]:
-                    share[:, e] = at[:, node] / degree[node]
-                    lone[:, e] = sole[:, node] & (degree[node] == 1)
-                    at[:, dst[e]] += share[:, e]
-                    sole[:, dst[e]] |= lone[:, e]
-            yield int(root), c, share, lone
-
-    def tensor(self, failed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Shares by root, source and link, and costs by root and source."""
-        parts = [(share, c) for _, c, share, _ in self.flows(failed)]
-        return np.stack([s for s, _ in parts]), np.stack([c for _, c in parts])
+        cost = np.full((len(roots), n), np.inf)
+        cost[np.arange(len(roots)), roots] = 0
+        by_src = np.argsort(src, kind="stable")
+        by_src = by_src[alive[by_src]]
+        first = np.nonzero(np.r_[True, src[by_src][1:] != src[by_src][:-1]])[0] if len(by_src) else by_src
+        while len(by_src):
+            nearer = cost.copy()
+            step = np.minimum.reduceat(cost[:, dst[by_src]] + weight[by_src], first, axis=1)
+            nearer[:, src[by_src][first]] = np.minimum(nearer[:, src[by_src][first]], step)
+            if np.array_equal(nearer, cost):
+                break
+            cost = nearer
+        near, far = cost[:, dst], cost[:, src]
+        on = alive & np.isfinite(near) & np.isfinite(far) & (far == weight + near)
+        degree = np.zeros((len(roots), n))
+        r, e = np.nonzero(on)
+        np.add.at(degree, (r, src[e]), 1)
+        part = np.where(on, 1 / np.maximum(degree[:, src], 1), 0)
+        hop, sole = np.zeros((2, len(roots), n, n))
+        np.add.at(hop, (r, src[e], dst[e]), part[r, e])
+        np.add.at(sole, (r, src[e], dst[e]), part[r, e] == 1)
+        # Next hops never form a circle, so that the sum over walks of all lengths is an inverse.
+        visits, alone = np.linalg.inv(np.eye(n) - hop), np.linalg.inv(np.eye(n) - sole)
+        share = np.where(np.abs(visits) < 1e-14, 0, visits)[:, :, src] * part[:, None, :]
+        lone = (alone[:, :, src] > 0.5) & (part == 1)[:, None, :]
+        return Routes(share, cost, lone, on)
+
+    @cached_property
+    def whole(self) -> Routes:
+        """Without any failure."""
+        return self._routes(np.zeros(0, dtype=np.int64), self.root_at)
+
+    def routes(self, failed: np.ndarray) -> Routes:
+        """Under a failure: only roots that had a failed link on a shortest path are computed anew."""
+        hit = self.whole.on[:, failed].any(axis=1)
+        if not hit.any():
+            return self.whole
+        share, cost, lone, on = (x.copy() for x in self.whole)
+        share[hit], cost[hit], lone[hit], on[hit] = self._routes(failed, self.root_at[hit])
+        return Routes(share, cost, lone, on)
+
+
+class Routes(NamedTuple):
+    """Towards each root: shares (root, source, link), costs (root, source), whether a source reaches and passes a link
+    by nodes of a single next hop (root, source, link), and the links on shortest paths (root, link)."""
+
+    share: np.ndarray
+    cost: np.ndarray
+    lone: np.ndarray
+    on: np.ndarray
 
 
 def unit_flow(links: DataFrame, roots: DataFrame, scenarios: DataFrame) -> DataFrame:
@@ -113,8 +144,8 @@ def unit_flow(links: DataFrame, roots: DataFrame, scenarios: DataFrame) -> DataF
     def run(part: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in part:
             for scenario, failed in zip(batch["scenario_id"], batch["failed"], strict=True):
-                out = []
-                for root, c, share, lone in graph.flows(graph.edges_at(failed)):
+                out, found = [], graph.routes(graph.edges_at(failed))
+                for root, c, share, lone in zip(graph.root_at, found.cost, found.share, found.lone, strict=True):
                     s, e = np.nonzero(share)
                     name = graph.names[root]
                     out.append(pd.DataFrame({"root": name, "src": graph.names[s], "edge_id": pd.array(graph.edge[e], dtype="Int32"), "frac": share[s, e], "cost": c[s].astype(np.int64), "unique": lone[s, e]}))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from linkpeak.functions.ranking import top_per_group
 from linkpeak.operators.flow import chosen_egress, node_costs
+from linkpeak.sources.tables import checkpointed
 
 
 def crossings(flow: DataFrame) -> DataFrame:
@@ -103,14 +104,15 @@ def changed_load(flow: DataFrame, demand: DataFrame, states: DataFrame, kinds: D
     return joined.select("scenario_id", "edge_id", (F.coalesce("load", F.lit(0.0)) + F.coalesce("extra", F.lit(0.0))).alias("load"))
 
 
-def over_scenarios(loads: DataFrame, links: DataFrame, scenarios: DataFrame) -> DataFrame:
-    """(src, dst, load, failed): each link's highest load over all scenarios, with the first scenario that has it.
+def over_scenarios(loads: DataFrame, links: DataFrame, scenarios: DataFrame, named: bool = False) -> DataFrame:
+    """(src, dst, load, failed): each link's highest load over all scenarios, with the first scenario that has it;
+    where named, its number and the link's too (scenario_id, edge_id).
 
     A link that is never loaded has load 0 and no failures.
     """
     best = loads.where("load > 0").groupBy("edge_id").agg(F.max(F.struct(F.round("load", 9).alias("load"), -F.col("scenario_id"))).alias("b"))
-    named = links.join(best, "edge_id", "left").select("edge_id", "src", "dst", F.coalesce("b.load", F.lit(0.0)).alias("load"), (-F.col("b.col2")).alias("scenario_id"))
-    return named.join(scenarios, "scenario_id", "left").select("src", "dst", "load", "failed")
+    rows = links.join(best, "edge_id", "left").select("edge_id", "src", "dst", F.coalesce("b.load", F.lit(0.0)).alias("load"), (-F.col("b.col2")).alias("scenario_id"))
+    return rows.join(scenarios, "scenario_id", "left").select(*(["scenario_id", "edge_id"] if named else []), "src", "dst", "load", "failed")
 
 
 def with_paths(flow: DataFrame, demand: DataFrame, states: DataFrame, te_paths: DataFrame) -> DataFrame:
@@ -176,6 +178,16 @@ def worst_with_paths(flow: DataFrame, demand: DataFrame, states: DataFrame, kind
     return plain.union(by_egress).union(largest(as_now, "ingress")).union(largest(any_way, "both"))
 
 
+def cells_with_paths(flow: DataFrame, demand: DataFrame, states: DataFrame, kinds: DataFrame, te_paths: DataFrame, sets: DataFrame) -> DataFrame:
+    """(scenario_id, prefix, edge_id, current, worst) of prefixes with explicit paths. Few prefixes have any; the unit
+    flow and the demand, which several joins read, are written first."""
+    flow, demand = checkpointed(flow), checkpointed(demand)
+    worst = worst_with_paths(flow, demand, states, kinds, te_paths, sets)
+    now = with_paths(flow, demand, states, te_paths).select("scenario_id", "prefix", "edge_id", F.col("load").alias("current"))
+    cells = worst.join(now, ["scenario_id", "prefix", "edge_id"], "full")
+    return cells.select("scenario_id", "prefix", "edge_id", F.coalesce("current", F.lit(0.0)).alias("current"), F.coalesce("worst", F.lit(0.0)).alias("worst"))
+
+
 def heaviest_only(demand: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
     """Demand of the n heaviest prefixes, and (dropped): the demand left out, which widens the positive bound."""
     sums = demand.groupBy("prefix").agg(F.sum("demand").alias("total"))

@@ -6,9 +6,11 @@ import heapq
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from linkpeak.sources.generators import draw, uniform
+
 
 def tree(dag: DataFrame) -> DataFrame:
     """(scenario_id, root, node, next_node, edge_id): one next hop for each node, the smallest of equal ones."""
@@ -35,6 +37,18 @@ def node_at(routes: DataFrame, distance: int) -> DataFrame:
     return routes.select("scenario_id", "root", "node", F.get("routers", F.lit(distance)).alias("at"))
 
 
+def subpath(routes: DataFrame, first: int, last: int) -> DataFrame:
+    """(scenario_id, root, node, routers): the part of each path from one router to another; only paths that pass both in
+    this order."""
+    a, b = F.array_position("routers", first), F.array_position("routers", last)
+    return routes.where((a > 0) & (b >= a)).select("scenario_id", "root", "node", F.slice("routers", a.cast("int"), (b - a + 1).cast("int")).alias("routers"))
+
+
+def from_sources(links: DataFrame) -> DataFrame:
+    """links turned round: trees towards roots of these are trees from sources of those."""
+    return links.select("edge_id", F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
+
+
 def subtree(routes: DataFrame, through: int) -> DataFrame:
     """(scenario_id, root, node): nodes whose path passes a router, itself included."""
     return routes.where(F.array_contains("routers", through)).select("scenario_id", "root", "node")
@@ -56,11 +70,16 @@ def _cheapest(links: pd.DataFrame, weights: list[int], start: int, goal: int) ->
     return None
 
 
+def drawn_weight(seed: int, low: int, high: int, *keys: Column | str) -> Column:
+    return low + F.pmod(draw(seed, *keys), F.lit(high - low + 1))
+
+
 def drawn_paths(wanted: DataFrame, links: DataFrame, seed: int, low: int = 1, high: int = 10) -> DataFrame:
     """(prefix, ingress, egress, path_no, edges): for each row of wanted the cheapest path under link weights
     drawn for that row alone. Rows without any path are dropped. wanted: prefix, ingress, egress, path_no."""
     graph = links.select("edge_id", "src", "dst").orderBy("edge_id").toPandas()
-    weights = F.transform(F.sequence(F.lit(1), F.lit(len(graph))), lambda i: low + F.pmod(F.xxhash64(F.lit(seed), "prefix", "ingress", "egress", "path_no", i), F.lit(high - low + 1)))
+    ids = F.array(*[F.lit(int(e)) for e in graph["edge_id"]])
+    weights = F.transform(ids, lambda e: drawn_weight(seed, low, high, "prefix", "ingress", "egress", "path_no", e))
 
     def run(part: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in part:
@@ -71,17 +90,20 @@ def drawn_paths(wanted: DataFrame, links: DataFrame, seed: int, low: int = 1, hi
     return wanted.select("prefix", "ingress", "egress", "path_no", weights.alias("_w")).mapInPandas(run, "prefix long, ingress int, egress int, path_no int, edges array<int>")
 
 
-def wanted_paths(prefixes: DataFrame, sources: DataFrame, egresses: DataFrame, count: int, seed: int, by: str | None = None) -> DataFrame:
-    """(prefix, ingress, egress, path_no): count explicit paths a prefix, from ingresses picked alike or by the
-    column ``by`` of sources (weighted, by the largest of u ** (1 / weight)), to egresses in a hashed order."""
-    key = F.xxhash64(F.lit(seed), "prefix", "src") if by is None else -F.ln((F.pmod(F.xxhash64(F.lit(seed), "prefix", "src"), F.lit(1 << 52)) + 0.5) / float(1 << 52)) / F.col(by)
-    number = F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("path_no")
-    # Sources and egresses are routers, a small fixed list; each prefix orders them by its own hashes.
-    few = F.broadcast(sources.agg(F.collect_list(F.struct("src", *([by] if by else []))).alias("_s")))
-    out = F.broadcast(egresses.agg(F.collect_list("root").alias("_e")))
-    cells = prefixes.select("prefix").crossJoin(few).crossJoin(out)
-    picked = cells.select("prefix", "_e", F.explode("_s").alias("s")).select("prefix", "_e", "s.*").withColumn("_k", key)
-    first = picked.groupBy("prefix").agg(F.min_by("src", "_k").alias("ingress"), F.first("_e").alias("_e"))
-    ordered = F.array_sort(F.transform("_e", lambda e: F.struct(F.xxhash64(F.lit(seed + 1), "prefix", e).alias("h"), e.alias("e"))))
-    rows = first.select("prefix", "ingress", ordered.alias("o"), number)
-    return rows.select("prefix", "ingress", F.get("o", F.col("path_no") % F.size("o"))["e"].alias("egress"), "path_no").where("ingress <> egress")
+def wanted_paths(prefixes: DataFrame, sources: DataFrame, egresses: DataFrame, count: int, seed: int, by: str | None = None, in_turn: bool = False) -> DataFrame:
+    """(prefix, ingress, egress, path_no): the ends of count explicit paths a prefix, drawn for each path.
+
+    Egresses are drawn alike, or, in_turn, come round in an order drawn for the prefix. Ingresses, other than the
+    egress, are drawn alike or by the column ``by`` of sources (weighted, by the least of -ln(u) / weight).
+    """
+    # Sources and egresses are routers, a small fixed list; each path orders them by its own draws.
+    few = F.broadcast(sources.agg(F.array_sort(F.collect_list(F.struct("src", *([F.col(by).alias("by")] if by else [])))).alias("_s")))
+    out = F.broadcast(egresses.agg(F.array_sort(F.collect_list("root")).alias("_e")))
+    cells = prefixes.select("prefix").crossJoin(few).crossJoin(out).withColumn("path_no", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
+    path = [F.col("prefix"), *([] if in_turn else [F.col("path_no")])]
+    order = F.array_sort(F.transform("_e", lambda e: F.struct(draw(seed + 1, *path, e).alias("h"), e.alias("e"))))
+    cells = cells.withColumn("egress", F.get(order, (F.col("path_no") % F.size("_e")) if in_turn else F.lit(0))["e"])
+    key = lambda s: draw(seed, "prefix", "path_no", s["src"]) if by is None else -F.ln(uniform(seed, "prefix", "path_no", s["src"])) / s["by"]
+    others = F.filter("_s", lambda s: s["src"] != F.col("egress"))
+    ingress = F.array_min(F.transform(others, lambda s: F.struct(key(s).alias("h"), s["src"].alias("src"))))["src"]
+    return cells.select("prefix", ingress.alias("ingress"), "egress", "path_no").where("ingress IS NOT NULL")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,14 +22,19 @@ ACCURACY = (
 )
 
 
-def newest_csv(spark: SparkSession, folder: str, prefix: str, schema: str) -> DataFrame:
-    """The rows of the newest file ``prefix*.csv`` of a folder, by its name (which ends in a time)."""
-    rows = spark.read.schema(schema).option("header", True).csv(f"{folder}/{prefix}*.csv").withColumn("_file", F.input_file_name())
-    newest = rows.agg(F.max("_file").alias("_file"))
-    return rows.join(F.broadcast(newest), "_file").drop("_file")
+def newest_csv(spark: SparkSession, folder: str, prefix: str, schema: str, suffix: str = ".csv", timed: bool = False) -> DataFrame:
+    """The rows of the newest file (or folder of part files) ``prefix*suffix`` of a folder, by its name, which ends in a
+    time; timed leaves out names without one. Only names are listed, and only that file is read."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    names = [s.getPath().getName() for s in path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)]
+    found = [n for n in names if n.startswith(prefix) and n.endswith(suffix) and (not timed or re.search(r"\d{4}-\d{2}-\d{2}", n))]
+    if not found:
+        raise FileNotFoundError(f"no {prefix}*{suffix} in {folder}")
+    return spark.read.schema(schema).option("header", True).csv(f"{folder}/{max(found)}")
 
 
 def write_csv(df: DataFrame, path: str) -> None:
+    """Adds df to a folder of CSV files with headers."""
     df.write.mode("append").option("header", True).csv(path)
 
 
@@ -64,15 +71,52 @@ def ratio_ecdf(df: DataFrame, key: str, value: str, over: Column, under: Column,
     return rows.select(*by, key, "fraction", (F.row_number().over(group.orderBy("fraction", key)) / F.count("*").over(group)).alias("ecdf"))
 
 
-def link_text(report: DataFrame, routers: DataFrame, total: float) -> DataFrame:
-    """(line): "a -> b: share" of each link, by the routers' names."""
+def percent(load: Column, total: float) -> Column:
+    """The share of a load as text of 8 characters."""
+    share = load * 100 / F.lit(total)
+    return F.when(F.abs(share) <= 1e-9, F.lit("  0%    ")).otherwise(F.format_string("%7.3f%%", F.round(share + 1e-9, 3)))
+
+
+def bound_text(plus: float, minus: float, total: float) -> str:
+    """Bounds of a report as shares of the total: "± x%" where both are alike, else those above zero."""
+    p, m = plus * 100 / total, minus * 100 / total
+    if abs(p - m) <= 1e-9 * max(abs(p), abs(m), 1.0):
+        return f"± {p:.1f}%"
+    return " ".join(f"{sign}{x:.1f}%" for sign, x in (("+", p), ("-", m)) if x > 1e-9)
+
+
+def report_columns(current: DataFrame, results: list[DataFrame]) -> DataFrame:
+    """(src, dst, current, r0, r1, ...): the loads of several reports (src, dst, load) side by side; a link that one does
+    not name has load 0 there."""
+    rows = current.select("src", "dst", F.lit(0).alias("at"), "load")
+    for i, result in enumerate(results, 1):
+        rows = rows.union(result.select("src", "dst", F.lit(i), "load"))
+    of = lambda i: F.coalesce(F.sum(F.when(F.col("at") == i, F.col("load"))), F.lit(0.0))
+    return rows.groupBy("src", "dst").agg(of(0).alias("current"), *[of(i + 1).alias(f"r{i}") for i in range(len(results))])
+
+
+def link_text(report: DataFrame, routers: DataFrame, total: float, bounds: list[tuple[float, float]] = ()) -> DataFrame:
+    """(line): "a -> b: current | worst ± bound | ..." of each link of report_columns(), by the routers' names; bounds:
+    (plus, minus) of each result."""
     name = lambda end: routers.select(F.col("router_id").alias(end), F.col("name").alias(f"{end}_name"))
-    share = F.col("load") / F.lit(total)
-    shown = F.when(F.abs(share) <= 1e-9, F.lit("0%")).otherwise(F.format_string("%7.3f%%", F.round(share * 100 + 1e-9, 3)))
-    return report.join(name("src"), "src").join(name("dst"), "dst").select(F.concat_ws(" ", "src_name", F.lit("->"), F.concat("dst_name", F.lit(":")), shown).alias("line"))
+    named = report.join(name("src"), "src").join(name("dst"), "dst")
+    ends = F.format_string("%20s -> %-20s: ", "src_name", "dst_name")
+    more = [F.concat(F.lit(" | "), percent(F.col(f"r{i}"), total), F.lit(f" {bound_text(*bound, total)}")) for i, bound in enumerate(bounds)]
+    return named.select(F.concat(ends, percent(F.col("current"), total), *more).alias("line"))
+
+
+def box_text(five: list[str], digits: int, width: int = 0) -> Column:
+    """Columns of numbers (min, quartiles, max) as "[a, b, c, d, e]", padded with zeros to a width."""
+    form = f"%0{width}.{digits}f" if width else f"%.{digits}f"
+    return F.format_string(f"[{', '.join([form] * len(five))}]", *[F.round(F.col(c) + 1e-12, digits) for c in five])
+
+
+def box_latex(command: str, five: list[str], digits: int) -> Column:
+    """The same as a LaTeX command with an argument for each number."""
+    arguments = f"{{%.{digits}f}}" * len(five)
+    return F.format_string(f"\\{command}{arguments}", *[F.round(F.col(c) + 1e-12, digits) for c in five])
 
 
-def bound_text(plus: Column, minus: Column) -> Column:
-    """ "± x%" where both bounds are alike, else "+a% -b%"."""
-    p, m = F.format_string("%.3f%%", plus * 100), F.format_string("%.3f%%", minus * 100)
-    return F.when(F.abs(plus - minus) <= 1e-9, F.concat(F.lit("± "), p)).otherwise(F.concat(F.lit("+"), p, F.lit(" -"), m))
+def graph_counts(links: DataFrame, routers: DataFrame) -> DataFrame:
+    """(nodes, edges)"""
+    return routers.agg(F.count("*").alias("nodes")).crossJoin(links.agg(F.count("*").alias("edges")))

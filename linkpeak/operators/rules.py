@@ -104,27 +104,28 @@ def candidate_sets_by_prefix(local_prefs: DataFrame, te_paths: DataFrame) -> Dat
     return lists.select("prefix", "tes").join(sets, "tes").select("prefix", "egresses")
 
 
-def largest_share_budget(sizes: list[tuple[object, int, float]], budget: int) -> dict[object, int]:
-    """How many of ``budget`` clusters each group (key, members, traffic) gets: in proportion to traffic, by largest
-    remainders, at least one and at most its members. The groups are few, so this is plain arithmetic."""
-    if budget < len(sizes):
-        raise ValueError("each group needs a cluster of its own")
-    budget = min(budget, sum(m for _, m, _ in sizes))
-    given = {k: 1 for k, *_ in sizes}
-    open_groups = list(sizes)
-    while (left := budget - sum(given.values())) > 0:
-        open_groups = [g for g in open_groups if given[g[0]] < g[1]]
-        total = sum(t for *_, t in open_groups) or 1.0
-        quota = {k: left * t / total for k, _, t in open_groups}
-        for k, m, _ in open_groups:
-            given[k] = min(m, given[k] + int(quota[k]))
-        rest = budget - sum(given.values())
-        by_rest = sorted((g for g in open_groups if given[g[0]] < g[1]), key=lambda g: (-(quota[g[0]] % 1), str(g[0])))
-        for k, *_ in by_rest[: max(rest, 0)]:
-            given[k] += 1
-    return given
-
-
-def rank_within(df: DataFrame, keys: list[str], order: list) -> DataFrame:
-    """df with ``rank`` from 1 within keys."""
-    return df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+def shared_budget(groups: DataFrame, budget: int) -> DataFrame:
+    """(class, k): how many of ``budget`` clusters each group gets. groups: class, members, total (its traffic).
+
+    Each has one; the others go by traffic, by largest remainders, and none gets more than it has members. Where there
+    are as many groups as clusters or more, each gets one. Groups that their share would fill up come first in the
+    order of (members - 1) / traffic, so that running sums find them. One row for each group: the windows are small.
+    """
+    n = groups.count()
+    if n >= budget:
+        return groups.select("class", F.lit(1).alias("k"))
+    order = Window.orderBy("_r", "class")
+    before, rest = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    room = F.col("members") - 1
+    ranked = groups.withColumn("_r", room / F.col("total")).withColumns({"_free": F.lit(budget - n) - F.coalesce(F.sum(room).over(before), F.lit(0)), "_all": F.sum("total").over(rest)})
+    full = ranked.withColumn("_full", F.floor(F.col("_free") * (F.col("total") / F.col("_all"))) >= room)
+    # A group after one that is not full cannot be full.
+    full = full.withColumn("_full", F.min(F.col("_full").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) == 1)
+    every = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    open_ones = full.withColumns({"_left": F.lit(budget - n) - F.sum(F.when(F.col("_full"), room).otherwise(0)).over(every), "_open": F.sum(F.when(F.col("_full"), F.lit(0.0)).otherwise(F.col("total"))).over(every)})
+    quota = F.when(F.col("_full"), room.cast("double")).otherwise(F.col("_left") * (F.col("total") / F.col("_open")))
+    parts = open_ones.withColumn("_q", quota).withColumn("_whole", F.floor("_q"))
+    more = F.col("_left") - F.sum(F.when(F.col("_full"), 0).otherwise(F.col("_whole"))).over(every)
+    rank = F.row_number().over(Window.orderBy(F.col("_full"), F.desc(F.round(F.col("_q") - F.col("_whole"), 9)), "members", "class"))
+    out = parts.withColumns({"_more": more, "_rank": rank})
+    return out.select("class", (1 + F.col("_whole") + F.when(~F.col("_full") & (F.col("_rank") <= F.col("_more")), 1).otherwise(0)).cast("int").alias("k"))

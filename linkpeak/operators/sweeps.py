@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkpeak.operators import clustering
-from linkpeak.operators.rules import largest_share_budget
+from linkpeak.operators.rules import shared_budget
+from linkpeak.sources.tables import checkpointed
 
 
 def explore(grid: DataFrame, work: Callable[[dict], list[dict]], schema: str) -> DataFrame:
@@ -24,66 +25,86 @@ def explore(grid: DataFrame, work: Callable[[dict], list[dict]], schema: str) ->
 
 
 def one_at_a_time(base: dict, changes: dict[str, list]) -> list[dict]:
-    """The base setting, and each change of one parameter of it."""
+    """The base setting, and each change of one parameter of it: what a grid for explore() is made of."""
     return [base, *({**base, name: value} for name, values in changes.items() for value in values)]
 
 
-def _by_class(demand: DataFrame, settings: DataFrame) -> list[tuple[int, DataFrame, int, float]]:
-    """(class, its demand, members, total) for each class of equal kind and state; classes are few."""
-    tagged = demand.join(settings, "prefix").withColumn("_class", F.xxhash64("kind", "egresses"))
-    sizes = tagged.groupBy("_class").agg(F.countDistinct("prefix").alias("n"), F.sum("demand").alias("t")).orderBy("n", "_class").collect()
-    return [(r["_class"], tagged.where(F.col("_class") == r["_class"]).select("src", "prefix", "demand"), r["n"], r["t"]) for r in sizes]
+def classed(demand: DataFrame, settings: DataFrame) -> DataFrame:
+    """demand with kind and class: prefixes of equal settings (prefix, kind, egresses) are of one class, named by these."""
+    name = F.concat_ws(":", "kind", F.array_join(F.col("egresses").cast("array<string>"), ","))
+    return demand.join(settings.select("prefix", "kind", name.alias("class")), "prefix")
+
+
+def _numbered(clusters: DataFrame) -> DataFrame:
+    """(prefix, cluster) with clusters of all classes numbered on, from (class, prefix, cluster)."""
+    # One row for each class.
+    first = clusters.groupBy("class").agg((F.max("cluster") + 1).alias("n")).withColumn("_first", F.coalesce(F.sum("n").over(Window.orderBy("class").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return clusters.join(first, "class").select("prefix", (F.col("cluster") + F.col("_first")).cast("int").alias("cluster"))
+
+
+def _whole(tagged: DataFrame) -> DataFrame:
+    """Classes that are not clustered, each as one cluster: only the egress of a prefix is told apart by its sources."""
+    return tagged.where("kind <> 'egress'").select("class", "prefix").distinct().withColumn("cluster", F.lit(0))
+
+
+def cluster_budget(demand: DataFrame, settings: DataFrame, budget: int) -> DataFrame:
+    """(class, k) of the classes of kind egress."""
+    some = classed(demand, settings).where("kind = 'egress'")
+    return shared_budget(some.groupBy("class").agg(F.countDistinct("prefix").alias("members"), F.sum("demand").alias("total")), budget)
 
 
 def cluster_within_budget(demand: DataFrame, settings: DataFrame, budget: int, mode: str = "scaled", **options) -> DataFrame:
-    """(prefix, cluster): k-means in each class of equal settings (prefix, kind, egresses), with clusters shared out by traffic."""
-    classes = _by_class(demand, settings)
-    given = largest_share_budget([(c, n, t) for c, _, n, t in classes], budget)
-    out, first = None, 0
-    for c, part, n, _ in classes:
-        vec = clustering.vectors(part)
-        own = clustering.heaviest(vec, n - 1) if given[c] == n else clustering.kmeans(vec, given[c], mode, **options)
-        rows = own.select("prefix", (F.col("cluster") + first).alias("cluster"))
-        out, first = rows if out is None else out.union(rows), first + given[c]
-    return out
+    """(prefix, cluster): k-means in each class of kind egress at once, with clusters shared out by traffic; prefixes of
+    other kinds are one cluster for each class."""
+    tagged = checkpointed(classed(demand, settings))
+    own = tagged.where("kind = 'egress'")
+    sizes = checkpointed(cluster_budget(demand, settings, budget))
+    vec = clustering.vectors(own.select("src", "prefix", "demand")).join(own.select("prefix", "class").distinct(), "prefix")
+    return _numbered(clustering.kmeans_by_class(vec, sizes, mode, **options).union(_whole(tagged)))
 
 
 def cluster_to_error(demand: DataFrame, settings: DataFrame, target: float, mode: str = "scaled", **options) -> DataFrame:
-    """(prefix, cluster): in each class as few k-means clusters as keep the error within its share of target times all demand.
+    """(prefix, cluster): in each class of kind egress as few k-means clusters as keep the error within its share of
+    target times all demand; prefixes of other kinds are one cluster for each class.
 
-    Classes come by size; what one leaves of its allowance goes to the next. The number grows by a thousandth of the class, at least 1.
+    Classes come by size; what one leaves of its allowance goes to the next, so that they come one after the other. The
+    number of clusters grows by a thousandth of the class, at least 1.
     """
-    classes = _by_class(demand, settings)
-    total = sum(t for *_, t in classes)
-    left, rest, out, first = target * total, total, None, 0
-    for _, part, n, t in classes:
-        vec, allowance, k = clustering.vectors(part), left * t / rest if rest else 0.0, 1
+    tagged = checkpointed(classed(demand, settings))
+    own = tagged.where("kind = 'egress'")
+    classes = own.groupBy("class").agg(F.countDistinct("prefix").alias("n"), F.sum("demand").alias("t")).orderBy("n", "class").collect()
+    total = sum(r["t"] for r in classes)
+    left, rest, out = target * total, total, _whole(tagged)
+    for r in classes:
+        vec, n, k = checkpointed(clustering.vectors(own.where(F.col("class") == r["class"]).select("src", "prefix", "demand"))), r["n"], 1
+        allowance = left * r["t"] / rest if rest else 0.0
         while True:
-            own = clustering.kmeans(vec, k, mode, **options) if k < n else clustering.heaviest(vec, n - 1)
-            error = clustering.errors(vec, own, mode).agg(F.sum(F.col("error_pos") + F.col("error_neg"))).first()[0] or 0.0
+            one = clustering.single(vec) if k == 1 else clustering.kmeans(vec, k, mode, **options) if k < n else clustering.heaviest(vec, n - 1)
+            error = clustering.errors(vec, one, mode).agg(F.sum(F.col("error_pos") + F.col("error_neg"))).first()[0] or 0.0
             if error <= allowance or k >= n:
                 break
             k = min(n, k + max(n // 1000, 1))
-        rows = own.select("prefix", (F.col("cluster") + first).alias("cluster"))
-        out, first, left, rest = rows if out is None else out.union(rows), first + k, left - error, rest - t
-    return out
+        out, left, rest = out.union(one.select(F.lit(r["class"]).alias("class"), "prefix", "cluster")), left - error, rest - r["t"]
+    return _numbered(out)
 
 
-def search(measure: Callable[[tuple[float, ...]], tuple[float, ...]], start: tuple[float, ...], target: tuple[float, ...], step: float = 0.02, close: float = 0.051, most: int = 500) -> tuple[tuple[float, ...], bool]:
-    """Parameters whose measured values come close to target, and whether they do.
+def search(measure: Callable[[tuple[float, ...]], tuple[float, ...]], start: tuple[float, ...], target: tuple[float, ...], step: float = 0.02, close: float = 0.051, most: int = 500) -> tuple[tuple[float, ...], tuple[float, ...], bool]:
+    """Parameters whose measured values come close to target, these values, and whether they are close.
 
-    The parameter of the worst value moves by a step each time; a setting seen before ends the search.
+    The parameter of the worst value moves by a step each time. A setting seen before ends the search, as does
+    the end of the steps; then the nearest setting of all that were seen is given.
     """
-    at, seen = tuple(start), set()
+    at, seen = tuple(start), {}
     for _ in range(most):
-        values = measure(at)
+        key = tuple(round(x, 9) for x in at)
+        if key in seen:
+            break
+        values = tuple(measure(at))
         gaps = [t - v for t, v in zip(target, values, strict=True)]
         worst = max(range(len(gaps)), key=lambda i: abs(gaps[i]))
+        seen[key] = (abs(gaps[worst]), at, values)
         if abs(gaps[worst]) <= close:
-            return at, True
-        key = tuple(round(x, 9) for x in at)
-        if key in seen:
-            return at, False
-        seen.add(key)
+            break
         at = tuple(max(0.0, x + step * (1 if gaps[i] > 0 else -1)) if i == worst else x for i, x in enumerate(at))
-    return at, False
+    gap, at, values = min(seen.values())
+    return at, values, gap <= close

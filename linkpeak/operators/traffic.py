@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from linkpeak.sources.tables import checkpointed
+
 
 def per_source(demand: DataFrame) -> DataFrame:
     return demand.groupBy("src").agg(F.sum("demand").alias("demand"))
@@ -40,20 +42,28 @@ def normalised(demand: DataFrame) -> DataFrame:
     return rows.select("src", "prefix", "demand", scale.alias("scale"), (F.col("demand") / scale).alias("norm"))
 
 
-def equivalent_top_k(demand: DataFrame, bound: float) -> DataFrame:
-    """(k): how many heaviest prefixes leave out no more than bound of all demand.
+def running_demand(demand: DataFrame) -> DataFrame:
+    """(prefix, demand, rank, upto): prefixes from the heaviest on, with the sum of demand so far.
 
-    The running sum goes by two levels: sums of equal demands first, which are few beside the prefixes.
+    Prefixes are dealt by ranges of their demand; a running sum is that of the range plus the sums of the ranges before.
     """
-    sums = per_prefix(demand)
-    steps = sums.groupBy("demand").agg(F.count("*").alias("n"))
-    down = Window.orderBy(F.desc("demand")).rowsBetween(Window.unboundedPreceding, -1)
-    run = steps.withColumns({"before": F.coalesce(F.sum(F.col("demand") * F.col("n")).over(down), F.lit(0.0)), "rank": F.coalesce(F.sum("n").over(down), F.lit(0))})
-    totals = F.broadcast(sums.agg(F.sum("demand").alias("total"), F.count("*").alias("all_n")))
-    # Within a step the first rank at which the running sum exceeds total - bound.
-    need = F.floor((F.col("total") - bound - F.col("before")) / F.col("demand")) + 1
-    found = run.crossJoin(totals).withColumn("at", F.greatest(need, F.lit(1)))
-    found = found.where(((F.col("before") <= F.col("total") - bound) | (F.col("rank") == 0)) & (F.col("at") <= F.col("n"))).agg(F.min(F.col("rank") + F.col("at")).alias("k"))
+    many = int(demand.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [F.desc("demand"), F.col("prefix")]
+    dealt = checkpointed(per_prefix(demand).repartitionByRange(many, *order).withColumn("_range", F.spark_partition_id()))
+    # One row for each range.
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = dealt.groupBy("_range").agg(F.sum("demand").alias("_d"), F.count("*").alias("_c"))
+    offsets = sums.select("_range", F.coalesce(F.sum("_d").over(before), F.lit(0.0)).alias("_sum"), F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_n"))
+    inside = Window.partitionBy("_range").orderBy(*order)
+    rows = dealt.withColumns({"_in": F.row_number().over(inside), "_so": F.sum("demand").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))})
+    return rows.join(F.broadcast(offsets), "_range").select("prefix", "demand", (F.col("_n") + F.col("_in")).alias("rank"), (F.col("_sum") + F.col("_so")).alias("upto"))
+
+
+def equivalent_top_k(demand: DataFrame, bound: float) -> DataFrame:
+    """(k): how many heaviest prefixes leave out no more than bound of all demand."""
+    run = running_demand(demand)
+    totals = F.broadcast(per_prefix(demand).agg(F.sum("demand").alias("total"), F.count("*").alias("all_n")))
+    found = run.crossJoin(totals).where(F.col("upto") > F.col("total") - bound).agg(F.min("rank").alias("k"))
     return found.crossJoin(totals).select(F.coalesce("k", "all_n").cast("long").alias("k"))
 
 
@@ -61,9 +71,51 @@ def difference(a: DataFrame, b: DataFrame, norm: float) -> DataFrame:
     """(min, median, max, sum, mean) of the links' absolute differences of load over norm; the median is the upper one."""
     rows = a.select("src", "dst", F.col("load").alias("x")).join(b.select("src", "dst", F.col("load").alias("y")), ["src", "dst"], "full")
     d = rows.select((F.abs(F.coalesce("x", F.lit(0.0)) - F.coalesce("y", F.lit(0.0))) / norm).alias("d"))
-    ordered = F.array_sort(F.collect_list("d"))
-    out = d.agg(F.min("d").alias("min"), ordered.alias("_all"), F.max("d").alias("max"), F.sum("d").alias("sum"), F.avg("d").alias("mean"))
-    return out.select("min", F.element_at("_all", (F.size("_all") / 2).cast("int") + 1).alias("median"), "max", "sum", "mean")
+    upper = F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY d DESC)")
+    return d.agg(F.min("d").alias("min"), upper.alias("median"), F.max("d").alias("max"), F.sum("d").alias("sum"), F.avg("d").alias("mean"))
+
+
+def shares(values: DataFrame, total: float, value: str = "demand") -> DataFrame:
+    """values as shares of the total. They must sum up to the total, or to 1 if they are shares already."""
+    found = values.agg(F.coalesce(F.sum(value), F.lit(0.0))).first()[0]
+    near = lambda x: abs(found - x) <= 1e-7 * max(abs(found), abs(x))
+    if near(total):
+        return values.withColumn(value, F.col(value) / F.lit(total))
+    if near(1.0):
+        return values
+    raise ValueError(f"values sum up to {found}, neither to {total} nor to 1")
+
+
+#: Fixed values: (attraction, repulsion, friction) wanted of a matrix, in tenths, and what to sample with for it.
+SAMPLED_FOR = (
+    ((30, 30, 25), (2.82, 3.0, 2.28)),
+    ((30, 30, 30), (2.76, 3.0, 2.74)),
+    ((30, 20, 40), (2.68, 1.96, 3.74)),
+    ((30, 30, 35), (2.66, 3.0, 3.2)),
+    ((30, 25, 40), (2.62, 2.5, 3.72)),
+    ((40, 30, 40), (3.7, 2.98, 3.62)),
+    ((45, 30, 40), (4.24, 2.94, 3.6)),
+    ((35, 30, 40), (3.14, 3.0, 3.64)),
+    ((30, 30, 40), (2.56, 3.0, 3.66)),
+    ((25, 30, 40), (1.94, 3.0, 3.68)),
+    ((30, 35, 40), (2.48, 3.5, 3.62)),
+    ((30, 30, 45), (2.44, 2.98, 4.12)),
+    ((30, 30, 20), (2.9, 3.0, 1.82)),
+    ((30, 45, 40), (2.32, 4.5, 3.52)),
+    ((30, 30, 50), (2.3, 2.94, 4.6)),
+    ((30, 40, 40), (2.4, 4.0, 3.56)),
+    ((20, 30, 40), (1.2, 3.0, 3.7)),
+)
+
+
+def sampled_for(wanted: DataFrame) -> DataFrame:
+    """wanted (attraction, repulsion, friction, and more) with sample_attraction, sample_repulsion and sample_friction:
+    what to sample with, null where it is not known. Wanted values count by tenths."""
+    names = ("attraction", "repulsion", "friction")
+    rows = [(*want, *got) for want, got in SAMPLED_FOR]
+    known = wanted.sparkSession.createDataFrame(rows, ", ".join([f"_{n} int" for n in names] + [f"sample_{n} double" for n in names]))
+    meets = [F.round(F.col(n) * 10).cast("int") == F.col(f"_{n}") for n in names]
+    return wanted.join(F.broadcast(known), meets, "left").drop(*[f"_{n}" for n in names])
 
 
 def lognormal_sigmas(demand: DataFrame, floor: float = 1e-9) -> DataFrame:
@@ -85,8 +137,3 @@ def gravity_expected(demand: DataFrame) -> DataFrame:
     by_prefix = demand.groupBy("prefix").agg(F.sum("demand").alias("p"))
     total = demand.agg(F.sum("demand").alias("t"))
     return by_prefix.crossJoin(F.broadcast(by_src.crossJoin(total))).select("src", "prefix", (F.col("s") * F.col("p") / F.col("t")).alias("demand"))
-
-
-def percent_text(share) -> object:
-    """A share as text: "0%" within 1e-9 of 0, else three decimals."""
-    return F.when(F.abs(share) <= 1e-9, F.lit("0%")).otherwise(F.format_string("%.3f%%", share * 100))

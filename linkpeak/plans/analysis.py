@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from linkpeak.operators import blocks, clustering, flow, loads, rules
+from linkpeak.operators import blocks, clustering, flow, loads, rules, sweeps
+from linkpeak.sources.tables import checkpointed
 
 
 @dataclass(frozen=True)
@@ -30,6 +31,7 @@ class Analysis:
     directed: bool = False
     assignment: DataFrame | None = None
     mode: str = "scaled"
+    clusters: tuple[str, float] | None = None
 
     def set_default_uncertainty(self, kind: str, egresses: tuple[int, ...] | None = None) -> Analysis:
         return replace(self, default_kind=kind, default_egresses=egresses)
@@ -54,7 +56,29 @@ class Analysis:
 
     def with_clustering(self, assignment: DataFrame, mode: str = "scaled") -> Analysis:
         """Prefixes of a cluster (prefix, cluster) count as one; all must share their state and rule."""
-        return replace(self, assignment=assignment, mode=mode)
+        return replace(self, assignment=assignment, mode=mode, clusters=None)
+
+    def with_cluster_number(self, n: int, mode: str = "scaled") -> Analysis:
+        """K-means in each class of prefixes of equal state and rule, with n clusters over all classes of kind egress."""
+        return replace(self, clusters=("number", n), mode=mode, assignment=None)
+
+    def with_cluster_error(self, target: float, mode: str = "scaled") -> Analysis:
+        """The same with as few clusters as keep the error below target, a share of all demand."""
+        return replace(self, clusters=("error", target), mode=mode, assignment=None)
+
+    def clustered(self) -> Analysis:
+        """The analysis with the clusters that its method gives, computed once; use it for several calls of analyze()."""
+        if self.clusters is None:
+            return self
+        demand, states, kinds = replace(self, clusters=None).prepared()
+        settings = states.join(kinds, "prefix")
+        method, value = self.clusters
+        found = sweeps.cluster_within_budget(demand, settings, int(value), self.mode) if method == "number" else sweeps.cluster_to_error(demand, settings, value, self.mode)
+        return self.with_clustering(checkpointed(found), self.mode)
+
+    def install_te_paths(self, paths: DataFrame) -> Analysis:
+        """The same explicit paths (ingress, egress, path_no, edges) for every prefix; paths are few."""
+        return self.add_te_paths(self.demand.select("prefix").distinct().crossJoin(F.broadcast(paths)).select("prefix", "ingress", "egress", "path_no", "edges"))
 
     def roots(self) -> DataFrame:
         return self.ext_links.select(F.col("router").alias("root")).distinct()
@@ -77,11 +101,14 @@ class Analysis:
     def prepared(self) -> tuple[DataFrame, DataFrame, DataFrame]:
         """Demand, states and kinds after truncation and clustering; a prefix without a state is an error."""
         demand, states, kinds = self.demand.where("demand > 0"), self.states(), self.kinds()
-        missing = demand.select("prefix").distinct().join(states, "prefix", "left_anti").limit(1).count()
-        if missing:
+        if demand.select("prefix").distinct().join(states, "prefix", "left_anti").limit(1).count():
             raise ValueError("a prefix with demand has no routing state")
+        routers = self.links.select("src").union(self.links.select("dst")).union(self.roots()).distinct()
+        if demand.select("src").distinct().join(routers, "src", "left_anti").limit(1).count():
+            raise ValueError("demand enters at a router that the topology does not have")
         if self.heaviest is not None:
             demand, _ = loads.heaviest_only(demand, self.heaviest)
+            states, kinds = (df.join(demand.select("prefix").distinct(), "prefix", "left_semi") for df in (states, kinds))
         if self.assignment is not None:
             vec = clustering.vectors(demand)
             settings = self.assignment.join(states, "prefix").join(kinds, "prefix").groupBy("cluster").agg(F.countDistinct("egresses", "kind").alias("n"), F.first("egresses").alias("egresses"), F.first("kind").alias("kind"))
@@ -95,6 +122,8 @@ class Analysis:
     def bounds(self) -> DataFrame:
         """(plus, minus): the demand that a report may miss, and that it may make up: half of the error of
         clusters each way, and what truncation leaves out on top."""
+        if self.clusters is not None:
+            return self.clustered().bounds()
         demand = self.demand.where("demand > 0")
         dropped = self.demand.sparkSession.range(1).select(F.lit(0.0).alias("dropped"))
         if self.heaviest is not None:
@@ -104,27 +133,83 @@ class Analysis:
         half = clustering.errors(clustering.vectors(demand), self.assignment, self.mode).agg((F.sum(F.col("error_pos") + F.col("error_neg")) / 2).alias("half"))
         return half.crossJoin(dropped).select((F.col("half") + F.col("dropped")).alias("plus"), F.col("half").alias("minus"))
 
+    def _with_own_rule(self) -> DataFrame:
+        """(prefix): the prefixes that a rule names."""
+        out = self.demand.select("prefix").limit(0)
+        for some, _ in self.named:
+            out = out.union(some)
+        if self.assignment is not None:
+            out = self.assignment.join(out, "prefix").select(F.col("cluster").cast("long").alias("prefix"))
+        return out.distinct()
+
+    def limits(self, demand: DataFrame) -> DataFrame | None:
+        """(prefix, only): the egresses that a prefix may change to, null for all; None if no prefix has limits. Those of
+        the default rule hold for prefixes without a rule of their own; egresses without local preferences are never
+        changed to."""
+        if self.default_egresses is None and self.local_prefs is None:
+            return None
+        prefixes = demand.select("prefix").distinct()
+        every = F.lit(None).cast("array<int>")
+        if self.local_prefs is not None:
+            every = F.array(*[F.lit(r["egress"]) for r in self.local_prefs.select("egress").distinct().orderBy("egress").collect()]).cast("array<int>")
+        if self.default_egresses is None:
+            return prefixes.select("prefix", every.alias("only"))
+        own = F.array(*[F.lit(e) for e in self.default_egresses]).cast("array<int>")
+        if self.local_prefs is not None:
+            own = F.array_intersect(own, every)
+        tagged = prefixes.join(self._with_own_rule().withColumn("_named", F.lit(True)), "prefix", "left")
+        return tagged.select("prefix", F.when(F.col("_named"), every).otherwise(own).alias("only"))
+
+    def _candidates(self) -> DataFrame:
+        """(prefix, egresses): the sets of egresses that prefixes with explicit paths may change to."""
+        prefs = self.local_prefs if self.local_prefs is not None else self.roots().select(F.col("root").alias("egress"), F.lit(100).alias("local_pref"))
+        if self.default_egresses is None:
+            return rules.candidate_sets_by_prefix(prefs, self.te_paths)
+        few, own = prefs.where(F.col("egress").isin(*self.default_egresses)), self._with_own_rule()
+        free, bound = self.te_paths.join(own, "prefix", "left_semi"), self.te_paths.join(own, "prefix", "left_anti")
+        return rules.candidate_sets_by_prefix(prefs, free).union(rules.candidate_sets_by_prefix(few, bound))
+
+    def _scenario_loads(self, k: int | None, scenarios: DataFrame, at_most: bool) -> DataFrame:
+        if self.clusters is not None:
+            return self.clustered()._scenario_loads(k, scenarios, at_most)
+        demand, states, kinds = self.prepared()
+        only = self.limits(demand)
+        if self.te_paths is None:
+            return blocks.changed_load(self.links, self.roots(), scenarios, demand, states, kinds, k, at_most, only)
+        if self.assignment is not None:
+            raise ValueError("explicit paths name prefixes, which clusters replace")
+        own = self.te_paths.select("prefix").distinct()
+        plain, tied = demand.join(own, "prefix", "left_anti"), demand.join(own, "prefix", "left_semi")
+        found = blocks.partials(self.links, self.roots(), scenarios, plain, states, kinds, k, at_most, only)
+        unit = flow.unit_flow(self.links, self.roots(), scenarios)
+        cells = loads.cells_with_paths(unit, tied, states, kinds, self.te_paths, self._candidates())
+        diff = F.round(F.col("worst") - F.col("current"), 9)
+        more = cells.select("scenario_id", "edge_id", F.col("worst" if k is None else "current").alias("current"), F.array(F.greatest(diff, F.lit(0.0)) if at_most else diff).alias("diffs"))
+        return blocks.finish(found.union(more), k)
+
     def analyze(self, k: int | None, l: int, at_most: bool = False) -> DataFrame:  # noqa: E741
         """(src, dst, load, failed): each link's highest load over up to l failures and k changes (None: any number)."""
+        scenarios = flow.failure_scenarios(self.links, l, self.directed)
+        return loads.over_scenarios(self._scenario_loads(k, scenarios, at_most), self.links, scenarios)
+
+    def causes(self, k: int | None, l: int, at_most: bool = False) -> DataFrame:  # noqa: E741
+        """(src, dst, failed, rank, prefix, current, worst, egress, ingress): what makes each link's highest load: the
+        failed links, and the prefixes that change, the largest change first, with the egress and the ingress (null:
+        as it is) that they change to. Without explicit paths. Of equal changes the smaller prefix is named."""
+        if self.te_paths is not None:
+            raise ValueError("causes are not told where explicit paths exist")
+        if self.clusters is not None:
+            return self.clustered().causes(k, l, at_most)
         demand, states, kinds = self.prepared()
         scenarios = flow.failure_scenarios(self.links, l, self.directed)
-        allowed = None
-        if self.default_egresses is not None:
-            allowed = demand.select("prefix").distinct().withColumn("root", F.explode(F.array(*[F.lit(e) for e in self.default_egresses])))
-        if self.te_paths is not None and self.assignment is not None:
-            raise ValueError("explicit paths name prefixes, which clusters replace")
-        if self.local_prefs is not None:
-            some = self.local_prefs.select(F.col("egress").alias("root")).distinct()
-            allowed = (demand.select("prefix").distinct().crossJoin(some) if allowed is None else allowed.join(some, "root", "left_semi")).select("prefix", "root")
-        if k and l and allowed is None and not at_most and self.te_paths is None:
-            found = blocks.changed_load(self.links, self.roots(), scenarios, demand, states, kinds, k)
-        else:
-            unit = flow.unit_flow(self.links, self.roots(), scenarios)
-            sets = None
-            if self.te_paths is not None:
-                prefs = self.local_prefs if self.local_prefs is not None else self.roots().select(F.col("root").alias("egress"), F.lit(100).alias("local_pref"))
-                if self.default_egresses is not None:
-                    prefs = prefs.where(F.col("egress").isin(*self.default_egresses))
-                sets = rules.candidate_sets_by_prefix(prefs, self.te_paths)
-            found = loads.changed_load(unit, demand, states, kinds, k, at_most, allowed, self.te_paths, sets)
-        return loads.over_scenarios(found, self.links, scenarios)
+        best = loads.over_scenarios(self._scenario_loads(k, scenarios, at_most), self.links, scenarios, named=True).where("scenario_id IS NOT NULL")
+        cells = blocks.worst_cells(self.links, self.roots(), scenarios, demand, states, kinds, self.limits(demand), best.select("scenario_id", "edge_id"))
+        diff = F.round(F.col("worst") - F.col("current"), 9)
+        changed = cells.withColumn("_diff", diff).where("_diff > 0" if at_most or k is None else F.lit(True))
+        if k == 0:
+            changed = changed.limit(0)
+        rank = F.row_number().over(Window.partitionBy("scenario_id", "edge_id").orderBy(F.desc("_diff"), "prefix"))
+        ranked = changed.withColumn("rank", rank)
+        if k is not None:
+            ranked = ranked.where(F.col("rank") <= k)
+        return best.join(ranked, ["scenario_id", "edge_id"], "left").select("src", "dst", "failed", "rank", "prefix", "current", "worst", "egress", "ingress")

@@ -24,6 +24,8 @@ borders AS (SELECT DISTINCT s_nationkey AS root FROM supplier)"""
 _BASE = "scenarios AS (SELECT 0 AS scenario_id, CAST([] AS INTEGER[]) AS failed)"
 _L1 = "scenarios AS (SELECT 0 AS scenario_id, CAST([] AS INTEGER[]) AS failed UNION ALL SELECT link_id + 1, edges FROM units)"
 
+_L1D = "scenarios AS (SELECT 0 AS scenario_id, CAST([] AS INTEGER[]) AS failed UNION ALL SELECT edge_id + 1, [edge_id] FROM links)"
+
 _FLOW = f"""
 alive AS (SELECT s.scenario_id, l.* FROM scenarios s JOIN links l ON NOT list_contains(s.failed, l.edge_id)),
 walk AS (
@@ -172,6 +174,11 @@ def _quantile(q: float) -> str:
     return f"quantile_cont(seconds, {q})"
 
 
+def percent(load: str, total: float) -> str:
+    """A share as text of 8 characters."""
+    return f"CASE WHEN abs({load} * 100 / {total}) <= 1e-9 THEN '  0%    ' ELSE format('{{:7.3f}}%', round({load} * 100 / {total} + 1e-9, 3)) END"
+
+
 def _scores() -> str:
     modes = {"direct": ("avg(v.demand)", "v.demand", "1.0"), "normalized": ("avg(v.norm)", "v.norm", "v.scale"), "scaled": ("sum(v.demand) / sum(v.scale)", "v.norm", "v.scale")}
     methods = {("single", 1): "0", ("heaviest", 10): "least(r, 10)", ("heaviest", 50): "least(r, 50)"}
@@ -198,10 +205,12 @@ SQL: dict[str, str] = {
     "worst_mixed_inf": _with(*_ALL, _WORST) + _report(_sum("w_mixed")),
     "worst_k1": _with(*_ALL, _WORST, _top(1)) + _report("changed"),
     "worst_k10": _with(*_ALL, _WORST, _top(10)) + _report("changed"),
-    "worst_egress_witness": _with(*_ALL, _WORST) + f" SELECT prefix, edge_id, {_r4('worst')} AS worst FROM w_egress",
+    "worst_egress_witness": _with(*_ALL, _WORST, "w_root AS (SELECT d.prefix, f.root, f.edge_id, round(sum(d.demand * f.frac), 9) AS load FROM demand d JOIN flow f ON f.src = d.src GROUP BY 1, 2, 3)")
+    + f" SELECT prefix, edge_id, {_r4('load')} AS worst, root AS egress FROM (SELECT *, row_number() OVER (PARTITION BY prefix, edge_id ORDER BY load DESC, root) AS r FROM w_root) WHERE r = 1",
     "failures_l1_fixed": _with(*_ALL1) + f" SELECT l.src, l.dst, {_r4('coalesce(max(f.load), 0)')} AS load FROM links l LEFT JOIN fixed f ON f.edge_id = l.edge_id GROUP BY l.src, l.dst",
     "failures_l1_witness": _with(*_ALL1) + f" SELECT {_listed('s.failed')} AS failed, f.edge_id, {_r4('f.load')} AS load FROM fixed f JOIN scenarios s ON s.scenario_id = f.scenario_id",
     "failures_l1_k1": _with(*_ALL1, _WORST, _top(1)) + f" SELECT l.src, l.dst, {_r4('greatest(coalesce(max(f.load), 0), 0)')} AS load FROM links l LEFT JOIN changed f ON f.edge_id = l.edge_id GROUP BY l.src, l.dst",
+    "failures_directed_k1": _with(_NET, _L1D, _FLOW, _DEMAND, _STATE, _CHOSEN, _WORST, _top(1)) + f" SELECT l.src, l.dst, {_r4('greatest(coalesce(max(f.load), 0), 0)')} AS load FROM links l LEFT JOIN changed f ON f.edge_id = l.edge_id GROUP BY l.src, l.dst",
     "link_combinations": _with(_NET) + f" SELECT '' AS failed UNION ALL SELECT {_listed('edges')} FROM units UNION ALL SELECT {_listed('list_concat(a.edges, b.edges)')} FROM units a JOIN units b ON a.link_id < b.link_id",
     "undirected_links": _with(_NET) + f" SELECT link_id, {_listed('edges')} AS edges FROM units",
     "lp_compatible_subsets": """WITH RECURSIVE lp AS (SELECT s_nationkey AS egress, list_sort(list(DISTINCT 100 + 50 * (s_suppkey % 3))) AS prefs FROM supplier WHERE s_nationkey < 12 GROUP BY 1),
@@ -258,6 +267,6 @@ FROM part LEFT JOIN named ON p_partkey = prefix""",
     "kl_ecdf": _with(_MEASURED, "m AS (SELECT nation, status, max(seconds) AS most FROM measured GROUP BY 1, 2)", "f AS (SELECT a.status, a.nation, a.most / b.most AS fraction FROM m a JOIN m b ON a.nation = b.nation AND a.status <> 'F' AND b.status = 'F')")
     + " SELECT status, round(fraction, 9) AS fraction, round(row_number() OVER (PARTITION BY status ORDER BY fraction, nation) / count(*) OVER (PARTITION BY status), 9) AS ecdf FROM f",
     "link_report_text": _with(*_ALL, f"a AS ({_report('fixed')})")
-    + " SELECT x.name || ' -> ' || y.name || ': ' || CASE WHEN abs(load / 1000000.0) <= 1e-9 THEN '0%' ELSE format('{:7.3f}%', round(load / 1000000.0 * 100 + 1e-9, 3)) END AS line FROM a JOIN routers x ON a.src = x.router_id JOIN routers y ON a.dst = y.router_id",
+    + f" SELECT lpad(x.name, 20, ' ') || ' -> ' || rpad(y.name, 20, ' ') || ': ' || {percent('load', 1000000.0)} AS line FROM a JOIN routers x ON a.src = x.router_id JOIN routers y ON a.dst = y.router_id",
     "topk_per_link": _with(*_ALL, "t AS (SELECT edge_id, prefix, round(current, 6) AS current FROM current_of)", "r AS (SELECT *, CAST(row_number() OVER (PARTITION BY edge_id ORDER BY current DESC, prefix) AS INTEGER) AS rank FROM t)") + f" SELECT edge_id, rank, prefix, {_r4('current')} AS current FROM r WHERE rank <= 3",
 }

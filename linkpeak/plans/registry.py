@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from linkpeak.operators import blocks, clustering, flow, loads, reports, rules, traffic
-from linkpeak.plans import oracles
+from linkpeak.plans import oracles, sample_oracles, samples
 from linkpeak.sources.tables import Tables
 
 
@@ -59,8 +59,13 @@ def _kinds(t: Tables, kind: str) -> DataFrame:
     return t.rules.select("prefix", F.lit(kind).alias("kind"))
 
 
+def _changed(t: Tables, kinds: DataFrame, k: int | None, failures: int = 0, directed: bool = False) -> tuple[DataFrame, DataFrame]:
+    scenarios = flow.failure_scenarios(t.links, failures, directed)
+    return blocks.changed_load(t.links, t.borders, scenarios, t.demand, t.states, kinds, k), scenarios
+
+
 def _worst_all(t: Tables, kind: str) -> DataFrame:
-    return _report(t, loads.changed_load(_flow(t)[0], t.demand, t.states, _kinds(t, kind), None))
+    return _report(t, _changed(t, _kinds(t, kind), None)[0])
 
 
 def worst_egress_inf(t: Tables) -> DataFrame:
@@ -76,20 +81,20 @@ def worst_both_inf(t: Tables) -> DataFrame:
 
 
 def worst_mixed_inf(t: Tables) -> DataFrame:
-    return _report(t, loads.changed_load(_flow(t)[0], t.demand, t.states, t.rules, None))
+    return _report(t, _changed(t, t.rules, None)[0])
 
 
 def worst_k1(t: Tables) -> DataFrame:
-    return _report(t, loads.changed_load(_flow(t)[0], t.demand, t.states, t.rules, 1))
+    return _report(t, _changed(t, t.rules, 1)[0])
 
 
 def worst_k10(t: Tables) -> DataFrame:
-    return _report(t, loads.changed_load(_flow(t)[0], t.demand, t.states, t.rules, 10))
+    return _report(t, _changed(t, t.rules, 10)[0])
 
 
 def worst_egress_witness(t: Tables) -> DataFrame:
-    best = loads.worst_egress(_flow(t)[0], t.demand)
-    return best.select("prefix", "edge_id", r4("worst").alias("worst"))
+    cells = blocks.worst_cells(t.links, t.borders, flow.base_scenario(t.spark), t.demand, t.states, _kinds(t, "egress"))
+    return cells.where("worst > 0").select("prefix", "edge_id", r4("worst").alias("worst"), "egress")
 
 
 def failures_l1_fixed(t: Tables) -> DataFrame:
@@ -104,9 +109,21 @@ def failures_l1_witness(t: Tables) -> DataFrame:
 
 
 def failures_l1_k1(t: Tables) -> DataFrame:
-    scenarios = flow.failure_scenarios(t.links, 1)
-    out = loads.over_scenarios(blocks.changed_load(t.links, t.borders, scenarios, t.demand, t.states, t.rules, 1), t.links, scenarios)
-    return out.select("src", "dst", r4("load").alias("load"))
+    return _over(t, *_changed(t, t.rules, 1, 1))
+
+
+def _over(t: Tables, found: DataFrame, scenarios: DataFrame) -> DataFrame:
+    return loads.over_scenarios(found, t.links, scenarios).select("src", "dst", r4("load").alias("load"))
+
+
+def failures_l2_k1(t: Tables) -> DataFrame:
+    """Two failures: too many for walks in SQL; tests compare the kernel with the relational form."""
+    return _over(t, *_changed(t, t.rules, 1, 2))
+
+
+def failures_directed_k1(t: Tables) -> DataFrame:
+    """Links that fail in one direction only."""
+    return _over(t, *_changed(t, t.rules, 1, 1, directed=True))
 
 
 def link_combinations(t: Tables) -> DataFrame:
@@ -143,10 +160,21 @@ def te_path_override(t: Tables) -> DataFrame:
     return _report(t, out)
 
 
+def _te_worst(t: Tables, k: int | None) -> DataFrame:
+    return _report_of(t, samples.network(t).add_te_paths(_te(t)).set_local_prefs(t.local_prefs).analyze(k, 0))
+
+
+def _report_of(t: Tables, found: DataFrame) -> DataFrame:
+    return found.select("src", "dst", r4("load").alias("load"))
+
+
 def te_worst_k1(t: Tables) -> DataFrame:
     """The worst loads under one route change where explicit paths override shortest ones."""
-    te = _te(t)
-    return _report(t, loads.changed_load(_flow(t)[0], t.demand, t.states, t.rules, 1, te_paths=te, sets=rules.candidate_sets_by_prefix(t.local_prefs, te)))
+    return _te_worst(t, 1)
+
+
+def te_worst_inf(t: Tables) -> DataFrame:
+    return _te_worst(t, None)
 
 
 def path_to_edges(t: Tables) -> DataFrame:
@@ -321,7 +349,7 @@ def kl_ecdf(t: Tables) -> DataFrame:
 
 
 def link_report_text(t: Tables) -> DataFrame:
-    return reports.link_text(current_link_load(t), t.routers, 1000000.0)
+    return reports.link_text(reports.report_columns(current_link_load(t), []), t.routers, 1000000.0)
 
 
 def topk_per_link(t: Tables) -> DataFrame:
@@ -333,9 +361,9 @@ def topk_per_link(t: Tables) -> DataFrame:
 
 _NAMES = (
     current_link_load, unit_flow_costs, unit_flow, ecmp_dag, merged_dag, chosen_egress, worst_egress_inf, worst_ingress_inf, worst_both_inf, worst_mixed_inf,
-    worst_k1, worst_k10, worst_egress_witness, failures_l1_fixed, failures_l1_witness, failures_l1_k1, link_combinations, undirected_links, lp_compatible_subsets,
+    worst_k1, worst_k10, worst_egress_witness, failures_l1_fixed, failures_l1_witness, failures_l1_k1, failures_l2_k1, failures_directed_k1, link_combinations, undirected_links, lp_compatible_subsets,
     lp_compatible_subsets_all,
-    te_path_override, te_worst_k1, path_to_edges, rule_precedence, prefix_classes, heaviest_truncation, tm_stats_source, tm_stats_prefix, tm_topk_share, top_k_prefixes,
+    te_path_override, te_worst_k1, te_worst_inf, path_to_edges, rule_precedence, prefix_classes, heaviest_truncation, tm_stats_source, tm_stats_prefix, tm_topk_share, top_k_prefixes,
     normalized_demand, single_cluster_center_direct, single_cluster_center_norm, single_cluster_center_scaled, heaviest_k_error, effective_demand, kmeans_one_step,
     kmeans, approx_matrix_error, clustering_scores, clustering_scores_all, equivalent_top_k, report_difference, link_overload, lognormal_sigma, gravity_expected, attraction_renorm,
     variability_check, variability_added, runtime_quantiles, accuracy_quantiles, aspect_factors, kl_ecdf, link_report_text, topk_per_link,
@@ -347,8 +375,8 @@ def _query(plan: Callable[[Tables], DataFrame]) -> Callable[[SparkSession, str],
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {plan.__name__: _query(plan) for plan in _NAMES}
+    return {plan.__name__: _query(plan) for plan in (*_NAMES, *samples.QUERIES)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracles.SQL
+    return {**oracles.SQL, **sample_oracles.SQL}

@@ -1,49 +1,92 @@
-"""Seeded generators: complete graphs, link weights, externals, states and traffic matrices.
+"""Seeded generators: complete graphs, link weights, externals, states, traffic matrices and explicit paths' ends.
 
 Every value is a hash of the seed and the row's keys put through the inverse of a distribution function, so
-that rows need no order, no shared state and no driver.
+that rows need no order, no shared state and no driver. The hash is MD5, which every SQL engine has, so that what is
+drawn here can be drawn there as well.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+from itertools import accumulate
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: A distribution: a column from a seed and the columns that tell rows apart.
+Draw = Callable[..., Column]
+
+
+def draw(seed: int, *keys: Column | str) -> Column:
+    """A whole number below 2**52; keys are compared as text."""
+    text = F.concat_ws("|", F.lit(str(seed)), *[(F.col(k) if isinstance(k, str) else k).cast("string") for k in keys])
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long")
+
 
 def uniform(seed: int, *keys: Column | str) -> Column:
     """In (0, 1)."""
-    return (F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
+    return (draw(seed, *keys) + 0.5) / float(1 << 52)
+
+
+def between(low: float, high: float) -> Draw:
+    return lambda seed, *keys: low + (high - low) * uniform(seed, *keys)
+
+
+def normal(mean: float = 0.0, deviation: float = 1.0) -> Draw:
+    """By Box and Muller."""
+    return lambda seed, *keys: mean + deviation * F.sqrt(-2 * F.ln(uniform(seed, *keys))) * F.cos(2 * math.pi * uniform(seed + 7919, *keys))
+
+
+def exponential(rate: float) -> Draw:
+    return lambda seed, *keys: -F.ln(uniform(seed, *keys)) / rate
+
+
+def poisson_steps(mean: float) -> list[float]:
+    """The distribution function at 0, 1 and so on, as far as a double tells it from 1."""
+    most = int(mean + 12 * math.sqrt(mean) + 30)
+    return list(accumulate(math.exp(-mean + i * math.log(mean) - math.lgamma(i + 1)) for i in range(most)))
+
+
+def poisson(mean: float) -> Draw:
+    """How many values of the distribution function lie below a uniform number."""
+    steps = F.array(*[F.lit(x) for x in poisson_steps(mean)])
+    return lambda seed, *keys: F.size(F.filter(steps, lambda x: x < uniform(seed, *keys))).cast("double")
 
 
-def normal(seed: int, *keys: Column | str) -> Column:
-    """Standard normal, by Box and Muller."""
-    return F.sqrt(-2 * F.ln(uniform(seed, *keys))) * F.cos(2 * math.pi * uniform(seed + 7919, *keys))
+def beta(a: float, b: float) -> Draw:
+    """For whole a and b the a-th smallest of a + b - 1 uniform numbers; for others by numpy, a generator for each row."""
+    if float(a).is_integer() and float(b).is_integer() and a >= 1 and b >= 1:
+        n = int(a + b - 1)
+        return lambda seed, *keys: F.element_at(F.array_sort(F.array(*[uniform(seed + 101 * i, *keys) for i in range(n)])), int(a))
 
+    @F.pandas_udf("double")
+    def by_numpy(seeds: pd.Series) -> pd.Series:
+        return seeds.map(lambda x: np.random.default_rng(int(x)).beta(a, b))
 
-def exponential(rate: float, seed: int, *keys: Column | str) -> Column:
-    return -F.ln(uniform(seed, *keys)) / rate
+    return lambda seed, *keys: by_numpy(draw(seed, *keys))
 
 
-def log_normal(sigma: float, seed: int, *keys: Column | str) -> Column:
-    return F.exp(sigma * normal(seed, *keys))
+def log_normal(sigma: float) -> Draw:
+    return lambda seed, *keys: F.exp(normal(0.0, sigma)(seed, *keys))
 
 
-def log_normal_mean_one(cv: float, seed: int, *keys: Column | str) -> Column:
+def log_normal_mean_one(cv: float) -> Draw:
     """Log-normal of mean 1 and the given coefficient of variation."""
     sigma2 = math.log(1 + cv * cv)
-    return F.exp(math.sqrt(sigma2) * normal(seed, *keys) - sigma2 / 2)
+    return lambda seed, *keys: F.exp(normal(-sigma2 / 2, math.sqrt(sigma2))(seed, *keys))
 
 
-def shifted_pareto(shape: float, seed: int, *keys: Column | str) -> Column:
+def shifted_pareto(shape: float) -> Draw:
     """Pareto of median 1, moved to start at 0."""
     scale = 2 ** (-1 / shape)
-    return scale * F.pow(uniform(seed, *keys), -1 / shape) - scale
+    return lambda seed, *keys: scale * F.pow(uniform(seed, *keys), F.lit(-1 / shape)) - scale
 
 
-def uniform_around_one(width: float, seed: int, *keys: Column | str) -> Column:
-    return 1 + width * (uniform(seed, *keys) - 0.5)
+def uniform_around_one(width: float) -> Draw:
+    return between(1 - width / 2, 1 + width / 2)
 
 
 def complete_graph(spark: SparkSession, n: int) -> DataFrame:
@@ -54,63 +97,87 @@ def complete_graph(spark: SparkSession, n: int) -> DataFrame:
 
 def random_weights(links: DataFrame, seed: int, low: int = 10, high: int = 100) -> DataFrame:
     """Links with integer weights from low to high, the same in both directions."""
-    ends = F.least("src", "dst"), F.greatest("src", "dst")
-    return links.withColumn("weight", low + F.pmod(F.xxhash64(F.lit(seed), *ends), F.lit(high - low + 1)))
+    return links.withColumn("weight", low + F.pmod(draw(seed, F.least("src", "dst"), F.greatest("src", "dst")), F.lit(high - low + 1)))
+
+
+def internal_graph(links: DataFrame, routers: DataFrame, kind: str = "kind") -> DataFrame:
+    """(edge_id, src, dst, weight) of a network's links between internal routers, weights rounded to whole numbers."""
+    inside = routers.where(F.col(kind) == "internal").select("router_id")
+    both = links.join(inside.withColumnRenamed("router_id", "src"), "src", "left_semi").join(inside.withColumnRenamed("router_id", "dst"), "dst", "left_semi")
+    return both.select("edge_id", "src", "dst", F.round("weight").cast("long").alias("weight"))
 
 
 def external_routers(routers: DataFrame, count: int, seed: int) -> DataFrame:
-    """(ext, router): count externals on routers picked by hash, routers in turn if there are more externals."""
-    order = F.row_number().over(Window.orderBy(F.xxhash64(F.lit(seed), "router_id"), "router_id"))
+    """(ext, router): count externals on routers in a drawn order, in turn if there are more externals than routers."""
+    # One row for each router of a topology, so that a window over all of them is small.
+    order = F.row_number().over(Window.orderBy(draw(seed, "router_id"), "router_id"))
     placed = routers.select("router_id", order.alias("_r"))
-    total = placed.count()
-    rounds = -(-count // max(total, 1))
-    many = placed.withColumn("_t", F.explode(F.sequence(F.lit(0), F.lit(max(rounds - 1, 0))))).select((F.col("_t") * total + F.col("_r") - 1).alias("ext"), F.col("router_id").alias("router"))
+    total = max(placed.count(), 1)
+    many = placed.withColumn("_t", F.explode(F.sequence(F.lit(0), F.lit(max(-(-count // total) - 1, 0))))).select((F.col("_t") * total + F.col("_r") - 1).alias("ext"), F.col("router_id").alias("router"))
     return many.where(F.col("ext") < count)
 
 
+def _chosen(ext_links: DataFrame, seed: int, by: str, many: Column) -> tuple[DataFrame, Column]:
+    """All externals in one broadcast row, and the first ``many`` of them in the order that is drawn for each ``by``."""
+    exts = F.broadcast(ext_links.agg(F.array_sort(F.collect_list("ext")).alias("_all")))
+    keyed = F.transform("_all", lambda e: F.struct(draw(seed, F.col(by), e).alias("h"), e.alias("ext")))
+    return exts, F.slice(F.array_sort(keyed), 1, many)
+
+
 def random_states(prefixes: DataFrame, ext_links: DataFrame, seed: int) -> DataFrame:
     """(prefix, ext): one external for 60 % of prefixes, two for 30 %, three for 10 %."""
     u = uniform(seed, "prefix")
-    many = F.when(u < 0.6, 1).when(u < 0.9, 2).otherwise(3)
-    # Externals are a small fixed list, so each prefix sorts it by its own hash.
-    exts = F.broadcast(ext_links.agg(F.collect_list("ext").alias("_all")))
-    keyed = F.transform("_all", lambda e: F.struct(F.xxhash64(F.lit(seed + 1), "prefix", e).alias("h"), e.alias("ext")))
-    chosen = F.slice(F.array_sort(keyed), 1, many)
+    exts, chosen = _chosen(ext_links, seed + 1, "prefix", F.when(u < 0.6, 1).when(u < 0.9, 2).otherwise(3))
     return prefixes.select("prefix").crossJoin(exts).select("prefix", F.explode(chosen).alias("c")).select("prefix", "c.ext")
 
 
-def pooled_states(prefixes: DataFrame, ext_links: DataFrame, pool: int, p: float, seed: int) -> DataFrame:
-    """(prefix, ext): each prefix takes one of pool distinct states, picked by a geometric distribution.
+#: By the number of distinct states wanted, the chance that a prefix takes the first one.
+STATE_CHANCES = {10: 0.7, 20: 0.45, 30: 0.31, 40: 0.24, 50: 0.19, 60: 0.16, 70: 0.14, 80: 0.12, 90: 0.105, 100: 0.095}
 
-    A pool state has 1 to 4 externals, with shares 0.3, 0.3, 0.2 and 0.2.
+
+def pooled_states(prefixes: DataFrame, ext_links: DataFrame, states: int, seed: int) -> DataFrame:
+    """(prefix, ext): prefixes share about so many distinct states (10, 20, ... 100); which one they take is geometric.
+
+    A state has 1 to 4 externals, with shares 0.3, 0.3, 0.2 and 0.2. States are drawn by their number, so that only
+    those which a prefix takes come into being.
     """
-    spark = prefixes.sparkSession
-    index = F.least(F.floor(F.ln(uniform(seed, "prefix")) / math.log(1 - p)), F.lit(pool - 1)).cast("int")
+    if states not in STATE_CHANCES:
+        raise ValueError(f"states must be one of {sorted(STATE_CHANCES)}")
+    state = F.floor(F.ln(uniform(seed, "prefix")) / math.log(1 - STATE_CHANCES[states])).cast("int")
     u = uniform(seed + 2, "state")
-    many = F.when(u < 0.3, 1).when(u < 0.6, 2).when(u < 0.8, 3).otherwise(4)
-    exts = F.broadcast(ext_links.agg(F.collect_list("ext").alias("_all")))
-    keyed = F.transform("_all", lambda e: F.struct(F.xxhash64(F.lit(seed + 3), "state", e).alias("h"), e.alias("ext")))
-    states = spark.range(pool).select(F.col("id").cast("int").alias("state")).crossJoin(exts).select("state", F.slice(F.array_sort(keyed), 1, many).alias("chosen"))
-    return prefixes.select("prefix", index.alias("state")).join(F.broadcast(states), "state").select("prefix", F.explode("chosen").alias("c")).select("prefix", "c.ext")
-
+    exts, chosen = _chosen(ext_links, seed + 3, "state", F.when(u < 0.3, 1).when(u < 0.6, 2).when(u < 0.8, 3).otherwise(4))
+    taken = prefixes.select("prefix", state.alias("state"))
+    drawn = taken.select("state").distinct().crossJoin(exts).select("state", chosen.alias("chosen"))
+    return taken.join(drawn, "state").select("prefix", F.explode("chosen").alias("c")).select("prefix", "c.ext")
 
-def gravity(sources: DataFrame, prefixes: DataFrame, seed: int, repulsion: float = 0.5, attraction: float = 1.0, friction: float = 0.5, divide: bool = True) -> DataFrame:
-    """(src, prefix, demand): repulsion of the source times attraction of the prefix, over (or times) their friction.
 
-    sources has src, prefixes has prefix; the sources are few and are exploded beside each prefix.
-    """
-    rep, att = uniform_around_one(repulsion, seed, "src"), shifted_pareto(attraction, seed + 1, "prefix")
-    fri = uniform_around_one(friction, seed + 2, "src", "prefix")
+def _cells(sources: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """(src, prefix, _n): every source beside every prefix, which is the matrix itself; _n is the number of sources."""
     few = F.broadcast(sources.select("src").distinct().agg(F.array_sort(F.collect_list("src")).alias("_all")))
-    cells = prefixes.select("prefix").crossJoin(few).select("prefix", F.explode("_all").alias("src"), F.size("_all").alias("_n"))
+    return prefixes.select("prefix").crossJoin(few).select("prefix", F.explode("_all").alias("src"), F.size("_all").alias("_n"))
+
+
+def gravity(sources: DataFrame, prefixes: DataFrame, seed: int, repulsion: Draw, attraction: Draw, friction: Draw, invert_friction: bool = False, renormalise_attraction: bool = False) -> DataFrame:
+    """(src, prefix, demand): repulsion of the source times attraction of the prefix, over (inverted: times) their
+    friction, times sources over prefixes. Renormalised, prefixes have the shares of traffic that attraction gives them."""
+    rep, att, fri = repulsion(seed, "src"), attraction(seed + 1, "prefix"), friction(seed + 2, "src", "prefix")
     scale = F.col("_n") / F.lit(max(prefixes.count(), 1))
-    return cells.select("src", "prefix", (rep * att * (1 / fri if divide else fri) * scale).alias("demand"))
+    demand = _cells(sources, prefixes).select("src", "prefix", (rep * att * (fri if invert_friction else 1 / fri) * scale).alias("demand"))
+    return renormalised(demand, prefixes.select("prefix", att.alias("attraction"))) if renormalise_attraction else demand
 
 
-def iid(sources: DataFrame, prefixes: DataFrame, draw: Column) -> DataFrame:
-    """(src, prefix, demand): draw, a column over src and prefix, for each cell."""
-    few = F.broadcast(sources.select("src").distinct().agg(F.array_sort(F.collect_list("src")).alias("_all")))
-    return prefixes.select("prefix").crossJoin(few).select("prefix", F.explode("_all").alias("src")).select("src", "prefix", draw.alias("demand"))
+def iid(sources: DataFrame, prefixes: DataFrame, seed: int, distribution: Draw) -> DataFrame:
+    """(src, prefix, demand): one draw for each cell."""
+    return _cells(sources, prefixes).select("src", "prefix", distribution(seed, "src", "prefix").alias("demand"))
+
+
+def all_pairs(routers: DataFrame, seed: int, repulsion: Draw, attraction: Draw, friction: Draw) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Traffic between all routers: one external and one prefix for each router (of its number), demand (src, prefix,
+    demand) as repulsion times attraction times friction, ext_links (ext, router), and the state (prefix, ext)."""
+    ext_links = routers.select(F.col("router_id").alias("ext"), F.col("router_id").alias("router"))
+    cells = _cells(routers.select(F.col("router_id").alias("src")), routers.select(F.col("router_id").cast("long").alias("prefix")))
+    product = repulsion(seed, "src") * attraction(seed + 1, "prefix") * friction(seed + 2, "src", "prefix")
+    return cells.select("src", "prefix", product.alias("demand")), ext_links, ext_links.select(F.col("ext").cast("long").alias("prefix"), "ext")
 
 
 def renormalised(demand: DataFrame, attraction: DataFrame) -> DataFrame:
@@ -122,8 +189,14 @@ def renormalised(demand: DataFrame, attraction: DataFrame) -> DataFrame:
     return demand.join(factor, "prefix").select("src", "prefix", (F.col("demand") * F.col("_f")).alias("demand"))
 
 
-def parse_edges(df: DataFrame, text: str = "edges") -> DataFrame:
-    """(src, dst, weight) from strings "a:b:cost;...": no loops, the first of repeated pairs."""
-    parts = df.select(F.posexplode(F.split(F.col(text), ";")).alias("at", "e")).where("e <> ''").select("at", F.split("e", ":").alias("p"))
-    rows = parts.select("at", F.element_at("p", 1).alias("src"), F.element_at("p", 2).alias("dst"), F.element_at("p", 3).cast("long").alias("weight")).where("src <> dst")
-    return rows.groupBy("src", "dst").agg(F.min_by("weight", "at").alias("weight"))
+def parse_edges(df: DataFrame, text: str = "edges", key: str = "graph") -> DataFrame:
+    """(key, src, dst, weight, src_id, dst_id) from strings "a:b:cost;...": no loops, the first of repeated pairs, and
+    ids of nodes in the order in which a string names them (loops and repeats name them as well)."""
+    parts = df.select(key, F.posexplode(F.split(F.col(text), ";")).alias("at", "e")).where("e <> ''").select(key, "at", F.split("e", ":").alias("p"))
+    rows = parts.select(key, "at", F.element_at("p", 1).alias("src"), F.element_at("p", 2).alias("dst"), F.element_at("p", 3).cast("long").alias("weight"))
+    named = rows.select(key, (2 * F.col("at")).alias("at"), F.col("src").alias("node")).union(rows.select(key, 2 * F.col("at") + 1, "dst"))
+    first = named.groupBy(key, "node").agg(F.min("at").alias("at"))
+    ids = first.select(key, "node", (F.row_number().over(Window.partitionBy(key).orderBy("at")) - 1).alias("id"))
+    edges = rows.where("src <> dst").groupBy(key, "src", "dst").agg(F.min_by("weight", "at").alias("weight"))
+    end = lambda name: ids.select(key, F.col("node").alias(name), F.col("id").alias(f"{name}_id"))
+    return edges.join(end("src"), [key, "src"]).join(end("dst"), [key, "dst"]).select(key, "src", "dst", "weight", "src_id", "dst_id")

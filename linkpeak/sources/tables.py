@@ -82,14 +82,20 @@ class Tables:
         return self.read("supplier").select(F.col("s_nationkey").alias("egress"), (100 + 50 * (F.col("s_suppkey") % 3)).alias("local_pref")).distinct()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share. Only a local session may fall back to a temporary one."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        path = tempfile.mkdtemp(prefix="linkpeak-")
+        spark.conf.set("spark.checkpoint.dir", path)
+    return path
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """df written to the folder that the session names in spark.checkpoint.dir, and read back without its lineage."""
     spark = df.sparkSession
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        path = spark.conf.get("spark.checkpoint.dir", None)
-        if not path:
-            if not spark.sparkContext.master.startswith("local["):
-                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-            path = tempfile.mkdtemp(prefix="linkpeak-")
-        spark.sparkContext.setCheckpointDir(path)
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()

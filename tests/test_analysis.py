@@ -97,21 +97,94 @@ def test_budget_and_error_driven_clusters(spark):
     five = sweeps.cluster_within_budget(demand, settings, 5, max_iter=2)
     assert five.count() == 12
     assert five.select("cluster").distinct().count() <= 5
+    # Prefixes that may change their ingress are one cluster for each class, whatever the budget.
+    mixed = settings.withColumn("kind", F.when(F.col("prefix") < 6, "ingress").otherwise("egress"))
+    found = sweeps.cluster_within_budget(demand, mixed, 4).join(mixed, "prefix").collect()
+    assert {len({r["cluster"] for r in found if (r["kind"], r["egresses"]) == ("ingress", [x])}) for x in (0, 1)} == {1}
+    assert len({r["cluster"] for r in found if r["kind"] == "egress"}) <= 4
+    assert sum(r["kind"] == "ingress" for r in found) == 6
     near = sweeps.cluster_to_error(demand, settings, 0.5, max_iter=1)
     vec = clustering.vectors(demand)
     e = clustering.errors(vec, near, "scaled").agg(F.sum(F.col("error_pos") + F.col("error_neg"))).first()[0]
     assert e <= 0.5 * sum(r[2] for r in rows)
 
 
+def test_classes_are_clustered_as_they_are_alone(spark):
+    rows = [(s, p, float(1 + (p * p * 7 + s * 5 + p * s) % 23)) for p in range(24) for s in range(3)]
+    demand = spark.createDataFrame(rows, "src int, prefix long, demand double")
+    vec = clustering.vectors(demand).withColumn("class", F.col("prefix") % 2)
+    sizes = spark.createDataFrame([(0, 3), (1, 2)], "class long, k int")
+    for mode in clustering.MODES:
+        found = {r["prefix"]: r["cluster"] for r in clustering.kmeans_by_class(vec, sizes, mode).collect()}
+        alone = {}
+        for c, k in ((0, 3), (1, 2)):
+            alone |= {r["prefix"]: r["cluster"] for r in clustering.kmeans(vec.where(F.col("class") == c).drop("class"), k, mode).collect()}
+        assert found == alone
+
+
+def test_clusters_by_the_builder(spark, base):
+    net = base.with_uncertainty(spark.createDataFrame([(0,), (1,)], "prefix long"), "ingress")
+    plain = net.analyze(None, 0)
+    # As many clusters as prefixes: nothing is lost. With fewer, bounds tell by how much a load may be off.
+    assert loads_of(net.with_cluster_number(10).analyze(None, 0)) == loads_of(plain)
+    assert loads_of(net.with_cluster_error(0.0).clustered().analyze(0, 0)) == loads_of(net.analyze(0, 0))
+    assert net.with_cluster_number(1).bounds().first()["plus"] >= 0
+
+
+def test_causes_make_the_worst_load(spark, base):
+    for k in (1, 2, None):
+        found = base.analyze(k, 1).collect()
+        rows = base.causes(k, 1).collect()
+        current = {}
+        for r in rows:
+            current.setdefault((r["src"], r["dst"]), [r["failed"], []])[1].append(r)
+        for r in found:
+            failed, why = current[r["src"], r["dst"]]
+            assert failed == r["failed"]
+            gain = sum(x["worst"] - x["current"] for x in why if x["prefix"] is not None)
+            now = loads_of(Analysis(base.links.where(~F.col("edge_id").isin(failed or [-1])), base.ext_links, base.demand, base.route_state).analyze(0, 0))
+            assert now.get((r["src"], r["dst"]), 0.0) + gain == pytest.approx(r["load"], abs=1e-6)
+            assert k is None or len(why) == k
+            assert all(x["egress"] is not None and x["ingress"] is None for x in why if x["prefix"] is not None)
+
+
+def test_default_limits_leave_named_rules_alone(spark, base):
+    some = spark.createDataFrame([(0,), (1,)], "prefix long")
+    limited = base.set_default_uncertainty("egress", (5,)).with_uncertainty(some, "egress")
+    of = lambda df: loads_of(df.analyze(None, 0))
+    only = lambda net, prefixes: Analysis(net.links, net.ext_links, net.demand.where(prefixes), net.route_state, net.default_kind, net.default_egresses)
+    free, bound = of(only(base, "prefix < 2")), of(only(base.set_default_uncertainty("egress", (5,)), "prefix >= 2"))
+    assert of(limited) == {e: pytest.approx(free[e] + bound[e], abs=1e-6) for e in free}
+
+
+def test_unknown_sources_and_too_many_failures_are_errors(spark, base):
+    with pytest.raises(ValueError, match="topology"):
+        Analysis(base.links, base.ext_links, base.demand.withColumn("src", F.col("src") + 3), base.route_state).analyze(0, 0)
+    with pytest.raises(ValueError, match="too many"):
+        flow.failure_scenarios(base.links, 30)
+
+
+def test_installed_paths_hold_for_every_prefix(spark, base):
+    ids = {(r["src"], r["dst"]): r["edge_id"] for r in base.links.collect()}
+    path = spark.createDataFrame([(0, 5, 0, [ids[e] for e in ((0, 1), (1, 3), (3, 4), (4, 5))])], "ingress int, egress int, path_no int, edges array<int>")
+    plain, tied = loads_of(base.analyze(0, 0)), loads_of(base.install_te_paths(path).analyze(0, 0))
+    assert tied[1, 3] == pytest.approx(plain[1, 3] + 0.5)
+    assert tied[1, 2] == pytest.approx(plain[1, 2] - 0.5)
+
+
 def test_sweeps_and_search(spark):
     grid = spark.createDataFrame([(1,), (2,)], "x int")
     out = sweeps.explore(grid, lambda row: [{"x": row["x"], "y": row["x"] ** 2}], "x int, y int").collect()
     assert sorted((r["x"], r["y"]) for r in out) == [(1, 1), (2, 4)]
     assert len(sweeps.one_at_a_time({"k": 10, "l": 2}, {"k": [1, 100], "l": [0]})) == 4
-    at, good = sweeps.search(lambda p: p, (0.5, 0.5), (0.9, 0.3))
+    at, values, good = sweeps.search(lambda p: p, (0.5, 0.5), (0.9, 0.3))
     assert good
-    assert at == pytest.approx((0.9, 0.3), abs=0.06)
-    assert sweeps.search(lambda p: (0.0,), (0.5,), (1.0,), most=3)[1] is False
+    assert at == values == pytest.approx((0.9, 0.3), abs=0.06)
+    assert sweeps.search(lambda p: (0.0,), (0.5,), (1.0,), most=3)[2] is False
+    # Values that jump over the target: the search comes round, and gives the nearest setting that it has seen.
+    at, values, good = sweeps.search(lambda p: (0.0 if p[0] < 0.55 else 0.8,), (0.5,), (0.5,))
+    assert (values, good) == ((0.8,), False)
+    assert at == pytest.approx((0.56,), abs=0.011)
 
 
 @pytest.mark.parametrize("kind", ["egress", "ingress", "both"])

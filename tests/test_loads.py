@@ -146,11 +146,39 @@ def test_worst_egress_with_paths_considers_sets(spark, net):
     assert worst[ids[3, 2]] >= 1.0
 
 
-def test_budget_is_spent_whole_and_within_caps():
-    given = rules.largest_share_budget([("a", 3, 90.0), ("b", 50, 9.0), ("c", 50, 1.0)], 20)
-    assert sum(given.values()) == 20
-    assert given["a"] == 3
-    assert given["b"] > given["c"] >= 1
+def budget_by_hand(groups, budget):
+    """groups: (key, members, traffic); the quota of every group that is not full, again and again."""
+    if len(groups) >= budget:
+        return {k: 1 for k, *_ in groups}
+    free, full = budget - len(groups), {}
+    while True:
+        left = [g for g in groups if g[0] not in full]
+        total = sum(t for *_, t in left)
+        room = free - sum(full.values())
+        filled = [g for g in left if room * (g[2] / total) // 1 >= g[1] - 1]
+        if not filled:
+            break
+        full[filled[0][0]] = filled[0][1] - 1
+        if len(full) == len(groups):
+            return {k: 1 + n for k, n in full.items()}
+    quota = {k: room * (t / total) for k, _, t in left}
+    given = {k: int(q) for k, q in quota.items()}
+    for k, *_ in sorted(left, key=lambda g: (-round(quota[g[0]] % 1, 9), g[1], g[0]))[: room - sum(given.values())]:
+        given[k] += 1
+    return {k: 1 + n for k, n in (full | given).items()}
+
+
+def test_clusters_are_shared_out_by_traffic(spark):
+    draw = random.Random(2)
+    cases = [([("a", 3, 90.0), ("b", 50, 9.0), ("c", 50, 1.0)], 20), ([("a", 3, 1.0), ("b", 3, 1.0)], 2), ([("a", 5, 1.0)], 5)]
+    for _ in range(12):
+        groups = [(f"g{i}", draw.randint(1, 40), float(draw.randint(1, 300))) for i in range(draw.randint(1, 12))]
+        cases.append((groups, draw.randint(1, sum(m for _, m, _ in groups))))
+    for groups, budget in cases:
+        rows = rules.shared_budget(spark.createDataFrame(groups, "class string, members long, total double"), budget).collect()
+        given = {r["class"]: r["k"] for r in rows}
+        assert given == budget_by_hand(groups, budget), (groups, budget)
+        assert sum(given.values()) == max(budget, len(groups))
 
 
 def test_heaviest_only_and_overload(spark, net):

@@ -43,7 +43,7 @@ def test_kmeans_has_converged(spark):
     from linkpeak.sources.tables import Tables
 
     v = clustering.vectors(Tables(spark, f"{DATA}/{SF}").demand)
-    now = registry.queries()["kmeans"](spark, f"{DATA}/{SF}").localCheckpoint()
+    now = registry.queries()["kmeans"](spark, f"{DATA}/{SF}").checkpoint()
     # A further step changes no cluster; clusters without members keep no point that could take any.
     after = clustering.assign(v, clustering.centres(v, now, "scaled"), "scaled")
     assert sorted(map(tuple, now.collect())) == sorted(map(tuple, after.collect()))

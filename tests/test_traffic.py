@@ -82,12 +82,19 @@ def test_difference_takes_the_upper_median(spark):
 
 def test_generators_are_fixed_by_seed_and_have_their_means(spark):
     keys = spark.range(20000).select(F.col("id"))
-    stats = keys.agg(F.avg(g.uniform(1, "id")), F.avg(g.normal(2, "id")), F.stddev(g.normal(2, "id")), F.avg(g.exponential(2.0, 3, "id")), F.avg(g.log_normal_mean_one(0.5, 4, "id"))).first()
-    assert stats[0] == pytest.approx(0.5, abs=0.02)
-    assert stats[1] == pytest.approx(0.0, abs=0.05)
-    assert stats[2] == pytest.approx(1.0, abs=0.05)
-    assert stats[3] == pytest.approx(0.5, abs=0.05)
-    assert stats[4] == pytest.approx(1.0, abs=0.05)
+    laws = {
+        "uniform": (g.between(2.0, 4.0), 3.0, 1 / 3), "normal": (g.normal(1.0, 2.0), 1.0, 4.0), "exponential": (g.exponential(2.0), 0.5, 0.25), "poisson": (g.poisson(3.5), 3.5, 3.5),
+        "whole": (g.beta(2, 3), 0.4, 0.04), "broken": (g.beta(0.5, 1.5), 0.25, 0.0625), "mean_one": (g.log_normal_mean_one(0.5), 1.0, 0.25), "log_normal": (g.log_normal(0.2), math.exp(0.02), (math.exp(0.04) - 1) * math.exp(0.04)),
+    }
+    drawn = keys.select(*[law(7, "id").alias(name) for name, (law, _, _) in laws.items()], g.shifted_pareto(1.5)(7, "id").alias("pareto"))
+    stats = drawn.agg(*[f(name).alias(f"{name}_{kind}") for name in laws for kind, f in (("mean", F.avg), ("var", F.var_samp))], F.median("pareto").alias("pareto"), F.min("pareto").alias("least")).first()
+    for name, (_, mean, var) in laws.items():
+        assert stats[f"{name}_mean"] == pytest.approx(mean, abs=4 * math.sqrt(var / 20000) + 1e-9), name
+        assert stats[f"{name}_var"] == pytest.approx(var, rel=0.1), name
+    # The median is 1 before the law is moved to start at 0.
+    assert stats["pareto"] == pytest.approx(1 - 2 ** (-1 / 1.5), abs=0.05)
+    assert stats["least"] >= 0
+    assert keys.select(g.beta(0.5, 1.5)(3, "id")).collect() == keys.repartition(3).select("id", g.beta(0.5, 1.5)(3, "id").alias("x")).orderBy("id").select("x").collect()
     assert g.complete_graph(spark, 5).select("edge_id").distinct().count() == 20
     weights = g.random_weights(g.complete_graph(spark, 5), 7).collect()
     back = {(r["src"], r["dst"]): r["weight"] for r in weights}
@@ -99,17 +106,27 @@ def test_states_and_matrices(spark):
     many = [r["n"] for r in g.random_states(prefixes, exts, 1).groupBy("prefix").agg(F.count("*").alias("n")).collect()]
     assert len(many) == 500
     assert set(many) == {1, 2, 3}
-    pooled = g.pooled_states(prefixes, exts, 10, 0.3, 1).groupBy("prefix").agg(F.array_sort(F.collect_list("ext")).alias("e"))
+    pooled = g.pooled_states(prefixes, exts, 10, 1).groupBy("prefix").agg(F.array_sort(F.collect_list("ext")).alias("e"))
     assert pooled.count() == 500
-    assert pooled.select("e").distinct().count() <= 10
+    assert 2 <= pooled.select("e").distinct().count() <= 15
+    with pytest.raises(ValueError, match="one of"):
+        g.pooled_states(prefixes, exts, 15, 1)
     sources = spark.createDataFrame([(i,) for i in range(4)], "src int")
-    m = g.gravity(sources, prefixes, 3)
+    laws = g.uniform_around_one(0.5), g.shifted_pareto(1.0), g.uniform_around_one(0.5)
+    m = g.gravity(sources, prefixes, 3, *laws)
     assert m.count() == 2000
+    turned = g.gravity(sources, prefixes, 3, *laws, invert_friction=True)
+    friction = laws[2](5, "src", "prefix").alias("f")
+    both = m.join(turned.withColumnRenamed("demand", "d"), ["src", "prefix"]).select("demand", "d", friction)
+    assert all(r["d"] / r["demand"] == pytest.approx(r["f"] ** 2) for r in both.where("demand > 0").limit(50).collect())
+    assert g.iid(sources, prefixes, 4, g.between(0.0, 1.0)).count() == 2000
+    demand, ext_links, state = g.all_pairs(spark.createDataFrame([(i,) for i in range(4)], "router_id int"), 5, *laws)
+    assert (demand.count(), ext_links.count(), state.where("prefix = ext").count()) == (16, 4, 4)
     att = prefixes.select("prefix", (1.0 + F.col("prefix")).alias("attraction"))
     shares = g.renormalised(m, att).groupBy("prefix").agg(F.sum("demand").alias("d")).orderBy("prefix").collect()
     assert shares[9]["d"] / shares[4]["d"] == pytest.approx(2.0)
-    edges = g.parse_edges(spark.createDataFrame([("7:3:1;6:2:1;3:3:9;7:3:5;",)], "edges string")).collect()
-    assert sorted((r["src"], r["dst"], r["weight"]) for r in edges) == [("6", "2", 1), ("7", "3", 1)]
+    edges = g.parse_edges(spark.createDataFrame([(1, "7:3:1;6:2:1;3:3:9;7:3:5;"), (2, "9:9:1;9:7:2;7:3:4"), (3, ""), (4, None)], "graph int, edges string")).collect()
+    assert sorted((r["graph"], r["src"], r["dst"], r["weight"], r["src_id"], r["dst_id"]) for r in edges) == [(1, "6", "2", 1, 2, 3), (1, "7", "3", 1, 0, 1), (2, "7", "3", 4, 1, 2), (2, "9", "7", 2, 0, 1)]
 
 
 def test_newest_csv_and_texts(spark, tmp_path):
@@ -119,8 +136,32 @@ def test_newest_csv_and_texts(spark, tmp_path):
     row = df.select("a", reports.as_number(F.col("b")).alias("b")).first()
     assert row["a"] == 2
     assert math.isinf(row["b"])
-    text = spark.range(1).select(reports.bound_text(F.lit(0.01), F.lit(0.01)).alias("x"), reports.bound_text(F.lit(0.02), F.lit(0.01)).alias("y")).first()
-    assert (text["x"], text["y"]) == ("± 1.000%", "+2.000% -1.000%")
+    (tmp_path / "run_zz.csv").write_text("a,b\n9,1\n")
+    assert reports.newest_csv(spark, str(tmp_path), "run_", "a int, b string", timed=True).first()["a"] == 2
+    (tmp_path / "run_2024-01-03.csv").write_text("a,b\n")
+    assert reports.newest_csv(spark, str(tmp_path), "run_2", "a int, b string").count() == 0
+    with pytest.raises(FileNotFoundError):
+        reports.newest_csv(spark, str(tmp_path), "none", "a int")
+    assert [reports.bound_text(*x, 100.0) for x in ((1.0, 1.0), (2.0, 1.0), (0.0, 0.0), (3.0, 0.0), (0.0, 4.0))] == ["± 1.0%", "+2.0% -1.0%", "± 0.0%", "+3.0%", "-4.0%"]
+
+
+def test_reports_side_by_side(spark):
+    load = lambda rows: spark.createDataFrame(rows, "src int, dst int, load double")
+    rows = reports.report_columns(load([(0, 1, 5.0)]), [load([(1, 0, 10.0)]), load([(0, 1, 7.0), (1, 0, 0.0)])])
+    assert sorted(map(tuple, rows.collect())) == [(0, 1, 5.0, 0.0, 7.0), (1, 0, 0.0, 10.0, 0.0)]
+    names = spark.createDataFrame([(0, "a"), (1, "b")], "router_id int, name string")
+    lines = sorted(r["line"] for r in reports.link_text(rows, names, 100.0, [(0.0, 0.0), (5.0, 2.0)]).collect())
+    assert lines == [f"{'a': >20} -> {'b': <20}:   5.000% |   0%     ± 0.0% |   7.000% +5.0% -2.0%", f"{'b': >20} -> {'a': <20}:   0%     |  10.000% ± 0.0% |   0%     +5.0% -2.0%"]
+
+
+def test_shares_are_of_the_total_or_of_one(spark):
+    df = spark.createDataFrame([(0, 1.0), (1, 3.0)], "src int, demand double")
+    assert [r["demand"] for r in traffic.shares(df, 4.0).orderBy("src").collect()] == [0.25, 0.75]
+    assert traffic.shares(traffic.shares(df, 4.0), 4.0).agg(F.sum("demand")).first()[0] == 1.0
+    with pytest.raises(ValueError, match="neither"):
+        traffic.shares(df, 5.0)
+    wanted = spark.createDataFrame([(3.0, 3.0, 2.5), (3.04, 2.96, 2.5), (9.0, 9.0, 9.0)], "attraction double, repulsion double, friction double")
+    assert [r["sample_attraction"] for r in traffic.sampled_for(wanted).orderBy("attraction").collect()] == [2.82, 2.82, None]
 
 
 def kmeans_by_hand(rows, k, mode):
