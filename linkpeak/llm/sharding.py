@@ -4,60 +4,74 @@ Rows are shuffled by a seeded hash within each source, ranked there, and ordered
 their fractional rank ``(rank + 1/2) / rows of the source``. Cutting that order into equal runs gives
 every shard the mixture of the whole, and row counts that differ by one at most.
 
-Ranks come without any window over a whole source: hash values are dealt into buckets of about
-``sqrt(rows) / 4`` rows, small bucket counts are summed up, and windows only number the rows of one bucket.
-A source with a third of all rows has a third of the buckets.
+Only narrow rows are ordered: a locator, the source and hashes. They are dealt by ranges of the order's keys, the
+locator last, so that neither a hot source nor rows that are all alike meet in one task; a row's place is its place
+in its range plus the rows of the ranges before. Whole rows move once, when they meet their places.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from linkpeak.llm.common import materialize, table
+from linkpeak.llm.common import discard, materialize, table
 
+#: Columns that tell the rows of a table apart.
+LOCATOR = ("_linkpeak_file", "_linkpeak_row")
 
-def _numbered(rows: DataFrame, group: list[str], bucket: str, order: list) -> DataFrame:
-    """Adds ``_at``: the row's place (from 0) within its group, ordered by bucket, then by order."""
-    counts = rows.groupBy(*group, bucket).count()
-    before = Window.partitionBy(*group).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("_before", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
-    inside = Window.partitionBy(*group, bucket).orderBy(*order)
-    return (
-        rows.withColumn("_in", F.row_number().over(inside) - 1)
-        .join(offsets, [*group, bucket])
-        .withColumn("_at", F.col("_before") + F.col("_in"))
-        .drop("_before", "_in", bucket)
-    )
+
+def located(files: DataFrame) -> DataFrame:
+    """files, as read by spark.read without anything done to it, with LOCATOR: a hash of the file's path, and the row's number."""
+    return files.select("*", F.xxhash64("_metadata.file_path").alias(LOCATOR[0]), F.col("_metadata.row_index").alias(LOCATOR[1]))
 
 
-def interleaved_shards(docs: DataFrame, n_shards: int, source: str = "source", keys: tuple[str, ...] = ("doc_id",), seed: int = 7) -> DataFrame:
+def _numbered(rows: DataFrame, order: list, name: str) -> DataFrame:
+    """rows, written, with their place (from 0) in the order of all rows; order must tell all rows apart."""
+    many = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = materialize(rows.repartitionByRange(many, *order).withColumn("_range", F.spark_partition_id()))
+    # One row for each range, so for each task: their running sum is small.
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = dealt.groupBy("_range").count().select("_range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
+    placed = dealt.withColumn("_in", inside).join(F.broadcast(offsets), "_range").withColumn(name, F.col("_before") + F.col("_in"))
+    return materialize(placed.drop("_range", "_before", "_in"), dealt)
+
+
+def interleaved_shards(docs: DataFrame, n_shards: int, source: str = "source", keys: tuple[str, ...] = ("doc_id",), seed: int = 7, locator: tuple[str, ...] | None = None) -> DataFrame:
     """docs with ``shard`` (int, 0 to n_shards - 1) and ``slot`` (long, gapless from 0 in each shard).
 
-    keys seed the shuffle and break ties; rows equal in all keys are interchangeable.
-    Null sources are one source, null keys are values like any other, and an empty table stays empty.
-    The working columns start with ``_``; columns of docs of the same names are not allowed.
+    keys seed the shuffle; a hash of the whole row breaks their ties, and what it leaves open are rows that are the
+    same. locator names columns of docs that tell its rows apart and are stable; they are dropped. Without them docs
+    is written once with row numbers. Null sources are one source, null keys are values like any other, texts may
+    have any length (only their hashes are sorted), and an empty table stays empty. Columns shard and slot of docs,
+    or one named like LOCATOR, are an error; all other names are free.
     """
     if n_shards < 1:
         raise ValueError("n_shards must be 1 or more")
-    if clash := [c for c in docs.columns if c in {"shard", "slot", "_s", "_u", "_n", "_b", "_at", "_frac", "_before", "_in"}]:
+    if clash := [c for c in docs.columns if c in {"shard", "slot", *LOCATOR} and c not in (locator or ())]:
         raise ValueError(f"columns already there: {clash}")
-    hashed = F.pmod(F.xxhash64(F.lit(seed), *[F.col(k) for k in keys]), F.lit(1 << 52)) / float(1 << 52)
-    rows = docs.withColumns({"_s": F.coalesce(F.concat(F.lit("s"), F.col(source).cast("string")), F.lit("n")), "_u": hashed})
-    sizes = materialize(rows.groupBy("_s").agg(F.count("*").alias("_n")))
-    total = sizes.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
-    per_bucket = max(32.0, math.sqrt(total) / 4)
-    rows = rows.join(sizes, "_s").withColumn("_b", F.floor(F.col("_u") * F.ceil(F.col("_n") / per_bucket)))
-    ranked = _numbered(rows, ["_s"], "_b", ["_u", *keys])
-    ranked = ranked.withColumn("_frac", (F.col("_at") + 0.5) / F.col("_n")).drop("_at", "_n")
-    ranked = ranked.withColumn("_b", F.floor(F.col("_frac") * math.ceil(max(total, 1) / per_bucket))).withColumn("_g", F.lit(0))
-    placed = _numbered(ranked, ["_g"], "_b", ["_frac", F.xxhash64(F.lit(seed), "_s"), "_s", "_u", *keys])
+    columns = [c for c in docs.columns if c not in (locator or ())]
+    if locator is None:
+        locator = LOCATOR[1:]
+        docs = materialize(docs.withColumn(locator[0], F.monotonically_increasing_id()))
+    place = [f"_l{i}" for i in range(len(locator))]
+    narrow = docs.select(
+        *[F.col(c).alias(p) for c, p in zip(locator, place, strict=True)],
+        F.coalesce(F.concat(F.lit("s"), F.col(source).cast("string")), F.lit("n")).alias("_s"),
+        F.xxhash64(F.lit(seed), *[F.col(k) for k in keys]).alias("_u"),
+        F.xxhash64(*[F.col(c) for c in columns]).alias("_h"),
+    )
+    ranked = _numbered(narrow, ["_s", "_u", "_h", *place], "_at")
+    sources = materialize(ranked.groupBy("_s").agg(F.min("_at").alias("_first"), F.count("*").alias("_n")))
+    total = sources.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    ranked = ranked.join(sources, "_s").withColumn("_frac", (F.col("_at") - F.col("_first") + 0.5) / F.col("_n")).drop("_at", "_first", "_n")
+    placed = _numbered(ranked.withColumn("_t", F.xxhash64(F.lit(seed), "_s")), ["_frac", "_t", "_s", "_u", "_h", *place], "_at")
+    discard(sources)
     # Exact integer cut: shard s holds the places from ceil(s * total / n) on.
     shard = F.expr(f"(_at * {n_shards}L) div {max(total, 1)}L")
-    first = F.expr(f"((({n_shards}L - 1) + shard * {max(total, 1)}L) div {n_shards}L)")
-    return placed.withColumn("shard", shard).withColumn("slot", F.col("_at") - first).withColumn("shard", F.col("shard").cast("int")).drop("_at", "_frac", "_u", "_s", "_g")
+    first = F.expr(f"((({n_shards}L - 1) + _shard * {max(total, 1)}L) div {n_shards}L)")
+    places = placed.withColumn("_shard", shard).select(*[F.col(p).alias(c) for c, p in zip(locator, place, strict=True)], F.col("_shard").cast("int").alias("shard"), (F.col("_at") - first).alias("slot"))
+    return docs.join(places, list(locator)).select(*columns, "shard", "slot")
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
