@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from linkpeak.llm import decontamination, jaccard, mixing, quality, sharding
@@ -38,8 +39,11 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their shard (0 to 39) and their slot in it."""
-    return sharding.interleaved_shards(docs, 40)
+    """Documents with their shard (0 to 39) and their slot in it. Rows of files have a locator already."""
+    try:
+        return sharding.interleaved_shards(sharding.located(docs), 40, locator=sharding.LOCATOR)
+    except AnalysisException:
+        return sharding.interleaved_shards(docs, 40)
 
 
 STAGES = [
