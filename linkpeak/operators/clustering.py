@@ -72,7 +72,7 @@ def assign(vec: DataFrame, points: DataFrame, mode: str) -> DataFrame:
     x = F.col("demand") if mode == "direct" else F.col("norm")
     weight = F.col("scale") if mode == "scaled" else F.lit(1.0)
     far = vec.join(points, "src").groupBy("prefix", "cluster").agg(F.sum(F.abs(x - F.col("centre")) * weight).alias("d"))
-    return far.groupBy("prefix").agg(F.min(F.struct(F.round("d", 9).alias("d"), "cluster"))["cluster"].alias("cluster"))
+    return far.groupBy("prefix").agg(F.min(F.struct(F.round("d", 6).alias("d"), "cluster"))["cluster"].alias("cluster"))
 
 
 def first_points(vec: DataFrame, k: int, mode: str, seed: int | None = None) -> DataFrame:
@@ -105,7 +105,7 @@ def kmeans_by_class(vec: DataFrame, sizes: DataFrame, mode: str = "scaled", max_
 
     def nearest(at: DataFrame) -> DataFrame:
         far = vec.join(at.drop("moving"), ["class", "src"]).groupBy("class", "prefix", "cluster").agg(F.sum(F.abs(x - F.col("centre")) * weight).alias("d"))
-        return far.groupBy("class", "prefix").agg(F.min(F.struct(F.round("d", 9).alias("d"), "cluster"))["cluster"].alias("cluster"))
+        return far.groupBy("class", "prefix").agg(F.min(F.struct(F.round("d", 6).alias("d"), "cluster"))["cluster"].alias("cluster"))
 
     for _ in range(max_iter):
         means = vec.join(nearest(points.where("moving")), ["class", "prefix"]).groupBy("class", "cluster", "src").agg(mean.alias("_new"))

@@ -244,7 +244,7 @@ FROM part LEFT JOIN named ON p_partkey = prefix""",
     "heaviest_k_error": _with(_DEMAND, _VEC, _HEAVY.format(k=10), _CENTRES) + f" SELECT cluster, {_r4('error_pos')} AS error_pos, {_r4('error_neg')} AS error_neg FROM errors",
     "effective_demand": _with(_DEMAND, _VEC, _HEAVY.format(k=10), _CENTRES) + f" SELECT c.cluster, c.src, {_r4('c.centre * s.s')} AS demand FROM centres c JOIN (SELECT cluster, sum(scale) AS s FROM parts JOIN norm0 USING (prefix) GROUP BY 1) s ON s.cluster = c.cluster",
     "kmeans_one_step": _with(_DEMAND, _VEC, _HEAVY.format(k=10), "points AS (SELECT p.cluster, v.src, v.norm AS centre FROM vec v JOIN parts p ON v.prefix = p.prefix WHERE p.cluster < 10)")
-    + " SELECT prefix, CAST(arg_min(cluster, CAST(round(d, 9) AS DECIMAL(30, 9)) * 1000 + cluster) AS INTEGER) AS cluster FROM (SELECT v.prefix, p.cluster, sum(abs(v.norm - p.centre) * v.scale) AS d FROM vec v JOIN points p ON v.src = p.src GROUP BY 1, 2) GROUP BY prefix",
+    + " SELECT prefix, CAST(min([round(d, 6), cluster])[2] AS INTEGER) AS cluster FROM (SELECT v.prefix, p.cluster, sum(abs(v.norm - p.centre) * v.scale) AS d FROM vec v JOIN points p ON v.src = p.src GROUP BY 1, 2) GROUP BY prefix",
     "approx_matrix_error": _with(_DEMAND, _VEC, _HEAVY.format(k=50), _CENTRES) + " SELECT round(sum(error_pos) / (SELECT sum(scale) FROM norm0), 6) AS error FROM errors",
     "clustering_scores": _scores(),
     "equivalent_top_k": _with(_DEMAND, "t AS (SELECT prefix, sum(demand) AS d FROM demand GROUP BY prefix)", "run AS (SELECT row_number() OVER w AS r, sum(d) OVER (w ROWS UNBOUNDED PRECEDING) AS c FROM t WINDOW w AS (ORDER BY d DESC, prefix))")

@@ -173,7 +173,7 @@ _NAMED = "w_named AS (" + " UNION ALL ".join(f"SELECT w.* FROM c_{kind} w JOIN r
 
 def _kmeans(k: int, steps: int) -> str:
     """Means and assignments in turn, unrolled; once nothing moves, further steps change nothing."""
-    near = "SELECT prefix, arg_min(cluster, CAST(round(d, 9) AS DECIMAL(30, 9)) * 1000 + cluster) AS cluster FROM (SELECT v.prefix, p.cluster, sum(abs(v.norm - p.centre) * v.scale) AS d FROM vec v JOIN {points} p ON v.src = p.src GROUP BY 1, 2) GROUP BY prefix"
+    near = "SELECT prefix, CAST(min([round(d, 6), cluster])[2] AS INTEGER) AS cluster FROM (SELECT v.prefix, p.cluster, sum(abs(v.norm - p.centre) * v.scale) AS d FROM vec v JOIN {points} p ON v.src = p.src GROUP BY 1, 2) GROUP BY prefix"
     parts = [_DEMAND, _VEC.replace("vec AS (", "vec AS MATERIALIZED ("), _HEAVY.format(k=k), f"points_0 AS MATERIALIZED (SELECT p.cluster, v.src, v.norm AS centre FROM vec v JOIN parts p ON v.prefix = p.prefix WHERE p.cluster < {k})"]
     for i in range(steps):
         means = f"SELECT a.cluster, v.src, sum(v.demand) / sum(v.scale) AS centre FROM vec v JOIN ({near.format(points=f'points_{i}')}) a ON a.prefix = v.prefix GROUP BY 1, 2"
@@ -268,6 +268,6 @@ SELECT w.p_partkey, w.a / 10.0 AS attraction, w.r / 10.0 AS repulsion, w.f / 10.
     "cluster_budget": _with(_DEMAND, _STATE, _BUDGET.format(budget=600)) + " SELECT class, CAST(CASE WHEN free <= 0 THEN 1 ELSE 1 + (CASE WHEN is_full THEN room ELSE floor(q) + CASE WHEN place <= more THEN 1 ELSE 0 END END) END AS INTEGER) AS k FROM placed",
     "cluster_members": _with(_DEMAND, _VEC, _HEAVY.format(k=50)) + " SELECT cluster, CAST(count(*) AS INTEGER) AS members, md5(string_agg(CAST(prefix AS VARCHAR), ',' ORDER BY prefix)) AS prefixes FROM parts GROUP BY cluster",
     "first_points": _with(_DEMAND, _VEC, _HEAVY.format(k=10)) + " SELECT p.cluster, v.src, round(v.norm, 6) AS centre FROM vec v JOIN parts p ON p.prefix = v.prefix WHERE p.cluster < 10",
-    "kmeans": _kmeans(8, 60),
+    "kmeans": _kmeans(8, 150),
     "sweep_settings": _sweep(),
 }

@@ -170,7 +170,7 @@ def kmeans_by_hand(rows, k, mode):
     x = [list(r) if mode == "direct" else [a / s for a in r] for r, s in zip(rows, scale, strict=True)]
     weight = scale if mode == "scaled" else [1.0] * len(rows)
     points = [x[i] for i in sorted(range(len(rows)), key=lambda i: (-scale[i], i))[:k]]
-    near = lambda v, w: min((round(sum(abs(a - b) * w for a, b in zip(v, p, strict=True)), 9), c) for c, p in enumerate(points))[1]
+    near = lambda v, w: min((round(sum(abs(a - b) * w for a, b in zip(v, p, strict=True)), 6), c) for c, p in enumerate(points))[1]
     for _ in range(150):
         parts = [near(v, w) for v, w in zip(x, weight, strict=True)]
         moved = []
