@@ -41,6 +41,8 @@ FINE = 256
 PAIR_COST = 0.02
 #: Classes of a block, where the classes of a large bucket are compared by blocks.
 BUCKET = 2000
+#: So many classes to verify, of 40 bytes each, are broadcast to the texts; of more, texts are shuffled.
+SENT = 800_000
 #: Turns in which buckets of several components are tried with one class each, before all of them are compared.
 PIVOTS = 4
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -50,7 +52,7 @@ class _Words(dict):
     """Hashes of words, computed once each; emptied when large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 100_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
@@ -176,8 +178,8 @@ def _scanned(n: int, percent: int, population: int, bits: int):
     def run(part: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in part:
             # Small pieces, so that a task never holds the sets of many texts at once.
-            for start in range(0, len(batch), 1000):
-                piece = batch.iloc[start : start + 1000]
+            for start in range(0, len(batch), 200):
+                piece = batch.iloc[start : start + 200]
                 sets = [shingle_set(t, n) for t in piece["text"]]
                 both = np.array([_print_of(s, bits) for s in sets], dtype=np.int64).reshape(-1, 2)
                 sketch = np.stack([_sketch(s) for s in sets])
@@ -244,11 +246,15 @@ class _Join:
         buckets = materialize(found.groupBy("sig").agg(F.min("node").alias("hub"), F.max("node").alias("_top")).where("hub <> _top").select("sig", "hub"))
         return materialize(found.join(buckets, "sig").groupBy("sig", "hub", "node").agg(F.lit(1).alias("_one")).drop("_one"), buckets)
 
+    def near(self, a: str, b: str) -> Column:
+        """Whether the classes a and b may link, by sizes."""
+        x, y = F.col(f"{a}.size"), F.col(f"{b}.size")
+        return (x * 100 >= y * self.percent) & (y * 100 >= x * self.percent)
+
     def bound(self, a: str, b: str) -> Column:
         """Whether the classes a and b may link, by sizes and sketches."""
         apart = sum((F.bit_count(F.col(f"{a}.s{i}").bitwiseXOR(F.col(f"{b}.s{i}"))) for i in range(SKETCH)), F.lit(0))
-        x, y = F.col(f"{a}.size"), F.col(f"{b}.size")
-        return (x * 100 >= y * self.percent) & (y * 100 >= x * self.percent) & (apart <= max_difference(x + y, self.percent))
+        return self.near(a, b) & (apart <= max_difference(F.col(f"{a}.size") + F.col(f"{b}.size"), self.percent))
 
     def verified(self, pairs: DataFrame, bounded: bool = False) -> DataFrame:
         """The pairs (a, b) of classes that link."""
@@ -257,15 +263,16 @@ class _Join:
             pairs = pairs.join(x, F.col("a") == F.col("x.node")).join(y, F.col("b") == F.col("y.node")).where(self.bound("x", "y")).select("a", "b")
         pairs = materialize(pairs)
         nodes = materialize(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(self.classes.select("node", "print", "check", "rep", "rep_hash"), "node"))
+        nodes = F.broadcast(nodes) if (written := nodes).count() <= SENT else nodes
         # Only one text of each class is needed: that of its representative's key and hash. Where no row has a key,
         # copies meet as well, so that they are made one first. Sets of another fingerprint are left out.
         keyed = self.docs.where("key IS NOT NULL").join(nodes, (F.col("key") == F.col("rep")) & (F.col("text_hash") == F.col("rep_hash"))).select("node", "print", "check", "text")
-        bare = nodes.where("rep IS NULL")
+        bare = written.where("rep IS NULL")
         if bare.limit(1).count():
             copies = self.docs.where("key IS NULL").join(bare, F.col("text_hash") == F.col("rep_hash")).groupBy("node", "print", "check", "text").agg(F.lit(1).alias("_one")).drop("_one")
             keyed = keyed.union(copies)
         tokens = keyed.mapInPandas(_tokens(self.n, self.bits), "node long, tokens binary").groupBy("node").agg(F.first("tokens").alias("tokens"))
-        tokens = materialize(tokens, nodes)
+        tokens = materialize(tokens, written)
         left, right = tokens.withColumnsRenamed({"node": "a", "tokens": "left"}), tokens.withColumnsRenamed({"node": "b", "tokens": "right"})
         return materialize(pairs.join(left, "a").join(right, "b").mapInPandas(_linked(self.percent), "a long, b long"), pairs, tokens)
 
@@ -279,9 +286,9 @@ class _Join:
         # Buckets of several components: another class of the bucket in each turn, against all that are not with it yet.
         for turn in range(PIVOTS):
             rest = self._mixed(members, labels)
-            pivot = F.min(F.struct(F.xxhash64(F.lit(turn), "node").alias("_h"), "node", "label", "size", *[f"s{i}" for i in range(SKETCH)]))
+            pivot = F.min(F.struct(F.xxhash64(F.lit(turn), "node").alias("_h"), "node", "label", "size"))
             pivots = materialize(rest.groupBy("sig").agg(pivot.alias("p")).select("sig", "p.*"))
-            found = self.verified(self._pairs(rest, pivots, F.col("x.label") != F.col("y.label")), bounded=True)
+            found = self.verified(self._pairs(rest, pivots, F.col("x.label") != F.col("y.label")))
             discard(rest, pivots)
             if not found.limit(1).count():
                 discard(found)
@@ -290,7 +297,7 @@ class _Join:
             discard(labels)
             labels = components(edges)
         # What may link of any two components of a bucket is compared, so that none is missed.
-        rest = self._mixed(members, labels)
+        rest = self._mixed(members, labels, SKETCH)
         found = self.verified(self._blocks(rest), bounded=True)
         discard(members, rest)
         if found.limit(1).count():
@@ -310,15 +317,15 @@ class _Join:
         """Deletes what the join has written; its rows cannot be read any more."""
         discard(self.scanned, self.classes)
 
-    def _mixed(self, members: DataFrame, labels: DataFrame) -> DataFrame:
-        """(sig, node, label, size, sketch) of the buckets that hold more than one component."""
+    def _mixed(self, members: DataFrame, labels: DataFrame, sketch: int = 0) -> DataFrame:
+        """(sig, node, label, many, size) of the buckets that hold more than one component, with sketch where asked."""
         named = members.join(labels, "node", "left").select("sig", "node", F.coalesce("label", "node").alias("label"))
         mixed = materialize(named.groupBy("sig").agg(F.min("label").alias("_a"), F.max("label").alias("_b"), F.count("*").alias("many")).where("_a <> _b").select("sig", "many"))
-        return materialize(named.join(mixed, "sig").join(self.classes.select("node", "size", *[f"s{i}" for i in range(SKETCH)]), "node"), mixed)
+        return materialize(named.join(mixed, "sig").join(self.classes.select("node", "size", *[f"s{i}" for i in range(sketch)]), "node"), mixed)
 
     def _pairs(self, left: DataFrame, right: DataFrame, apart: Column) -> DataFrame:
         x, y = left.alias("x"), right.alias("y")
-        pairs = x.join(y, (F.col("x.sig") == F.col("y.sig")) & apart & self.bound("x", "y"))
+        pairs = x.join(y, (F.col("x.sig") == F.col("y.sig")) & apart & self.near("x", "y"))
         return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
     def _blocks(self, rest: DataFrame) -> DataFrame:
