@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkpeak.operators.traffic import normalised
+from linkpeak.sources.generators import draw
 from linkpeak.sources.tables import checkpointed
 
 MODES = ("direct", "normalized", "scaled")
@@ -78,7 +79,7 @@ def assign(vec: DataFrame, points: DataFrame, mode: str) -> DataFrame:
 def first_points(vec: DataFrame, k: int, mode: str, seed: int | None = None) -> DataFrame:
     """(cluster, src, centre): the vectors of the k heaviest prefixes, or of k prefixes picked by seed."""
     scales = vec.select("prefix", "scale").distinct()
-    order = [F.desc("scale"), F.col("prefix")] if seed is None else [F.xxhash64(F.lit(seed), "prefix"), F.col("prefix")]
+    order = [F.desc("scale"), F.col("prefix")] if seed is None else [draw(seed, "prefix"), F.col("prefix")]
     top = scales.orderBy(*order).limit(k)
     named = top.select("prefix", (F.row_number().over(Window.orderBy(*order)) - 1).alias("cluster"))
     return vec.join(named, "prefix").select("cluster", "src", F.col("demand" if mode == "direct" else "norm").alias("centre"))
@@ -93,14 +94,14 @@ def kmeans_by_class(vec: DataFrame, sizes: DataFrame, mode: str = "scaled", max_
     """
     vec = checkpointed(vec)
     scales = vec.select("class", "prefix", "scale").distinct()
-    order = [F.desc("scale"), F.col("prefix")] if seed is None else [F.xxhash64(F.lit(seed), "prefix"), F.col("prefix")]
+    order = [F.desc("scale"), F.col("prefix")] if seed is None else [draw(seed, "prefix"), F.col("prefix")]
     most = sizes.agg(F.max("k")).first()[0] or 0
     rank = F.row_number().over(Window.partitionBy("class").orderBy(*order))
     named = scales.withColumn("_r", rank).where(F.col("_r") <= most).join(sizes, "class").where("_r <= k").select("class", "prefix", (F.col("_r") - 1).alias("cluster"))
     x, weight = F.col("demand" if mode == "direct" else "norm"), F.col("scale") if mode == "scaled" else F.lit(1.0)
     points = checkpointed(vec.join(named, ["class", "prefix"]).select("class", "cluster", "src", x.alias("centre"), F.lit(True).alias("moving")))
     bound = F.lit(tolerance) if mode != "direct" else F.col("_all") * tolerance
-    totals = scales.groupBy("class").agg(F.sum("scale").alias("_all"))
+    totals = checkpointed(scales.groupBy("class").agg(F.sum("scale").alias("_all")))
     mean = {"direct": F.avg("demand"), "normalized": F.avg("norm"), "scaled": F.sum("demand") / F.sum("scale")}[mode]
 
     def nearest(at: DataFrame) -> DataFrame:
@@ -109,9 +110,11 @@ def kmeans_by_class(vec: DataFrame, sizes: DataFrame, mode: str = "scaled", max_
 
     for _ in range(max_iter):
         means = vec.join(nearest(points.where("moving")), ["class", "prefix"]).groupBy("class", "cluster", "src").agg(mean.alias("_new"))
-        moved = checkpointed(points.join(means, ["class", "cluster", "src"], "left").withColumn("_new", F.when(F.col("moving"), F.coalesce("_new", F.lit(0.0))).otherwise(F.col("centre"))))
-        change = moved.groupBy("class").agg(F.sum(F.abs(F.col("_new") - F.col("centre"))).alias("_by")).join(totals, "class").select("class", (F.col("_by") >= bound).alias("_on"))
-        points = checkpointed(moved.join(change, "class").select("class", "cluster", "src", F.col("_new").alias("centre"), (F.col("moving") & F.col("_on")).alias("moving")))
+        moved = points.join(means, ["class", "cluster", "src"], "left").withColumn("_new", F.when(F.col("moving"), F.coalesce("_new", F.lit(0.0))).otherwise(F.col("centre")))
+        # A class has k by sources rows here.
+        change = F.sum(F.abs(F.col("_new") - F.col("centre"))).over(Window.partitionBy("class"))
+        moved = moved.withColumn("_by", change).join(totals, "class").select("class", "cluster", "src", F.col("_new").alias("centre"), (F.col("moving") & (F.col("_by") >= bound)).alias("moving"))
+        points = checkpointed(moved, points)
         if not points.where("moving").limit(1).count():
             break
     return nearest(points)
@@ -124,13 +127,19 @@ def kmeans(vec: DataFrame, k: int, mode: str = "scaled", max_iter: int = 150, to
 
 
 def score_grid(vec: DataFrame, heavy: tuple[int, ...] = (10, 50, 100, 500, 1000), means: tuple[int, ...] = (10, 50, 100)) -> DataFrame:
-    """(method, k, mode, error): positive error over all demand, for each method and mode; k-means runs until it converges."""
+    """(method, k, mode, error): positive error over all demand, for each method and mode; k-means runs until it
+    converges, for all k of a mode in the same jobs."""
     vec = checkpointed(vec)
+    spark = vec.sparkSession
     total = vec.select("prefix", "scale").distinct().agg(F.sum("scale").alias("total"))
-    parts = [("single", 1, lambda _: single(vec)), *(("heaviest", k, lambda _, k=k: heaviest(vec, k)) for k in heavy), *(("kmeans", k, lambda mode, k=k: kmeans(vec, k, mode)) for k in means)]
     out = None
-    for name, k, assignment in parts:
-        for mode in MODES:
-            row = errors(vec, assignment(mode), mode).agg(F.sum("error_pos").alias("e")).crossJoin(total).select(F.lit(name).alias("method"), F.lit(k).alias("k"), F.lit(mode).alias("mode"), (F.col("e") / F.col("total")).alias("error"))
+    for mode in MODES:
+        parts = [("single", 1, single(vec)), *(("heaviest", k, heaviest(vec, k)) for k in heavy)]
+        if means:
+            each = vec.withColumn("class", F.explode(F.array(*[F.lit(k) for k in means])))
+            found = checkpointed(kmeans_by_class(each, spark.createDataFrame([(k, k) for k in means], "class int, k int"), mode))
+            parts += [("kmeans", k, found.where(F.col("class") == k).select("prefix", "cluster")) for k in means]
+        for name, k, assignment in parts:
+            row = errors(vec, assignment, mode).agg(F.sum("error_pos").alias("e")).crossJoin(total).select(F.lit(name).alias("method"), F.lit(k).alias("k"), F.lit(mode).alias("mode"), (F.col("e") / F.col("total")).alias("error"))
             out = row if out is None else out.union(row)
     return out

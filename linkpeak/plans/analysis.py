@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkpeak.operators import blocks, clustering, flow, loads, rules, sweeps
@@ -36,6 +36,12 @@ class Analysis:
     def set_default_uncertainty(self, kind: str, egresses: tuple[int, ...] | None = None) -> Analysis:
         return replace(self, default_kind=kind, default_egresses=egresses)
 
+    def modify_default_egresses(self, keep: Column) -> Analysis:
+        """Of the egresses of the default rule those for which ``keep``, a condition on the column root, holds."""
+        now = self.roots() if self.default_egresses is None else self.roots().where(F.col("root").isin(*self.default_egresses))
+        # Border routers are a part of the topology, which travels with the tasks.
+        return replace(self, default_egresses=tuple(r["root"] for r in now.where(keep).orderBy("root").collect()))
+
     def with_uncertainty(self, prefixes: DataFrame, kind: str) -> Analysis:
         """A rule for some prefixes (column prefix); of several that name a prefix the last one holds."""
         return replace(self, named=(*self.named, (prefixes.select("prefix"), kind)))

@@ -213,11 +213,11 @@ SQL: dict[str, str] = {
     "failures_directed_k1": _with(_NET, _L1D, _FLOW, _DEMAND, _STATE, _CHOSEN, _WORST, _top(1)) + f" SELECT l.src, l.dst, {_r4('greatest(coalesce(max(f.load), 0), 0)')} AS load FROM links l LEFT JOIN changed f ON f.edge_id = l.edge_id GROUP BY l.src, l.dst",
     "link_combinations": _with(_NET) + f" SELECT '' AS failed UNION ALL SELECT {_listed('edges')} FROM units UNION ALL SELECT {_listed('list_concat(a.edges, b.edges)')} FROM units a JOIN units b ON a.link_id < b.link_id",
     "undirected_links": _with(_NET) + f" SELECT link_id, {_listed('edges')} AS edges FROM units",
-    "lp_compatible_subsets": """WITH RECURSIVE lp AS (SELECT s_nationkey AS egress, list_sort(list(DISTINCT 100 + 50 * (s_suppkey % 3))) AS prefs FROM supplier WHERE s_nationkey < 12 GROUP BY 1),
+    "lp_compatible_subsets": """WITH RECURSIVE lp AS (SELECT s_nationkey AS egress, list_sort(list(DISTINCT 100 + 50 * (s_suppkey % 3))) AS prefs FROM supplier GROUP BY 1),
 grow AS (
   SELECT [egress] AS egresses, egress AS last, prefs FROM lp
   UNION ALL
-  SELECT list_append(g.egresses, l.egress), l.egress, list_intersect(g.prefs, l.prefs) FROM grow g JOIN lp l ON l.egress > g.last WHERE len(list_intersect(g.prefs, l.prefs)) > 0
+  SELECT list_append(g.egresses, l.egress), l.egress, list_intersect(g.prefs, l.prefs) FROM grow g JOIN lp l ON l.egress > g.last WHERE len(g.egresses) < 4 AND len(list_intersect(g.prefs, l.prefs)) > 0
 ) SELECT '' AS egresses UNION ALL SELECT array_to_string(egresses, ',') FROM grow""",
     "te_path_override": _with(*_ALL, _TE) + _report("te_load"),
     "path_to_edges": _with(
@@ -235,7 +235,7 @@ FROM part LEFT JOIN named ON p_partkey = prefix""",
     "tm_stats_source": _with(_DEMAND) + f" SELECT src, {_r4('sum(demand)')} AS demand FROM demand GROUP BY src",
     "tm_stats_prefix": _with(_DEMAND) + f" SELECT prefix, {_r4('sum(demand)')} AS demand FROM demand GROUP BY prefix",
     "tm_topk_share": _with(_DEMAND, "t AS (SELECT sum(demand) AS d, row_number() OVER (ORDER BY sum(demand) DESC, prefix) AS r FROM demand GROUP BY prefix)")
-    + f" SELECT top, {_r4('sum(d)')} AS demand, round(sum(d) / (SELECT sum(d) FROM t), 6) AS share FROM t JOIN (SELECT unnest([1, 10, 100, 1000]) AS top) ON r <= top GROUP BY top",
+    + f" SELECT top, {_r4('sum(d)')} AS demand, round(sum(d) / (SELECT sum(d) FROM t), 6) AS share FROM t JOIN (SELECT unnest([1, 10, 100, 1000, 2000, 5000, 10000, 15000]) AS top) ON r <= top GROUP BY top",
     "top_k_prefixes": _with(_DEMAND) + f" SELECT prefix, {_r4('sum(demand)')} AS demand FROM demand GROUP BY prefix ORDER BY sum(demand) DESC, prefix LIMIT 20",
     "normalized_demand": _with(_DEMAND) + f" SELECT src, prefix, round(demand / sum(demand) OVER (PARTITION BY prefix), 6) AS norm, {_r4('sum(demand) OVER (PARTITION BY prefix)')} AS scale FROM demand",
     "single_cluster_center_direct": _centre("avg(demand)"),

@@ -135,13 +135,12 @@ def undirected_links(t: Tables) -> DataFrame:
 
 
 def lp_compatible_subsets(t: Tables) -> DataFrame:
-    """Over the routers that the SQL twin names, those below 12."""
-    few = t.local_prefs.where("egress < 12")
-    return rules.compatible_subsets(few).select(_listed("egresses").alias("egresses"))
+    """Sets of up to four border routers, by the operator's own bound on their size."""
+    return rules.compatible_subsets(t.local_prefs, 4).select(_listed("egresses").alias("egresses"))
 
 
 def lp_compatible_subsets_all(t: Tables) -> DataFrame:
-    """The same over all border routers; up to 2^25 sets, so without SQL."""
+    """Sets of any size; up to 2^25 of them, so without SQL."""
     return rules.compatible_subsets(t.local_prefs).select(_listed("egresses").alias("egresses"))
 
 
@@ -211,7 +210,7 @@ def tm_stats_prefix(t: Tables) -> DataFrame:
 
 
 def tm_topk_share(t: Tables) -> DataFrame:
-    return traffic.top_shares(t.demand, [1, 10, 100, 1000]).select("top", r4("demand").alias("demand"), F.round("share", 6).alias("share"))
+    return traffic.top_shares(t.demand, [1, 10, 100, 1000, 2000, 5000, 10000, 15000]).select("top", r4("demand").alias("demand"), F.round("share", 6).alias("share"))
 
 
 def top_k_prefixes(t: Tables) -> DataFrame:

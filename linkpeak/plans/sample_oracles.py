@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import math
 
-from linkpeak.plans.oracles import _ALL, _ALL1, _BASE, _DEMAND, _FLOW, _HEAVY, _MEASURED, _NET, _STATE, _TE, _VEC, _WORST, _listed, _r4, _report, _sum, _top, _with, percent
-from linkpeak.sources.generators import STATE_CHANCES, poisson_steps
 from linkpeak.operators.traffic import SAMPLED_FOR
+from linkpeak.plans.oracles import _ALL, _ALL1, _BASE, _CHOSEN, _DEMAND, _FLOW, _HEAVY, _MEASURED, _NET, _STATE, _TE, _VEC, _WORST, _listed, _r4, _report, _sum, _top, _with, percent
+from linkpeak.sources.generators import STATE_CHANCES, poisson_steps
 
 
 def _draw(seed: int, *keys: str) -> str:
@@ -198,6 +198,13 @@ placed AS (
     free - (SELECT coalesce(sum(room), 0) FROM filled WHERE is_full) - (SELECT sum(floor(q)) FROM quotas WHERE NOT is_full) AS more FROM quotas
 )"""
 
+#: Classes in the place of prefixes: their demand, state and rule.
+_CLASSES = """
+members AS (SELECT s.prefix, s.egresses, r.kind, dense_rank() OVER (ORDER BY r.kind, s.egresses) AS class FROM single_states s JOIN single_rules r ON r.prefix = s.prefix),
+demand AS (SELECT d.src, m.class AS prefix, sum(d.demand) AS demand FROM single_demand d JOIN members m ON m.prefix = d.prefix GROUP BY 1, 2),
+states AS (SELECT DISTINCT class AS prefix, egresses FROM members),
+rules AS (SELECT DISTINCT class AS prefix, kind FROM members)"""
+
 _STRINGS = """
 named_links AS (SELECT l.*, r.region AS graph FROM links l JOIN routers r ON r.router_id = l.src),
 strings AS (SELECT graph, string_agg(src || ':' || dst || ':' || weight || ';' || dst || ':' || dst || ':7;' || src || ':' || dst || ':99', ';' ORDER BY edge_id) || ';' AS edges FROM named_links GROUP BY graph),
@@ -268,6 +275,10 @@ SELECT w.p_partkey, w.a / 10.0 AS attraction, w.r / 10.0 AS repulsion, w.f / 10.
     "cluster_budget": _with(_DEMAND, _STATE, _BUDGET.format(budget=600)) + " SELECT class, CAST(CASE WHEN free <= 0 THEN 1 ELSE 1 + (CASE WHEN is_full THEN room ELSE floor(q) + CASE WHEN place <= more THEN 1 ELSE 0 END END) END AS INTEGER) AS k FROM placed",
     "cluster_members": _with(_DEMAND, _VEC, _HEAVY.format(k=50)) + " SELECT cluster, CAST(count(*) AS INTEGER) AS members, md5(string_agg(CAST(prefix AS VARCHAR), ',' ORDER BY prefix)) AS prefixes FROM parts GROUP BY cluster",
     "first_points": _with(_DEMAND, _VEC, _HEAVY.format(k=10)) + " SELECT p.cluster, v.src, round(v.norm, 6) AS centre FROM vec v JOIN parts p ON p.prefix = v.prefix WHERE p.cluster < 10",
+    "first_points_drawn": _with(_DEMAND, _VEC, f"order_of AS (SELECT prefix, row_number() OVER (ORDER BY {_draw(61, 'prefix')}, prefix) - 1 AS r FROM norm0)") + " SELECT CAST(o.r AS INTEGER) AS cluster, v.src, round(v.norm, 6) AS centre FROM vec v JOIN order_of o ON o.prefix = v.prefix WHERE o.r < 10",
+    "scenario_network": f"WITH r AS (SELECT n_nationkey AS router, row_number() OVER (ORDER BY {_draw(72, 'n_nationkey')}, n_nationkey) - 1 AS place, count(*) OVER () AS n FROM nation) SELECT a.n_nationkey AS src, b.n_nationkey AS dst, 10 + {_draw(71, 'least(a.n_nationkey, b.n_nationkey)', 'greatest(a.n_nationkey, b.n_nationkey)')} % 91 AS weight FROM nation a JOIN nation b ON a.n_nationkey <> b.n_nationkey UNION ALL SELECT router, CAST(t * n + place + 1000 AS INTEGER), NULL FROM r, (SELECT unnest(range(60)) AS t) WHERE t * n + place < 60",
+    "limited_egress_inf": _with(*_ALL, _WORST.replace("FROM demand d JOIN flow f ON f.src = d.src GROUP BY 1, 2, 3, 4", "FROM demand d JOIN flow f ON f.src = d.src WHERE f.root % 2 = 0 GROUP BY 1, 2, 3, 4")) + _report(_sum("w_mixed")),
+    "class_clustered_inf": _with(_NET, _BASE, _FLOW, _DEMAND.replace("demand AS (", "single_demand AS ("), _STATE.replace("states AS (SELECT", "single_states AS (SELECT").replace("rules AS (SELECT", "single_rules AS (SELECT"), _CLASSES, _CHOSEN, _WORST) + _report(_sum("w_mixed")),
     "kmeans": _kmeans(8, 150),
     "sweep_settings": _sweep(),
 }

@@ -293,6 +293,28 @@ def first_points(t: Tables) -> DataFrame:
     return clustering.first_points(clustering.vectors(t.demand), 10, "scaled").withColumn("centre", F.round("centre", 6))
 
 
+def first_points_drawn(t: Tables) -> DataFrame:
+    """The vectors that k-means starts from if they are drawn."""
+    return clustering.first_points(clustering.vectors(t.demand), 10, "normalized", 61).withColumn("centre", F.round("centre", 6))
+
+
+def scenario_network(t: Tables) -> DataFrame:
+    """A complete graph of the routers as a network with 60 external ones: its links, those to external routers last."""
+    links, ext_links = g.scenario(g.complete_graph(t.spark, t.routers.count()), t.routers, 60, 71)
+    return links.select("src", "dst", "weight").union(ext_links.select("router", (F.col("ext") + 1000).cast("int"), F.lit(None).cast("long")))
+
+
+def limited_egress_inf(t: Tables) -> DataFrame:
+    """The worst loads where prefixes without a rule of their own may leave at routers of even number only."""
+    found = network(t).modify_default_egresses(F.col("root") % 2 == 0).analyze(None, 0)
+    return found.select("src", "dst", _r4("load").alias("load"))
+
+
+def class_clustered_inf(t: Tables) -> DataFrame:
+    """The worst loads where the prefixes of a class count as one."""
+    return network(t).with_cluster_number(1).analyze(None, 0).select("src", "dst", _r4("load").alias("load"))
+
+
 def sweep_settings(t: Tables) -> DataFrame:
     """The settings of the running-time sweeps, with the number of failure scenarios that each has in this network."""
     n = flow.undirected_links(t.links).count()
@@ -305,5 +327,5 @@ QUERIES = (
     complete_graph, random_weights, internal_graph, external_routers, random_states, pooled_states, distributions, gravity_matrix, gravity_matrix_options, iid_matrix,
     all_pairs_matrix, parsed_edges, te_ends_weighted, te_ends_alike, te_ends_in_turn, te_path_costs, destination_tree, source_tree, tree_paths, tree_subpaths, subtree_sizes,
     csv_report, accuracy_tables, link_report_columns, causes_k1, failures_l1_k1_failed, worst_ingress_witness, worst_both_witness, graph_counts, demand_shares, sampled_for,
-    classes_by_members, class_demand, cluster_budget, cluster_within_budget, cluster_members, first_points, sweep_settings,
+    classes_by_members, class_demand, cluster_budget, cluster_within_budget, cluster_members, first_points, first_points_drawn, scenario_network, limited_egress_inf, class_clustered_inf, sweep_settings,
 )

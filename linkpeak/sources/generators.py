@@ -117,6 +117,12 @@ def external_routers(routers: DataFrame, count: int, seed: int) -> DataFrame:
     return many.where(F.col("ext") < count)
 
 
+def scenario(links: DataFrame, routers: DataFrame, externals: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """A topology (edge_id, src, dst) as a network: links with drawn weights, and ext_links (ext, router) of so many
+    external routers. Every border router announces to all others, so that this is all that routing needs."""
+    return random_weights(links, seed), external_routers(routers, externals, seed + 1)
+
+
 def _chosen(ext_links: DataFrame, seed: int, by: str, many: Column) -> tuple[DataFrame, Column]:
     """All externals in one broadcast row, and the first ``many`` of them in the order that is drawn for each ``by``."""
     exts = F.broadcast(ext_links.agg(F.array_sort(F.collect_list("ext")).alias("_all")))
