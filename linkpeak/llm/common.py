@@ -21,7 +21,7 @@ def shared_dir(spark: SparkSession) -> str:
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path
-    if not spark.sparkContext.master.startswith("local["):
+    if not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     path = tempfile.mkdtemp(prefix="linkpeak-")
     spark.conf.set("spark.checkpoint.dir", path)
@@ -45,8 +45,13 @@ def discard(*tables: DataFrame) -> None:
     """Deletes the files of tables from materialize(); other DataFrames are left alone."""
     for df in tables:
         if path := df.__dict__.get("_stored"):
-            target = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
+            remove(df.sparkSession, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder, in whatever store it is."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def masked(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:

@@ -134,17 +134,28 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str
     return grow(x[order], rows["label"].to_numpy(dtype=np.float64)[order])
 
 
-def score_quality(docs: DataFrame, trees: Trees, text: str = "text") -> DataFrame:
-    """docs with ``score``, the probability of label 1; it replaces a column of that name.
-
-    Null texts score like empty ones; each row is scored alone; an empty table stays empty.
-    """
+def score_udf(trees: Trees):
+    """The probability of label 1 for a column of texts. Null texts score like empty ones; texts may have any length and
+    are read whole."""
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
         return pd.Series(trees.score(features(texts)))
 
-    return docs.withColumn("score", score(F.col(text)))
+    return score
+
+
+def score_quality(docs: DataFrame, trees: Trees, text: str = "text") -> DataFrame:
+    """docs with ``score``, the probability of label 1; it replaces a column of that name, all others stay.
+
+    Each row is scored alone, so that repeated rows agree; an empty table stays empty.
+    """
+    return docs.withColumn("score", score_udf(trees)(F.col(text)))
+
+
+def good_rows(docs: DataFrame, trees: Trees, least: float = 0.5, text: str = "text") -> DataFrame:
+    """The rows of docs, as they are, that score least or more."""
+    return docs.where(score_udf(trees)(F.col(text)) >= least)
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -101,11 +101,12 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: float = 64
     vectors and queries have vec_id long and vector array<double>. Rows with a null id, a null vector or a
     component that is null or not finite take no part. A query's own id is no candidate of it. Shorter
     vectors count as padded with zeros; empty ones score 0. Ties go to the smaller vec_id; a candidate row
-    that repeats is ranked as often as it occurs, a query that repeats is answered once. Empty tables give
-    no rows.
+    that repeats is ranked as often as it occurs, a query that repeats is answered once (of different vectors under
+    one id by the smallest). Vectors may have any length. Scores must stay below 2**53, what doubles hold exactly;
+    vectors so large that they might not are an error. Empty tables give no rows.
     """
     whole = F.col("vec_id").isNotNull() & F.col("vector").isNotNull() & F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    vectors, queries = vectors.where(whole).select("vec_id", "vector"), queries.where(whole).select("vec_id", "vector").dropDuplicates(["vec_id"])
+    vectors, queries = vectors.where(whole).select("vec_id", "vector"), queries.where(whole).groupBy("vec_id").agg(F.min("vector").alias("vector"))
     dim = vectors.select(F.size("vector").alias("d")).union(queries.select(F.size("vector").alias("d"))).agg(F.max("d")).first()[0] or 0
     kind = "home long, ids binary, wide boolean, mat binary"
     pack = lambda df: materialize(df.mapInPandas(lambda part: _blocks(part, dim, scale), kind))
@@ -115,6 +116,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: float = 64
     # No score is beyond the product of the largest norms, so the first window holds them all.
     norms = [df.mapInPandas(_range, "norm double").agg(F.max("norm")).first()[0] or 0.0 for df in (blocks, asked)]
     reach = float(np.ceil(norms[0] * norms[1])) + 1
+    if reach > 2**53:
+        raise ValueError("scores may pass 2**53; use a smaller scale")
     width = 1.0
     while width * BINS < 2 * reach + 1:
         width *= BINS
