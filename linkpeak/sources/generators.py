@@ -52,8 +52,8 @@ def poisson_steps(mean: float) -> list[float]:
 
 def poisson(mean: float) -> Draw:
     """How many values of the distribution function lie below a uniform number."""
-    steps = F.array(*[F.lit(x) for x in poisson_steps(mean)])
-    return lambda seed, *keys: F.size(F.filter(steps, lambda x: x < uniform(seed, *keys))).cast("double")
+    steps = poisson_steps(mean)
+    return lambda seed, *keys: F.size(F.filter(F.array(*[F.lit(x) for x in steps]), lambda x: x < uniform(seed, *keys))).cast("double")
 
 
 def beta(a: float, b: float) -> Draw:

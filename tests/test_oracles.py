@@ -1,6 +1,9 @@
 """Every query with SQL gives the rows that DuckDB gives for it."""
 
 import os
+import subprocess
+import sys
+from pathlib import Path
 
 import pytest
 
@@ -21,6 +24,11 @@ def test_query_matches_sql(spark, con, name):
     assert spark_rows(registry.queries()[name](spark, f"{DATA}/{SF}")) == duck_rows(con, registry.oracle_sql()[name])
 
 
+def test_entry_module_needs_no_session():
+    out = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()) >= len(e.oracle_sql()) > 90)"], capture_output=True, text=True, cwd=Path(__file__).resolve().parents[1], check=True)
+    assert out.stdout.strip().endswith("True")
+
+
 def test_kmeans_covers_every_prefix(spark):
     rows = registry.queries()["kmeans"](spark, f"{DATA}/{SF}").collect()
     assert len({r["prefix"] for r in rows}) == len(rows) == 200
