@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontamination": decontamination.OP5_SQL, "op9_topk": topk.OP9_SQL}
+    return {"op5_decontamination": decontamination.OP5_SQL, "op8_jaccard": jaccard.OP8_SQL, "op9_topk": topk.OP9_SQL}

@@ -577,7 +577,7 @@ def test_contract_of_the_join(spark, folder):
     assert found == groups_of(rows, 3, 90)
 
 
-@pytest.mark.parametrize("name", ["op5_decontamination", "op9_topk"])
+@pytest.mark.parametrize("name", ["op5_decontamination", "op8_jaccard", "op9_topk"])
 def test_sql_twins(spark, name):
     from linkpeak.llm import registry
     from tests.compare import DATA, connect, duck_rows, spark_rows
