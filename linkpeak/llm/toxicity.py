@@ -25,6 +25,8 @@ from linkpeak.llm.training import crc_remainder, labelled_sample
 MAX_LABELLED = 20_000
 #: Terms are hashed to so many slots; length of a term's vector.
 SLOTS, RANK = 1 << 22, 8
+#: So many epochs without a gain end the fit of vectors.
+PATIENCE = 12
 #: Slots that fewer labelled texts hold have no weight.
 LEAST = 3
 
@@ -65,7 +67,8 @@ def _batches(rows: np.ndarray, term: np.ndarray, starts: np.ndarray, size: int)
         some = rows[first : first + size]
         cells = [term[starts[r] : starts[r + 1]] for r in some]
         used, place = np.unique(np.concatenate(cells), return_inverse=True) if len(cells) else (term[:0], term[:0])
-        out.append((some, used, np.repeat(np.arange(len(some)), [len(c) for c in cells]), place))
+        # Places take 4 bytes each, as all cells of the sample are held at once.
+        out.append((some, used, np.repeat(np.arange(len(some), dtype=np.int32), [len(c) for c in cells]), place.astype(np.int32)))
     return out
 
 
@@ -92,8 +95,12 @@ def _weights(batch: tuple, y: np.ndarray, balance: np.ndarray, w: np.ndarray, bi
         seen[used] += g**2
         seen_b += err.sum() ** 2
         step = rate / np.sqrt(seen[used])
-        w[used] = _shrunk(w[used] - step * g, step * penalty)
+        moved = _shrunk(w[used] - step * g, step * penalty)
+        still = np.abs(moved - w[used]).max(initial=0.0) < 1e-3
+        w[used] = moved
         bias -= rate * err.sum() / np.sqrt(seen_b)
+        if still:
+            break
     return w, bias
 
 
@@ -131,12 +138,13 @@ def fit(docs: list[np.ndarray], y: np.ndarray, epochs: int = 30, penalties: tupl
     share = y.mean() if len(y) else 0.5
     if not len(y) or not 0 < share < 1:
         return Machine(np.zeros(0, dtype=np.int64), np.zeros(0), np.zeros((0, RANK)), float(np.log((share + 1e-3) / (1 - share + 1e-3))))
-    once = {(d.tobytes(), t): i for i, (d, t) in enumerate(zip(docs, y, strict=True))}
+    once = {(xxhash.xxh3_128_digest(d.tobytes()), t): i for i, (d, t) in enumerate(zip(docs, y, strict=True))}
     docs, y = [docs[i] for i in once.values()], y[list(once.values())]
     slots, count = np.unique(np.concatenate(docs), return_counts=True)
     slots = slots[count >= LEAST]
-    kept = [np.searchsorted(slots, np.intersect1d(d, slots, assume_unique=True)) for d in docs]
-    starts, term = np.concatenate([[0], np.cumsum([len(k) for k in kept])]), np.concatenate(kept)
+    docs = [np.searchsorted(slots, np.intersect1d(d, slots, assume_unique=True)).astype(np.int32) for d in docs]
+    starts, term = np.concatenate([[0], np.cumsum([len(d) for d in docs])]), np.concatenate(docs)
+    del docs, once
     share = y.mean()
     balance = np.where(y == 1, 0.5 / share, 0.5 / (1 - share))
     order = np.random.default_rng(seed).permutation(len(y))
@@ -169,9 +177,13 @@ def fit(docs: list[np.ndarray], y: np.ndarray, epochs: int = 30, penalties: tupl
     w, bias = _weights((some, used, row[inside], place[inside]), y, balance, start, bias, chosen / 20)
     better(w, still, bias)
     start, _, bias = model
+    del whole, some, used, row, place, inside
+    waited = 0
     for w, v, b in _vectors(_batches(train, term, starts, size), y, balance, start, bias, chosen, epochs, seed=seed):
-        better(w, v, b)
-    return Machine(slots, *model)
+        waited = 0 if better(w, v, b) else waited + 1
+        if waited == PATIENCE:
+            break
+    return Machine(slots.astype(np.int64), *model)
 
 
 def _learned(part: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -197,8 +209,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str =
     discard(rows)
     # Rows come in any order; a fixed one makes reruns agree.
     order = sorted(range(len(got)), key=lambda i: (got["terms"].iloc[i], got["label"].iloc[i]))
-    found = [np.frombuffer(got["terms"].iloc[i], dtype=np.int32).astype(np.int64) for i in order]
-    return fit(found, got["label"].to_numpy(dtype=np.float64)[order])
+    found, y = [np.frombuffer(got["terms"].iloc[i], dtype=np.int32) for i in order], got["label"].to_numpy(dtype=np.float64)[order]
+    return fit(found, y)
 
 
 def score_toxicity(docs: DataFrame, machine: Machine, text: str = "text") -> DataFrame:
