@@ -232,7 +232,7 @@ _STATE3 = f"CASE WHEN {_u(21, 'x.prefix')} < 0.6 THEN 1 WHEN {_u(21, 'x.prefix')
 _STATE4 = f"CASE WHEN {_u(24, 'x.state')} < 0.3 THEN 1 WHEN {_u(24, 'x.state')} < 0.6 THEN 2 WHEN {_u(24, 'x.state')} < 0.8 THEN 3 ELSE 4 END"
 
 SQL: dict[str, str] = {
-    "complete_graph": "SELECT CAST(a.n_nationkey * (SELECT count(*) - 1 FROM nation) + b.n_nationkey - CASE WHEN b.n_nationkey > a.n_nationkey THEN 1 ELSE 0 END AS BIGINT) AS edge_id, a.n_nationkey AS src, b.n_nationkey AS dst, CAST(1 AS BIGINT) AS weight FROM nation a JOIN nation b ON a.n_nationkey <> b.n_nationkey",
+    "complete_graph": "SELECT CAST(a.n_nationkey * (SELECT count(*) - 1 FROM nation) + b.n_nationkey - CASE WHEN b.n_nationkey > a.n_nationkey THEN 1 ELSE 0 END AS INTEGER) AS edge_id, a.n_nationkey AS src, b.n_nationkey AS dst, CAST(1 AS BIGINT) AS weight FROM nation a JOIN nation b ON a.n_nationkey <> b.n_nationkey",
     "random_weights": _with(_NET) + f" SELECT src, dst, 10 + {_draw(5, 'least(src, dst)', 'greatest(src, dst)')} % 91 AS weight FROM links",
     "internal_graph": _with(_NET) + " SELECT edge_id, src, dst, CAST(round(weight + 0.4) AS BIGINT) AS weight FROM links",
     "external_routers": f"WITH r AS (SELECT n_nationkey AS router, row_number() OVER (ORDER BY {_draw(3, 'n_nationkey')}, n_nationkey) - 1 AS place, count(*) OVER () AS n FROM nation) SELECT CAST(t * n + place AS INTEGER) AS ext, router FROM r, (SELECT unnest(range(60)) AS t) WHERE t * n + place < 60",
