@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from linkpeak.llm import clusters, decontamination, jaccard, licenses, mixing, pii, prefixes, quality, sharding, topk, toxicity, urls
+from linkpeak.llm import clusters, decontamination, jaccard, licenses, mixing, pii, prefixes, quality, sharding, substrings, topk, toxicity, urls
 
 
 def queries() -> dict:
@@ -18,9 +18,10 @@ def queries() -> dict:
         "op9_topk": topk.op9_topk,
         "op10_licenses": licenses.op10_licenses,
         "op11_prefixes": prefixes.op11_prefixes,
+        "op12_substrings": substrings.op12_substrings,
         "op13_clusters": clusters.op13_clusters,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontamination": decontamination.OP5_SQL, "op8_jaccard": jaccard.OP8_SQL, "op9_topk": topk.OP9_SQL, "op11_prefixes": prefixes.OP11_SQL, "op13_clusters": clusters.OP13_SQL}
+    return {"op5_decontamination": decontamination.OP5_SQL, "op8_jaccard": jaccard.OP8_SQL, "op9_topk": topk.OP9_SQL, "op11_prefixes": prefixes.OP11_SQL, "op12_substrings": substrings.OP12_SQL, "op13_clusters": clusters.OP13_SQL}
