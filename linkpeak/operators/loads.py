@@ -7,7 +7,7 @@ and link; argmax and ties are structs under max, never sorts of whole groups.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from linkpeak.functions.ranking import top_per_group
@@ -115,6 +115,11 @@ def over_scenarios(loads: DataFrame, links: DataFrame, scenarios: DataFrame, nam
     return rows.join(scenarios, "scenario_id", "left").select(*(["scenario_id", "edge_id"] if named else []), "src", "dst", "load", "failed")
 
 
+def by_change() -> WindowSpec:
+    """The changes of a link in a scenario, the largest first."""
+    return Window.partitionBy("scenario_id", "edge_id").orderBy(F.desc("_d"), "prefix")
+
+
 def with_paths(flow: DataFrame, demand: DataFrame, states: DataFrame, te_paths: DataFrame) -> DataFrame:
     """(scenario_id, prefix, egresses, edge_id, load) where explicit paths override shortest ones.
 

@@ -11,8 +11,13 @@ def effective_rules(prefixes: DataFrame, rule_prefixes: DataFrame, rules: DataFr
 
     rule_prefixes: rule_id, prefix; rules: rule_id, kind; larger rule ids came later.
     """
+    return last_rule(prefixes, rule_prefixes).join(rules, "rule_id", "left").select("prefix", "rule_id", F.coalesce("kind", F.lit(default)).alias("kind"))
+
+
+def last_rule(prefixes: DataFrame, rule_prefixes: DataFrame) -> DataFrame:
+    """(prefix, rule_id): of the rules that name a prefix the last one, null for none."""
     last = rule_prefixes.groupBy("prefix").agg(F.max("rule_id").alias("rule_id"))
-    return prefixes.select("prefix").join(last, "prefix", "left").join(rules, "rule_id", "left").select("prefix", "rule_id", F.coalesce("kind", F.lit(default)).alias("kind"))
+    return prefixes.select("prefix").join(last, "prefix", "left")
 
 
 def prefix_classes(settings: DataFrame, demand: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -30,8 +30,9 @@ def one_at_a_time(base: dict, changes: dict[str, list]) -> list[dict]:
 
 
 def classed(demand: DataFrame, settings: DataFrame) -> DataFrame:
-    """demand with kind and class: prefixes of equal settings (prefix, kind, egresses) are of one class, named by these."""
-    name = F.concat_ws(":", "kind", F.array_join(F.col("egresses").cast("array<string>"), ","))
+    """demand with kind and class: prefixes of equal settings (prefix, kind, egresses and, if there, rule and te) are of one class, named by these."""
+    more = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("rule", "te") if c in settings.columns]
+    name = F.concat_ws(":", "kind", F.array_join(F.col("egresses").cast("array<string>"), ","), *more)
     return demand.join(settings.select("prefix", "kind", name.alias("class")), "prefix")
 
 

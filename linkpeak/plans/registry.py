@@ -59,13 +59,12 @@ def _kinds(t: Tables, kind: str) -> DataFrame:
     return t.rules.select("prefix", F.lit(kind).alias("kind"))
 
 
-def _changed(t: Tables, kinds: DataFrame, k: int | None, failures: int = 0, directed: bool = False) -> tuple[DataFrame, DataFrame]:
-    scenarios = flow.failure_scenarios(t.links, failures, directed)
-    return blocks.changed_load(t.links, t.borders, scenarios, t.demand, t.states, kinds, k), scenarios
+def _changed(t: Tables, kinds: DataFrame, k: int | None) -> DataFrame:
+    return _report(t, blocks.changed_load(t.links, t.borders, flow.base_scenario(t.spark), t.demand, t.states, kinds, k))
 
 
 def _worst_all(t: Tables, kind: str) -> DataFrame:
-    return _report(t, _changed(t, _kinds(t, kind), None)[0])
+    return _changed(t, _kinds(t, kind), None)
 
 
 def worst_egress_inf(t: Tables) -> DataFrame:
@@ -81,15 +80,15 @@ def worst_both_inf(t: Tables) -> DataFrame:
 
 
 def worst_mixed_inf(t: Tables) -> DataFrame:
-    return _report(t, _changed(t, t.rules, None)[0])
+    return _changed(t, t.rules, None)
 
 
 def worst_k1(t: Tables) -> DataFrame:
-    return _report(t, _changed(t, t.rules, 1)[0])
+    return _changed(t, t.rules, 1)
 
 
 def worst_k10(t: Tables) -> DataFrame:
-    return _report(t, _changed(t, t.rules, 10)[0])
+    return _changed(t, t.rules, 10)
 
 
 def worst_egress_witness(t: Tables) -> DataFrame:
@@ -109,21 +108,23 @@ def failures_l1_witness(t: Tables) -> DataFrame:
 
 
 def failures_l1_k1(t: Tables) -> DataFrame:
-    return _over(t, *_changed(t, t.rules, 1, 1))
+    return _over(t, 1)
 
 
-def _over(t: Tables, found: DataFrame, scenarios: DataFrame) -> DataFrame:
-    return loads.over_scenarios(found, t.links, scenarios).select("src", "dst", r4("load").alias("load"))
+def _over(t: Tables, failures: int, directed: bool = False) -> DataFrame:
+    scenarios = flow.failure_scenarios(t.links, failures, directed)
+    packed = blocks.Packed.of(t.links, t.borders, t.demand, blocks.settings_of(t.states, t.rules))
+    return loads.over_scenarios(blocks.highest_loads(packed, scenarios, 1), t.links, scenarios).select("src", "dst", r4("load").alias("load"))
 
 
 def failures_l2_k1(t: Tables) -> DataFrame:
     """Two failures: too many for walks in SQL; tests compare the kernel with the relational form."""
-    return _over(t, *_changed(t, t.rules, 1, 2))
+    return _over(t, 2)
 
 
 def failures_directed_k1(t: Tables) -> DataFrame:
     """Links that fail in one direction only."""
-    return _over(t, *_changed(t, t.rules, 1, 1, directed=True))
+    return _over(t, 1, directed=True)
 
 
 def link_combinations(t: Tables) -> DataFrame:
