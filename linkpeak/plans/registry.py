@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from linkpeak.operators import blocks, clustering, flow, loads, reports, rules, traffic
-from linkpeak.plans import oracles, sample_oracles, samples
+from linkpeak.plans import experiment_oracles, experiments, oracles, sample_oracles, samples
 from linkpeak.sources.tables import Tables
 
 
@@ -145,7 +145,7 @@ def lp_compatible_subsets_all(t: Tables) -> DataFrame:
     return rules.compatible_subsets(t.local_prefs).select(_listed("egresses").alias("egresses"))
 
 
-def _te(t: Tables) -> DataFrame:
+def te_of_parts(t: Tables) -> DataFrame:
     """Explicit paths: for prefixes of size 7 from router 0 by way of its ring neighbours to each current egress."""
     some = t.read("part").where("p_size % 10 = 7").select(F.col("p_partkey").alias("prefix"))
     ring = t.links.where("dst = (src + 1) % 25").select("src", "edge_id")
@@ -156,12 +156,12 @@ def _te(t: Tables) -> DataFrame:
 
 
 def te_path_override(t: Tables) -> DataFrame:
-    out = loads.with_paths(_flow(t)[0], t.demand, t.states, _te(t)).groupBy("scenario_id", "edge_id").agg(F.sum("load").alias("load"))
+    out = loads.with_paths(_flow(t)[0], t.demand, t.states, te_of_parts(t)).groupBy("scenario_id", "edge_id").agg(F.sum("load").alias("load"))
     return _report(t, out)
 
 
 def _te_worst(t: Tables, k: int | None) -> DataFrame:
-    return _report_of(t, samples.network(t).add_te_paths(_te(t)).set_local_prefs(t.local_prefs).analyze(k, 0))
+    return _report_of(t, samples.network(t).add_te_paths(te_of_parts(t)).set_local_prefs(t.local_prefs).analyze(k, 0))
 
 
 def _report_of(t: Tables, found: DataFrame) -> DataFrame:
@@ -375,8 +375,8 @@ def _query(plan: Callable[[Tables], DataFrame]) -> Callable[[SparkSession, str],
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {plan.__name__: _query(plan) for plan in (*_NAMES, *samples.QUERIES)}
+    return {plan.__name__: _query(plan) for plan in (*_NAMES, *samples.QUERIES, *experiments.QUERIES)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**oracles.SQL, **sample_oracles.SQL}
+    return {**oracles.SQL, **sample_oracles.SQL, **experiment_oracles.SQL}
