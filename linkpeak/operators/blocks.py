@@ -255,6 +255,7 @@ class Block:
         self.total = self.mat.sum(axis=1)
         self.counts, self.names, self.shares = np.frombuffer(row.counts, dtype=np.int64), np.frombuffer(row.names, dtype=np.int64), np.frombuffer(row.shares)
         self.owner = np.repeat(np.arange(len(self.prefixes)), self.counts)
+        self.alone = len(self.owner) == len(self.prefixes) and bool((self.shares == 1).all())
         self.groups, start = [], 0
         leaving: dict = {}
         for g in row.groups:
@@ -315,7 +316,7 @@ class Block:
         step = max(k, RANKED // max(1, diff.shape[1]))
         for start in range(0, len(self.owner), step):
             some = slice(start, start + step)
-            part = diff[self.owner[some]] * self.shares[some, None] if len(self.owner) > len(diff) else diff[some]
+            part = diff[some] if self.alone else diff[self.owner[some]] * self.shares[some, None]
             tops = _top(np.concatenate([tops, part]), k)
         return tops
 

@@ -6,12 +6,13 @@ and "scaled" compare shares; "scaled" weighs a prefix's shares by its demand.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from linkpeak.operators.means import Problem, Vectors, started
 from linkpeak.operators.traffic import normalised
 from linkpeak.sources.generators import draw
-from linkpeak.sources.tables import checkpointed
 
 MODES = ("direct", "normalized", "scaled")
 
@@ -88,58 +89,48 @@ def first_points(vec: DataFrame, k: int, mode: str, seed: int | None = None) ->
 def kmeans_by_class(vec: DataFrame, sizes: DataFrame, mode: str = "scaled", max_iter: int = 150, tolerance: float = 1e-5, seed: int | None = None) -> DataFrame:
     """(class, prefix, cluster): k-means in each class of prefixes by itself, all classes in the same jobs.
 
-    vec as from vectors(), with a column class; sizes: class, k. Means and assignments alternate until the points of a
-    class hardly move; then that class stands still. Clusters without members move to zero. The points, k by sources
-    for each class, are written between the steps.
+    vec: class, prefix, src, demand; sizes: class, k, one row for each class. Means and assignments alternate until the points of a
+    class hardly move; then that class stands still. Clusters without members move to zero.
     """
-    vec = checkpointed(vec)
-    scales = vec.select("class", "prefix", "scale").distinct()
-    order = [F.desc("scale"), F.col("prefix")] if seed is None else [draw(seed, "prefix"), F.col("prefix")]
-    most = sizes.agg(F.max("k")).first()[0] or 0
-    rank = F.row_number().over(Window.partitionBy("class").orderBy(*order))
-    named = scales.withColumn("_r", rank).where(F.col("_r") <= most).join(sizes, "class").where("_r <= k").select("class", "prefix", (F.col("_r") - 1).alias("cluster"))
-    x, weight = F.col("demand" if mode == "direct" else "norm"), F.col("scale") if mode == "scaled" else F.lit(1.0)
-    points = checkpointed(vec.join(named, ["class", "prefix"]).select("class", "cluster", "src", x.alias("centre"), F.lit(True).alias("moving")))
-    bound = F.lit(tolerance) if mode != "direct" else F.col("_all") * tolerance
-    totals = checkpointed(scales.groupBy("class").agg(F.sum("scale").alias("_all")))
-    mean = {"direct": F.avg("demand"), "normalized": F.avg("norm"), "scaled": F.sum("demand") / F.sum("scale")}[mode]
-
-    def nearest(at: DataFrame) -> DataFrame:
-        far = vec.join(at.drop("moving"), ["class", "src"]).groupBy("class", "prefix", "cluster").agg(F.sum(F.abs(x - F.col("centre")) * weight).alias("d"))
-        return far.groupBy("class", "prefix").agg(F.min(F.struct(F.round("d", 6).alias("d"), "cluster"))["cluster"].alias("cluster"))
-
-    for _ in range(max_iter):
-        means = vec.join(nearest(points.where("moving")), ["class", "prefix"]).groupBy("class", "cluster", "src").agg(mean.alias("_new"))
-        moved = points.join(means, ["class", "cluster", "src"], "left").withColumn("_new", F.when(F.col("moving"), F.coalesce("_new", F.lit(0.0))).otherwise(F.col("centre")))
-        # A class has k by sources rows here.
-        change = F.sum(F.abs(F.col("_new") - F.col("centre"))).over(Window.partitionBy("class"))
-        moved = moved.withColumn("_by", change).join(totals, "class").select("class", "cluster", "src", F.col("_new").alias("centre"), (F.col("moving") & (F.col("_by") >= bound)).alias("moving"))
-        points = checkpointed(moved, points)
-        if not points.where("moving").limit(1).count():
-            break
-    return nearest(points)
+    kind = dict(vec.dtypes)["class"]
+    blocks = Vectors.of(vec)
+    wanted = {str(r["class"]): r["k"] for r in sizes.select(F.col("class").cast("string").alias("class"), "k").collect()}
+    problems = dict(enumerate(started(blocks, wanted, mode, seed).values()))
+    found = blocks.assignment(blocks.converged(problems, max_iter, tolerance))
+    return found.select(F.col("class").cast(kind).alias("class"), "prefix", "cluster")
 
 
 def kmeans(vec: DataFrame, k: int, mode: str = "scaled", max_iter: int = 150, tolerance: float = 1e-5, seed: int | None = None) -> DataFrame:
-    """(prefix, cluster) after alternating assignment and means until the points hardly move; see kmeans_by_class()."""
-    sizes = vec.sparkSession.range(1).select(F.lit(0).alias("class"), F.lit(k).alias("k"))
-    return kmeans_by_class(vec.withColumn("class", F.lit(0)), sizes, mode, max_iter, tolerance, seed).select("prefix", "cluster")
+    """(prefix, cluster) after alternating assignment and means until the points hardly move; see kmeans_by_class(). vec: prefix, src, demand."""
+    blocks = Vectors.of(vec.select("prefix", "src", "demand"))
+    problems = dict(enumerate(started(blocks, {"": k}, mode, seed).values()))
+    return blocks.assignment(blocks.converged(problems, max_iter, tolerance)).select("prefix", "cluster")
+
+
+def nearest_start(vec: DataFrame, k: int, mode: str = "scaled", seed: int | None = None) -> DataFrame:
+    """(prefix, cluster): the nearest of the points that k-means starts from; its first step."""
+    blocks = Vectors.of(vec.select("prefix", "src", "demand"))
+    return blocks.assignment(dict(enumerate(started(blocks, {"": k}, mode, seed).values()))).select("prefix", "cluster")
 
 
 def score_grid(vec: DataFrame, heavy: tuple[int, ...] = (10, 50, 100, 500, 1000), means: tuple[int, ...] = (10, 50, 100)) -> DataFrame:
     """(method, k, mode, error): positive error over all demand, for each method and mode; k-means runs until it
     converges, for all k of a mode in the same jobs."""
-    vec = checkpointed(vec)
-    spark = vec.sparkSession
-    total = vec.select("prefix", "scale").distinct().agg(F.sum("scale").alias("total"))
-    out = None
+    blocks = Vectors.of(vec.select("prefix", "src", "demand"))
+    total = blocks.totals().get("", 0.0)
+    most = max((*heavy, *means), default=0)
+    top, points = blocks.heaviest({"": most})[""] if most else (np.zeros(0, dtype=np.int64), None)
+    problems = {}
     for mode in MODES:
-        parts = [("single", 1, single(vec)), *(("heaviest", k, heaviest(vec, k)) for k in heavy)]
-        if means:
-            each = vec.withColumn("class", F.explode(F.array(*[F.lit(k) for k in means])))
-            found = checkpointed(kmeans_by_class(each, spark.createDataFrame([(k, k) for k in means], "class int, k int"), mode))
-            parts += [("kmeans", k, found.where(F.col("class") == k).select("prefix", "cluster")) for k in means]
-        for name, k, assignment in parts:
-            row = errors(vec, assignment, mode).agg(F.sum("error_pos").alias("e")).crossJoin(total).select(F.lit(name).alias("method"), F.lit(k).alias("k"), F.lit(mode).alias("mode"), (F.col("e") / F.col("total")).alias("error"))
-            out = row if out is None else out.union(row)
-    return out
+        problems["single", 1, mode] = Problem("", mode, alone=np.zeros(0, dtype=np.int64))
+        problems |= {("heaviest", k, mode): Problem("", mode, alone=top[:k]) for k in heavy}
+    moving = {}
+    for mode in MODES if means else ():
+        scale = points.sum(axis=1, keepdims=True)
+        begin = points if mode == "direct" else points / np.where(scale == 0, 1.0, scale)
+        moving |= {("kmeans", k, mode): Problem("", mode, begin[:k]) for k in means}
+    names = [*problems, *moving]
+    found = blocks.converged(dict(enumerate(moving.values())))
+    error = blocks.errors(dict(enumerate([*problems.values(), *found.values()])))
+    rows = [(*name, error[i][0] / total if total and i in error else None) for i, name in enumerate(names)]
+    return vec.sparkSession.createDataFrame(rows, "method string, k int, mode string, error double")

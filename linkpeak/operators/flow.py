@@ -203,5 +203,11 @@ def relaxed_costs(links: DataFrame, roots: DataFrame, most_hops: int) -> DataFra
     return costs
 
 
+def outside(demand: DataFrame, links: DataFrame, roots: DataFrame) -> DataFrame:
+    """(src): where demand enters at a router that the topology does not have."""
+    routers = links.select("src").union(links.select("dst")).union(roots.select("root")).distinct()
+    return demand.select("src").distinct().join(routers, "src", "left_anti")
+
+
 def base_scenario(spark: SparkSession) -> DataFrame:
     return spark.range(1).select(F.col("id").alias("scenario_id"), F.array().cast("array<int>").alias("failed"))

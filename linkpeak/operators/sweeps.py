@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import replace
+from itertools import product
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkpeak.operators import clustering
+from linkpeak.operators.means import Problem, Vectors, started
 from linkpeak.operators.rules import shared_budget
+from linkpeak.sources.generators import normal
 from linkpeak.sources.tables import checkpointed
 
 
@@ -60,52 +64,126 @@ def cluster_within_budget(demand: DataFrame, settings: DataFrame, budget: int, m
     tagged = checkpointed(classed(demand, settings))
     own = tagged.where("kind = 'egress'")
     sizes = checkpointed(cluster_budget(demand, settings, budget))
-    vec = clustering.vectors(own.select("src", "prefix", "demand")).join(own.select("prefix", "class").distinct(), "prefix")
-    return _numbered(clustering.kmeans_by_class(vec, sizes, mode, **options).union(_whole(tagged)))
+    return _numbered(clustering.kmeans_by_class(own, sizes, mode, **options).union(_whole(tagged)))
 
 
-def cluster_to_error(demand: DataFrame, settings: DataFrame, target: float, mode: str = "scaled", **options) -> DataFrame:
+def cluster_to_error(demand: DataFrame, settings: DataFrame, target: float, mode: str = "scaled", at_once: int = 4, **options) -> DataFrame:
     """(prefix, cluster): in each class of kind egress as few k-means clusters as keep the error within its share of
     target times all demand; prefixes of other kinds are one cluster for each class.
 
-    Classes come by size; what one leaves of its allowance goes to the next, so that they come one after the other. The
-    number of clusters grows by a thousandth of the class, at least 1.
+    The number of clusters grows by a thousandth of the class, at least 1. Classes come by size; what one leaves of its allowance goes
+    to the next ones. So no class needs more clusters than its own share allows, and the errors up to there are found for all classes in
+    common jobs, ``at_once`` numbers of clusters at a time; a pass over the classes then deals out what is left.
     """
     tagged = checkpointed(classed(demand, settings))
     own = tagged.where("kind = 'egress'")
+    # One row for each class.
     classes = own.groupBy("class").agg(F.countDistinct("prefix").alias("n"), F.sum("demand").alias("t")).orderBy("n", "class").collect()
     total = sum(r["t"] for r in classes)
-    left, rest, out = target * total, total, _whole(tagged)
+    blocks = Vectors.of(own)
+    ladder = {r["class"]: _ladder(r["n"]) for r in classes}
+    error: dict[tuple[str, int], float] = {}
+    open_ones = {r["class"]: target * r["t"] for r in classes}
+    while open_ones:
+        rungs = {name: ladder[name][len([1 for c, _ in error if c == name]) :][:at_once] for name in open_ones}
+        some = _solved(blocks, [(name, k) for name, ks in rungs.items() for k in ks], {r["class"]: r["n"] for r in classes}, mode, options)
+        found = blocks.errors(dict(enumerate(some.values())))
+        error |= {key: sum(found[i]) for i, key in enumerate(some)}
+        open_ones = {name: share for name, share in open_ones.items() if rungs[name][-1] != ladder[name][-1] and all(error[name, k] > share for k in rungs[name])}
+    chosen, left, rest = [], target * total, total
     for r in classes:
-        vec, n, k = checkpointed(clustering.vectors(own.where(F.col("class") == r["class"]).select("src", "prefix", "demand"))), r["n"], 1
         allowance = left * r["t"] / rest if rest else 0.0
-        while True:
-            one = clustering.single(vec) if k == 1 else clustering.kmeans(vec, k, mode, **options) if k < n else clustering.heaviest(vec, n - 1)
-            error = clustering.errors(vec, one, mode).agg(F.sum(F.col("error_pos") + F.col("error_neg"))).first()[0] or 0.0
-            if error <= allowance or k >= n:
-                break
-            k = min(n, k + max(n // 1000, 1))
-        out, left, rest = out.union(one.select(F.lit(r["class"]).alias("class"), "prefix", "cluster")), left - error, rest - r["t"]
-    return _numbered(out)
+        known = [k for k in ladder[r["class"]] if (r["class"], k) in error]
+        k = next((k for k in known if error[r["class"], k] <= allowance), known[-1])
+        chosen.append((r["class"], k))
+        left, rest = left - error[r["class"], k], rest - r["t"]
+    clusters = blocks.assignment(dict(enumerate(_solved(blocks, chosen, {r["class"]: r["n"] for r in classes}, mode, options).values())))
+    return _numbered(clusters.select("class", "prefix", "cluster").union(_whole(tagged)))
+
+
+def _ladder(n: int) -> list[int]:
+    """Numbers of clusters that are tried for a class of n prefixes."""
+    return [*range(1, n, max(n // 1000, 1)), n]
+
+
+def _solved(blocks: Vectors, wanted: list[tuple[str, int]], members: dict[str, int], mode: str, options: dict) -> dict[tuple[str, int], Problem]:
+    """For each class and number of clusters: one for all, each prefix alone, or else k-means."""
+    most: dict[str, int] = {}
+    for name, k in wanted:
+        most[name] = max(most.get(name, 0), k)
+    seed = options.get("seed")
+    top = blocks.heaviest(most)
+    begin = started(blocks, most, mode, seed)
+    out = {(name, k): Problem(name, mode, alone=top[name][0][: k - 1]) if k in (1, members[name]) else replace(begin[name], points=begin[name].points[:k]) for name, k in wanted}
+    moving = {i: p for i, p in enumerate(out.values()) if p.points is not None}
+    done = blocks.converged(moving, **{k: v for k, v in options.items() if k != "seed"}) if moving else {}
+    return {key: done.get(i, problem) for i, (key, problem) in enumerate(out.items())}
+
+
+Setting = tuple[float, ...]
 
 
-def search(measure: Callable[[tuple[float, ...]], tuple[float, ...]], start: tuple[float, ...], target: tuple[float, ...], step: float = 0.02, close: float = 0.051, most: int = 500) -> tuple[tuple[float, ...], tuple[float, ...], bool]:
+def search(measure: Callable[[Setting], Setting], start: Setting, target: Setting, step: float = 0.02, close: float = 0.051, most: int = 500) -> tuple[Setting, Setting, bool]:
+    """search_many() where settings are measured one by one."""
+    return search_many(lambda some: {at: tuple(measure(at)) for at in some}, start, target, step, close, most, ahead=0)
+
+
+def search_many(measure: Callable[[list[Setting]], dict[Setting, Setting]], start: Setting, target: Setting, step: float = 0.02, close: float = 0.051, most: int = 500, ahead: int = 2) -> tuple[Setting, Setting, bool]:
     """Parameters whose measured values come close to target, these values, and whether they are close.
 
     The parameter of the worst value moves by a step each time. A setting seen before ends the search, as does
-    the end of the steps; then the nearest setting of all that were seen is given.
+    the end of the steps; then the nearest setting of all that were seen is given. measure gets several settings at once: a setting
+    that is not known yet, and those up to ``ahead`` steps further in each parameter, the way that the values have to go.
     """
-    at, seen = tuple(start), {}
+    name = lambda at: tuple(round(x, 9) for x in at)
+    known: dict[Setting, Setting] = {}
+    at, seen, gaps = name(start), {}, [t - x for t, x in zip(target, start, strict=True)]
     for _ in range(most):
-        key = tuple(round(x, 9) for x in at)
-        if key in seen:
+        if at in seen:
             break
-        values = tuple(measure(at))
+        if at not in known:
+            ways = [[x + step * i * (1 if gap > 0 else -1) for i in range(ahead + 1)] for x, gap in zip(at, gaps, strict=True)]
+            known |= measure([name(max(0.0, x) for x in box) for box in product(*ways)])
+        values = known[at]
         gaps = [t - v for t, v in zip(target, values, strict=True)]
         worst = max(range(len(gaps)), key=lambda i: abs(gaps[i]))
-        seen[key] = (abs(gaps[worst]), at, values)
+        seen[at] = (abs(gaps[worst]), at, values)
         if abs(gaps[worst]) <= close:
             break
-        at = tuple(max(0.0, x + step * (1 if gaps[i] > 0 else -1)) if i == worst else x for i, x in enumerate(at))
+        at = name(max(0.0, x + step * (1 if gaps[i] > 0 else -1)) if i == worst else x for i, x in enumerate(at))
     gap, at, values = min(seen.values())
     return at, values, gap <= close
+
+
+def fitted_widths(settings: DataFrame, sources: DataFrame, prefixes: DataFrame, seed: int, floor: float = 1e-9) -> DataFrame:
+    """settings (setting, attraction, repulsion, friction: widths of log-normal draws) with fitted_attraction, fitted_repulsion and
+    fitted_friction: the widths that traffic.lognormal_sigmas() finds in the gravity matrix of each, all in the same job.
+
+    Settings are few; each meets every cell of the matrix.
+    """
+    drawn = lambda width, at, *keys: F.exp(F.col(width) * normal()(seed + at, *keys))
+    cells = sources.select("src").crossJoin(F.broadcast(settings)).join(prefixes.select("prefix"))
+    raw = cells.select("setting", "src", "prefix", (drawn("repulsion", 0, "src") * drawn("attraction", 1, "prefix") / drawn("friction", 2, "src", "prefix")).alias("d"))
+    raw = checkpointed(raw)
+    totals = raw.groupBy("setting").agg(F.sum("d").alias("t"))
+    by_src, by_prefix = (raw.groupBy("setting", key).agg(F.sum("d").alias(name)) for key, name in (("src", "s"), ("prefix", "p")))
+    shares = lambda df, name: df.join(F.broadcast(totals), "setting").withColumn(name, F.col(name) / F.col("t")).drop("t")
+    by_src, by_prefix = shares(by_src, "s"), shares(by_prefix, "p")
+    each = raw.join(F.broadcast(totals), "setting").join(F.broadcast(by_src), ["setting", "src"]).join(by_prefix, ["setting", "prefix"])
+    inverse = F.greatest(F.col("d") / F.col("t"), F.lit(floor)) / (F.col("s") * F.col("p"))
+    width = lambda df, c, out: df.groupBy("setting").agg(F.stddev_pop(F.ln(c)).alias(out))
+    found = settings.join(width(by_prefix, F.col("p"), "fitted_attraction"), "setting").join(width(by_src, F.col("s"), "fitted_repulsion"), "setting")
+    return found.join(width(each, inverse, "fitted_friction"), "setting")
+
+
+def search_widths(target: Setting, sources: DataFrame, prefixes: DataFrame, seed: int, start: Setting | None = None, **options) -> tuple[Setting, Setting, bool]:
+    """What to draw (attraction, repulsion, friction) with so that the fitted widths come close to target: search_many() over
+    fitted_widths(), a job for each box of settings."""
+    spark = prefixes.sparkSession
+
+    def measure(some: list[Setting]) -> dict[Setting, Setting]:
+        rows = spark.createDataFrame([(i, *at) for i, at in enumerate(some)], "setting int, attraction double, repulsion double, friction double")
+        found = fitted_widths(rows, sources, prefixes, seed).collect()
+        return {some[r["setting"]]: (r["fitted_attraction"], r["fitted_repulsion"], r["fitted_friction"]) for r in found}
+
+    return search_many(measure, start or target, target, **options)

@@ -191,7 +191,7 @@ class Analysis:
         demand = self.demand.where("demand > 0")
         if demand.select("prefix").distinct().join(self.states(), "prefix", "left_anti").limit(1).count():
             raise ValueError("a prefix with demand has no routing state")
-        if demand.select("src").distinct().join(self.routers().withColumnRenamed("router", "src"), "src", "left_anti").limit(1).count():
+        if flow.outside(demand, self.links, self.roots()).limit(1).count():
             raise ValueError("demand enters at a router that the topology does not have")
         return demand if self.heaviest is None else loads.heaviest_only(demand, self.heaviest)[0]
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from linkpeak.plans.oracles import _ALL, _ALL1, _BASE, _CHOSEN, _DEMAND, _FLOW, _NET, _STATE, _TE, _WORST, _r4, _report, _sum, _top, _with
-from linkpeak.plans.sample_oracles import _CAUSES, _NAMED, _TE_WORST
+from linkpeak.plans.sample_oracles import _CAUSES, _NAMED, _TE_WORST, _normal
 
 _LISTED = "array_to_string({}, ',')"
 _RAW = _DEMAND.replace("demand AS (", "raw AS (", 1)
@@ -109,7 +109,19 @@ sums AS (SELECT edge_id, sum(current) + max(round(worst - current, 9)) AS load F
 
 _ROUTERS = "scenarios AS (SELECT CAST(router_id AS BIGINT) AS scenario_id, (SELECT list(edge_id) FROM links WHERE src = router_id OR dst = router_id) AS failed FROM routers)"
 
+_WIDTHS = f"""WITH settings AS (SELECT CAST(i AS INTEGER) AS setting, i % 3 * 0.5 + 0.5 AS a, i // 3 % 3 * 0.5 + 0.5 AS r, i // 9 % 3 * 0.5 + 0.5 AS f FROM range(27) t(i)),
+z_src AS (SELECT n_nationkey AS src, {_normal(0.0, 1.0, 81, "n_nationkey")} AS zr FROM nation),
+z_prefix AS (SELECT p_partkey AS prefix, {_normal(0.0, 1.0, 82, "p_partkey")} AS za FROM part),
+z AS (SELECT src, prefix, zr, za, {_normal(0.0, 1.0, 83, "src", "prefix")} AS zf FROM z_src, z_prefix),
+raw AS (SELECT setting, src, prefix, exp(r * zr) * exp(a * za) / exp(f * zf) AS d FROM z, settings),
+rel AS (SELECT setting, src, prefix, d / sum(d) OVER (PARTITION BY setting) AS rel, sum(d) OVER (PARTITION BY setting, src) / sum(d) OVER (PARTITION BY setting) AS s, sum(d) OVER (PARTITION BY setting, prefix) / sum(d) OVER (PARTITION BY setting) AS p FROM raw)
+SELECT setting, round((SELECT stddev_pop(ln(p)) FROM (SELECT DISTINCT prefix, p FROM rel x WHERE x.setting = y.setting)), 6) AS attraction,
+  round((SELECT stddev_pop(ln(s)) FROM (SELECT DISTINCT src, s FROM rel x WHERE x.setting = y.setting)), 6) AS repulsion, round(stddev_pop(ln(greatest(rel, 1e-9) / (s * p))), 6) AS friction FROM rel y GROUP BY setting"""
+
 SQL: dict[str, str] = {
+    "fitted_widths": _WIDTHS,
+    "outside_sources": _with(_NET, _DEMAND, "inside AS (SELECT router_id FROM routers WHERE region <= 1), known AS (SELECT src AS r FROM links WHERE src IN (FROM inside) AND dst IN (FROM inside) UNION SELECT dst FROM links WHERE src IN (FROM inside) AND dst IN (FROM inside) UNION SELECT root FROM borders WHERE root IN (FROM inside))")
+    + f" SELECT src, {_r4('sum(demand)')} AS demand FROM demand WHERE src NOT IN (FROM known) GROUP BY src",
     "clustered_k10": _with(*_CLUSTERED, _top(1), _MEMBERS) + f" SELECT l.src, l.dst, {_r4('coalesce(f.load, 0) + coalesce(x.extra, 0)')} AS load FROM links l LEFT JOIN fixed f ON f.edge_id = l.edge_id LEFT JOIN (SELECT edge_id, sum(diff) AS extra FROM ranked_members WHERE r <= 10 GROUP BY 1) x ON x.edge_id = l.edge_id",
     "clustered_causes_k1": _with(*_CLUSTERED, _top(1), _CAUSES, _NAMED, _MEMBERS)
     + f""" SELECT l.src, l.dst, m.prefix, {_r4("coalesce(c.current, 0) * m.share")} AS current, {_r4("coalesce(w.worst, 0) * m.share")} AS worst, w.egress, w.ingress

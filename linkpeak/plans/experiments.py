@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from linkpeak.operators import blocks
+from linkpeak.operators import blocks, flow, sweeps, traffic
 from linkpeak.plans.analysis import Analysis
 from linkpeak.plans.samples import network
-from linkpeak.sources.tables import Tables
+from linkpeak.sources.tables import Tables, checkpointed
 
 
 def _r4(c: Column | str) -> Column:
@@ -115,6 +115,67 @@ def dropped_demand_routers(t: Tables) -> DataFrame:
     return blocks.dropped_demand(packed, scenarios).select(F.col("scenario_id").alias("router"), _r4("dropped").alias("dropped"))
 
 
+def outside_sources(t: Tables) -> DataFrame:
+    """Demand that enters outside of the topology, if that is the routers of regions 0 and 1 only: what an analysis refuses."""
+    inside = t.routers.where("region <= 1").select(F.col("router_id").alias("r"))
+    links = t.links.join(inside.withColumnRenamed("r", "src"), "src", "left_semi").join(inside.withColumnRenamed("r", "dst"), "dst", "left_semi")
+    lost = flow.outside(t.demand, links, t.borders.join(inside.withColumnRenamed("r", "root"), "root", "left_semi"))
+    return t.demand.join(lost, "src", "left_semi").groupBy("src").agg(_r4(F.sum("demand")).alias("demand"))
+
+
+def cluster_to_error(t: Tables) -> DataFrame:
+    """Clusters of all classes that keep the error below a fifth of all demand; no SQL iterates k-means, tests go class by class."""
+    return sweeps.cluster_to_error(t.demand, t.rules.join(t.states, "prefix"), 0.2)
+
+
+def fitted_widths(t: Tables) -> DataFrame:
+    """What is fitted to gravity matrices of the parts, for 27 settings of widths at once."""
+    return sweeps.fitted_widths(_settings(t), _src(t), _parts(t), 81).select("setting", *[F.round(f"fitted_{c}", 6).alias(c) for c in ("attraction", "repulsion", "friction")])
+
+
+def parameter_search(t: Tables) -> DataFrame:
+    """The widths to draw with so that those fitted to the matrix come close to the target; no SQL searches."""
+    at, values, good = sweeps.search_widths((0.6, 0.5, 0.7), _src(t), _parts(t), 82)
+    return t.spark.createDataFrame([(*[round(x, 6) for x in (*at, *values)], good)], "attraction double, repulsion double, friction double, fitted_attraction double, fitted_repulsion double, fitted_friction double, close boolean")
+
+
+def _src(t: Tables) -> DataFrame:
+    return t.routers.select(F.col("router_id").alias("src"))
+
+
+def _parts(t: Tables) -> DataFrame:
+    return t.read("part").select(F.col("p_partkey").alias("prefix"))
+
+
+def _settings(t: Tables) -> DataFrame:
+    third = lambda by: (F.floor(F.col("id") / by) % 3 * 0.5 + 0.5).alias
+    return t.spark.range(27).select(F.col("id").cast("int").alias("setting"), third(1)("attraction"), third(3)("repulsion"), third(9)("friction"))
+
+
+def accuracy(net: Analysis, clusters: tuple[int, ...], k: int, l: int = 0, mode: str = "scaled") -> DataFrame:  # noqa: E741
+    """A row for each number of clusters: how far the loads under k changes and l failures, in shares of all demand, are from those
+    without clusters (min, median, max, sum, mean), the bound that clusters give, and how many heaviest prefixes would be as good. The analysis
+    without clusters runs once."""
+    total = float(net.demand.agg(F.sum("demand")).first()[0] or 1.0)
+    exact = checkpointed(net.analyze(k, l).select("src", "dst", "load"))
+    out = None
+    for n in clusters:
+        some = net.with_cluster_number(n, mode).clustered()
+        gaps = traffic.difference(exact, some.analyze(k, l), total)
+        bound = some.bounds().first()["plus"]
+        top = traffic.equivalent_top_k(net.demand, bound)
+        row = gaps.crossJoin(top).select(F.lit(n).alias("clusters"), F.lit(k).alias("k"), *[F.col(c).alias(f"error_{c}") for c in gaps.columns], F.lit(bound / total).alias("bound"), F.col("k").alias("equivalent_top_k"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def accuracy_sweep(t: Tables) -> DataFrame:
+    """A hundred route changes with 100 and 300 clusters against none; no SQL iterates k-means, tests compare with separate runs."""
+    found = accuracy(network(t), (100, 300), 100)
+    return found.select("clusters", "k", *[F.round(c, 6).alias(c) for c in found.columns if c.startswith(("error", "bound"))], "equivalent_top_k")
+
+
 QUERIES = (
+    outside_sources, cluster_to_error, fitted_widths, parameter_search, accuracy_sweep,
     clustered_k10, clustered_causes_k1, limited_ingress_inf, limited_both_k1, te_installed_k1, te_installed_l1_k1, causes_te_k1, te_clustered_inf, variability_worst_k1, dropped_demand_routers,
 )

@@ -250,13 +250,11 @@ def effective_demand(t: Tables) -> DataFrame:
 
 
 def kmeans_one_step(t: Tables) -> DataFrame:
-    v = clustering.vectors(t.demand)
-    return clustering.assign(v, clustering.first_points(v, 10, "scaled"), "scaled")
+    return clustering.nearest_start(t.demand, 10)
 
 
 def kmeans(t: Tables) -> DataFrame:
-    v = clustering.vectors(t.demand)
-    return clustering.kmeans(v, 8, "scaled")
+    return clustering.kmeans(t.demand, 8)
 
 
 def approx_matrix_error(t: Tables) -> DataFrame:
@@ -277,7 +275,7 @@ def clustering_scores_all(t: Tables) -> DataFrame:
 
 
 def _scores(t: Tables, *sizes: tuple[int, ...]) -> DataFrame:
-    return clustering.score_grid(clustering.vectors(t.demand), *sizes).select("method", "k", "mode", F.round("error", 6).alias("error"))
+    return clustering.score_grid(t.demand, *sizes).select("method", "k", "mode", F.round("error", 6).alias("error"))
 
 
 def equivalent_top_k(t: Tables) -> DataFrame:

@@ -49,7 +49,7 @@ def brute(unit, links, demand, state, rule_of, k):
                 amounts = {s: x for (s, q), x in demand.items() if q == p}
                 at = lambda s, r: share.get((f, s, r, e), 0.0)  # noqa: B023, E731
                 now = sum(x * at(s, egress) for s, x in amounts.items())
-                kind, egresses, ingresses = rule_of(p)
+                kind, egresses, ingresses = (x or () for x in rule_of(p))
                 all_of = sum(amounts.values())
                 ways = {
                     "egress": [sum(x * at(s, r) for s, x in amounts.items()) for r in egresses],
