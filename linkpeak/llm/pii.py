@@ -7,7 +7,7 @@ any run of words that hold a digit or an @ can be an instance of a pattern; the
 instance. On the graph of patterns and instances of the whole corpus, scores run to and fro: a pattern is
 worth the mean score of its instances, an instance the best of its other patterns, seeds keep 1. Instances
 of patterns of a high score and enough different seeds are personal data of the patterns' kind, and seeds of
-further patterns, round by round until a round finds nothing new; their spans are added under the kind's name with "ctx_" before it.
+further patterns, round by round until no score moves; their spans are added under the kind's name with "ctx_" before it.
 
 Everything is DataFrame work. Only texts with a digit or an @ are searched, and the graph has one row for
 each pattern and instance, so that common contexts and copies are counted, not repeated.
@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkpeak.llm.common import join_texts, materialize, table
+from linkpeak.llm.common import discard, join_texts, materialize, table
 
 #: The kinds in their order, with patterns that match what the plain ones match, without any backtracking
 #: that grows with the square of a text or with a deep stack: greedy runs that could give nothing back are
@@ -127,6 +127,19 @@ def context(spans: Column, between: Column) -> Column:
     return F.transform(spans, around)
 
 
+def tagged() -> Column:
+    """The column words with span: the first span of the column spans (kind, b, e) that overlaps a word, by order of kinds.
+
+    Words come by runs, as many as a run has words; each run first takes the spans that overlap it. So a text costs its
+    words to the power of 1.5 at most, and not words times spans.
+    """
+    run = F.greatest(F.lit(16), F.ceil(F.sqrt(F.size("words"))).cast("int"))
+    runs = F.transform(F.sequence(F.lit(1), F.size("words"), run), lambda at: F.slice("words", at, run))
+    over = lambda spans, start, stop: F.filter(spans, lambda s: (s["b"] < stop) & (s["e"] > start))
+    near = F.transform(runs, lambda r: over("spans", r[0]["start"], F.element_at(r, -1)["stop"]))
+    return F.flatten(F.zip_with(runs, near, lambda r, spans: F.transform(r, lambda w: w.withField("span", F.get(over(spans, w["start"], w["stop"]), F.lit(0))))))
+
+
 def instances() -> Column:
     """The column words (from context(), with span: the base span over a word, if any) as instances: the words of
     one base span, or a run of adjacent words without one. The context is that around the whole."""
@@ -145,12 +158,13 @@ def instances() -> Column:
     return F.zip_with(F.filter(places, begins), F.filter(places, lambda i: (i == size - 1) | begins(i + 1)), whole)
 
 
-def bootstrap(candidates: DataFrame, rounds: int = 10, seeds: int = 5, confidence: float = 0.8) -> DataFrame:
+def bootstrap(candidates: DataFrame, rounds: int = 100, seeds: int = 5, confidence: float = 0.8, tolerance: float = 1e-3) -> DataFrame:
     """candidates with ``kind`` null found to be personal data: their rows, with the kind of their best pattern.
 
     candidates: key, text_hash, start, stop, value, before2, before, after, kind (null: not a seed). A
     pattern needs as many different seed values of its kind as ``seeds`` says; after the first round, values
-    that its other patterns find with confidence count as well. A pattern's own score never makes it better.
+    that its other patterns find with confidence count as well. A pattern's own score never makes it better. Scores run
+    until no pattern appears or goes and none moves by more than tolerance; if that takes more than ``rounds`` it is an error.
     """
     patterns = F.array(
         F.when((F.col("before2") != "") & (F.col("before") != ""), F.concat_ws(" ", F.lit("2"), "before2", "before")),
@@ -166,21 +180,26 @@ def bootstrap(candidates: DataFrame, rounds: int = 10, seeds: int = 5, confidenc
     base = edges.where("kind IS NOT NULL").select("pattern", F.col("kind").alias("of"))
     own = F.when(F.col("kind") == F.col("of"), 1.0).when(F.col("kind").isNotNull(), 0.0)
     worth = F.when(F.col("by") != F.col("pattern"), F.col("best")).otherwise(F.col("second"))
-    found, good = None, None
-    for _ in range(rounds + 1):
+    found, scores = None, None
+    for _ in range(rounds):
         known = base if found is None else base.union(edges.where("kind IS NULL").join(found, "value").where(worth >= confidence).select("pattern", "of"))
         seeded = known.groupBy("pattern", "of").agg(F.count("*").alias("n_seeds")).where(F.col("n_seeds") >= seeds)
         kinds = seeded.groupBy("pattern").agg(F.max(F.struct("n_seeds", "of"))["of"].alias("of"))
         graph = materialize(edges.join(kinds, "pattern"), *((graph,) if found is not None else ()))
         each = graph.withColumn("worth", own) if found is None else graph.join(found, ["value", "of"], "left").withColumn("worth", F.coalesce(own, worth))
-        scores = materialize(each.groupBy("pattern", "of").agg(F.avg(F.coalesce("worth", F.lit(0.0))).alias("score")))
-        before, good = good, scores.where(F.col("score") >= confidence).count()
-        if good == before:
-            break
+        last, scores = scores, materialize(each.groupBy("pattern", "of").agg(F.avg(F.coalesce("worth", F.lit(0.0))).alias("score")))
+        if last is not None:
+            both = scores.join(last.withColumnRenamed("score", "_last"), ["pattern", "of"], "full")
+            still = not both.where(F.coalesce(F.abs(F.col("score") - F.col("_last")) > tolerance, F.lit(True))).limit(1).count()
+            discard(last)
+            if still:
+                break
         ranked = materialize(graph.where("kind IS NULL").join(scores.select("pattern", "score"), "pattern"))
         top = ranked.groupBy("value", "of").agg(F.max(F.struct("score", "pattern")).alias("t")).select("value", "of", F.col("t.score").alias("best"), F.col("t.pattern").alias("by"))
         second = F.max(F.when(F.col("pattern") != F.col("by"), F.col("score"))).alias("second")
         found = materialize(ranked.join(top, ["value", "of"]).groupBy("value", "of", "best", "by").agg(second), ranked, *((found,) if found is not None else ()))
+    else:
+        raise RuntimeError(f"scores of patterns still move after {rounds} rounds")
     strong = materialize(scores.where(F.col("score") >= confidence).select("pattern", F.col("of").alias("found"), "score"))
     open_rows = candidates.where("kind IS NULL").select("*", F.explode(F.array_compact(patterns)).alias("pattern"))
     hit = open_rows.join(strong, "pattern").groupBy("key", "text_hash", "start", "stop").agg(F.max(F.struct("score", "found"))["found"].alias("kind"))
@@ -208,9 +227,7 @@ def find(docs: DataFrame, text: str = "text", key: str = "doc_id") -> tuple[Data
     spans = F.concat(*[_named(kind) for kind, _ in (*PATTERNS, *SEEDS)]).cast("array<struct<kind:string,b:int,e:int>>")
     seen = materialize(rows.select("*", spans.alias("spans")))
 
-    over = lambda w: F.get(F.filter("spans", lambda s: (s["b"] < w["stop"]) & (s["e"] > w["start"])), F.lit(0))
-    tagged = F.transform("words", lambda w: w.withField("span", over(w)))
-    marked = materialize(seen.where(F.size("words") > 0).select("key", "text_hash", tagged.alias("words")))
+    marked = materialize(seen.where(F.size("words") > 0).select("key", "text_hash", tagged().alias("words")))
     named = materialize(marked.select("key", "text_hash", F.explode(instances()).alias("w")).select("key", "text_hash", "w.*"))
     return seen.drop("words", "spans"), bootstrap(named)
 
