@@ -4,10 +4,11 @@ An item is contained in a document when at least ``threshold`` of its distinct s
 item of fewer words is one shingle of its own length, and so is found inside long documents as well. Items are
 partitioned by size: by their number of words below five, else by the power of two of their number of shingles. The
 sketch of an item are its ``k`` smallest shingle hashes, and k grows with the size so that a contained item must
-share one of them: of n shingles at most ``floor((1 - threshold) * n)`` may be missing, and k is one more. Documents
+share one of them: of n shingles at most ``floor((1 - threshold) * n)`` may be missing, and k is one more. That holds for any k
+shingles of an item, so those that more than ``COMMON`` items have come last: boilerplate of many items leads to none of them. Documents
 may be far longer than items, so they have no sketch: for each partition, those of their shingle hashes up to the
 partition's largest sketch value are looked up in it. The larger the items, the smaller that value: of 200 shingles
-the 41 smallest are a fifth of all. Candidates are then verified with the exact shingle sets.
+the 41 smallest are a fifth of all. Candidates are then verified with the exact shingle sets, all items of a document at once.
 
 Everything is DataFrame work. Sketches and candidates are written tables, so the planner knows their sizes
 when it chooses between broadcast and shuffle.
@@ -24,6 +25,8 @@ from linkpeak.llm.common import join_texts, masked, materialize, table, unmasked
 
 #: Words of a shingle.
 N = 5
+#: Shingles of more items than that are common.
+COMMON = 16
 
 
 def with_words(df: DataFrame, text: str) -> DataFrame:
@@ -72,7 +75,10 @@ def contained(docs: DataFrame, items: DataFrame, threshold: float = 0.8, text: s
     by_size = F.when(F.col("n_words") < N, -F.col("n_words")).otherwise(F.floor(F.log2(F.size("hashes").cast("double"))))
     parts = materialize(parts.withColumn("class", by_size.cast("int")))
     k = F.floor(F.size("hashes") * (1 - threshold) + 1e-9).cast("int") + 1
-    sketch = materialize(parts.select("item", "item_hash", "class", F.explode(F.slice("hashes", 1, k)).alias("hash")))
+    each = parts.select("item", "item_hash", "class", k.alias("k"), F.explode("hashes").alias("hash"))
+    common = each.groupBy("class", "hash").agg(F.count("*").alias("_n")).where(F.col("_n") > COMMON).select("class", "hash", F.lit(True).alias("_common"))
+    ranked = each.join(common, ["class", "hash"], "left").groupBy("item", "item_hash", "class", "k").agg(F.array_sort(F.collect_list(F.struct(F.col("_common").isNotNull().alias("c"), "hash"))).alias("r"))
+    sketch = materialize(ranked.select("item", "item_hash", "class", F.explode(F.slice("r", 1, F.col("k"))["hash"]).alias("hash")))
     # One row for each partition, some dozens at most.
     tops = sketch.groupBy("class").agg(F.max("hash").alias("top")).orderBy("class").collect()
 
@@ -88,10 +94,14 @@ def contained(docs: DataFrame, items: DataFrame, threshold: float = 0.8, text: s
     texts = with_words(join_texts(source, wanted, "left_semi").dropDuplicates(["key", "text_hash"]), "body")
     spaced = F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" ")) if any(c < 0 for c in length) else F.lit("")
     texts = texts.select("key", "text_hash", shingle_texts().alias("doc_shingles"), spaced.alias("doc_words"))
-    pairs = join_texts(texts, found.join(parts.select("item", "item_hash", "n_words", "shingles"), ["item", "item_hash"]))
-    short = F.contains("doc_words", F.concat(F.lit(" "), F.element_at("shingles", 1), F.lit(" "))).cast("double")
-    share = F.when(F.col("n_words") < N, short).otherwise(F.size(F.array_intersect("shingles", "doc_shingles")) / F.size("shingles"))
-    return pairs.withColumn("containment", share).where(F.col("containment") >= threshold).select("key", "text_hash", "item", "containment")
+    own = found.join(parts.select("item", "item_hash", "n_words", "shingles"), ["item", "item_hash"]).groupBy("key", "text_hash").agg(F.collect_list(F.struct("item", "n_words", "shingles")).alias("items"))
+
+    def share(i: Column) -> Column:
+        short = F.contains("doc_words", F.concat(F.lit(" "), F.element_at(i["shingles"], 1), F.lit(" "))).cast("double")
+        return F.when(i["n_words"] < N, short).otherwise(F.size(F.array_intersect(i["shingles"], "doc_shingles")) / F.size(i["shingles"]))
+
+    pairs = join_texts(texts, own).select("key", "text_hash", F.inline(F.transform("items", lambda i: F.struct(i["item"].alias("item"), share(i).alias("containment")))))
+    return pairs.where(F.col("containment") >= threshold).select("key", "text_hash", "item", "containment")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, threshold: float = 0.8, text: str = "text", key: str = "doc_id") -> DataFrame:
