@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from linkpeak.llm.common import discard, materialize, table
@@ -23,6 +23,8 @@ from linkpeak.llm.training import crc_remainder, labelled_sample
 
 #: At most so many labelled rows are learned from.
 MAX_LABELLED = 20_000
+#: And from so many of their terms at most (4 bytes each on the driver): rows in order of the hash of their terms, as far as they fit.
+MAX_CELLS = 12_000_000
 #: Terms are hashed to so many slots; length of a term's vector.
 SLOTS, RANK = 1 << 22, 8
 #: So many epochs without a gain end the fit of vectors.
@@ -196,11 +198,17 @@ def _packed(part: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"terms": [np.sort(np.asarray(t, dtype=np.int32)).tobytes() for t in batch["terms"]], "label": batch["label"]})
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "text", key: str = "doc_id", modulus: int = 5, held_out: int = 0, limit: int = MAX_LABELLED) -> Machine:
-    """A machine from labelled rows whose crc32 remainder is not held_out. Spark counts the slots; the driver gets
-    those of each row that LEAST rows hold, 4 bytes each."""
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "text", key: str = "doc_id", modulus: int = 5, held_out: int = 0, limit: int = MAX_LABELLED, cells: int = MAX_CELLS) -> Machine:
+    """A machine from labelled rows whose crc32 remainder is not held_out: at most ``limit`` rows with ``cells`` terms in all, so that what
+    the driver holds is bounded however long texts are. Spark counts the slots; the driver gets those of each row that
+    LEAST rows hold, 4 bytes each."""
     keep = crc_remainder(F.col(key), modulus) != held_out
     rows = materialize(labelled_sample(docs, labels, label, keep, limit, text, key).mapInPandas(_learned, "terms array<long>, label long").withColumn("row", F.monotonically_increasing_id()))
+    if (rows.agg(F.sum(F.size("terms"))).first()[0] or 0) > cells:
+        # One row for each of at most ``limit`` labelled rows.
+        upto = F.sum("n").over(Window.orderBy("h", "row").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        fits = rows.select("row", F.size("terms").alias("n"), F.xxhash64("terms", "label").alias("h")).withColumn("upto", upto).where(F.col("upto") <= cells).select("row")
+        rows = materialize(rows.join(fits, "row", "left_semi"), rows)
     held = rows.select("row", F.explode("terms").alias("slot"))
     often = held.groupBy("slot").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST).select("slot")
     lists = held.join(often, "slot").groupBy("row").agg(F.collect_list("slot").alias("terms"))
