@@ -3,14 +3,15 @@
 All stages but the last return the columns of documents. Stages judge their own input: the classifier learns
 from the labelled rows of its documents, statistics and groups are those of the rows that reach a stage.
 Null and empty texts pass the classifier on their score like others, have no near copies and no benchmark
-items, and add no words to the mixture. Empty tables pass through.
+items, and add no words to the mixture. Texts may have any length; of rows that tie the smaller id or the hash of the row decides, and
+rows that repeat stay together or go together, but for near copies, where one row stays. Empty tables pass through. Columns named shard or
+slot are an error, told before the first stage; other names are free.
 """
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from linkpeak.llm import decontamination, jaccard, mixing, quality, sharding
@@ -40,10 +41,9 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their shard (0 to 39) and their slot in it. Rows of files have a locator already."""
-    try:
+    if "_metadata" in docs._jdf.queryExecution().analyzed().metadataOutput().mkString(" "):
         return sharding.interleaved_shards(sharding.located(docs), 40, locator=sharding.LOCATOR)
-    except AnalysisException:
-        return sharding.interleaved_shards(docs, 40)
+    return sharding.interleaved_shards(docs, 40)
 
 
 STAGES = [
@@ -60,6 +60,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, before = table(spark, sf_dir, "documents"), None
+    if clash := {"shard", "slot"} & set(docs.columns):
+        raise ValueError(f"columns already there: {sorted(clash)}")
     for _, stage in STAGES:
         path = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
         stage(spark, docs, sf_dir).write.parquet(path)
