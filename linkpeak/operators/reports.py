@@ -117,6 +117,38 @@ def box_latex(command: str, five: list[str], digits: int) -> Column:
     return F.format_string(f"\\{command}{arguments}", *[F.round(F.col(c) + 1e-12, digits) for c in five])
 
 
+#: Commands of the box plots of an accuracy table, and the form of their numbers.
+PLOTS = (("EpsilonBoxPlot", "clustering_error", 8, 0), ("DeltaBoxPlot", "approx_error_max", 8, 0), ("EfficiencyBoxPlot", "efficiency_speedup", 6, 9))
+FIVE = ("min", "q25", "q50", "q75", "max")
+WIDTHS = ("repulsion", "attraction", "friction")
+
+
+def accuracy_summary(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """keys with five numbers of each measure of PLOTS (measure_min and so on), the mean of the widths sampled and measured, and the
+    median share of the clustering error that is the error of loads (fraction)."""
+    numbers = [f.alias(f"{c}_{name}") for _, c, *_ in PLOTS for name, f in zip(FIVE, (F.min(c), *[F.percentile(c, F.lit(q)) for q in (0.25, 0.5, 0.75)], F.max(c)), strict=True)]
+    means = [F.avg(f"{w}_{x}").alias(f"{w}_{x}") for w in WIDTHS for x in ("measured", "sampled")]
+    return rows.groupBy(*keys).agg(*numbers, *means, F.percentile(F.col("approx_error_max") / F.col("clustering_error"), F.lit(0.5)).alias("fraction"))
+
+
+def accuracy_lines(summary: DataFrame, strong: Column) -> DataFrame:
+    """summary with text and latex: a line of each table of accuracy. strong: the number of the width in WIDTHS that a row is about."""
+
+    def box(command: str, c: str, digits: int, width: int) -> Column:
+        form = f"{{%0{width}.{digits}f}}" if width else f"{{%.{digits}f}}"
+        return F.format_string(f"\\{command}{form * 5}", *[F.round(F.col(f"{c}_{name}") + 1e-12, digits) for name in FIVE])
+
+    def field(i: int, name: str) -> Column:
+        numbers = [F.round(F.col(f"{name}_measured") + 1e-12, 2), F.round(F.col(f"{name}_sampled") + 1e-12, 1)]
+        return F.when(strong == i, F.format_string("\\textbf{%4.2f (%3.1f)}", *numbers)).otherwise(F.format_string("  \\WEAK{%4.2f (%3.1f)}", *numbers))
+
+    fields = F.concat_ws(" & ", *[field(i, name) for i, name in enumerate(WIDTHS)])
+    latex = F.concat(F.lit("  yes & "), F.concat_ws(" & ", fields, *[box(*plot) for plot in PLOTS]), F.lit(" \\\\"))
+    boxes = [box_text([f"{c}_{name}" for name in FIVE], 4 if width else 5, 7 if width else 0) for _, c, _, width in PLOTS]
+    scenario = F.format_string("%4.2f, %4.2f, %4.2f", *[F.round(F.col(f"{name}_measured") + 1e-12, 2) for name in WIDTHS])
+    return summary.withColumns({"latex": latex, "text": F.concat_ws(" | ", scenario, *boxes)})
+
+
 def graph_counts(links: DataFrame, routers: DataFrame) -> DataFrame:
     """(nodes, edges)"""
     return routers.agg(F.count("*").alias("nodes")).crossJoin(links.agg(F.count("*").alias("edges")))

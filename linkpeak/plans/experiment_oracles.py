@@ -118,7 +118,26 @@ rel AS (SELECT setting, src, prefix, d / sum(d) OVER (PARTITION BY setting) AS r
 SELECT setting, round((SELECT stddev_pop(ln(p)) FROM (SELECT DISTINCT prefix, p FROM rel x WHERE x.setting = y.setting)), 6) AS attraction,
   round((SELECT stddev_pop(ln(s)) FROM (SELECT DISTINCT src, s FROM rel x WHERE x.setting = y.setting)), 6) AS repulsion, round(stddev_pop(ln(greatest(rel, 1e-9) / (s * p))), 6) AS friction FROM rel y GROUP BY setting"""
 
+
+
+def _accuracy() -> str:
+    five = {"min": "min({})", "q25": "quantile_cont({}, 0.25)", "q50": "quantile_cont({}, 0.5)", "q75": "quantile_cont({}, 0.75)", "max": "max({})"}
+    names = {"e": "price * 0.5", "d": "price * price", "s": "price * 100 + 1"}
+    numbers = ", ".join(f"{f.format(x)} AS {c}_{name}" for c, x in names.items() for name, f in five.items())
+    shown = lambda c, form, digits: [f"printf('{form}', round({c}_{name} + 1e-12, {digits}))" for name in five]
+    box = lambda command, c, form, digits: f"'\\{command}{{' || array_to_string([{', '.join(shown(c, form, digits))}], '}}{{') || '}}'"
+    plain = lambda c, form, digits: f"'[' || array_to_string([{', '.join(shown(c, form, digits))}], ', ') || ']'"
+    field = lambda i, c: f"CASE WHEN region % 3 = {i} THEN printf('\\textbf{{%4.2f (%3.1f)}}', round({c} + 1e-12, 2), round({c} + 1e-12, 1)) ELSE printf('  \\WEAK{{%4.2f (%3.1f)}}', round({c} + 1e-12, 2), round({c} + 1e-12, 1)) END"
+    fields = " || ' & ' || ".join(field(i, c) for i, c in enumerate(("rep", "att", "fri")))
+    plots = " || ' & ' || ".join((box("EpsilonBoxPlot", "e", "%.8f", 8), box("DeltaBoxPlot", "d", "%.8f", 8), box("EfficiencyBoxPlot", "s", "%09.6f", 6)))
+    text = " || ' | ' || ".join(("printf('%4.2f, %4.2f, %4.2f', round(rep + 1e-12, 2), round(att + 1e-12, 2), round(fri + 1e-12, 2))", plain("e", "%.5f", 5), plain("d", "%.5f", 5), plain("s", "%07.4f", 4)))
+    return f"""WITH m AS (SELECT n_regionkey AS region, o_orderstatus AS status, n_nationkey / 10.0 AS nation, o_totalprice / 1e6 AS price FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey),
+f AS (SELECT region, status, {numbers}, avg(region + 1) AS rep, avg(nation) AS att, avg(price + 1) AS fri, quantile_cont(price * price / (price * 0.5), 0.5) AS fraction FROM m GROUP BY 1, 2)
+SELECT region, status, {text} AS text, '  yes & ' || {fields} || ' & ' || {plots} || ' \\\\' AS latex, round(fraction, 6) AS fraction FROM f"""
+
+
 SQL: dict[str, str] = {
+    "accuracy_lines": _accuracy(),
     "fitted_widths": _WIDTHS,
     "outside_sources": _with(_NET, _DEMAND, "inside AS (SELECT router_id FROM routers WHERE region <= 1), known AS (SELECT src AS r FROM links WHERE src IN (FROM inside) AND dst IN (FROM inside) UNION SELECT dst FROM links WHERE src IN (FROM inside) AND dst IN (FROM inside) UNION SELECT root FROM borders WHERE root IN (FROM inside))")
     + f" SELECT src, {_r4('sum(demand)')} AS demand FROM demand WHERE src NOT IN (FROM known) GROUP BY src",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from linkpeak.operators import blocks, flow, sweeps, traffic
+from linkpeak.operators import blocks, flow, reports, sweeps, traffic
 from linkpeak.plans.analysis import Analysis
 from linkpeak.plans.samples import network
 from linkpeak.sources.tables import Tables, checkpointed
@@ -175,7 +175,19 @@ def accuracy_sweep(t: Tables) -> DataFrame:
     return found.select("clusters", "k", *[F.round(c, 6).alias(c) for c in found.columns if c.startswith(("error", "bound"))], "equivalent_top_k")
 
 
+def accuracy_lines(t: Tables) -> DataFrame:
+    """Lines of the accuracy tables: orders as measurements, statuses as clusters, the nations' regions as the widths that were asked for."""
+    rows = t.read("orders").join(t.read("customer"), F.col("o_custkey") == F.col("c_custkey")).join(t.routers, F.col("c_nationkey") == F.col("router_id"))
+    price = F.col("o_totalprice") / 1e6
+    widths = {"repulsion": F.col("region") + 1, "attraction": F.col("c_nationkey") / 10.0, "friction": price + 1}
+    columns = [x.cast("double").alias(f"{name}_{kind}") for name, x in widths.items() for kind in ("measured", "sampled")]
+    rows = rows.select("region", F.col("o_orderstatus").alias("status"), *columns, (price * 0.5).alias("clustering_error"), (price * price).alias("approx_error_max"), (price * 100 + 1).alias("efficiency_speedup"))
+    found = reports.accuracy_lines(reports.accuracy_summary(rows, ["region", "status"]), F.col("region") % 3)
+    return found.select("region", "status", "text", "latex", F.round("fraction", 6).alias("fraction"))
+
+
 QUERIES = (
+    accuracy_lines,
     outside_sources, cluster_to_error, fitted_widths, parameter_search, accuracy_sweep,
     clustered_k10, clustered_causes_k1, limited_ingress_inf, limited_both_k1, te_installed_k1, te_installed_l1_k1, causes_te_k1, te_clustered_inf, variability_worst_k1, dropped_demand_routers,
 )

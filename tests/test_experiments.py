@@ -10,17 +10,16 @@ from tests.test_analysis import base, loads_of  # noqa: F401
 from tests.test_rules_and_members import weighted
 
 
-def test_search_in_boxes_takes_the_same_steps(spark):
-    shapes = [lambda p: (p[0] * 0.9, p[1] + 0.2 * p[0]), lambda p: (0.0 if p[0] < 0.55 else 0.8, p[1])]
-    for shape in shapes:
+def test_search_in_boxes_takes_the_same_steps():
+    cases = [(lambda p: (p[0] * 0.9, p[1] + 0.2 * p[0]), (0.5, 0.1), (0.9, 0.3)), (lambda p: (0.0 if p[0] < 0.55 else 0.8,), (0.5,), (0.5,))]
+    for shape, start, target in cases:
         asked = []
 
         def many(some, shape=shape, asked=asked):
             asked.append(len(some))
             return {at: shape(at) for at in some}
 
-        one = sweeps.search(shape, (0.5, 0.1), (0.9, 0.3))
-        assert sweeps.search_many(many, (0.5, 0.1), (0.9, 0.3), ahead=3) == one
+        assert sweeps.search_many(many, start, target, ahead=3) == sweeps.search(shape, start, target)
         assert len(asked) < 15
 
 
