@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from linkpeak.functions.ranking import top_per_group
 from linkpeak.operators.flow import chosen_egress, node_costs
-from linkpeak.sources.tables import checkpointed
 
 
 def crossings(flow: DataFrame) -> DataFrame:
@@ -68,8 +67,8 @@ def worst_both(flow: DataFrame, demand: DataFrame) -> DataFrame:
     """The same where all traffic may enter at one router and leave at another."""
     most = crossings(flow).groupBy("scenario_id", "edge_id").agg(_best("frac", F.col("src"), -F.col("root")).alias("b"))
     totals = demand.groupBy("prefix").agg(F.sum("demand").alias("total"))
-    # One row for each scenario and link on the right: the product is the result itself, all links of all prefixes.
-    joined = totals.join(most.withColumn("_on", F.lit(1)), F.col("_on") == F.lit(1))
+    # One row for each scenario and link on the right, as many as the topology has: the product is the result itself, all links of all prefixes.
+    joined = totals.crossJoin(F.broadcast(most))
     return joined.select("scenario_id", "prefix", "edge_id", (F.col("total") * F.col("b.frac")).alias("worst"), (-F.col("b.col3")).alias("egress"), F.col("b.src").alias("ingress"))
 
 
@@ -144,7 +143,8 @@ def worst_egress_with_paths(flow: DataFrame, demand: DataFrame, sets: DataFrame,
     if "prefix" in sets.columns:
         states = prefixes.join(sets, "prefix").select("prefix", "egresses")
     else:
-        states = prefixes.join(sets.withColumn("_on", F.lit(1)), F.col("_on") == F.lit(1)).select("prefix", "egresses")
+        # Sets of border routers, as many as the topology has.
+        states = prefixes.crossJoin(F.broadcast(sets)).select("prefix", "egresses")
     best = with_paths(flow, demand, states, te_paths).groupBy("scenario_id", "prefix", "edge_id").agg(F.max_by(F.struct("load", "egresses"), F.struct(F.round("load", 9), -F.size("egresses"))).alias("b"))
     return best.select("scenario_id", "prefix", "edge_id", F.col("b.load").alias("worst"), F.col("b.egresses").alias("egresses"))
 
@@ -177,22 +177,13 @@ def worst_with_paths(flow: DataFrame, demand: DataFrame, states: DataFrame, kind
         return shares.join(totals(kind), "prefix").select("scenario_id", "prefix", "edge_id", (F.col("total") * F.col("frac")).alias("worst"))
 
     as_now = totals("ingress").join(states, "prefix").join(chosen_egress(costs, states), "egresses").select("scenario_id", "prefix", "src", "root")
-    any_way = totals("both").join(costs.select("scenario_id", "src", "root").withColumn("_on", F.lit(1)), F.col("_on") == F.lit(1)).select("scenario_id", "prefix", "src", "root")
+    # Pairs of routers in each scenario, as many as the topology has.
+    any_way = totals("both").crossJoin(F.broadcast(costs.select("scenario_id", "src", "root"))).select("scenario_id", "prefix", "src", "root")
     plain = worst(flow, demand.join(own, "prefix", "left_anti"), states, kinds, allowed).select(*columns)
     by_egress = worst_egress_with_paths(flow, of("egress"), sets, te_paths).select(*columns)
     return plain.union(by_egress).union(largest(as_now, "ingress")).union(largest(any_way, "both"))
 
 
-def cells_with_paths(flow: DataFrame, demand: DataFrame, states: DataFrame, kinds: DataFrame, te_paths: DataFrame, sets: DataFrame) -> DataFrame:
-    """(scenario_id, prefix, edge_id, current, worst) of prefixes with explicit paths. Few prefixes have any; the unit
-    flow and the demand, which several joins read, are written first."""
-    flow, demand = checkpointed(flow), checkpointed(demand)
-    worst = worst_with_paths(flow, demand, states, kinds, te_paths, sets)
-    now = with_paths(flow, demand, states, te_paths).select("scenario_id", "prefix", "edge_id", F.col("load").alias("current"))
-    cells = worst.join(now, ["scenario_id", "prefix", "edge_id"], "full")
-    return cells.select("scenario_id", "prefix", "edge_id", F.coalesce("current", F.lit(0.0)).alias("current"), F.coalesce("worst", F.lit(0.0)).alias("worst"))
-
-
 def heaviest_only(demand: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
     """Demand of the n heaviest prefixes, and (dropped): the demand left out, which widens the positive bound."""
     sums = demand.groupBy("prefix").agg(F.sum("demand").alias("total"))

@@ -102,8 +102,8 @@ def candidate_sets_by_prefix(local_prefs: DataFrame, te_paths: DataFrame) -> Dat
     subset = bits.select("tes", "prefs_of", F.expr("filter(tes, (x, i) -> (shiftright(id, i) & 1L) = 1L)").alias("own"))
     shared = F.expr("aggregate(slice(own, 2, size(own)), prefs_of[own[0]], (a, x) -> array_intersect(a, prefs_of[x]))")
     subset = subset.select("tes", "own", F.when(F.size("own") > 0, shared).alias("shared")).where("shared IS NULL OR size(shared) > 0")
-    other = each.withColumn("_on", F.lit(1))
-    more = subset.join(other, (F.col("_on") == F.lit(1)) & ~F.array_contains("tes", F.col("egress")) & (F.col("shared").isNull() | F.arrays_overlap("shared", "prefs")))
+    # Border routers, as many as the topology has.
+    more = subset.crossJoin(F.broadcast(each)).where(~F.array_contains("tes", F.col("egress")) & (F.col("shared").isNull() | F.arrays_overlap("shared", "prefs")))
     grown = more.select("tes", F.array_sort(F.array_append("own", F.col("egress").cast("int"))).alias("egresses"))
     sets = subset.where(F.size("own") > 0).select("tes", F.col("own").alias("egresses")).union(grown)
     return lists.select("prefix", "tes").join(sets, "tes").select("prefix", "egresses")

@@ -136,7 +136,19 @@ f AS (SELECT region, status, {numbers}, avg(region + 1) AS rep, avg(nation) AS a
 SELECT region, status, {text} AS text, '  yes & ' || {fields} || ' & ' || {plots} || ' \\\\' AS latex, round(fraction, 6) AS fraction FROM f"""
 
 
+def _settings() -> str:
+    last = "(SELECT edge_id, max({}) AS load FROM {} GROUP BY 1)"
+    parts = {
+        ("1", 0): _with(*_ALL, _WORST, _top(1)) + f" SELECT load FROM {last.format('load', 'changed')}",
+        ("10", 0): _with(*_ALL, _WORST, _top(10)) + f" SELECT load FROM {last.format('load', 'changed')}",
+        ("inf", 0): _with(*_ALL, _WORST) + f" SELECT load FROM {_sum('w_mixed')}",
+        ("1", 1): _with(*_ALL1, _WORST, _top(1)) + f" SELECT load FROM {last.format('load', 'changed')}",
+    }
+    return " UNION ALL ".join(f"SELECT '{k}' AS k, {l} AS l, round(max(load) + 1e-7, 3) AS highest, round(sum(load) + 1e-7, 2) AS sum FROM ({x})" for (k, l), x in parts.items())
+
+
 SQL: dict[str, str] = {
+    "running_time_sweep": _settings(),
     "accuracy_lines": _accuracy(),
     "fitted_widths": _WIDTHS,
     "outside_sources": _with(_NET, _DEMAND, "inside AS (SELECT router_id FROM routers WHERE region <= 1), known AS (SELECT src AS r FROM links WHERE src IN (FROM inside) AND dst IN (FROM inside) UNION SELECT dst FROM links WHERE src IN (FROM inside) AND dst IN (FROM inside) UNION SELECT root FROM borders WHERE root IN (FROM inside))")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -186,7 +188,27 @@ def accuracy_lines(t: Tables) -> DataFrame:
     return found.select("region", "status", "text", "latex", F.round("fraction", 6).alias("fraction"))
 
 
+def sweep(net: Analysis, settings: list[dict]) -> DataFrame:
+    """A row for each setting (clusters: none or a number, k: a number or "inf", l): the highest load, the sum of all links' highest loads, and
+    the seconds that clusters and analysis took. Settings run one after the other, each of them on the whole cluster, as their seconds count."""
+    rows = []
+    for s in settings:
+        start = time.perf_counter()
+        some = net.with_cluster_number(s["clusters"]).clustered() if s.get("clusters") else net
+        between = time.perf_counter()
+        found = some.analyze(None if s["k"] == "inf" else int(s["k"]), s["l"]).agg(F.max("load").alias("m"), F.sum("load").alias("s")).first()
+        rows.append((s.get("clusters"), s["k"], s["l"], found["m"], found["s"], between - start, time.perf_counter() - between))
+    return net.demand.sparkSession.createDataFrame(rows, "clusters int, k string, l int, highest double, sum double, clustering_time_sec double, analysis_time_sec double")
+
+
+def running_time_sweep(t: Tables) -> DataFrame:
+    """One change and no failure, and what is changed of it: ten changes, any number, one failure. Without the seconds, which no twin could give."""
+    settings = sweeps.one_at_a_time({"k": "1", "l": 0}, {"k": ["10", "inf"], "l": [1]})
+    return sweep(network(t), settings).select("k", "l", F.round(F.col("highest") + 1e-7, 3).alias("highest"), F.round(F.col("sum") + 1e-7, 2).alias("sum"))
+
+
 QUERIES = (
+    running_time_sweep,
     accuracy_lines,
     outside_sources, cluster_to_error, fitted_widths, parameter_search, accuracy_sweep,
     clustered_k10, clustered_causes_k1, limited_ingress_inf, limited_both_k1, te_installed_k1, te_installed_l1_k1, causes_te_k1, te_clustered_inf, variability_worst_k1, dropped_demand_routers,

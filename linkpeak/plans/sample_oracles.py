@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 from linkpeak.operators.traffic import SAMPLED_FOR
-from linkpeak.plans.oracles import _ALL, _ALL1, _BASE, _CHOSEN, _DEMAND, _FLOW, _HEAVY, _MEASURED, _NET, _STATE, _TE, _VEC, _WORST, _listed, _r4, _report, _sum, _top, _with, percent
+from linkpeak.plans.oracles import _ALL, _ALL1, _BASE, _CHOSEN, _DEMAND, _FLOW, _HEAVY, _NET, _STATE, _TE, _VEC, _WORST, _listed, _r4, _report, _sum, _top, _with, percent
 from linkpeak.sources.generators import STATE_CHANCES, poisson_steps
 
 
