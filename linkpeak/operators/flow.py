@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Cells of a matrix for each root that are held at once.
+ROOM = 1 << 24
 UNIT_FLOW = "scenario_id long, root int, src int, edge_id int, frac double, cost long, `unique` boolean"
 
 
@@ -76,7 +78,12 @@ class Graph:
         return np.nonzero(np.isin(self.names[self.root_at], np.asarray(egresses, dtype=np.int64)))[0]
 
     def _routes(self, failed: np.ndarray, roots: np.ndarray) -> Routes:
-        """Towards some of the roots (places among nodes), from every node."""
+        """Towards some of the roots (places among nodes), from every node; by groups of roots, as each takes matrices of nodes by nodes."""
+        step = max(1, ROOM // max(1, len(self.names) ** 2))
+        parts = [self._some_routes(failed, roots[i : i + step]) for i in range(0, max(len(roots), 1), step)]
+        return parts[0] if len(parts) == 1 else Routes(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+
+    def _some_routes(self, failed: np.ndarray, roots: np.ndarray) -> Routes:
         src, dst, weight, n = self.src, self.dst, self.weight, len(self.names)
         alive = np.ones(len(src), dtype=bool)
         alive[failed] = False

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, field, replace
+from functools import cached_property
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkpeak.functions.ranking import top_per_group
@@ -50,10 +51,16 @@ class Analysis:
     clusters: tuple[str, float] | None = None
     default_ingresses: frozenset[int] | None = None
 
+    def _with(self, **changes) -> Analysis:
+        """A changed copy; what is written of demand and states serves it as well, as no setter changes these."""
+        new = replace(self, **changes)
+        new.__dict__.update({name: self.__dict__[name] for name in ("_written_demand", "_written_states") if name in self.__dict__})
+        return new
+
     def set_default_uncertainty(self, kind: str, egresses: Egresses = None, ingresses: Iterable[int] | None = None) -> Analysis:
         """The rule of prefixes that no other rule names; egresses and ingresses as in with_uncertainty()."""
         kind, egresses, ingresses = _rule(kind, egresses, ingresses)
-        return replace(self, default_kind=kind, default_egresses=egresses, default_ingresses=ingresses)
+        return self._with(default_kind=kind, default_egresses=egresses, default_ingresses=ingresses)
 
     def modify_default_egresses(self, keep: Column) -> Analysis:
         """Of the egresses of the default rule those for which ``keep``, a condition on the column root, holds."""
@@ -61,13 +68,13 @@ class Analysis:
         # Border routers are a part of the topology, which travels with the tasks.
         kept = {r["root"] for r in self.roots().where(keep).collect()}
         if isinstance(egresses, Mapping):
-            return replace(self, default_egresses={r: p for r, p in egresses.items() if r in kept})
-        return replace(self, default_egresses=tuple(sorted(kept if egresses is None else kept & set(egresses))))
+            return self._with(default_egresses={r: p for r, p in egresses.items() if r in kept})
+        return self._with(default_egresses=tuple(sorted(kept if egresses is None else kept & set(egresses))))
 
     def modify_default_ingresses(self, keep: Column) -> Analysis:
         """Of the ingresses of the default rule those for which ``keep``, a condition on the column router, holds."""
         kept = frozenset(r["router"] for r in self.routers().where(keep).collect())
-        return replace(self, default_ingresses=kept if self.default_ingresses is None else kept & self.default_ingresses)
+        return self._with(default_ingresses=kept if self.default_ingresses is None else kept & self.default_ingresses)
 
     def with_uncertainty(self, prefixes: DataFrame, kind: str, egresses: Egresses = None, ingresses: Iterable[int] | None = None) -> Analysis:
         """A rule for some prefixes (column prefix); of several that name a prefix the last one holds.
@@ -75,45 +82,58 @@ class Analysis:
         egresses: the border routers that they may change to, or these with the local preferences that their routes may have (by
         default those of set_local_prefs()); ingresses: the routers where their traffic may enter. By default all.
         """
-        return replace(self, named=(*self.named, (prefixes.select("prefix"), _rule(kind, egresses, ingresses))))
+        return self._with(named=(*self.named, (prefixes.select("prefix"), _rule(kind, egresses, ingresses))))
 
     def add_te_paths(self, paths: DataFrame) -> Analysis:
         """Explicit paths (prefix, ingress, egress, path_no, edges)."""
-        return replace(self, te_paths=paths if self.te_paths is None else self.te_paths.unionByName(paths))
+        return self._with(te_paths=paths if self.te_paths is None else self.te_paths.unionByName(paths))
 
     def install_te_paths(self, paths: DataFrame) -> Analysis:
         """The same explicit paths (ingress, egress, path_no, edges) for every prefix, beside its own ones; paths are few."""
         own = paths.select("ingress", "egress", "path_no", "edges")
-        return replace(self, installed=own if self.installed is None else self.installed.unionByName(own))
+        return self._with(installed=own if self.installed is None else self.installed.unionByName(own))
+
+    def install_te_paths_at(self, i: int, paths: DataFrame) -> Analysis:
+        """The same explicit paths for the prefixes of one class of kind egress, in place of their own ones: the i-th (from 0) by
+        demand, the largest first, of equal ones that of the smaller egresses. Past the last class nothing changes."""
+        key = ["egresses", "rule", "_te"]
+        settings = self.settings().where(self._kind_of(F.col("rule")) == "egress").withColumn("_te", F.coalesce("te", F.lit("")))
+        totals = self._checked().join(settings, "prefix").groupBy(*key).agg(F.sum("demand").alias("_sum"))
+        # One row for each class.
+        at = totals.withColumn("_at", F.row_number().over(Window.orderBy(F.desc("_sum"), *key)) - 1).where(F.col("_at") == i)
+        own = settings.join(F.broadcast(at.select(*key)), key).select("prefix")
+        new = own.join(F.broadcast(paths)).select("prefix", "ingress", "egress", "path_no", "edges")
+        rest = None if self.te_paths is None else self.te_paths.join(own, "prefix", "left_anti").select(*new.columns)
+        return self._with(te_paths=checkpointed(new if rest is None else rest.union(new)))
 
     def set_local_prefs(self, local_prefs: DataFrame) -> Analysis:
         """(egress, local_pref): the values that announcements at a border router may carry. Egresses without any
         cannot be changed to. By default all share one value."""
-        return replace(self, local_prefs=local_prefs)
+        return self._with(local_prefs=local_prefs)
 
     def only_heaviest_prefixes(self, n: int) -> Analysis:
-        return replace(self, heaviest=n)
+        return self._with(heaviest=n)
 
     def directional_link_failures(self) -> Analysis:
-        return replace(self, directed=True)
+        return self._with(directed=True)
 
     def with_clustering(self, assignment: DataFrame, mode: str = "scaled") -> Analysis:
         """Prefixes of a cluster (prefix, cluster) route as one; all must share their state, rule and explicit paths."""
-        return replace(self, assignment=assignment, mode=mode, clusters=None)
+        return self._with(assignment=assignment, mode=mode, clusters=None)
 
     def with_cluster_number(self, n: int, mode: str = "scaled") -> Analysis:
         """K-means in each class of prefixes of equal state, rule and explicit paths, with n clusters over all classes of kind egress."""
-        return replace(self, clusters=("number", n), mode=mode, assignment=None)
+        return self._with(clusters=("number", n), mode=mode, assignment=None)
 
     def with_cluster_error(self, target: float, mode: str = "scaled") -> Analysis:
         """The same with as few clusters as keep the error below target, a share of all demand."""
-        return replace(self, clusters=("error", target), mode=mode, assignment=None)
+        return self._with(clusters=("error", target), mode=mode, assignment=None)
 
     def clustered(self) -> Analysis:
         """The analysis with the clusters that its method gives, computed once; use it for several calls of analyze()."""
         if self.clusters is None:
             return self
-        plain = replace(self, clusters=None)
+        plain = self._with(clusters=None)
         demand = plain._checked()
         settings = plain.settings().withColumn("kind", plain._kind_of(F.col("rule")))
         method, value = self.clusters
@@ -158,7 +178,7 @@ class Analysis:
 
     def _rule_of(self) -> DataFrame:
         """(prefix, rule)"""
-        prefixes = self.demand.select("prefix").distinct()
+        prefixes = self._written_demand.select("prefix").distinct()
         if not self.named:
             return prefixes.withColumn("rule", F.lit(-1))
         rows = self.named[0][0].withColumn("rule_id", F.lit(0))
@@ -173,27 +193,36 @@ class Analysis:
         everyone = self.installed if self.te_paths is None else self.installed.limit(0)
         if self.te_paths is None:
             text = blocks.te_text(everyone.withColumn("prefix", F.lit(0)))
-            return self.demand.select("prefix").distinct().join(F.broadcast(text.select("te")))
+            return self._written_demand.select("prefix").distinct().join(F.broadcast(text.select("te")))
         own = self.te_paths.select("prefix").distinct()
         # Installed paths are few; they go to the prefixes with own ones, and as one text to all others.
         mixed = self.te_paths.unionByName(own.join(F.broadcast(self.installed)).select(*self.te_paths.columns))
         text = blocks.te_text(self.installed.withColumn("prefix", F.lit(0))).select("te")
-        rest = self.demand.select("prefix").distinct().join(own, "prefix", "left_anti").join(F.broadcast(text))
+        rest = self._written_demand.select("prefix").distinct().join(own, "prefix", "left_anti").join(F.broadcast(text))
         return blocks.te_text(mixed).union(rest.select("prefix", "te"))
 
     def settings(self) -> DataFrame:
         """(prefix, egresses, rule, te): what tells classes of prefixes apart."""
-        te, known = self._te(), self.states().join(self._rule_of(), "prefix")
+        te, known = self._te(), self._written_states.join(self._rule_of(), "prefix")
         return known.withColumn("te", F.lit(None).cast("string")) if te is None else known.join(te, "prefix", "left").select("prefix", "egresses", "rule", "te")
 
-    def _checked(self) -> DataFrame:
-        """Demand above zero, of the heaviest prefixes where only these count; a prefix without a state is an error."""
-        demand = self.demand.where("demand > 0")
-        if demand.select("prefix").distinct().join(self.states(), "prefix", "left_anti").limit(1).count():
+    @cached_property
+    def _written_states(self) -> DataFrame:
+        return checkpointed(self.states())
+
+    @cached_property
+    def _written_demand(self) -> DataFrame:
+        """Demand above zero, written once for the checks and all that follows; a prefix without a state is an error."""
+        demand = checkpointed(self.demand.where("demand > 0"))
+        if demand.select("prefix").distinct().join(self._written_states, "prefix", "left_anti").limit(1).count():
             raise ValueError("a prefix with demand has no routing state")
         if flow.outside(demand, self.links, self.roots()).limit(1).count():
             raise ValueError("demand enters at a router that the topology does not have")
-        return demand if self.heaviest is None else loads.heaviest_only(demand, self.heaviest)[0]
+        return demand
+
+    def _checked(self) -> DataFrame:
+        """Demand above zero, of the heaviest prefixes where only these count."""
+        return self._written_demand if self.heaviest is None else loads.heaviest_only(self._written_demand, self.heaviest)[0]
 
     def _inputs(self, most: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame | None]:
         """Demand, settings, and of clusters the members that can be among the ``most`` largest changes (None: no members)."""

@@ -160,6 +160,20 @@ FROM links l JOIN ranked_members m ON m.edge_id = l.edge_id AND m.r = 1 JOIN fix
 LEFT JOIN w_named w ON w.edge_id = m.edge_id AND w.prefix = m.rep LEFT JOIN current_of c ON c.edge_id = m.edge_id AND c.prefix = m.rep WHERE f.load + m.diff > 0""",
     "limited_ingress_inf": _with(_NET, _BASE, _FLOW, _DEMAND, _kinds("CASE WHEN p_size % 10 = 5 THEN 'egress' ELSE 'ingress' END"), _CHOSEN, _limited("f.root % 3 = 0", "src % 2 = 0", "true")) + _report(_sum("w_mixed")),
     "limited_both_k1": _with(_NET, _BASE, _FLOW, _DEMAND, _kinds("CASE WHEN p_size % 10 = 0 THEN 'ingress' ELSE 'both' END"), _CHOSEN, _limited("true", "src < 10", "root % 2 = 0 AND src % 2 = 1"), _top(1), _WITH_NONE) + _report("with_none"),
+    "te_installed_at": _with(
+        *_ALL,
+        """classes AS (SELECT s.egresses, row_number() OVER (ORDER BY sum(d.demand) DESC, s.egresses) AS at_class FROM demand d JOIN states s ON s.prefix = d.prefix JOIN rules r ON r.prefix = d.prefix AND r.kind = 'egress' GROUP BY 1),
+tied AS (SELECT s.prefix FROM states s JOIN rules r ON r.prefix = s.prefix AND r.kind = 'egress' JOIN classes c ON c.egresses = s.egresses WHERE c.at_class <= 3),
+cells AS (SELECT d.prefix, d.src, c.root, d.demand FROM demand d JOIN states s ON s.prefix = d.prefix JOIN chosen c ON c.egresses = s.egresses AND c.src = d.src),
+te_load AS (
+  SELECT 0 AS scenario_id, edge_id, sum(load) AS load FROM (
+    SELECT l.edge_id, c.demand AS load FROM cells c JOIN links l ON l.dst = l.src + 1 AND l.src < 3 WHERE c.src = 0 AND c.root = 3 AND c.prefix IN (SELECT prefix FROM tied)
+    UNION ALL
+    SELECT f.edge_id, c.demand * f.frac FROM cells c JOIN flow f ON f.root = c.root AND f.src = c.src WHERE NOT (c.src = 0 AND c.root = 3 AND c.prefix IN (SELECT prefix FROM tied))
+  ) GROUP BY 2
+)""",
+    )
+    + _report("te_load"),
     "te_installed_k1": _with(*_ALL, _INSTALLED) + f" SELECT l.src, l.dst, {_r4('coalesce(sum(d.current) + max(d.diff), 0)')} AS load {_TE_DIFFS}",
     "causes_te_k1": _with(*_ALL, _WORST, _TE, _TE_WORST, _CAUSES, _NAMED, _TE_CAUSES)
     + f" SELECT l.src, l.dst, r.prefix, {_r4('r.current')} AS current, {_r4('r.worst')} AS worst, {_LISTED.format('r.egresses')} AS egresses, r.ingress FROM links l JOIN sums s ON s.edge_id = l.edge_id AND s.load > 0 JOIN ranked r ON r.edge_id = l.edge_id AND r.r = 1",
