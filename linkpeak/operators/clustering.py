@@ -107,6 +107,12 @@ def kmeans(vec: DataFrame, k: int, mode: str = "scaled", max_iter: int = 150, to
     return blocks.assignment(blocks.converged(problems, max_iter, tolerance)).select("prefix", "cluster")
 
 
+def heaviest_errors(demand: DataFrame, k: int, mode: str) -> DataFrame:
+    """(cluster, error_pos, error_neg) of the k heaviest prefixes alone and the others together; errors() of heaviest(), by blocks."""
+    blocks = Vectors.of(demand.select("prefix", "src", "demand"))
+    return blocks.cluster_errors({0: Problem("", mode, alone=blocks.heaviest({"": k})[""][0])}).drop("problem")
+
+
 def nearest_start(vec: DataFrame, k: int, mode: str = "scaled", seed: int | None = None) -> DataFrame:
     """(prefix, cluster): the nearest of the points that k-means starts from; its first step."""
     blocks = Vectors.of(vec.select("prefix", "src", "demand"))

@@ -181,19 +181,27 @@ class Vectors:
 
         return self._over(problems, work, "problem int, class string, prefix long, cluster int")
 
-    def errors(self, problems: dict[int, Problem]) -> dict[int, tuple[float, float]]:
-        """For each problem the demand that the centres of its clusters miss, and what they make up."""
+    def cluster_errors(self, problems: dict[int, Problem]) -> DataFrame:
+        """(problem, cluster, error_pos, error_neg): demand that a cluster's centre misses, and what it makes up."""
         centres = self.means(problems)
 
         def work(rows: Iterator) -> Iterator[pd.DataFrame]:
             sums: dict[int, np.ndarray] = {}
             for number, problem, prefixes, mat, scale in rows:
-                centre = centres[number][problem.assigned(prefixes, mat, scale)]
-                gap = mat - centre if problem.mode == "direct" else (mat / scale[:, None] - centre) * scale[:, None]
-                sums[number] = sums.get(number, np.zeros(2)) + [np.maximum(gap, 0).sum(), np.maximum(-gap, 0).sum()]
-            yield pd.DataFrame({"problem": list(sums), "pos": [x[0] for x in sums.values()], "neg": [x[1] for x in sums.values()]})
+                cluster = problem.assigned(prefixes, mat, scale)
+                gap = mat - centres[number][cluster] if problem.mode == "direct" else (mat / scale[:, None] - centres[number][cluster]) * scale[:, None]
+                own = sums.setdefault(number, np.zeros((problem.clusters, 3)))
+                np.add.at(own, cluster, np.column_stack([np.maximum(gap, 0).sum(axis=1), np.maximum(-gap, 0).sum(axis=1), np.ones(len(mat))]))
+            for number, own in sums.items():
+                some = np.flatnonzero(own[:, 2])
+                yield pd.DataFrame({"problem": number, "cluster": some, "error_pos": own[some, 0], "error_neg": own[some, 1]})
 
-        found = self._over(problems, work, "problem int, pos double, neg double").groupBy("problem").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).collect()
+        found = self._over(problems, work, "problem int, cluster int, error_pos double, error_neg double")
+        return found.groupBy("problem", "cluster").agg(F.sum("error_pos").alias("error_pos"), F.sum("error_neg").alias("error_neg"))
+
+    def errors(self, problems: dict[int, Problem]) -> dict[int, tuple[float, float]]:
+        """The same of all clusters of each problem."""
+        found = self.cluster_errors(problems).groupBy("problem").agg(F.sum("error_pos").alias("pos"), F.sum("error_neg").alias("neg")).collect()
         return {r["problem"]: (r["pos"], r["neg"]) for r in found}
 
 

@@ -240,8 +240,7 @@ def single_cluster_center_scaled(t: Tables) -> DataFrame:
 
 
 def heaviest_k_error(t: Tables) -> DataFrame:
-    v = clustering.vectors(t.demand)
-    return clustering.errors(v, clustering.heaviest(v, 10), "scaled").select("cluster", r4("error_pos").alias("error_pos"), r4("error_neg").alias("error_neg"))
+    return clustering.heaviest_errors(t.demand, 10, "scaled").select("cluster", r4("error_pos").alias("error_pos"), r4("error_neg").alias("error_neg"))
 
 
 def effective_demand(t: Tables) -> DataFrame:
@@ -258,10 +257,8 @@ def kmeans(t: Tables) -> DataFrame:
 
 
 def approx_matrix_error(t: Tables) -> DataFrame:
-    v = clustering.vectors(t.demand)
-    parts = clustering.heaviest(v, 50)
-    total = v.agg(F.sum("demand").alias("total"))
-    return clustering.errors(v, parts, "scaled").agg(F.sum("error_pos").alias("e")).crossJoin(total).select(F.round(F.col("e") / F.col("total"), 6).alias("error"))
+    total = t.demand.agg(F.sum("demand").alias("total"))
+    return clustering.heaviest_errors(t.demand, 50, "scaled").agg(F.sum("error_pos").alias("e")).crossJoin(total).select(F.round(F.col("e") / F.col("total"), 6).alias("error"))
 
 
 def clustering_scores(t: Tables) -> DataFrame:
