@@ -56,15 +56,39 @@ def poisson(mean: float) -> Draw:
     return lambda seed, *keys: F.size(F.filter(F.array(*[F.lit(x) for x in steps]), lambda x: x < uniform(seed, *keys))).cast("double")
 
 
+def _stream(seeds: np.ndarray, step: int) -> np.ndarray:
+    """The step-th uniform number in (0, 1) of each seed, all seeds at once: mixed bits of seed and step."""
+    z = seeds + np.uint64(0x9E3779B97F4A7C15) * np.uint64(step + 1)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return ((z ^ (z >> np.uint64(31))) >> np.uint64(11)) * 2.0**-53 + 2.0**-54
+
+
+def _gammas(seeds: np.ndarray, shape: float, first: int) -> np.ndarray:
+    """A gamma number for each seed by squeezed normals (Marsaglia and Tsang); those that are refused draw again."""
+    d = (shape if shape >= 1 else shape + 1) - 1 / 3
+    out, left, step = np.zeros(len(seeds)), np.arange(len(seeds)), first
+    while len(left):
+        u, v, w = (_stream(seeds[left], step + i) for i in range(3))
+        x = np.sqrt(-2 * np.log(u)) * np.cos(2 * np.pi * v)
+        cube = np.maximum(1 + x / np.sqrt(9 * d), 0) ** 3
+        taken = (cube > 0) & (np.log(w) < x * x / 2 + d - d * cube + d * np.log(np.maximum(cube, 1e-300)))
+        out[left[taken]] = d * cube[taken]
+        left, step = left[~taken], step + 3
+    return out if shape >= 1 else out * _stream(seeds, first + (1 << 20)) ** (1 / shape)
+
+
 def beta(a: float, b: float) -> Draw:
-    """For whole a and b the a-th smallest of a + b - 1 uniform numbers; for others by numpy, a generator for each row."""
+    """For whole a and b the a-th smallest of a + b - 1 uniform numbers; for others a ratio of gamma numbers, by numpy for whole batches."""
     if float(a).is_integer() and float(b).is_integer() and a >= 1 and b >= 1:
         n = int(a + b - 1)
         return lambda seed, *keys: F.element_at(F.array_sort(F.array(*[uniform(seed + 101 * i, *keys) for i in range(n)])), int(a))
 
     @F.pandas_udf("double")
     def by_numpy(seeds: pd.Series) -> pd.Series:
-        return seeds.map(lambda x: np.random.default_rng(int(x)).beta(a, b))
+        x = seeds.to_numpy(dtype=np.uint64)
+        one, two = _gammas(x, a, 0), _gammas(x, b, 1 << 30)
+        return pd.Series(one / (one + two))
 
     return lambda seed, *keys: by_numpy(draw(seed, *keys))
 
