@@ -103,7 +103,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: float = 64
     vectors count as padded with zeros; empty ones score 0. Ties go to the smaller vec_id; a candidate row
     that repeats is ranked as often as it occurs, a query that repeats is answered once (of different vectors under
     one id by the smallest). Vectors may have any length. Scores must stay below 2**53, what doubles hold exactly;
-    vectors so large that they might not are an error. Empty tables give no rows.
+    vectors so large that they might not are an error. Other columns,
+    whatever their names, are not looked at. Empty tables give no rows.
     """
     whole = F.col("vec_id").isNotNull() & F.col("vector").isNotNull() & F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     vectors, queries = vectors.where(whole).select("vec_id", "vector"), queries.where(whole).groupBy("vec_id").agg(F.min("vector").alias("vector"))
