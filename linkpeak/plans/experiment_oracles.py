@@ -156,8 +156,8 @@ SQL: dict[str, str] = {
     "clustered_k10": _with(*_CLUSTERED, _top(1), _MEMBERS) + f" SELECT l.src, l.dst, {_r4('coalesce(f.load, 0) + coalesce(x.extra, 0)')} AS load FROM links l LEFT JOIN fixed f ON f.edge_id = l.edge_id LEFT JOIN (SELECT edge_id, sum(diff) AS extra FROM ranked_members WHERE r <= 10 GROUP BY 1) x ON x.edge_id = l.edge_id",
     "clustered_causes_k1": _with(*_CLUSTERED, _top(1), _CAUSES, _NAMED, _MEMBERS)
     + f""" SELECT l.src, l.dst, m.prefix, {_r4("coalesce(c.current, 0) * m.share")} AS current, {_r4("coalesce(w.worst, 0) * m.share")} AS worst, w.egress, w.ingress
-FROM links l JOIN ranked_members m ON m.edge_id = l.edge_id AND m.r = 1 JOIN fixed f ON f.edge_id = l.edge_id
-LEFT JOIN w_named w ON w.edge_id = m.edge_id AND w.prefix = m.rep LEFT JOIN current_of c ON c.edge_id = m.edge_id AND c.prefix = m.rep WHERE f.load + m.diff > 0""",
+FROM links l JOIN ranked_members m ON m.edge_id = l.edge_id AND m.r = 1 LEFT JOIN fixed f ON f.edge_id = l.edge_id
+LEFT JOIN w_named w ON w.edge_id = m.edge_id AND w.prefix = m.rep LEFT JOIN current_of c ON c.edge_id = m.edge_id AND c.prefix = m.rep WHERE coalesce(f.load, 0) + m.diff > 0""",
     "limited_ingress_inf": _with(_NET, _BASE, _FLOW, _DEMAND, _kinds("CASE WHEN p_size % 10 = 5 THEN 'egress' ELSE 'ingress' END"), _CHOSEN, _limited("f.root % 3 = 0", "src % 2 = 0", "true")) + _report(_sum("w_mixed")),
     "limited_both_k1": _with(_NET, _BASE, _FLOW, _DEMAND, _kinds("CASE WHEN p_size % 10 = 0 THEN 'ingress' ELSE 'both' END"), _CHOSEN, _limited("true", "src < 10", "root % 2 = 0 AND src % 2 = 1"), _top(1), _WITH_NONE) + _report("with_none"),
     "te_installed_at": _with(
