@@ -45,6 +45,8 @@ BUCKET = 2000
 SENT = 800_000
 #: Turns in which buckets of several components are tried with one class each, before all of them are compared.
 PIVOTS = 4
+#: Texts or pairs of sets that go to Python at once: a set may take hundreds of kilobytes.
+AT_ONCE = 500
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -221,7 +223,7 @@ class _Join:
         population = max(1, self.docs.count() // 20)
         # A null among keys would turn them all into floating-point numbers in Python, so they come as two columns.
         given = self.docs.select(F.coalesce("key", F.lit(0)).alias("id"), F.col("key").isNull().alias("bare"), "text", "text_hash")
-        scanned = materialize(given.mapInPandas(_scanned(n, percent, population, bits), shape))
+        scanned = materialize(given.mapInPandas(_scanned(n, percent, population, bits), shape), at_once=AT_ONCE)
         self.scanned = scanned
         sketch = [F.first(f"s{i}").alias(f"s{i}") for i in range(SKETCH)]
         rows = scanned.withColumn("key", F.when(~F.col("bare"), F.col("id")))
@@ -272,9 +274,9 @@ class _Join:
             copies = self.docs.where("key IS NULL").join(bare, F.col("text_hash") == F.col("rep_hash")).groupBy("node", "print", "check", "text").agg(F.lit(1).alias("_one")).drop("_one")
             keyed = keyed.union(copies)
         tokens = keyed.mapInPandas(_tokens(self.n, self.bits), "node long, tokens binary").groupBy("node").agg(F.first("tokens").alias("tokens"))
-        tokens = materialize(tokens, written)
+        tokens = materialize(tokens, written, at_once=AT_ONCE)
         left, right = tokens.withColumnsRenamed({"node": "a", "tokens": "left"}), tokens.withColumnsRenamed({"node": "b", "tokens": "right"})
-        return materialize(pairs.join(left, "a").join(right, "b").mapInPandas(_linked(self.percent), "a long, b long"), pairs, tokens)
+        return materialize(pairs.join(left, "a").join(right, "b").mapInPandas(_linked(self.percent), "a long, b long"), pairs, tokens, at_once=AT_ONCE)
 
     def links(self) -> DataFrame:
         """(node, label) of every class that links with another; label is the smallest node of the component."""
