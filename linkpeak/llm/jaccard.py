@@ -26,6 +26,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,7 +47,7 @@ SENT = 800_000
 #: Turns in which buckets of several components are tried with one class each, before all of them are compared.
 PIVOTS = 4
 #: Texts or pairs of sets that go to Python at once: a set may take hundreds of kilobytes.
-AT_ONCE = 500
+AT_ONCE = 200
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -197,6 +198,8 @@ def _tokens(n: int, bits: int):
             sets = [shingle_set(t, n) for t in batch["text"]]
             same = [_print_of(s, bits) == (p, c) for s, p, c in zip(sets, batch["print"], batch["check"], strict=True)]
             yield pd.DataFrame({"node": batch["node"], "tokens": [s.tobytes() for s in sets]})[np.array(same, dtype=bool)]
+            # What Arrow holds of batches that are done would count beside the next ones.
+            pa.default_memory_pool().release_unused()
 
     return run
 
@@ -210,6 +213,7 @@ def _linked(percent: int):
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * common >= percent * (len(x) + len(y) - common))
             yield batch.loc[np.array(keep, dtype=bool), ["a", "b"]]
+            pa.default_memory_pool().release_unused()
 
     return run
 
