@@ -80,7 +80,7 @@ def pooled_states(t: Tables) -> DataFrame:
 
 
 def distributions(t: Tables) -> DataFrame:
-    return _prefixes(t).select("prefix", *[_r6(law(31, "prefix")).alias(name) for name, law in LAWS.items()])
+    return g.spread(_prefixes(t), "prefix").select("prefix", *[_r6(law(31, "prefix")).alias(name) for name, law in LAWS.items()])
 
 
 def gravity_matrix(t: Tables) -> DataFrame:
