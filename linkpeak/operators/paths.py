@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linkpeak.sources.generators import draw, uniform
+from linkpeak.sources.generators import draw, spread, uniform
 
 
 def tree(dag: DataFrame) -> DataFrame:
@@ -99,11 +99,15 @@ def wanted_paths(prefixes: DataFrame, sources: DataFrame, egresses: DataFrame, c
     # Sources and egresses are routers, a small fixed list; each path orders them by its own draws.
     few = F.broadcast(sources.agg(F.array_sort(F.collect_list(F.struct("src", *([F.col(by).alias("by")] if by else [])))).alias("_s")))
     out = F.broadcast(egresses.agg(F.array_sort(F.collect_list("root")).alias("_e")))
-    cells = prefixes.select("prefix").crossJoin(few).crossJoin(out).withColumn("path_no", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
-    path = [F.col("prefix"), *([] if in_turn else [F.col("path_no")])]
-    order = F.array_sort(F.transform("_e", lambda e: F.struct(draw(seed + 1, *path, e).alias("h"), e.alias("e"))))
-    cells = cells.withColumn("egress", F.get(order, (F.col("path_no") % F.size("_e")) if in_turn else F.lit(0))["e"])
+    drawn = lambda *path: F.transform("_e", lambda e: F.struct(draw(seed + 1, *path, e).alias("h"), e.alias("e")))
+    rows = spread(prefixes.select("prefix"), "prefix").crossJoin(few).crossJoin(out)
+    # The order of a prefix's egresses is the same for all of its paths.
+    rows = rows.withColumn("_o", F.array_sort(drawn(F.col("prefix")))) if in_turn else rows
+    cells = rows.withColumn("path_no", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
+    egress = F.get("_o", F.col("path_no") % F.size("_e"))["e"] if in_turn else F.array_min(drawn(F.col("prefix"), F.col("path_no")))["e"]
     key = lambda s: draw(seed, "prefix", "path_no", s["src"]) if by is None else -F.ln(uniform(seed, "prefix", "path_no", s["src"])) / s["by"]
-    others = F.filter("_s", lambda s: s["src"] != F.col("egress"))
-    ingress = F.array_min(F.transform(others, lambda s: F.struct(key(s).alias("h"), s["src"].alias("src"))))["src"]
-    return cells.select("prefix", ingress.alias("ingress"), "egress", "path_no").where("ingress IS NOT NULL")
+    others = lambda e: F.filter("_s", lambda s: s["src"] != e)
+    ingress = lambda e: F.array_min(F.transform(others(e), lambda s: F.struct(key(s).alias("h"), s["src"].alias("src"))))["src"]
+    # One list for each path, of one pair or none: egress and ingress are found once, and a filter above does not find them again.
+    ends = F.filter(F.transform(F.array(egress), lambda e: F.struct(ingress(e).alias("ingress"), e.alias("egress"))), lambda c: c["ingress"].isNotNull())
+    return cells.select("prefix", "path_no", F.explode(ends).alias("c")).select("prefix", "c.ingress", "c.egress", "path_no")
