@@ -187,7 +187,7 @@ def csv_report(t: Tables) -> DataFrame:
     values = list(PARTS)
     prepared = reports.quantiles(unbounded, ["num_edges", "link_failures"], values)
     names = [c for c in prepared.columns if c not in ("num_edges", "link_failures")]
-    reports.write_csv(prepared.coalesce(1), f"{folder}/running_time_prepared.csv")
+    reports.write_csv(prepared.repartition(1), f"{folder}/running_time_prepared.csv")
     back = reports.newest_csv(t.spark, folder, "running_time_prepared", ", ".join(f"{c} {k}" for c, k in prepared.dtypes))
     return back.select("num_edges", "link_failures", *[_r4(c).alias(c) for c in names])
 
