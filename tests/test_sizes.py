@@ -75,3 +75,47 @@ def test_widths_write_a_row_a_prefix(spark, few, monkeypatch):
     rows.clear()
     sweeps.search_widths((0.6, 0.5, 0.7), *few, 7, most=3, close=0.0)
     assert rows == [40]
+
+
+def test_prepared_report_is_aggregated_by_all_tasks(spark, tmp_path, monkeypatch):
+    from linkpeak.operators import reports
+    from linkpeak.plans import samples
+    from linkpeak.sources.tables import Tables
+    from tests.compare import DATA
+
+    plans, keep = [], reports.write_csv
+    monkeypatch.setattr(reports, "write_csv", lambda df, path: (plans.append(plan_of(df)), keep(df, path)))
+    assert samples.csv_report(Tables(spark, f"{DATA}/sf0.001")).count()
+    assert plans[-1].startswith("Repartition 1, true")
+
+
+def test_class_is_one_block_and_settles_in_one_job(spark, monkeypatch):
+    from linkpeak.operators.means import Vectors, started
+
+    rows = [(f"c{p % 3}", s, p, float(1 + p * (s + 1) % 7)) for p in range(90) for s in range(3)]
+    blocks = Vectors.of(spark.createDataFrame(rows, "class string, src int, prefix long, demand double"))
+    assert blocks.blocks.count() == 3
+    problems = dict(enumerate(started(blocks, {"c0": 4, "c1": 5, "c2": 2}, "scaled").values()))
+    steps, plain = [], Vectors(blocks.sources, blocks.blocks)
+    want = plain.converged(problems)
+    monkeypatch.setattr(Vectors, "means", lambda *_: steps.append(1))
+    found = blocks.converged(problems)
+    assert not steps
+    for i, one in want.items():
+        assert found[i].points == pytest.approx(one.points)
+
+
+def test_nearest_point_is_that_of_full_distances():
+    import numpy as np
+
+    from linkpeak.operators.means import Problem
+
+    draw = np.random.default_rng(5)
+    mat = np.concatenate([draw.integers(0, 50, (400, 7)), np.eye(7, dtype=int)[[0] * 30] * 3]).astype(float)
+    scale = np.where(mat.sum(axis=1) == 0, 1.0, mat.sum(axis=1))
+    for mode in ("direct", "normalized", "scaled"):
+        x = mat if mode == "direct" else mat / scale[:, None]
+        points = np.concatenate([x[:20], x[:5], np.zeros((3, 7)), x[400:403] + 1e-9])
+        far = np.abs(x[:, None, :] - points[None]).sum(axis=2) * (scale[:, None] if mode == "scaled" else 1.0)
+        found = Problem("", mode, points).assigned(np.arange(len(mat)), mat, scale)
+        assert found.tolist() == np.round(far, 6).argmin(axis=1).tolist()
