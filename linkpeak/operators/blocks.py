@@ -208,17 +208,19 @@ class Scene:
 
     def routed(self, egresses: tuple[int, ...], te: str) -> np.ndarray:
         """The share of each source's traffic on each link; an explicit path holds where its ingress chooses its egress."""
-        key = (egresses, te)
-        if key not in self._routed:
+        if egresses not in self._routed:
             if not len(self.ways.roots(egresses)):
                 return np.zeros(self.share.shape[1:])
             near = self.near(egresses)
-            out = self.share[near, np.arange(len(near))]
-            for s, r, links in self.ways.paths(te) if te else ():
-                if near[s] == r and np.isfinite(self.cost[r, s]):
-                    out[s] = self._part(links)
-            self._routed[key] = out
-        return self._routed[key]
+            self._routed[egresses] = near, self.share[near, np.arange(len(near))]
+        near, out = self._routed[egresses]
+        # Only routes without paths are kept: sets by paths are far more than sets, and paths change few rows.
+        changed = [(s, links) for s, r, links in (self.ways.paths(te) if te else ()) if near[s] == r and np.isfinite(self.cost[r, s])]
+        if changed:
+            out = out.copy()
+            for s, links in changed:
+                out[s] = self._part(links)
+        return out
 
     def both(self, rule: int, te: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The largest share over ingresses and egresses of a rule, and the places of both: of equal shares the largest source, then the smallest egress."""

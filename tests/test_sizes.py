@@ -119,3 +119,29 @@ def test_nearest_point_is_that_of_full_distances():
         far = np.abs(x[:, None, :] - points[None]).sum(axis=2) * (scale[:, None] if mode == "scaled" else 1.0)
         found = Problem("", mode, points).assigned(np.arange(len(mat)), mat, scale)
         assert found.tolist() == np.round(far, 6).argmin(axis=1).tolist()
+
+
+def test_routes_kept_do_not_grow_with_paths():
+    import numpy as np
+
+    from linkpeak.operators import blocks
+    from linkpeak.operators.flow import Routes
+
+    class Line:
+        """Three routers in a row, two of them roots."""
+
+        names, root_at, edge = np.arange(3), np.array([0, 2]), np.arange(4)
+
+        def roots_at(self, routers):
+            return np.flatnonzero(np.isin(self.names[self.root_at], list(routers)))
+
+    share = np.arange(24, dtype=float).reshape(2, 3, 4)
+    routes = Routes(share, np.array([[0.0, 1.0, 2.0], [2.0, 1.0, 0.0]]), None, None)
+    scene = blocks.Scene(blocks.Ways(Line(), blocks.PLAIN), routes)
+    plain = scene.routed((0, 2), "").copy()
+    for n in range(1, 30):
+        found = scene.routed((0, 2), f"1,0,{n},0 3")
+        assert found[1].tolist() == [1 / n, 0, 0, 1 / n]
+        assert found[[0, 2]].tolist() == plain[[0, 2]].tolist()
+    assert scene.routed((0, 2), "").tolist() == plain.tolist()
+    assert len(scene._routed) == 1
