@@ -21,6 +21,8 @@ from itertools import combinations, groupby, islice
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,10 +30,10 @@ from linkpeak.functions.ranking import top_per_group
 from linkpeak.operators.flow import Graph, Routes
 from linkpeak.sources.tables import checkpointed
 
-#: Prefixes of a block; blocks that a task holds at once; most scenarios of a chunk; rows by links that are ranked at once.
-BLOCK, HELD, CHUNK, RANKED = 1024, 16, 4096, 1 << 20
-#: From so many scenarios on, bounds tell first which of them can hold a link's worst load.
-BOUNDED = 64
+#: Prefixes of a block; numbers of the blocks that a task holds at once; most scenarios of a chunk; rows by links that are ranked at once.
+BLOCK, HELD, CHUNK, RANKED = 1024, 1 << 23, 4096, 1 << 20
+#: From so many scenarios on, and more pairs of scenario and link than so many a link, bounds tell first which of them can hold a link's worst load.
+BOUNDED, FEW = 64, 4
 #: The local preference of egresses that have no other.
 PREFERENCE = 100
 
@@ -66,28 +68,33 @@ def te_text(paths: DataFrame) -> DataFrame:
     return ends.groupBy("prefix").agg(F.array_join(F.array_sort(F.collect_list(one)), ";").alias("te"))
 
 
+_BLOCKS = pa.schema([
+    ("prefixes", pa.binary()), ("mat", pa.binary()), ("groups", pa.list_(pa.struct([("egresses", pa.list_(pa.int32())), ("rule", pa.int32()), ("te", pa.string()), ("n", pa.int32())]))),
+    ("counts", pa.binary()), ("names", pa.binary()), ("shares", pa.binary()),
+])
+
+
 def _packed(names: np.ndarray):
-    def run(part: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(part: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in part:
-            setting = [(tuple(s), int(r), t or "") for s, r, t in zip(batch["egresses"], batch["rule"], batch["te"], strict=True)]
-            # Rows of one setting stand together.
-            order = sorted(range(len(batch)), key=setting.__getitem__)
-            for start in range(0, len(batch), BLOCK):
-                some = order[start : start + BLOCK]
-                rows = batch.iloc[some]
-                mat = np.zeros((len(rows), len(names)))
-                at = np.repeat(np.arange(len(rows)), rows["srcs"].map(len))
-                np.add.at(mat, (at, np.searchsorted(names, np.concatenate(rows["srcs"].to_list()))), np.concatenate(rows["amounts"].to_list()))
-                groups = [{"egresses": list(key[0]), "rule": key[1], "te": key[2], "n": len(list(same))} for key, same in groupby(some, key=setting.__getitem__)]
-                own = rows["members"].isna()
-                counts = [1 if alone else len(m) for alone, m in zip(own, rows["members"], strict=True)]
-                listed = [[p] if alone else m for alone, p, m in zip(own, rows["prefix"], rows["members"], strict=True)]
-                shares = [[1.0] if alone else s for alone, s in zip(own, rows["parts"], strict=True)]
-                flat = lambda lists, kind: np.concatenate([np.asarray(x, dtype=kind) for x in lists]).tobytes()
-                yield pd.DataFrame({
-                    "prefixes": [rows["prefix"].to_numpy(dtype=np.int64).tobytes()], "mat": [mat.tobytes()], "groups": [groups],
-                    "counts": [np.array(counts, dtype=np.int64).tobytes()], "names": [flat(listed, np.int64)], "shares": [flat(shares, np.float64)],
-                })
+            for start in range(0, batch.num_rows, BLOCK):
+                yield block(batch.slice(start, BLOCK))
+
+    def block(rows: pa.RecordBatch) -> pa.RecordBatch:
+        n, prefixes = rows.num_rows, rows["prefix"].to_numpy()
+        at = np.repeat(np.arange(n), pc.list_value_length(rows["srcs"]).to_numpy(zero_copy_only=False))
+        places = np.searchsorted(names, rows["srcs"].flatten().to_numpy(zero_copy_only=False))
+        mat = np.bincount(at * len(names) + places, weights=rows["amounts"].flatten().to_numpy(zero_copy_only=False), minlength=n * len(names))
+        setting = list(zip(map(tuple, rows["egresses"].to_pylist()), rows["rule"].to_pylist(), (te or "" for te in rows["te"].to_pylist()), strict=True))
+        groups = [{"egresses": list(key[0]), "rule": key[1], "te": key[2], "n": sum(1 for _ in same)} for key, same in groupby(setting)]
+        counts, listed, shares = np.ones(n, dtype=np.int64), prefixes.astype(np.int64), np.ones(n)
+        if rows["members"].null_count < n:
+            members, parts = rows["members"].to_pylist(), rows["parts"].to_pylist()
+            counts = np.array([1 if m is None else len(m) for m in members], dtype=np.int64)
+            listed = np.array([x for p, m in zip(prefixes.tolist(), members, strict=True) for x in ([p] if m is None else m)], dtype=np.int64)
+            shares = np.array([x for own in parts for x in ([1.0] if own is None else own)], dtype=np.float64)
+        columns = {"prefixes": prefixes.astype(np.int64).tobytes(), "mat": mat.astype(np.float64).tobytes(), "groups": groups, "counts": counts.tobytes(), "names": listed.tobytes(), "shares": shares.tobytes()}
+        return pa.RecordBatch.from_pylist([columns], schema=_BLOCKS)
 
     return run
 
@@ -105,14 +112,56 @@ class Packed:
     def of(cls, links: DataFrame, roots: DataFrame, demand: DataFrame, settings: DataFrame, rules: dict[int, Rule] | None = None, members: DataFrame | None = None) -> Packed:
         """demand (src, prefix, demand); settings (prefix, egresses, rule, te); members (prefix, members: prefix and share) of
         clusters. Rules are few; they travel with the tasks like the topology."""
-        graph = Graph.of(links, roots)
         cells = demand.groupBy("prefix").agg(F.collect_list(F.struct("src", "demand")).alias("cells")).join(settings, "prefix")
-        lists = F.lit(None).cast("array<struct<prefix:bigint,share:double>>").alias("members") if members is None else F.col("members")
         cells = cells if members is None else cells.join(members, "prefix", "left")
-        rows = cells.select("prefix", F.col("cells.src").alias("srcs"), F.col("cells.demand").alias("amounts"), "egresses", "rule", "te", lists)
-        rows = rows.select("prefix", "srcs", "amounts", "egresses", "rule", "te", F.col("members.prefix").alias("members"), F.col("members.share").alias("parts"))
-        packed = checkpointed(rows.mapInPandas(_packed(graph.names), _PACKED).withColumn("block", F.monotonically_increasing_id()))
-        return cls(graph, rules or PLAIN, packed, max(packed.count(), 1))
+        return cls._of_cells(Graph.of(links, roots), rules or PLAIN, cells)
+
+    @classmethod
+    def _of_cells(cls, graph: Graph, rules: dict[int, Rule], cells: DataFrame) -> Packed:
+        if "members" not in cells.columns:
+            cells = cells.withColumn("members", F.lit(None).cast("array<struct<prefix:bigint,share:double>>"))
+        rows = cells.select(F.col("prefix").cast("long").alias("prefix"), F.col("cells.src").cast("array<long>").alias("srcs"), F.col("cells.demand").cast("array<double>").alias("amounts"), "egresses", "rule", "te", F.col("members.prefix").alias("members"), F.col("members.share").alias("parts"))
+        # Rows of one setting stand together, so that a block has few settings and they are routed in few products.
+        packed = checkpointed(rows.sortWithinPartitions("egresses", "rule", "te").mapInArrow(_packed(graph.names), _PACKED).withColumn("block", F.monotonically_increasing_id()))
+        return cls(graph, rules, packed, max(packed.count(), 1))
+
+    def settled(self) -> Packed:
+        """The same with one row for all prefixes of the same egresses and explicit paths, which is all that current loads depend on."""
+        names = self.graph.names
+
+        def run(part: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in part:
+                sums: dict = {}
+                for row in batch.itertuples(index=False):
+                    block = Block(row)
+                    for rows, egresses, _, te in block.groups:
+                        own = sums.setdefault((egresses, te), np.zeros(len(names)))
+                        own += block.mat[rows].sum(axis=0)
+                if sums:
+                    cells = [[{"src": int(names[i]), "demand": float(own[i])} for i in np.flatnonzero(own)] for own in sums.values()]
+                    yield pd.DataFrame({"egresses": [list(e) for e, _ in sums], "te": [te for _, te in sums], "cells": cells})
+
+        found = self.blocks.mapInPandas(run, "egresses array<int>, te string, cells array<struct<src:bigint,demand:double>>").select("egresses", "te", F.inline("cells"))
+        cells = found.groupBy("egresses", "te", "src").agg(F.sum("demand").alias("demand")).groupBy("egresses", "te").agg(F.collect_list(F.struct("src", "demand")).alias("cells"))
+        return Packed._of_cells(self.graph, self.rules, cells.select(F.monotonically_increasing_id().alias("prefix"), "cells", "egresses", F.lit(min(self.rules)).alias("rule"), "te"))
+
+    def reach(self, k: int) -> float:
+        """The most that k changes can add to the load of a link, or take from it, under any failures."""
+        graph, rules = self.graph, self.rules
+
+        def run(part: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            ways, tops = Ways(graph, rules), np.zeros(0)
+            for batch in part:
+                for row in batch.itertuples(index=False):
+                    block = Block(row)
+                    most = block.total.copy()
+                    for rows, _, _, te in block.groups:
+                        # A path that uses a link twice loads it twice.
+                        most[rows] *= max([1.0, *(links.max(initial=0.0) for _, _, links in ways.paths(te))])
+                    tops = _top(np.concatenate([tops, most[block.owner] * block.shares])[:, None], k)[:, 0]
+            yield pd.DataFrame({"amount": tops})
+
+        return self.blocks.mapInPandas(run, "amount double").orderBy(F.desc("amount")).limit(k).agg(F.sum("amount")).first()[0] or 0.0
 
     def beside(self, scenarios: DataFrame) -> DataFrame:
         """Blocks beside chunks of scenarios (scenario_id, failed and, if only some links are asked for, edges)."""
@@ -239,6 +288,37 @@ class Scene:
             self._most[key] = share.max(axis=(0, 1)), sources[s], roots[share[:, s, np.arange(self.width)].argmax(axis=0)]
         return self._most[key]
 
+    def leading(self, rule: int, te: str) -> tuple[np.ndarray, list[np.ndarray]]:
+        """The shares of what a prefix may change to, for largest loads: of each link only ways that no other way exceeds or
+        equals for all sources. Places of the links, those with most ways first; then shares (source, link): the first way of all
+        links that have one, the second one of those that have two, and so on."""
+        key = (rule, te, "leading")
+        if key not in self._most:
+            front = np.zeros((0, *self.share.shape[1:]))
+            roots = self.ways.roots(self.ways.allowed(rule))
+            ways = (self.routed(s, te) for s in self.ways.candidates(te, rule)) if te else iter(self.share[roots])
+            kept = np.zeros((0, self.width), dtype=bool)
+            # By pieces, as sets of egresses may be very many.
+            while some := list(islice(ways, 64)):
+                front = np.concatenate([front, np.array(some)])
+                kept = np.concatenate([kept, front[len(kept) :].any(axis=1)])
+                for i in range(len(front)):
+                    over = (front[i] <= front).all(axis=1) & kept
+                    over[i] = False
+                    kept[i] &= ~over.any(axis=0)
+                used = kept.any(axis=1)
+                front, kept = front[used], kept[used]
+            many = kept.sum(axis=0)
+            order = np.argsort(-many, kind="stable")
+            # The ways of each link, those that are kept first.
+            first = np.argsort(~kept, axis=0, kind="stable")
+            parts = []
+            for i in range(many.max(initial=0)):
+                links = order[: np.count_nonzero(many > i)]
+                parts.append(np.ascontiguousarray(front[first[i, links], :, links].T))
+            self._most[key] = order, parts
+        return self._most[key]
+
     def any_root(self, rule: int) -> np.ndarray:
         """The largest share of each source over the egresses of a rule."""
         key = (rule, None)
@@ -299,19 +379,32 @@ class Block:
             if loose and not te:
                 most[rows] = demand @ scene.any_root(rule)
                 continue
-            best, of = np.zeros((len(rows), scene.width)), np.full((len(rows), scene.width), -1)
+            best = np.zeros((len(rows), scene.width))
+            if not witness:
+                order, parts = scene.leading(rule, te)
+                for way in parts:
+                    first = best[:, : way.shape[1]]
+                    np.maximum(first, demand @ way, out=first)
+                most[rows] = best[:, np.argsort(order)]
+                continue
+            of = np.full((len(rows), scene.width), -1)
             roots = scene.ways.roots(scene.ways.allowed(rule))
             ways = ((r, scene.share[r]) for r in roots) if not te else ((i, scene.routed(s, te)) for i, s in enumerate(scene.ways.candidates(te, rule)))
             for number, way in ways:
                 loads = demand @ way
-                if witness:
-                    of = np.where(np.round(loads - best, 9) > 0, number, of)
+                of = np.where(np.round(loads - best, 9) > 0, number, of)
                 np.maximum(best, loads, out=best)
             most[rows] = best
-            if witness:
-                egress[rows] = of
+            egress[rows] = of
         return current, most, egress, ingress
 
+    def now(self, scene: Scene) -> np.ndarray:
+        """The sums of current loads."""
+        sums = np.zeros(scene.width)
+        for rows, egresses, _, te in self.groups:
+            sums += self.mat[rows].sum(axis=0) @ scene.routed(egresses, te)
+        return sums
+
     def changes(self, diff: np.ndarray, k: int) -> np.ndarray:
         """The k largest changes of each link (up to k by link), of members one by one."""
         tops = np.zeros((0, diff.shape[1]))
@@ -328,11 +421,12 @@ def _top(tops: np.ndarray, k: int) -> np.ndarray:
 
 
 def _held(part: Iterator[pd.DataFrame], packed_graph: Graph, rules: dict[int, Rule]) -> Iterator[tuple[dict, Scene, list[Block]]]:
-    """(scenario, scene, blocks): up to HELD blocks of a chunk at once, for each of its scenarios."""
+    """(scenario, scene, blocks): blocks of a chunk, up to HELD numbers at once, for each of its scenarios."""
     ways = Ways(packed_graph, rules)
+    held = max(1, HELD // (BLOCK * max(1, len(packed_graph.names))))
     rows = (row for batch in part for row in batch.itertuples(index=False))
     for _, of_chunk in groupby(rows, key=lambda row: row.chunk):
-        while some := list(islice(of_chunk, HELD)):
+        while some := list(islice(of_chunk, held)):
             blocks = [Block(row) for row in some]
             for scenario in some[0].scenarios:
                 edges = scenario["edges"] if "edges" in scenario else None
@@ -352,6 +446,9 @@ def partials(packed: Packed, scenarios: DataFrame, k: int | None, at_most: bool
         for scenario, scene, blocks in _held(part, graph, rules):
             sums, tops = np.zeros(scene.width), np.zeros((0, scene.width))
             for block in blocks:
+                if k == 0:
+                    sums += block.now(scene)
+                    continue
                 current, most, *_ = block.evaluated(scene, loose=loose and k is not None)
                 sums += (most if k is None else current).sum(axis=0)
                 if k:
@@ -399,15 +496,26 @@ def scenario_loads(packed: Packed, scenarios: DataFrame, k: int | None, at_most:
 def highest_loads(packed: Packed, scenarios: DataFrame, k: int | None, at_most: bool = False) -> DataFrame:
     """Rows (scenario_id, edge_id, load) among which is each link's highest load, with the first scenario that has it.
 
-    Of many scenarios and a finite k, most cannot hold the highest load of a link: the current loads decide, and k changes add
-    little. So bounds of all scenarios come first, which cost far less than the loads; then the load of each link where
-    its bound is highest; and then those pairs of scenario and link whose bound reaches that.
+    Of several scenarios and a finite k, most cannot hold the highest load of a link: the current loads decide, and k changes add
+    little. So the current loads of all scenarios come first, which need a row for each setting and not for each prefix, and with them
+    the pairs of scenario and link that k changes, however large, can lift to the top. Where these are still many, bounds follow that
+    cost far less than the loads; then the load of each link where its bound is highest; and then those pairs whose bound reaches that.
     """
-    if not k or scenarios.count() < BOUNDED:
+    many = scenarios.count()
+    if not k or many < 2:
+        return scenario_loads(packed, scenarios, k, at_most, best=True)
+    every = scenarios
+    asked = lambda pairs: every.join(pairs.groupBy("scenario_id").agg(F.collect_set("edge_id").alias("edges")), "scenario_id")
+    now, reach = checkpointed(scenario_loads(packed.settled(), scenarios, 0)), packed.reach(k)
+    # One row for each link.
+    high = now.groupBy("edge_id").agg(F.max("load").alias("_high"))
+    lifted = now.join(F.broadcast(high), "edge_id").where(F.col("load") >= F.col("_high") * (1 - 1e-9) - (reach if at_most else 2 * reach) - 1e-6)
+    pairs = checkpointed(lifted.select("scenario_id", "edge_id"), now)
+    scenarios = asked(pairs)
+    if many < BOUNDED or pairs.count() <= FEW * len(packed.graph.edge):
         return scenario_loads(packed, scenarios, k, at_most, best=True)
     bounds = checkpointed(scenario_loads(packed, scenarios, k, at_most, loose=True))
     first = bounds.groupBy("edge_id").agg(F.max(F.struct("load", -F.col("scenario_id"))).alias("b")).select((-F.col("b.col2")).alias("scenario_id"), "edge_id")
-    asked = lambda pairs: scenarios.join(pairs.groupBy("scenario_id").agg(F.collect_set("edge_id").alias("edges")), "scenario_id")
     known = checkpointed(scenario_loads(packed, asked(first), k, at_most))
     # One row for each link.
     reach = known.select("edge_id", F.col("load").alias("_least"), F.col("scenario_id").alias("_known"))

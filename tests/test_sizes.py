@@ -145,3 +145,44 @@ def test_routes_kept_do_not_grow_with_paths():
         assert found[[0, 2]].tolist() == plain[[0, 2]].tolist()
     assert scene.routed((0, 2), "").tolist() == plain.tolist()
     assert len(scene._routed) == 1
+
+
+def test_only_pairs_that_changes_can_lift_are_computed(spark, monkeypatch):
+    from linkpeak.operators import blocks
+    from linkpeak.plans import registry
+    from linkpeak.sources.tables import Tables
+    from tests.compare import DATA
+
+    asked, keep = [], blocks.scenario_loads
+
+    def counted(packed, scenarios, k, *rest, **more):
+        if k:
+            asked.append(scenarios.select(F.sum(F.size("edges"))).first()[0] if "edges" in scenarios.columns else scenarios.count() * len(packed.graph.edge))
+        return keep(packed, scenarios, k, *rest, **more)
+
+    monkeypatch.setattr(blocks, "scenario_loads", counted)
+    assert registry.failures_l1_k1(Tables(spark, f"{DATA}/sf0.01")).count() == 90
+    # 46 scenarios by 90 links.
+    assert sum(asked) < 46 * 90 / 4
+
+
+def test_ways_that_others_exceed_are_left_out():
+    import numpy as np
+
+    from linkpeak.operators import blocks
+    from linkpeak.operators.flow import Routes
+
+    class Any:
+        rules = {0: blocks.Rule("egress")}
+        roots = staticmethod(lambda _: np.arange(40))
+        allowed = staticmethod(lambda _: None)
+
+    draw = np.random.default_rng(8)
+    share = draw.integers(0, 3, (40, 3, 11)) / 2.0
+    share[:, :, 4], share[5] = 0, share[6]
+    order, parts = blocks.Scene(Any(), Routes(share, np.ones((40, 3)), None, None)).leading(0, "")
+    demand, best = draw.random((50, 3)), np.zeros((50, 11))
+    for way in parts:
+        best[:, : way.shape[1]] = np.maximum(best[:, : way.shape[1]], demand @ way)
+    assert np.allclose(best[:, np.argsort(order)], np.max([demand @ s for s in share], axis=0))
+    assert sum(way.shape[1] for way in parts) < 40 * 11 / 4
