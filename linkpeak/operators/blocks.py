@@ -34,6 +34,8 @@ from linkpeak.sources.tables import checkpointed
 BLOCK, HELD, CHUNK, RANKED = 1024, 1 << 23, 4096, 1 << 20
 #: From so many scenarios on, and more pairs of scenario and link than so many a link, bounds tell first which of them can hold a link's worst load.
 BOUNDED, FEW = 64, 4
+#: Rows of a block that change alike, from which on ways that others exceed are left out.
+LEAST = 32
 #: The local preference of egresses that have no other.
 PREFERENCE = 100
 
@@ -380,7 +382,8 @@ class Block:
                 most[rows] = demand @ scene.any_root(rule)
                 continue
             best = np.zeros((len(rows), scene.width))
-            if not witness:
+            # For a few rows the ways themselves cost less than to compare them.
+            if not witness and len(rows) > LEAST:
                 order, parts = scene.leading(rule, te)
                 for way in parts:
                     first = best[:, : way.shape[1]]
@@ -392,10 +395,12 @@ class Block:
             ways = ((r, scene.share[r]) for r in roots) if not te else ((i, scene.routed(s, te)) for i, s in enumerate(scene.ways.candidates(te, rule)))
             for number, way in ways:
                 loads = demand @ way
-                of = np.where(np.round(loads - best, 9) > 0, number, of)
+                if witness:
+                    of = np.where(np.round(loads - best, 9) > 0, number, of)
                 np.maximum(best, loads, out=best)
             most[rows] = best
-            egress[rows] = of
+            if witness:
+                egress[rows] = of
         return current, most, egress, ingress
 
     def now(self, scene: Scene) -> np.ndarray:

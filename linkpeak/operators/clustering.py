@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from linkpeak.operators.means import Problem, Vectors, started
 from linkpeak.operators.traffic import normalised
 from linkpeak.sources.generators import draw
+from linkpeak.sources.tables import checkpointed
 
 MODES = ("direct", "normalized", "scaled")
 
@@ -60,6 +61,33 @@ def effective_demand(vec: DataFrame, assignment: DataFrame, mode: str) -> DataFr
     return centres(vec, assignment, mode).join(members, "cluster").select("cluster", "src", (F.col("centre") * factor).alias("demand"))
 
 
+def clustered_demand(demand: DataFrame, assignment: DataFrame, mode: str) -> DataFrame:
+    """(cluster, src, demand) as effective_demand(), from demand (src, prefix, demand) without rows of zeros: the centre times what it
+    is divided by is the cluster's own demand, except where shares are averaged."""
+    rows = demand.join(assignment, "prefix")
+    if mode != "normalized":
+        return rows.groupBy("cluster", "src").agg(F.sum("demand").alias("demand"))
+    rows = rows.withColumn("_scale", F.sum("demand").over(Window.partitionBy("prefix")))
+    sums = rows.groupBy("cluster", "src").agg(F.sum(F.col("demand") / F.col("_scale")).alias("_norm"))
+    members = rows.groupBy("cluster").agg(F.countDistinct("prefix").alias("n"), F.sum("demand").alias("s"))
+    return sums.join(members, "cluster").select("cluster", "src", (F.col("_norm") / F.col("n") * F.col("s")).alias("demand"))
+
+
+def half_error(demand: DataFrame, assignment: DataFrame, mode: str) -> DataFrame:
+    """(half): half of all errors(), from demand (src, prefix, demand) above zero. In each mode the demand that the centres of a cluster miss
+    is as much as they make up, and zeros miss nothing."""
+    scale = F.sum("demand").over(Window.partitionBy("prefix"))
+    rows = demand.join(assignment, "prefix").withColumn("_scale", scale)
+    x, weight = (F.col("demand"), F.lit(1.0)) if mode == "direct" else (F.col("demand") / F.col("_scale"), F.col("_scale"))
+    # What belongs to a prefix counts once for each of its rows, divided by their number.
+    part = 1 / F.count("*").over(Window.partitionBy("prefix"))
+    rows = rows.withColumn("_part", part * (F.col("_scale") if mode == "scaled" else F.lit(1.0)))
+    parts = rows.groupBy("cluster", "src").agg(F.sum("demand" if mode == "scaled" else x).alias("_sum"), F.sum("_part").alias("_part"))
+    # A row for each cluster and source; written, so that the planner knows how small it is.
+    centres = checkpointed(parts.select("cluster", "src", (F.col("_sum") / F.sum("_part").over(Window.partitionBy("cluster"))).alias("centre")))
+    return rows.join(centres, ["cluster", "src"]).agg(F.coalesce(F.sum(F.greatest(x - F.col("centre"), F.lit(0.0)) * weight), F.lit(0.0)).alias("half"))
+
+
 def approximated(vec: DataFrame, assignment: DataFrame, mode: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The matrix (src, prefix: the cluster, demand), the lookup (prefix, cluster), and its reverse (cluster, prefixes)."""
     matrix = effective_demand(vec, assignment, mode).withColumnRenamed("cluster", "prefix")

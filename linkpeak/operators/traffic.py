@@ -59,10 +59,10 @@ def running_demand(demand: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(offsets), "_range").select("prefix", "demand", (F.col("_n") + F.col("_in")).alias("rank"), (F.col("_sum") + F.col("_so")).alias("upto"))
 
 
-def equivalent_top_k(demand: DataFrame, bound: float) -> DataFrame:
-    """(k): how many heaviest prefixes leave out no more than bound of all demand."""
-    run = running_demand(demand)
-    totals = F.broadcast(per_prefix(demand).agg(F.sum("demand").alias("total"), F.count("*").alias("all_n")))
+def equivalent_top_k(demand: DataFrame, bound: float, run: DataFrame | None = None) -> DataFrame:
+    """(k): how many heaviest prefixes leave out no more than bound of all demand. run: its running_demand(), where several calls share it."""
+    run = running_demand(demand) if run is None else run
+    totals = F.broadcast(run.agg(F.sum("demand").alias("total"), F.count("*").alias("all_n")))
     found = run.crossJoin(totals).where(F.col("upto") > F.col("total") - bound).agg(F.min("rank").alias("k"))
     return found.crossJoin(totals).select(F.coalesce("k", "all_n").cast("long").alias("k"))
 

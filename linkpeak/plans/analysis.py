@@ -134,11 +134,14 @@ class Analysis:
         if self.clusters is None:
             return self
         plain = self._with(clusters=None)
-        demand = plain._checked()
-        settings = plain.settings().withColumn("kind", plain._kind_of(F.col("rule")))
+        demand, own = plain._checked(), checkpointed(plain.settings())
+        settings = own.withColumn("kind", plain._kind_of(F.col("rule")))
         method, value = self.clusters
         found = sweeps.cluster_within_budget(demand, settings, int(value), self.mode) if method == "number" else sweeps.cluster_to_error(demand, settings, value, self.mode)
-        return self.with_clustering(checkpointed(found), self.mode)
+        out = self.with_clustering(checkpointed(found), self.mode)
+        # Clusters change no settings.
+        out.__dict__["_written_settings"] = own
+        return out
 
     def roots(self) -> DataFrame:
         return self.ext_links.select(F.col("router").alias("root")).distinct()
@@ -203,6 +206,8 @@ class Analysis:
 
     def settings(self) -> DataFrame:
         """(prefix, egresses, rule, te): what tells classes of prefixes apart."""
+        if "_written_settings" in self.__dict__:
+            return self.__dict__["_written_settings"]
         te, known = self._te(), self._written_states.join(self._rule_of(), "prefix")
         return known.withColumn("te", F.lit(None).cast("string")) if te is None else known.join(te, "prefix", "left").select("prefix", "egresses", "rule", "te")
 
@@ -220,6 +225,10 @@ class Analysis:
             raise ValueError("demand enters at a router that the topology does not have")
         return demand
 
+    def known(self) -> tuple[DataFrame, DataFrame]:
+        """Demand above zero, and states (prefix, egresses), as written for all that follows."""
+        return self._written_demand, self._written_states
+
     def _checked(self) -> DataFrame:
         """Demand above zero, of the heaviest prefixes where only these count."""
         return self._written_demand if self.heaviest is None else loads.heaviest_only(self._written_demand, self.heaviest)[0]
@@ -229,20 +238,21 @@ class Analysis:
         demand, settings = self._checked(), self.settings()
         if self.assignment is None:
             return demand, settings, None
-        vec, named = clustering.vectors(demand), self.assignment.select("prefix", F.col("cluster").cast("long").alias("_c"))
-        of = named.join(settings, "prefix").groupBy("_c").agg(F.countDistinct("egresses", "rule", F.coalesce("te", F.lit(""))).alias("n"), *[F.first(c).alias(c) for c in ("egresses", "rule", "te")])
-        if of.where("n > 1").limit(1).count():
+        named = self.assignment.select("prefix", F.col("cluster").cast("long").alias("_c"))
+        # A row for each cluster.
+        of = checkpointed(named.join(settings, "prefix").select("_c", "egresses", "rule", F.coalesce("te", F.lit("")).alias("te")).distinct())
+        if of.groupBy("_c").count().where("count > 1").limit(1).count():
             raise ValueError("a cluster mixes states, rules or explicit paths")
         settings = of.select(F.col("_c").alias("prefix"), "egresses", "rule", "te")
         members = None
         if most:
-            sizes = demand.groupBy("prefix").agg(F.sum("demand").alias("w")).join(named, "prefix")
+            sizes = checkpointed(demand.groupBy("prefix").agg(F.sum("demand").alias("w")).join(named, "prefix"))
             # The largest shares make the largest rises and the smallest ones the least falls.
             ends = top_per_group(sizes, ["_c"], [F.desc("w"), F.col("prefix")], most).union(top_per_group(sizes, ["_c"], [F.col("w"), F.col("prefix")], most)).distinct()
             totals = sizes.groupBy("_c").agg(F.sum("w").alias("_all"))
             lists = ends.join(totals, "_c").groupBy("_c").agg(F.array_sort(F.collect_list(F.struct("prefix", (F.col("w") / F.col("_all")).alias("share")))).alias("members"))
             members = lists.select(F.col("_c").alias("prefix"), "members")
-        demand = clustering.effective_demand(vec, self.assignment, self.mode).select("src", F.col("cluster").cast("long").alias("prefix"), "demand").where("demand > 0")
+        demand = clustering.clustered_demand(demand, self.assignment, self.mode).select("src", F.col("cluster").cast("long").alias("prefix"), "demand").where("demand > 0")
         return demand, settings, members
 
     def prepared(self) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -256,13 +266,13 @@ class Analysis:
         clusters each way, and what truncation leaves out on top."""
         if self.clusters is not None:
             return self.clustered().bounds()
-        demand = self.demand.where("demand > 0")
+        demand = self._written_demand
         dropped = self.demand.sparkSession.range(1).select(F.lit(0.0).alias("dropped"))
         if self.heaviest is not None:
             demand, dropped = loads.heaviest_only(demand, self.heaviest)
         if self.assignment is None:
             return dropped.select(F.col("dropped").alias("plus"), F.lit(0.0).alias("minus"))
-        half = clustering.errors(clustering.vectors(demand), self.assignment, self.mode).agg((F.sum(F.col("error_pos") + F.col("error_neg")) / 2).alias("half"))
+        half = clustering.half_error(demand, self.assignment, self.mode)
         return half.crossJoin(dropped).select((F.col("half") + F.col("dropped")).alias("plus"), F.col("half").alias("minus"))
 
     def packed(self, most: int | None = None) -> blocks.Packed:

@@ -25,23 +25,29 @@ def _of_size(t: Tables, tenth: int) -> DataFrame:
     return t.read("part").where(F.col("p_size") % 10 == tenth).select(F.col("p_partkey").alias("prefix"))
 
 
-def thirds(t: Tables) -> DataFrame:
+def thirds(t: Tables, net: Analysis) -> DataFrame:
     """(prefix, cluster): the prefixes of a class by their remainder of three."""
-    settings = t.rules.join(t.states, "prefix").join(t.demand.select("prefix").distinct(), "prefix", "left_semi")
+    demand, states = net.known()
+    settings = t.rules.join(states, "prefix").join(demand.select("prefix").distinct(), "prefix", "left_semi")
     named = settings.select("prefix", F.concat_ws(":", "kind", F.array_join(F.col("egresses").cast("array<string>"), ","), F.col("prefix") % 3).alias("_name"))
     # One row for each cluster.
-    numbers = named.select("_name").distinct().select("_name", (F.row_number().over(Window.orderBy("_name")) - 1).alias("cluster"))
-    return named.join(numbers, "_name").select("prefix", "cluster")
+    numbers = checkpointed(named.select("_name").distinct().select("_name", (F.row_number().over(Window.orderBy("_name")) - 1).alias("cluster")))
+    return checkpointed(named.join(numbers, "_name").select("prefix", "cluster"))
+
+
+def _by_thirds(t: Tables) -> Analysis:
+    net = network(t)
+    return net.with_clustering(thirds(t, net))
 
 
 def clustered_k10(t: Tables) -> DataFrame:
     """The worst loads under ten route changes, where prefixes route by clusters and change one by one."""
-    return _report(network(t).with_clustering(thirds(t)).analyze(10, 0))
+    return _report(_by_thirds(t).analyze(10, 0))
 
 
 def clustered_causes_k1(t: Tables) -> DataFrame:
     """The prefix, of all members of clusters, whose change makes each link's highest load."""
-    out = network(t).with_clustering(thirds(t)).causes(1, 0)
+    out = _by_thirds(t).causes(1, 0)
     return out.select("src", "dst", "prefix", _r4("current").alias("current"), _r4("worst").alias("worst"), "egress", "ingress")
 
 
@@ -168,14 +174,16 @@ def accuracy(net: Analysis, clusters: tuple[int, ...], k: int, l: int = 0, mode:
     """A row for each number of clusters: how far the loads under k changes and l failures, in shares of all demand, are from those
     without clusters (min, median, max, sum, mean), the bound that clusters give, and how many heaviest prefixes would be as good. The analysis
     without clusters runs once."""
-    total = float(net.demand.agg(F.sum("demand")).first()[0] or 1.0)
+    demand, _ = net.known()
+    total = float(demand.agg(F.sum("demand")).first()[0] or 1.0)
+    run = traffic.running_demand(demand)
     exact = checkpointed(net.analyze(k, l).select("src", "dst", "load"))
     out = None
     for n in clusters:
         some = net.with_cluster_number(n, mode).clustered()
         gaps = traffic.difference(exact, some.analyze(k, l), total)
         bound = some.bounds().first()["plus"]
-        top = traffic.equivalent_top_k(net.demand, bound)
+        top = traffic.equivalent_top_k(demand, bound, run)
         row = gaps.crossJoin(top).select(F.lit(n).alias("clusters"), F.lit(k).alias("k"), *[F.col(c).alias(f"error_{c}") for c in gaps.columns], F.lit(bound / total).alias("bound"), F.col("k").alias("equivalent_top_k"))
         out = row if out is None else out.unionByName(row)
     return out
@@ -200,14 +208,19 @@ def accuracy_lines(t: Tables) -> DataFrame:
 
 def sweep(net: Analysis, settings: list[dict]) -> DataFrame:
     """A row for each setting (clusters: none or a number, k: a number or "inf", l): the highest load, the sum of all links' highest loads, and
-    the seconds that clusters and analysis took. Settings run one after the other, each of them on the whole cluster, as their seconds count."""
-    rows = []
+    the seconds that clusters and analysis took. Settings run one after the other, each of them on the whole cluster, as their seconds count.
+    Settings without clusters share what is packed once; its seconds count for each of them."""
+    rows, start = [], time.perf_counter()
+    plain = [s["k"] for s in settings if not s.get("clusters")]
+    packed = net.packed(max((int(k) for k in plain if k != "inf"), default=None)) if plain else None
+    packing = time.perf_counter() - start
     for s in settings:
         start = time.perf_counter()
         some = net.with_cluster_number(s["clusters"]).clustered() if s.get("clusters") else net
         between = time.perf_counter()
-        found = some.analyze(None if s["k"] == "inf" else int(s["k"]), s["l"]).agg(F.max("load").alias("m"), F.sum("load").alias("s")).first()
-        rows.append((s.get("clusters"), s["k"], s["l"], found["m"], found["s"], between - start, time.perf_counter() - between))
+        own, before = (None, 0.0) if s.get("clusters") else (packed, packing)
+        found = some.analyze(None if s["k"] == "inf" else int(s["k"]), s["l"], packed=own).agg(F.max("load").alias("m"), F.sum("load").alias("s")).first()
+        rows.append((s.get("clusters"), s["k"], s["l"], found["m"], found["s"], between - start, before + time.perf_counter() - between))
     return net.demand.sparkSession.createDataFrame(rows, "clusters int, k string, l int, highest double, sum double, clustering_time_sec double, analysis_time_sec double")
 
 

@@ -186,3 +186,42 @@ def test_ways_that_others_exceed_are_left_out():
         best[:, : way.shape[1]] = np.maximum(best[:, : way.shape[1]], demand @ way)
     assert np.allclose(best[:, np.argsort(order)], np.max([demand @ s for s in share], axis=0))
     assert sum(way.shape[1] for way in parts) < 40 * 11 / 4
+
+
+def test_clusters_need_no_rows_of_zeros(spark):
+    from linkpeak.operators import clustering
+
+    rows = [(s, p, float(1 + (p * 7 + s * 3) % 11)) for p in range(30) for s in range(6) if (p + s) % 3]
+    demand = spark.createDataFrame(rows, "src int, prefix long, demand double")
+    groups = demand.select("prefix").distinct().withColumn("cluster", (F.col("prefix") % 4).cast("int"))
+    vec = clustering.vectors(demand)
+    for mode in clustering.MODES:
+        want = {(r["cluster"], r["src"]): r["demand"] for r in clustering.effective_demand(vec, groups, mode).where("demand > 0").collect()}
+        assert {(r["cluster"], r["src"]): r["demand"] for r in clustering.clustered_demand(demand, groups, mode).collect()} == pytest.approx(want)
+        error = clustering.errors(vec, groups, mode).agg(F.sum(F.col("error_pos") + F.col("error_neg"))).first()[0]
+        assert clustering.half_error(demand, groups, mode).first()["half"] * 2 == pytest.approx(error)
+
+
+def test_classes_of_one_cluster_pack_no_vectors(spark, monkeypatch):
+    from linkpeak.operators.means import Vectors
+
+    rows = [(s, p, float(1 + p * s % 5)) for p in range(12) for s in range(3)]
+    demand = spark.createDataFrame(rows, "src int, prefix long, demand double")
+    settings = spark.createDataFrame([(p, "egress" if p % 4 else "both", [p % 2]) for p in range(12)], "prefix long, kind string, egresses array<int>")
+    monkeypatch.setattr(Vectors, "of", lambda *_: pytest.fail("vectors were packed"))
+    found = sweeps.cluster_within_budget(demand, settings, 1).join(sweeps.classed(demand, settings).select("prefix", "class").distinct(), "prefix")
+    assert found.count() == 12
+    assert found.groupBy("class").agg(F.countDistinct("cluster").alias("n")).where("n > 1").count() == 0
+    assert found.select("cluster").distinct().count() == found.select("class").distinct().count()
+
+
+def test_settings_of_a_sweep_share_what_is_packed(spark, monkeypatch):
+    from linkpeak.operators import blocks
+    from linkpeak.plans import experiments
+    from linkpeak.sources.tables import Tables
+    from tests.compare import DATA
+
+    packs, keep = [], blocks.Packed.of
+    monkeypatch.setattr(blocks.Packed, "of", lambda *some: (packs.append(1), keep(*some))[1])
+    assert experiments.running_time_sweep(Tables(spark, f"{DATA}/sf0.001")).count() == 4
+    assert len(packs) == 1
