@@ -218,7 +218,7 @@ def network(t: Tables, kind: str = "egress") -> Analysis:
 def link_report_columns(t: Tables) -> DataFrame:
     """Lines of current loads beside the worst ones for one change and for any number, the latter with bounds of 5 % and 2 %."""
     net = network(t)
-    total = float(round(t.demand.agg(F.sum("demand")).first()[0] or 1.0))
+    total = float(round(net.known()[0].agg(F.sum("demand")).first()[0] or 1.0))
     packed = net.packed(1)
     report = reports.report_columns(net.analyze(0, 0, packed=packed), [net.analyze(1, 0, packed=packed), net.analyze(None, 0, packed=packed)])
     return reports.link_text(report, t.routers, total, [(0.0, 0.0), (total * 0.05, total * 0.02)])
