@@ -70,6 +70,16 @@ def te_text(paths: DataFrame) -> DataFrame:
     return ends.groupBy("prefix").agg(F.array_join(F.array_sort(F.collect_list(one)), ";").alias("te"))
 
 
+def cells_of(demand: DataFrame) -> DataFrame:
+    """(prefix, cells: src and demand), a row a prefix, of demand (src, prefix, demand)."""
+    return demand.groupBy("prefix").agg(F.collect_list(F.struct("src", "demand")).alias("cells"))
+
+
+def demand_of(cells: DataFrame) -> DataFrame:
+    """(src, prefix, demand): the opposite of cells_of()."""
+    return cells.select("prefix", F.inline("cells")).select("src", "prefix", "demand")
+
+
 _BLOCKS = pa.schema([
     ("prefixes", pa.binary()), ("mat", pa.binary()), ("groups", pa.list_(pa.struct([("egresses", pa.list_(pa.int32())), ("rule", pa.int32()), ("te", pa.string()), ("n", pa.int32())]))),
     ("counts", pa.binary()), ("names", pa.binary()), ("shares", pa.binary()),
@@ -90,7 +100,7 @@ def _packed(names: np.ndarray):
         setting = list(zip(map(tuple, rows["egresses"].to_pylist()), rows["rule"].to_pylist(), (te or "" for te in rows["te"].to_pylist()), strict=True))
         groups = [{"egresses": list(key[0]), "rule": key[1], "te": key[2], "n": sum(1 for _ in same)} for key, same in groupby(setting)]
         counts, listed, shares = np.ones(n, dtype=np.int64), prefixes.astype(np.int64), np.ones(n)
-        if rows["members"].null_count < n:
+        if "members" in rows.schema.names and rows["members"].null_count < n:
             members, parts = rows["members"].to_pylist(), rows["parts"].to_pylist()
             counts = np.array([1 if m is None else len(m) for m in members], dtype=np.int64)
             listed = np.array([x for p, m in zip(prefixes.tolist(), members, strict=True) for x in ([p] if m is None else m)], dtype=np.int64)
@@ -112,17 +122,18 @@ class Packed:
 
     @classmethod
     def of(cls, links: DataFrame, roots: DataFrame, demand: DataFrame, settings: DataFrame, rules: dict[int, Rule] | None = None, members: DataFrame | None = None) -> Packed:
-        """demand (src, prefix, demand); settings (prefix, egresses, rule, te); members (prefix, members: prefix and share) of
-        clusters. Rules are few; they travel with the tasks like the topology."""
-        cells = demand.groupBy("prefix").agg(F.collect_list(F.struct("src", "demand")).alias("cells")).join(settings, "prefix")
+        """demand (src, prefix, demand) or, of cells_of(), (prefix, cells); settings (prefix, egresses, rule, te); members (prefix,
+        members: prefix and share) of clusters. Rules are few; they travel with the tasks like the topology."""
+        # Cells are long rows, so that they are not sorted for the join.
+        cells = (demand if "cells" in demand.columns else cells_of(demand)).join(settings.hint("shuffle_hash"), "prefix")
         cells = cells if members is None else cells.join(members, "prefix", "left")
         return cls._of_cells(Graph.of(links, roots), rules or PLAIN, cells)
 
     @classmethod
     def _of_cells(cls, graph: Graph, rules: dict[int, Rule], cells: DataFrame) -> Packed:
-        if "members" not in cells.columns:
-            cells = cells.withColumn("members", F.lit(None).cast("array<struct<prefix:bigint,share:double>>"))
-        rows = cells.select(F.col("prefix").cast("long").alias("prefix"), F.col("cells.src").cast("array<long>").alias("srcs"), F.col("cells.demand").cast("array<double>").alias("amounts"), "egresses", "rule", "te", F.col("members.prefix").alias("members"), F.col("members.share").alias("parts"))
+        # Lists of nothing but nulls cost more on their way to Python than the cells do.
+        own = [F.col("members.prefix").alias("members"), F.col("members.share").alias("parts")] if "members" in cells.columns else []
+        rows = cells.select(F.col("prefix").cast("long").alias("prefix"), F.col("cells.src").cast("array<long>").alias("srcs"), F.col("cells.demand").cast("array<double>").alias("amounts"), "egresses", "rule", "te", *own)
         # Rows of one setting stand together, so that a block has few settings and they are routed in few products.
         packed = checkpointed(rows.sortWithinPartitions("egresses", "rule", "te").mapInArrow(_packed(graph.names), _PACKED).withColumn("block", F.monotonically_increasing_id()))
         return cls(graph, rules, packed, max(packed.count(), 1))

@@ -54,7 +54,7 @@ class Analysis:
     def _with(self, **changes) -> Analysis:
         """A changed copy; what is written of demand and states serves it as well, as no setter changes these."""
         new = replace(self, **changes)
-        new.__dict__.update({name: self.__dict__[name] for name in ("_written_demand", "_written_states") if name in self.__dict__})
+        new.__dict__.update({name: self.__dict__[name] for name in ("_written_cells", "_written_demand", "_written_states") if name in self.__dict__})
         return new
 
     def set_default_uncertainty(self, kind: str, egresses: Egresses = None, ingresses: Iterable[int] | None = None) -> Analysis:
@@ -181,7 +181,7 @@ class Analysis:
 
     def _rule_of(self) -> DataFrame:
         """(prefix, rule)"""
-        prefixes = self._written_demand.select("prefix").distinct()
+        prefixes = self._written_prefixes()
         if not self.named:
             return prefixes.withColumn("rule", F.lit(-1))
         rows = self.named[0][0].withColumn("rule_id", F.lit(0))
@@ -196,12 +196,12 @@ class Analysis:
         everyone = self.installed if self.te_paths is None else self.installed.limit(0)
         if self.te_paths is None:
             text = blocks.te_text(everyone.withColumn("prefix", F.lit(0)))
-            return self._written_demand.select("prefix").distinct().join(F.broadcast(text.select("te")))
+            return self._written_prefixes().join(F.broadcast(text.select("te")))
         own = self.te_paths.select("prefix").distinct()
         # Installed paths are few; they go to the prefixes with own ones, and as one text to all others.
         mixed = self.te_paths.unionByName(own.join(F.broadcast(self.installed)).select(*self.te_paths.columns))
         text = blocks.te_text(self.installed.withColumn("prefix", F.lit(0))).select("te")
-        rest = self._written_demand.select("prefix").distinct().join(own, "prefix", "left_anti").join(F.broadcast(text))
+        rest = self._written_prefixes().join(own, "prefix", "left_anti").join(F.broadcast(text))
         return blocks.te_text(mixed).union(rest.select("prefix", "te"))
 
     def settings(self) -> DataFrame:
@@ -216,14 +216,24 @@ class Analysis:
         return checkpointed(self.states())
 
     @cached_property
-    def _written_demand(self) -> DataFrame:
-        """Demand above zero, written once for the checks and all that follows; a prefix without a state is an error."""
-        demand = checkpointed(self.demand.where("demand > 0"))
-        if demand.select("prefix").distinct().join(self._written_states, "prefix", "left_anti").limit(1).count():
+    def _written_cells(self) -> DataFrame:
+        """(prefix, cells: src and demand): demand above zero, a row a prefix, written once for the checks and all that follows;
+        a prefix without a state is an error."""
+        cells = checkpointed(blocks.cells_of(self.demand.where("demand > 0")))
+        if cells.join(self._written_states, "prefix", "left_anti").limit(1).count():
             raise ValueError("a prefix with demand has no routing state")
-        if flow.outside(demand, self.links, self.roots()).limit(1).count():
+        if flow.outside(blocks.demand_of(cells), self.links, self.roots()).limit(1).count():
             raise ValueError("demand enters at a router that the topology does not have")
-        return demand
+        return cells
+
+    @cached_property
+    def _written_demand(self) -> DataFrame:
+        """(src, prefix, demand): what _written_cells holds."""
+        return blocks.demand_of(self._written_cells)
+
+    def _written_prefixes(self) -> DataFrame:
+        """(prefix), each once."""
+        return self._written_cells.select("prefix")
 
     def known(self) -> tuple[DataFrame, DataFrame]:
         """Demand above zero, and states (prefix, egresses), as written for all that follows."""
@@ -280,6 +290,8 @@ class Analysis:
         if self.clusters is not None:
             return self.clustered().packed(most)
         demand, settings, members = self._inputs(most)
+        if self.assignment is None and self.heaviest is None:
+            demand = self._written_cells
         return blocks.Packed.of(self.links, self.roots(), demand, settings, self.rules(), members)
 
     def scenarios(self, l: int) -> DataFrame:  # noqa: E741
@@ -324,5 +336,5 @@ class Analysis:
         unit = flow.unit_flow(self.links, self.roots(), scenarios.join(best.select("scenario_id").distinct(), "scenario_id", "left_semi"))
         sole = unit.where(F.col("unique") & F.col("edge_id").isNotNull())
         if not invent_new:
-            sole = sole.join(self.demand.where("demand > 0").select("src").distinct(), "src", "left_semi")
+            sole = sole.join(self._written_demand.select("src").distinct(), "src", "left_semi")
         return best.join(sole.select("scenario_id", "edge_id").distinct(), ["scenario_id", "edge_id"], "left_anti").agg(F.count("*").alias("n"))

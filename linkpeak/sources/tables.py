@@ -55,14 +55,18 @@ class Tables:
         """(src, prefix, demand), unique by (src, prefix), demand above 0."""
         items = self.read("lineitem").select("l_orderkey", "l_partkey", "l_quantity")
         orders, customers = self.read("orders").select("o_orderkey", "o_custkey"), self.read("customer").select("c_custkey", "c_nationkey")
-        rows = items.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(customers, F.col("o_custkey") == F.col("c_custkey"))
-        return rows.groupBy(F.col("c_nationkey").alias("src"), F.col("l_partkey").alias("prefix")).agg(F.sum("l_quantity").alias("demand")).where("demand > 0")
+        # Orders, not their many items, are matched with customers; items are dealt by prefix once, for these sums and for all that follow by prefix.
+        placed = orders.join(customers, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", F.col("c_nationkey").alias("src"))
+        rows = items.join(placed, F.col("l_orderkey") == F.col("o_orderkey")).select("src", F.col("l_partkey").alias("prefix"), "l_quantity")
+        return rows.repartition("prefix").groupBy("src", "prefix").agg(F.sum("l_quantity").alias("demand")).where("demand > 0")
 
     @cached_property
     def route_state(self) -> DataFrame:
         """(prefix, egress): the two border routers that most of a prefix is supplied from."""
         rows = self.read("lineitem").select("l_partkey", "l_suppkey", "l_quantity").join(self.ext_links, F.col("l_suppkey") == F.col("ext"))
-        sums = rows.groupBy(F.col("l_partkey").alias("prefix"), F.col("router").alias("egress")).agg(F.sum("l_quantity").alias("q"))
+        # Dealt by prefix once, for the sums and the ranks.
+        dealt = rows.select(F.col("l_partkey").alias("prefix"), F.col("router").alias("egress"), "l_quantity").repartition("prefix")
+        sums = dealt.groupBy("prefix", "egress").agg(F.sum("l_quantity").alias("q"))
         rank = F.row_number().over(Window.partitionBy("prefix").orderBy(F.desc("q"), "egress"))
         return sums.withColumn("_r", rank).where("_r <= 2").select("prefix", "egress")
 

@@ -225,3 +225,44 @@ def test_settings_of_a_sweep_share_what_is_packed(spark, monkeypatch):
     monkeypatch.setattr(blocks.Packed, "of", lambda *some: (packs.append(1), keep(*some))[1])
     assert experiments.running_time_sweep(Tables(spark, f"{DATA}/sf0.001")).count() == 4
     assert len(packs) == 1
+
+
+def test_variability_works_demand_out_once(spark):
+    from linkpeak.plans.experiments import variability_worst_k1
+    from linkpeak.sources.tables import Tables
+    from tests.compare import DATA
+
+    # What is left to run reads written tables only.
+    assert "l_quantity" not in plan_of(variability_worst_k1(Tables(spark, f"{DATA}/sf0.001")))
+
+
+def test_items_are_dealt_by_prefix_once_and_never_by_customer(spark):
+    from linkpeak.operators import blocks
+    from linkpeak.sources.tables import Tables
+    from tests.compare import DATA
+
+    t = Tables(spark, f"{DATA}/sf0.001")
+    cells = blocks.cells_of(t.demand)
+    physical = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert re.findall(r"hashpartitioning\((\w+)#\d+L?, \d+\), REPARTITION", physical(cells)) == ["prefix"]
+    assert not re.search(r"hashpartitioning\((src|prefix)#\d+L?, [a-z]|hashpartitioning\([^\n]*ENSURE[^\n]*\n[^\n]*collect_list", physical(cells))
+    assert "c_custkey" not in re.search(r"l_orderkey#\d+L = o_orderkey[^\n]*", plan_of(cells)).group()
+    assert physical(t.states).count("hashpartitioning(prefix") == 1
+    want = {(r["src"], r["prefix"]): r["demand"] for r in t.demand.collect()}
+    assert {(r["src"], r["prefix"]): r["demand"] for r in blocks.demand_of(cells).collect()} == want
+
+
+def test_no_lists_of_nulls_go_to_python_where_there_are_no_clusters(spark, monkeypatch):
+    from linkpeak.operators import blocks
+    from linkpeak.plans import samples
+    from linkpeak.sources.tables import Tables
+    from tests.compare import DATA
+
+    plans, keep = [], blocks.checkpointed
+    monkeypatch.setattr(blocks, "checkpointed", lambda df, *done: (plans.append(plan_of(df)), keep(df, *done))[1])
+    net = samples.network(Tables(spark, f"{DATA}/sf0.001"))
+    assert net.packed(1).blocks.count()
+    assert len(plans) == 1
+    assert "members" not in plans[0]
+    # The written cells are joined as they are, neither gathered nor sorted again.
+    assert "collect_list" not in plans[0]
