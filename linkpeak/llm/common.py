@@ -28,24 +28,28 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-#: Spark's setting for the rows that go to Python at once.
-AT_ONCE = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Spark's settings for the rows and the bytes that go to Python at once.
+AT_ONCE, BYTES_AT_ONCE = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-def materialize(df: DataFrame, *done: DataFrame, at_once: int | None = None) -> DataFrame:
+def materialize(df: DataFrame, *done: DataFrame, at_once: int | None = None, bytes_at_once: int | None = None) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back: lineage is cut, a lost executor
     costs nothing, and the planner knows the true size when it chooses between broadcast and shuffle.
-    Tables ``done`` are deleted then: nothing may read them any more. at_once: so many rows at most go to Python
-    at once meanwhile, where rows may be large."""
+    Tables ``done`` are deleted then: nothing may read them any more. at_once, bytes_at_once: so many rows at most,
+    and so many bytes or one row more, go to Python at once meanwhile, where rows may be large."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/linkpeak-{uuid.uuid4().hex}"
-    before = spark.conf.get(AT_ONCE)
+    before, bytes_before = spark.conf.get(AT_ONCE), spark.conf.get(BYTES_AT_ONCE)
     try:
         if at_once:
             spark.conf.set(AT_ONCE, str(min(at_once, int(before)) if int(before) > 0 else at_once))
+        if bytes_at_once:
+            spark.conf.set(BYTES_AT_ONCE, str(bytes_at_once))
         df.write.parquet(path)
     finally:
         spark.conf.set(AT_ONCE, before)
+        if bytes_at_once:
+            spark.conf.set(BYTES_AT_ONCE, bytes_before)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored = path
     discard(*done)

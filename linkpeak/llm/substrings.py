@@ -31,7 +31,9 @@ from pyspark.sql import functions as F
 from linkpeak.llm.common import discard, masked, materialize, table, unmasked
 
 #: Words of an anchor; characters of texts that are worked on at once; words of a shard; most segments of an anchor in a shard.
-GRAM, SLICE, SHARD, CROWD = 6, 1 << 20, 500_000, 20_000
+GRAM, SLICE, SHARD, CROWD = 6, 1 << 20, 250_000, 20_000
+#: Bytes of texts that go to Python at once.
+BATCH = 4 << 20
 #: The low bits of a text's hash give way to the words of a segment.
 TAG = 1 << 10
 #: Documents without an id come before all others.
@@ -246,11 +248,11 @@ class WaveletTree:
 
     def __init__(self, seq: np.ndarray):
         count = np.bincount(seq)
-        self.size = np.maximum(1, np.ceil(-np.log2(count / len(seq)) - 1e-9)).astype(np.int64)
+        self.size = np.maximum(1, np.ceil(-np.log2(count / len(seq)) - 1e-9)).astype(np.int32)
         order = np.argsort(self.size, kind="stable")
         most = int(self.size.max())
-        room = 1 << (most - self.size[order])
-        self.code = np.zeros(len(count), dtype=np.int64)
+        room = np.int64(1) << (most - self.size[order])
+        self.code = np.zeros(len(count), dtype=np.int32)
         self.code[order] = (np.cumsum(room) - room) >> (most - self.size[order])
         self.levels = []
         for level in range(most):
@@ -259,14 +261,15 @@ class WaveletTree:
             starts = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
             by_name = np.argsort(node[starts])
             own = np.flatnonzero(self.size > level)
-            base = np.zeros(len(count), dtype=np.int64)
+            base = np.zeros(len(count), dtype=np.int32)
             base[own] = starts[by_name][np.searchsorted(node[starts][by_name], self.code[own] >> (self.size[own] - level))]
-            bits = (self.code[seq] >> (self.size[seq] - 1 - level)) & 1
-            packed = np.packbits(bits.astype(np.uint8), bitorder="little")
+            del node, starts
+            bits = ((self.code[seq] >> (self.size[seq] - 1 - level)) & 1).astype(bool)
+            packed = np.packbits(bits, bitorder="little")
             packed = np.pad(packed, (0, 8 - len(packed) % 8)).view(np.uint64)
             ones = np.r_[0, np.cumsum(np.bitwise_count(packed), dtype=np.int64)].astype(np.uint32)
-            self.levels.append((packed, ones, base, self._ones(packed, ones, base)))
-            seq = np.concatenate([seq[bits == 0], seq[bits == 1]])
+            self.levels.append((packed, ones, base, self._ones(packed, ones, base).astype(np.int32)))
+            seq = np.concatenate([seq[~bits], seq[bits]])
 
     @staticmethod
     def _ones(packed: np.ndarray, ones: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -289,16 +292,21 @@ class WaveletTree:
 
 def _suffixes(symbols: np.ndarray, ends: int, window: int) -> tuple[np.ndarray, np.ndarray]:
     """The suffix array of symbols, of which the first ``ends`` are ends of segments, all different; and whether each suffix shares its
-    first ``window`` symbols with the one before it. Ranks double the length that they tell apart; segments are short, so that few rounds do."""
+    first ``window`` symbols with the one before it. Ranks double the length that they tell apart; segments are short, so that few rounds do.
+    Symbols, ranks and places have four bytes each."""
     n, rank, width = len(symbols), symbols, 1
     part, known = rank, 1
     while True:
-        further = np.zeros(n, dtype=np.int64)
-        further[:-width] = rank[width:] + 1
-        key = rank * (n + ends + 2) + further
-        order = np.argsort(key, kind="stable")
-        new = np.r_[0, np.cumsum(key[order][1:] != key[order][:-1])]
-        rank = np.empty(n, dtype=np.int64)
+        key = rank.astype(np.int64)
+        key *= n + ends + 2
+        key[:-width] += rank[width:]
+        key[:-width] += 1
+        order = np.argsort(key, kind="stable").astype(np.int32)
+        key = key[order]
+        new = np.zeros(n, dtype=np.int32)
+        np.cumsum(key[1:] != key[:-1], out=new[1:])
+        del key
+        rank = np.empty(n, dtype=np.int32)
         rank[order] = new
         width *= 2
         if width <= window:
@@ -320,23 +328,29 @@ class FMIndex:
     def __init__(self, parts: list[np.ndarray], place: np.ndarray, window: int):
         self.window, sizes = window, np.array([len(p) for p in parts])
         names, symbol = np.unique(np.concatenate(parts), return_inverse=True)
+        symbol = symbol.astype(np.int32)
         m, n = len(parts), int(sizes.sum()) + len(parts)
         self.size, self.start = sizes, np.cumsum(sizes + 1) - sizes - 1
-        at = np.arange(n - m) + np.repeat(np.arange(m), sizes)
+        self.first = np.r_[0, m, m + np.cumsum(np.bincount(symbol, minlength=len(names)))[:-1]]
         ends = self.start + sizes
-        self.symbol = np.zeros(n, dtype=np.int64)
-        self.symbol[at] = symbol + 1
-        ranked = self.symbol + m - 1
+        word = np.ones(n, dtype=bool)
+        word[ends] = False
+        self.symbol = np.zeros(n, dtype=np.int32)
+        self.symbol[word] = symbol + 1
+        ranked = self.symbol + np.int32(m - 1)
         ranked[ends] = np.arange(m)
+        del names, symbol, word
         order, same = _suffixes(ranked, m, window)
-        self.place = np.repeat(place, sizes + 1) + np.arange(n) - np.repeat(self.start, sizes + 1)
-        self.begin = np.flatnonzero(~same)
-        self.group = np.cumsum(~same) - 1
-        self.earliest = np.minimum.reduceat(self.place[order], self.begin)
+        del ranked
         before = self.symbol[order - 1]
         before[order == 0] = 0
         self.tree = WaveletTree(before)
-        self.first = np.r_[0, m, m + np.cumsum(np.bincount(symbol, minlength=len(names)))[:-1]]
+        del before
+        self.place = np.repeat(place - self.start, sizes + 1)
+        self.place += np.arange(n)
+        self.begin = np.flatnonzero(~same).astype(np.int32)
+        self.group = np.cumsum(~same, dtype=np.int32) - np.int32(1)
+        self.earliest = np.minimum.reduceat(self.place[order], self.begin)
 
     def repeated(self) -> np.ndarray:
         """Whether a window of words that starts earlier as well starts at each place of the index: all segments at once, each from its last word to its first."""
@@ -384,17 +398,17 @@ def repeated_ranges(docs: DataFrame, window: int = 20, crowd: int = CROWD) -> Da
     if not 1 <= window <= TAG // 2 - 1:
         raise ValueError(f"a window has 1 to {TAG // 2 - 1} words")
     dealt = docs.where("text IS NOT NULL").mapInPandas(_written(window), _ROWS).repartition("mh").sortWithinPartitions("mh", "sh", "doc", "start", "tag")
-    found = materialize(dealt.mapInPandas(_sorted_out(crowd), _FOUND))
+    found = materialize(dealt.mapInPandas(_sorted_out(crowd), _FOUND), bytes_at_once=BATCH)
     some = found.where(F.col("kind") != _COPY)
     place = F.shiftleft(F.col("a").cast("long"), 32).bitwiseOR(F.col("b").cast("long"))
     lists = some.groupBy("doc", "th").agg(F.collect_list(F.struct("mh", place.alias("p"), "kind")).alias("x")).select("doc", "th", F.col("x.mh").alias("mhs"), F.col("x.p").alias("places"), F.col("x.kind").alias("kinds"))
     shards = max(1, -(-(found.where(F.col("kind") == _OPEN).agg(F.sum(F.col("b") - F.col("a"))).first()[0] or 0) // SHARD))
-    spelled = materialize(docs.join(lists, ["doc", "th"]).select("doc", "th", "text", "mhs", "places", "kinds").mapInPandas(_spelled(window, shards), _SPELLED))
+    spelled = materialize(docs.join(lists, ["doc", "th"]).select("doc", "th", "text", "mhs", "places", "kinds").mapInPandas(_spelled(window, shards), _SPELLED), bytes_at_once=BATCH)
     indexed = spelled.where(F.col("kind") == _OPEN).select("key", "doc", "th", "a", "words").groupBy("key").applyInPandas(_searched(window), "doc long, th long, a int, b int")
     crowded = spelled.where(F.col("kind") == _CROWDED).select("key", "more", "doc", "th", "a")
     earliest = crowded.groupBy("key", "more").agg(F.min(F.struct("doc", "a")).alias("_e"), F.count("*").alias("_n")).where("_n > 1")
     late = crowded.join(earliest, ["key", "more"]).where(F.struct("doc", "a") > F.col("_e")).select("doc", "th", "a", (F.col("a") + window).cast("int").alias("b"))
-    out = materialize(found.where(F.col("kind") == _COPY).select("doc", "th", "a", "b").union(indexed).union(late))
+    out = materialize(found.where(F.col("kind") == _COPY).select("doc", "th", "a", "b").union(indexed).union(late), bytes_at_once=BATCH)
     discard(found, spelled)
     return out
 
@@ -422,7 +436,8 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
 
     Null texts have no words; texts of any length are whole; null keys come before all others. Rows that repeat, and texts
     under one key, are one document: places with the same key and number of words are the same place, none earlier than
-    the other. Columns named like those added are replaced. Empty tables give empty ones.
+    the other. Columns named like those added are replaced. Empty tables give empty ones. The last step is left to whoever reads the result:
+    a table of long texts is best written by ``materialize(..., bytes_at_once=BATCH)``, so that few of them are in Python at once.
     """
     plain, names = masked(docs)
     doc = F.coalesce(F.col(names[key]).cast("long"), F.lit(NO_ID))
@@ -440,7 +455,7 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
 def op12_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the passages of 20 words that have stood before."""
     out = without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+    return materialize(out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256")), bytes_at_once=BATCH)
 
 
 OP12_SQL = r"""

@@ -1,6 +1,8 @@
 """Removal of repeated passages against all windows of all texts, and its index against counting."""
 
 import random
+import tracemalloc
+import uuid
 
 import numpy as np
 import pytest
@@ -102,5 +104,50 @@ def test_wavelet_tree_counts():
     assert sum(8 * len(level[0]) * 8 for level in tree.levels) <= len(seq) * (1 - (share * np.log2(share)).sum()) + 128 * len(tree.levels)
 
 
+def test_index_takes_few_bytes_a_word():
+    draw = np.random.default_rng(3)
+    vocabulary = draw.integers(0, 1 << 62, 3000).astype(np.uint64)
+    parts = [vocabulary[draw.integers(0, 3000, 26)] for _ in range(1500)]
+    parts += [np.where(np.arange(26) == i % 26, vocabulary[i], p) for i, p in enumerate(parts)]
+    n = sum(map(len, parts))
+    tracemalloc.start()
+    try:
+        substrings.FMIndex(parts, np.arange(len(parts)) << 32, 20).repeated()
+        assert tracemalloc.get_traced_memory()[1] < 100 * n
+    finally:
+        tracemalloc.stop()
+
+
+def test_texts_go_to_python_in_small_batches(spark, monkeypatch, tmp_path):
+    folder, most = str(tmp_path), 4 << 20
+
+    def noted(step, run, column):
+        def seen(part):
+            for batch in part:
+                with open(f"{folder}/{step}-{uuid.uuid4().hex}", "w") as f:
+                    f.write(str(int(batch[column].str.len().sum())))
+                yield batch
+
+        return lambda part: run(seen(part))
+
+    for step in ("_written", "_spelled"):
+        monkeypatch.setattr(substrings, step, lambda *a, step=step, made=getattr(substrings, step): noted(step, made(*a), "text"))
+    monkeypatch.setattr(substrings, "_kept", noted("_kept", substrings._kept, "_text"))
+    draw = random.Random(5)
+    passage = [words(draw, 30) for _ in range(40)]
+    body = words(draw, 1500)
+    rows = [(i, f"{i} {body[i:]} {passage[i % 40]} {i} {passage[i % 39]}") for i in range(1200)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(1).write.parquet(f"{folder}/sf/documents.parquet")
+    before = spark.conf.get(setting := "spark.sql.execution.arrow.maxBytesPerBatch")
+    out = registry.queries()["op12_substrings"](spark, f"{folder}/sf")
+    assert out.count() == len(rows)
+    assert spark.conf.get(setting) == before
+    total = sum(len(t) for _, t in rows)
+    for step in ("_written", "_spelled", "_kept"):
+        sizes = [int(p.read_text()) for p in tmp_path.glob(f"{step}-*")]
+        assert sum(sizes) >= (total if step != "_spelled" else most), step
+        assert max(sizes) <= most + max(len(t) for _, t in rows), step
+
+
 def test_query_matches_sql(spark):
     assert spark_rows(registry.queries()["op12_substrings"](spark, "/root/testdata/sf0.001")) == duck_rows(connect("sf0.001"), registry.oracle_sql()["op12_substrings"])
