@@ -34,11 +34,10 @@ def once(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def spread(df: DataFrame, *keys: str, least: int = 1) -> DataFrame:
-    """df dealt over all tasks (``least`` or more) by its keys: a short file is one task's, but each of its rows asks for many draws."""
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt over all tasks by its keys: a short file is one task's, but each of its rows asks for many draws."""
     spark = df.sparkSession
-    many = 2 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    return df.repartition(max(many, least), *keys)
+    return df.repartition(2 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *keys)
 
 
 def uniform(seed: int, *keys: Column | str) -> Column:
@@ -162,8 +161,8 @@ def scenario(links: DataFrame, routers: DataFrame, externals: int, seed: int) ->
     return random_weights(links, seed), external_routers(routers, externals, seed + 1)
 
 
-#: Rows, and externals, that a task sets against each other at once; pairs of such blocks in a task.
-ROWS, EXTERNALS, PAIRS = 1024, 8192, 256
+#: Rows, and externals, that a task sets against each other at once.
+ROWS, EXTERNALS = 512, 65536
 
 
 def _chosen(rows: DataFrame, ext_links: DataFrame, seed: int, by: str, many: Column) -> DataFrame:
@@ -177,24 +176,16 @@ def _chosen(rows: DataFrame, ext_links: DataFrame, seed: int, by: str, many: Col
     keyed = rows.select(by, many.cast("int").alias("many"), F.concat_ws("|", F.lit(str(seed)), F.col(by).cast("string")).alias("head"))
     some = ext_links.where("ext IS NOT NULL")
     parts = max(-(-some.count() // EXTERNALS), 1)
-    homes = keyed.groupBy(F.pmod(F.xxhash64("head"), F.lit(dealt)).alias("_home")).agg(F.collect_list(F.struct(by, "many", "head")).alias("rows"))
-    # A batch for Python may hold all pairs of a task.
-    homes = spread(homes, "_home", least=-(-dealt * parts // PAIRS))
+    homes = keyed.groupBy(F.pmod(F.xxhash64("head"), F.lit(dealt)).cast("int").alias("_home")).agg(F.collect_list(F.struct(by, "many", "head")).alias("rows"))
+    # A block of rows is a task, some seconds' work where externals are many: what is dealt by hashes leaves one task several of them.
+    homes = homes.repartitionById(dealt, "_home")
     exts = some.groupBy(F.pmod(F.xxhash64("ext"), F.lit(parts)).alias("_part")).agg(F.array_sort(F.collect_list("ext")).alias("exts"))
 
     def run(part: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in part:
             for own, exts in zip(batch["rows"], batch["exts"], strict=True):
-                tails = Tails([f"|{e}".encode() for e in exts])
-                out = []
-                for row in own:
-                    h = tails.draws(row["head"].encode())
-                    n = min(row["many"], len(h))
-                    # Far fewer than all are sorted: those up to a bound that a few of them keep, or all where too few do.
-                    near = np.flatnonzero(h <= np.uint64(((1 << 52) // len(h)) * 16)) if len(h) > 64 else np.arange(len(h))
-                    near = near if len(near) >= n else np.arange(len(h))
-                    best = near[np.argsort(h[near], kind="stable")[:n]]
-                    out += [(row[by], row["many"], int(h[i]), exts[i]) for i in best]
+                best = Tails([f"|{e}".encode() for e in exts]).firsts([row["head"].encode() for row in own], [row["many"] for row in own])
+                out = [(row[by], row["many"], h, exts[i]) for row, some in zip(own, best, strict=True) for h, i in some]
                 yield pd.DataFrame(out, columns=[by, "many", "h", "ext"])
 
     found = homes.select("rows").crossJoin(F.broadcast(exts.select("exts"))).mapInPandas(run, f"{by} {kind}, many int, h long, ext {ext_kind}")

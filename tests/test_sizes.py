@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from linkpeak.operators import paths, sweeps
 from linkpeak.sources import generators as g
+from linkpeak.sources import hashes
 from linkpeak.sources.hashes import Tails
 
 
@@ -59,6 +60,22 @@ def test_first_bits_of_many_texts():
         assert Tails(texts).draws(head).tolist() == [int(hashlib.md5(head + t).hexdigest()[:13], 16) for t in texts]
 
 
+def test_smallest_draws_hash_many_heads_and_all_lengths_at_once(monkeypatch):
+    calls, keep = [], hashes._registers
+    monkeypatch.setattr(hashes, "_registers", lambda *some: (calls.append(some[1]), keep(*some))[1])
+    texts = [f"|{i * i}".encode() for i in range(1500)]
+    heads, wanted = [f"22|{p}".encode() for p in range(20, 32)], [1, 2, 3] * 4
+    full = [sorted((int(hashlib.md5(head + t).hexdigest()[:13], 16), i) for i, t in enumerate(texts))[:n] for head, n in zip(heads, wanted, strict=True)]
+    assert Tails(texts).firsts(heads, wanted) == full
+    assert calls == [12 * 1500]
+    # Too few start with zeros: these heads are looked at in full.
+    monkeypatch.setattr(hashes, "SPARE", 0.1)
+    assert Tails(texts).firsts(heads, wanted) == full
+    assert len(calls) > 2
+    assert Tails(texts[:2]).firsts(heads[:1] * 2, [4, 1]) == [sorted((int(hashlib.md5(heads[0] + t).hexdigest()[:13], 16), i) for i, t in enumerate(texts[:2]))[:n] for n in (4, 1)]
+    assert Tails([]).firsts(heads[:1], [2]) == [[]]
+
+
 def test_widths_write_a_row_a_prefix(spark, few, monkeypatch):
     rows = []
     keep = sweeps.checkpointed
