@@ -122,6 +122,58 @@ def test_class_is_one_block_and_settles_in_one_job(spark, monkeypatch):
         assert found[i].points == pytest.approx(one.points)
 
 
+def plain_clusters(mode, prefixes, mat, k, max_iter):
+    """The clusters of k-means with all its points, and its error."""
+    import numpy as np
+
+    from linkpeak.operators import means
+
+    scale = mat.sum(axis=1)
+    order = np.lexsort((prefixes, -scale))
+    begin = mat if mode == "direct" else mat / scale[:, None]
+    one = means.Problem("", mode, alone=prefixes[order[: k - 1]])
+    if 1 < k < len(mat):
+        one = means._settled(means.Problem("", mode, begin[order[:k]]), prefixes, mat, scale, max_iter, 1e-5)
+    centres = means._centres(means._totals(one, prefixes, mat, scale))
+    return one.assigned(prefixes, mat, scale).tolist(), means._missed(one, centres, prefixes, mat, scale)[:, :2].sum()
+
+
+@pytest.mark.parametrize("mode", ["direct", "normalized", "scaled"])
+@pytest.mark.parametrize("max_iter", [1, 2, 150])
+def test_equal_vectors_climb_as_one(monkeypatch, mode, max_iter):
+    import numpy as np
+
+    from linkpeak.operators.means import Alike
+
+    draw = np.random.default_rng(max_iter)
+    # With few demands in a row some vectors are nearer to a point at zero than to any other.
+    for copies, share in ((1, 0.6), (4, 0.3), (5, 1.0)):
+        base = draw.integers(1, 9, (9, 4)) * (draw.random((9, 4)) < share)
+        base[base.sum(axis=1) == 0, 0] = 5
+        mat = np.tile(np.vstack([base, base[:2]]), (copies, 1)).astype(float)
+        prefixes = draw.permutation(len(mat)).astype(np.int64)
+        want = {k: plain_clusters(mode, prefixes, mat, k, max_iter) for k in range(1, len(mat) + 1)}
+        for k, (clusters, _) in want.items():
+            assert Alike(mode, prefixes, mat).clusters(k, max_iter, 1e-5).tolist() == clusters
+        runs, keep = [], Alike.settled
+        monkeypatch.setattr(Alike, "settled", lambda *some: (runs.append(some[1]), keep(*some))[1])  # noqa: B023
+        found = Alike(mode, prefixes, mat).errors(list(want), -1.0, max_iter, 1e-5)
+        monkeypatch.setattr(Alike, "settled", keep)
+        assert dict(found) == pytest.approx({k: error for k, (_, error) in want.items()}, abs=1e-7)
+        assert copies == 1 or len(runs) < len(mat) / 2
+
+
+def test_points_of_classes_that_are_one_block_stay_off_the_driver(spark, monkeypatch):
+    from linkpeak.operators.means import Vectors
+
+    rows = [(s, p, float(1 + p % 8 * (s + 1) % 7)) for p in range(60) for s in range(3)]
+    demand = spark.createDataFrame(rows, "src int, prefix long, demand double")
+    settings = spark.createDataFrame([(p, "egress", [p % 2]) for p in range(60)], "prefix long, kind string, egresses array<int>")
+    monkeypatch.setattr(Vectors, "heaviest", lambda *_: pytest.fail("points came to the driver"))
+    found = sweeps.cluster_to_error(demand, settings, 0.05)
+    assert found.count() == found.select("prefix").distinct().count() == 60
+
+
 def test_nearest_point_is_that_of_full_distances():
     import numpy as np
 
