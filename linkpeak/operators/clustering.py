@@ -150,10 +150,8 @@ def nearest_start(vec: DataFrame, k: int, mode: str = "scaled", seed: int | None
 def score_grid(vec: DataFrame, heavy: tuple[int, ...] = (10, 50, 100, 500, 1000), means: tuple[int, ...] = (10, 50, 100)) -> DataFrame:
     """(method, k, mode, error): positive error over all demand, for each method and mode; k-means runs until it
     converges, for all k of a mode in the same jobs."""
-    blocks = Vectors.of(vec.select("prefix", "src", "demand"))
+    blocks, top, points = Vectors.folded(vec.select("prefix", "src", "demand"), max((*heavy, *means), default=0))
     total = blocks.totals().get("", 0.0)
-    most = max((*heavy, *means), default=0)
-    top, points = blocks.heaviest({"": most})[""] if most else (np.zeros(0, dtype=np.int64), None)
     problems = {}
     for mode in MODES:
         problems["single", 1, mode] = Problem("", mode, alone=np.zeros(0, dtype=np.int64))

@@ -82,32 +82,33 @@ def _sums(cluster: np.ndarray, x: np.ndarray, many: int) -> np.ndarray:
     return np.column_stack([np.bincount(cluster, weights=c, minlength=many) for c in x.T]) if len(x) else np.zeros((many, x.shape[1]))
 
 
-def _totals(problem: Problem, prefixes: np.ndarray, mat: np.ndarray, scale: np.ndarray) -> np.ndarray:
+def _totals(problem: Problem, prefixes: np.ndarray, mat: np.ndarray, scale: np.ndarray, count: np.ndarray) -> np.ndarray:
     """By cluster the sums of vectors, and last what they are divided by."""
     x = mat / scale[:, None] if problem.mode == "normalized" else mat
-    return _sums(problem.assigned(prefixes, mat, scale), np.column_stack([x, scale if problem.mode == "scaled" else np.ones(len(mat))]), problem.clusters)
+    rows = np.column_stack([x, scale if problem.mode == "scaled" else np.ones(len(mat))])
+    return _sums(problem.assigned(prefixes, mat, scale), rows * count[:, None], problem.clusters)
 
 
 def _centres(own: np.ndarray) -> np.ndarray:
     return own[:, :-1] / np.where(own[:, -1:] == 0, 1.0, own[:, -1:])
 
 
-def _settled(problem: Problem, prefixes: np.ndarray, mat: np.ndarray, scale: np.ndarray, max_iter: int, tolerance: float) -> Problem:
+def _settled(problem: Problem, prefixes: np.ndarray, mat: np.ndarray, scale: np.ndarray, count: np.ndarray, max_iter: int, tolerance: float) -> Problem:
     """The problem of a class that is one block, when its points hardly move any more; as Vectors.converged()."""
-    least = tolerance * mat.sum() if problem.mode == "direct" else tolerance
+    least = tolerance * (mat.sum(axis=1) * count).sum() if problem.mode == "direct" else tolerance
     for _ in range(max_iter):
-        new = _centres(_totals(problem, prefixes, mat, scale))
+        new = _centres(_totals(problem, prefixes, mat, scale, count))
         change, problem = np.abs(new - problem.points).sum(), replace(problem, points=new)
         if change < least:
             break
     return problem
 
 
-def _missed(problem: Problem, centres: np.ndarray, prefixes: np.ndarray, mat: np.ndarray, scale: np.ndarray) -> np.ndarray:
+def _missed(problem: Problem, centres: np.ndarray, prefixes: np.ndarray, mat: np.ndarray, scale: np.ndarray, count: np.ndarray) -> np.ndarray:
     """By cluster the demand that its centre misses, what it makes up, and its members."""
     cluster = problem.assigned(prefixes, mat, scale)
     gap = mat - centres[cluster] if problem.mode == "direct" else (mat / scale[:, None] - centres[cluster]) * scale[:, None]
-    return _sums(cluster, np.column_stack([np.maximum(gap, 0).sum(axis=1), np.maximum(-gap, 0).sum(axis=1), np.ones(len(mat))]), problem.clusters)
+    return _sums(cluster, np.column_stack([np.maximum(gap, 0).sum(axis=1), np.maximum(-gap, 0).sum(axis=1), np.ones(len(mat))]) * count[:, None], problem.clusters)
 
 
 class Alike:
@@ -203,7 +204,7 @@ def _packed(sources: np.ndarray):
         mat = np.zeros((len(rows), len(sources)))
         at = np.repeat(np.arange(len(rows)), rows["srcs"].map(len))
         np.add.at(mat, (at, np.searchsorted(sources, np.concatenate(rows["srcs"].to_list()))), np.concatenate(rows["amounts"].to_list()))
-        return pd.DataFrame({"class": [rows["class"].iloc[0]], "prefixes": [rows["prefix"].to_numpy(dtype=np.int64).tobytes()], "mat": [mat.tobytes()]})
+        return pd.DataFrame({"class": [rows["class"].iloc[0]], "prefixes": [rows["prefix"].to_numpy(dtype=np.int64).tobytes()], "mat": [mat.tobytes()], "counts": [rows["n"].to_numpy(dtype=np.int64).tobytes()]})
 
     def run(part: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         # The rows of a block stand together, but a batch may end among them.
@@ -219,6 +220,11 @@ def _packed(sources: np.ndarray):
     return run
 
 
+def _blocks(pieces: DataFrame, sources: np.ndarray) -> DataFrame:
+    """(class, prefixes, mat, counts): a block for each class and piece, whose rows stand together."""
+    return checkpointed(pieces.select("class", "prefix", "srcs", "amounts", "n", "piece").mapInPandas(_packed(sources), "class string, prefixes binary, mat binary, counts binary"))
+
+
 class Vectors:
     """Demand vectors by blocks."""
 
@@ -243,11 +249,31 @@ class Vectors:
             many = int(demand.sparkSession.conf.get("spark.sql.shuffle.partitions"))
             pieces = lists.join(F.broadcast(counts), "class").withColumn("piece", F.pmod(F.xxhash64("prefix"), F.col("_pieces"))).drop("_pieces")
             pieces = pieces.repartition(many, "class", "piece").sortWithinPartitions("class", "piece")
-        blocks = checkpointed(pieces.select("class", "prefix", "srcs", "amounts", "piece").mapInPandas(_packed(sources), "class string, prefixes binary, mat binary"))
-        return cls(sources, blocks, frozenset(c for c, n in sizes.items() if n <= WHOLE))
+        return cls(sources, _blocks(pieces.withColumn("n", F.lit(1)), sources), frozenset(c for c, n in sizes.items() if n <= WHOLE))
+
+    @classmethod
+    def folded(cls, demand: DataFrame, apart: int) -> tuple[Vectors, np.ndarray, np.ndarray]:
+        """demand (src, prefix, demand) as vectors without classes where equal ones are one row, named by their smallest prefix; and the ``apart``
+        heaviest prefixes, in order, with their vectors, which stay rows of their own. Up to WHOLE rows are one block.
+
+        Equal vectors are always of one cluster of k-means; for clusters of single prefixes only some of those apart may be named."""
+        cells = demand.groupBy("prefix").agg(F.array_sort(F.collect_list(F.struct("src", "demand"))).alias("c")).select("prefix", F.col("c.src").alias("srcs"), F.col("c.demand").alias("amounts"))
+        lists = checkpointed(cells.withColumn("scale", F.aggregate("amounts", F.lit(0.0), lambda total, x: total + x)))
+        sources = np.array([r["src"] for r in lists.select(F.explode("srcs").alias("src")).distinct().orderBy("src").collect()], dtype=np.int64)
+        heavy = lists.orderBy(F.desc("scale"), "prefix").limit(apart).collect()
+        top, points = np.array([r["prefix"] for r in heavy], dtype=np.int64), np.zeros((len(heavy), len(sources)))
+        for row, r in zip(points, heavy, strict=True):
+            row[np.searchsorted(sources, r["srcs"])] = r["amounts"]
+        names = demand.sparkSession.createDataFrame([(int(p),) for p in top], "own long").withColumn("prefix", F.col("own"))
+        rows = lists.join(F.broadcast(names), "prefix", "left").groupBy("srcs", "amounts", "own").agg(F.min("prefix").alias("prefix"), F.count("*").alias("n"))
+        rows = checkpointed(rows.select(F.lit("").alias("class"), "prefix", "srcs", "amounts", "n"), lists)
+        if whole := rows.count() <= WHOLE:
+            rows = rows.coalesce(1)
+        piece = F.lit(0) if whole else F.floor(F.monotonically_increasing_id() / BLOCK)
+        return cls(sources, _blocks(rows.withColumn("piece", piece), sources), frozenset({""} if whole else ())), top, points
 
     def _over(self, problems: dict[int, Problem], work, schema: str, blocks: DataFrame | None = None) -> DataFrame:
-        """What work gives for each block and problem of its class (number, problem, prefixes, mat, scale)."""
+        """What work gives for each block and problem of its class, or its problem (number, problem, prefixes, mat, scale, count)."""
         by_class: dict[str, list[tuple[int, Problem]]] = {}
         for number, problem in problems.items():
             by_class.setdefault(problem.of, []).append((number, problem))
@@ -257,12 +283,13 @@ class Vectors:
             def found() -> Iterator:
                 for batch in part:
                     for row in batch.itertuples(index=False):
-                        own = by_class.get(row[0], ())
+                        own = ((row.problem, problems[row.problem]),) if "problem" in batch else by_class.get(row[0], ())
                         prefixes, mat = np.frombuffer(row.prefixes, dtype=np.int64), np.frombuffer(row.mat).reshape(-1, width)
                         scale = mat.sum(axis=1)
                         scale = np.where(scale == 0, 1.0, scale)
+                        count = np.frombuffer(row.counts, dtype=np.int64)
                         for number, problem in own:
-                            yield number, problem, prefixes, mat, scale
+                            yield number, problem, prefixes, mat, scale, count
 
             yield from work(found())
 
@@ -274,7 +301,7 @@ class Vectors:
         problems = {i: Problem(name, "direct", alone=np.zeros(0, dtype=np.int64)) for i, name in enumerate(wanted)}
 
         def work(rows: Iterator) -> Iterator[pd.DataFrame]:
-            for _, problem, prefixes, mat, scale in rows:
+            for _, problem, prefixes, mat, scale, _ in rows:
                 some = np.lexsort((prefixes, -scale))[: most if seed is None else len(prefixes)]
                 yield pd.DataFrame({"class": problem.of, "prefix": prefixes[some], "scale": scale[some], "vector": [x.tobytes() for x in mat[some]]})
 
@@ -293,14 +320,14 @@ class Vectors:
 
         def work(rows: Iterator) -> Iterator[pd.DataFrame]:
             sums: dict[int, np.ndarray] = {}
-            for number, problem, prefixes, mat, scale in rows:
-                found = _totals(problem, prefixes, mat, scale)
+            for number, problem, *block in rows:
+                found = _totals(problem, *block)
                 sums[number] = sums[number] + found if number in sums else found
             for number, own in sums.items():
                 c, at = np.nonzero(own)
                 yield pd.DataFrame({"problem": number, "cluster": c, "at": at, "value": own[c, at]})
 
-        found = self._over(problems, work, "problem int, cluster int, at int, value double").groupBy("problem", "cluster", "at").agg(F.sum("value").alias("value")).toPandas()
+        found = self._over(problems, work, "problem int, cluster int, at int, value double", self._each(problems)).groupBy("problem", "cluster", "at").agg(F.sum("value").alias("value")).toPandas()
         out = {}
         for number, problem in problems.items():
             rows = found[found["problem"] == number]
@@ -335,7 +362,7 @@ class Vectors:
             for number, problem, *block in rows:
                 yield pd.DataFrame({"problem": [number], "points": [_settled(problem, *block, max_iter, tolerance).points.tobytes()]})
 
-        found = self._over(problems, work, "problem int, points binary").collect()
+        found = self._over(problems, work, "problem int, points binary", self._each(problems)).collect()
         return {r["problem"]: replace(problems[r["problem"]], points=np.frombuffer(bytes(r["points"])).reshape(-1, len(self.sources))) for r in found}
 
     def errors_up_to(self, ladders: dict[str, list[int]], least: dict[str, float], mode: str, max_iter: int = 150, tolerance: float = 1e-5) -> dict[tuple[str, int], float]:
@@ -344,7 +371,7 @@ class Vectors:
         problems = {i: Problem(name, mode) for i, name in enumerate(ladders)}
 
         def work(rows: Iterator) -> Iterator[pd.DataFrame]:
-            for _, problem, prefixes, mat, _ in rows:
+            for _, problem, prefixes, mat, _, _ in rows:
                 found = Alike(mode, prefixes, mat).errors(ladders[problem.of], least[problem.of], max_iter, tolerance)
                 yield pd.DataFrame([(problem.of, *one) for one in found], columns=["class", "k", "error"])
 
@@ -357,21 +384,31 @@ class Vectors:
         problems = {i: Problem(name, mode) for i, name in enumerate(wanted)}
 
         def work(rows: Iterator) -> Iterator[pd.DataFrame]:
-            for _, problem, prefixes, mat, _ in rows:
+            for _, problem, prefixes, mat, _, _ in rows:
                 yield pd.DataFrame({"class": problem.of, "prefix": prefixes, "cluster": Alike(mode, prefixes, mat).clusters(wanted[problem.of], max_iter, tolerance)})
 
         return self._over(problems, work, "class string, prefix long, cluster int", self._dealt())
 
+    def _each(self, problems: dict[int, Problem]) -> DataFrame:
+        """The blocks, where these are whole classes once for each problem, a task each."""
+        if not all(problem.of in self.whole for problem in problems.values()):
+            return self.blocks
+        pairs = [(number, problem.of, i) for i, (number, problem) in enumerate(problems.items())]
+        rows = self.blocks.sparkSession.createDataFrame(pairs, "problem int, class string, task int")
+        return self.blocks.join(F.broadcast(rows), "class").repartitionById(len(pairs), "task")
+
     def _dealt(self) -> DataFrame:
         """The blocks in more tasks than there are cores: a class may take far longer than another."""
         return self.blocks.repartition(4 * self.blocks.sparkSession.sparkContext.defaultParallelism)
 
     def totals(self) -> dict[str, float]:
         """The demand of each class."""
+        width = len(self.sources)
 
         def run(part: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in part:
-                yield pd.DataFrame({"class": batch["class"], "total": [float(np.frombuffer(m).sum()) for m in batch["mat"]]})
+                sums = [float(np.frombuffer(m).reshape(-1, width).sum(axis=1) @ np.frombuffer(n, dtype=np.int64)) for m, n in zip(batch["mat"], batch["counts"], strict=True)]
+                yield pd.DataFrame({"class": batch["class"], "total": sums})
 
         return {r["class"]: r["total"] for r in self.blocks.mapInPandas(run, "class string, total double").groupBy("class").agg(F.sum("total").alias("total")).collect()}
 
@@ -379,7 +416,7 @@ class Vectors:
         """(problem, class, prefix, cluster)"""
 
         def work(rows: Iterator) -> Iterator[pd.DataFrame]:
-            for number, problem, prefixes, mat, scale in rows:
+            for number, problem, prefixes, mat, scale, _ in rows:
                 yield pd.DataFrame({"problem": number, "class": problem.of, "prefix": prefixes, "cluster": problem.assigned(prefixes, mat, scale)})
 
         return self._over(problems, work, "problem int, class string, prefix long, cluster int")
@@ -390,14 +427,14 @@ class Vectors:
 
         def work(rows: Iterator) -> Iterator[pd.DataFrame]:
             sums: dict[int, np.ndarray] = {}
-            for number, problem, prefixes, mat, scale in rows:
-                found = _missed(problem, centres[number], prefixes, mat, scale)
+            for number, problem, *block in rows:
+                found = _missed(problem, centres[number], *block)
                 sums[number] = sums[number] + found if number in sums else found
             for number, own in sums.items():
                 some = np.flatnonzero(own[:, 2])
                 yield pd.DataFrame({"problem": number, "cluster": some, "error_pos": own[some, 0], "error_neg": own[some, 1]})
 
-        found = self._over(problems, work, "problem int, cluster int, error_pos double, error_neg double")
+        found = self._over(problems, work, "problem int, cluster int, error_pos double, error_neg double", self._each(problems))
         return found.groupBy("problem", "cluster").agg(F.sum("error_pos").alias("error_pos"), F.sum("error_neg").alias("error_neg"))
 
     def errors(self, problems: dict[int, Problem]) -> dict[int, tuple[float, float]]:

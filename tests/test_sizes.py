@@ -128,14 +128,14 @@ def plain_clusters(mode, prefixes, mat, k, max_iter):
 
     from linkpeak.operators import means
 
-    scale = mat.sum(axis=1)
+    scale, ones = mat.sum(axis=1), np.ones(len(mat))
     order = np.lexsort((prefixes, -scale))
     begin = mat if mode == "direct" else mat / scale[:, None]
     one = means.Problem("", mode, alone=prefixes[order[: k - 1]])
     if 1 < k < len(mat):
-        one = means._settled(means.Problem("", mode, begin[order[:k]]), prefixes, mat, scale, max_iter, 1e-5)
-    centres = means._centres(means._totals(one, prefixes, mat, scale))
-    return one.assigned(prefixes, mat, scale).tolist(), means._missed(one, centres, prefixes, mat, scale)[:, :2].sum()
+        one = means._settled(means.Problem("", mode, begin[order[:k]]), prefixes, mat, scale, ones, max_iter, 1e-5)
+    centres = means._centres(means._totals(one, prefixes, mat, scale, ones))
+    return one.assigned(prefixes, mat, scale).tolist(), means._missed(one, centres, prefixes, mat, scale, ones)[:, :2].sum()
 
 
 @pytest.mark.parametrize("mode", ["direct", "normalized", "scaled"])
@@ -163,6 +163,38 @@ def test_equal_vectors_climb_as_one(monkeypatch, mode, max_iter):
         assert copies == 1 or len(runs) < len(mat) / 2
 
 
+def test_equal_vectors_are_one_row_of_a_score_grid(spark, monkeypatch):
+    import numpy as np
+
+    from linkpeak.operators import clustering, means
+
+    # The last two of nine vectors weigh the same, so that prefixes alone are of both.
+    kinds = [(3, 0, 1, 1), (1, 4, 0, 2), (2, 2, 2, 3), (0, 0, 9, 1), (5, 1, 1, 2), (1, 1, 7, 1), (2, 8, 0, 4), (9, 9, 0, 2), (0, 9, 9, 2)]
+    rows = [(s, p, float(x)) for p in range(90) for s, x in enumerate(kinds[p % 9]) if x]
+    demand = spark.createDataFrame(rows, "src int, prefix long, demand double")
+    vectors, top, points = means.Vectors.folded(demand, 13)
+    assert top.tolist() == [p for p in range(90) if p % 9 > 6][:13]
+    assert points.tolist() == [list(kinds[p % 9]) for p in top]
+    counts = np.concatenate([np.frombuffer(r["counts"], dtype=np.int64) for r in vectors.blocks.collect()])
+    assert sorted(counts.tolist()) == [1] * 13 + [3, 4] + [10] * 7
+    assert vectors.totals()[""] == sum(x for _, _, x in rows)
+
+    mat = np.array([kinds[p % 9] for p in range(90)], dtype=float)
+    want = {("kmeans", k, mode): plain_clusters(mode, np.arange(90), mat, k, 150)[1] for k in (3, 12) for mode in clustering.MODES}
+    for mode in clustering.MODES:
+        one = means.Problem("", mode, alone=top)
+        block = np.arange(90), mat, mat.sum(axis=1), np.ones(90)
+        want["heaviest", 13, mode] = means._missed(one, means._centres(means._totals(one, *block)), *block)[:, :2].sum()
+    steps, keep = [], means.Vectors.means
+    monkeypatch.setattr(means.Vectors, "means", lambda *some: (steps.append(1), keep(*some))[1])
+    for whole in (means.WHOLE, 0):
+        monkeypatch.setattr(means, "WHOLE", whole)
+        found = {(r["method"], r["k"], r["mode"]): 2 * r["error"] * mat.sum() for r in clustering.score_grid(demand, (13,), (3, 12)).collect()}
+        assert {name: found[name] for name in want} == pytest.approx(want)
+        # Vectors of one block settle where they lie; the only means are those that errors are told by.
+        assert len(steps) == 1 or not whole
+
+
 def test_points_of_classes_that_are_one_block_stay_off_the_driver(spark, monkeypatch):
     from linkpeak.operators.means import Vectors
 
