@@ -222,6 +222,34 @@ def test_nearest_point_is_that_of_full_distances():
         assert found.tolist() == np.round(far, 6).argmin(axis=1).tolist()
 
 
+@pytest.mark.parametrize("low", [0, -9])
+def test_nearest_of_many_points_by_short_numbers(monkeypatch, low):
+    import numpy as np
+
+    from linkpeak.operators import means
+
+    draw = np.random.default_rng(6)
+    x = np.concatenate([draw.integers(low, 9, (300, 5)).astype(float), np.exp(draw.normal(0, 3, (300, 5))), np.zeros((2, 5))])
+    points = np.concatenate([x[::7], x[::9] + 1e-8, np.zeros((1, 5))])
+    kinds, keep = set(), np.add
+    monkeypatch.setattr(np, "add", lambda a, b, **more: (kinds.add(a.dtype.name), keep(a, b, **more))[1])
+    for weight in (np.ones(len(x)), draw.integers(1, 10**5, len(x)).astype(float)):
+        far = np.zeros((len(x), len(points)))
+        for s in range(5):
+            far += np.abs(x[:, s, None] - points[None, :, s])
+        assert means._nearest(x, points, weight).tolist() == np.round(far * weight[:, None], 6).argmin(axis=1).tolist()
+    assert kinds == {"float32" if low else "int16"}
+
+
+def test_rows_of_several_blocks_are_dealt_evenly(spark, monkeypatch):
+    from linkpeak.operators import means
+
+    demand = spark.createDataFrame([(s, p, float(1 + p * (s + 1) % 37)) for p in range(60) for s in range(3)], "src int, prefix long, demand double")
+    monkeypatch.setattr(means, "WHOLE", 0)
+    vectors, _, _ = means.Vectors.folded(demand, 5)
+    assert vectors.blocks.count() >= spark.sparkContext.defaultParallelism
+
+
 def test_routes_kept_do_not_grow_with_paths():
     import numpy as np
 
